@@ -12,6 +12,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.sources.fixtures import Fixtures, with_fixtures
 
@@ -24,20 +26,38 @@ class Query:
     section: str
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.plan(Fixtures(spark, sf_dir))
+        return dates_as_text(self.plan(Fixtures(spark, sf_dir)))
+
+
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """DATE columns as ISO ``yyyy-MM-dd`` text, so both engines hand the checker
+    the same value (pandas turns DuckDB dates into midnight timestamps)."""
+    if not any(isinstance(f.dataType, T.DateType) for f in df.schema.fields):
+        return df
+    return df.select(*[F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name)
+                       if isinstance(f.dataType, T.DateType) else F.col(f.name) for f in df.schema.fields])
 
 
 REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str, section: str, fixtures: list[str] | None = None, sql: str | None = None,
-             ctes: str = ""):
-    """Decorator: register ``fn(fx) -> DataFrame`` under ``name`` with its oracle."""
+             ctes: str = "", dates: list[str] | None = None):
+    """Decorator: register ``fn(fx) -> DataFrame`` under ``name`` with its oracle.
+
+    ``dates`` names the DATE columns of the result; the oracle renders them as
+    ISO text like the Spark side does.
+    """
 
     def deco(fn: Callable[[Fixtures], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        oracle = with_fixtures(fixtures or [], sql, ctes) if sql is not None else None
+        body, extra = sql, ctes
+        if sql is not None and dates:
+            repl = ", ".join(f"strftime({d}, '%Y-%m-%d') AS {d}" for d in dates)
+            extra = (ctes.strip() + ",\n" if ctes.strip() else "") + f"q__ AS ({sql.strip()})"
+            body = f"SELECT * REPLACE ({repl}) FROM q__"
+        oracle = with_fixtures(fixtures or [], body, extra) if sql is not None else None
         REGISTRY[name] = Query(name, fn, oracle, section)
         return fn
 
