@@ -42,7 +42,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str, section: str, fixtures: list[str] | None = None, sql: str | None = None,
-             ctes: str = "", dates: list[str] | None = None):
+             ctes: str = "", dates: list[str] | None = None, recursive: bool = False):
     """Decorator: register ``fn(fx) -> DataFrame`` under ``name`` with its oracle.
 
     ``dates`` names the DATE columns of the result; the oracle renders them as
@@ -57,7 +57,7 @@ def register(name: str, section: str, fixtures: list[str] | None = None, sql: st
             repl = ", ".join(f"strftime({d}, '%Y-%m-%d') AS {d}" for d in dates)
             extra = (ctes.strip() + ",\n" if ctes.strip() else "") + f"q__ AS ({sql.strip()})"
             body = f"SELECT * REPLACE ({repl}) FROM q__"
-        oracle = with_fixtures(fixtures or [], body, extra) if sql is not None else None
+        oracle = with_fixtures(fixtures or [], body, extra, recursive) if sql is not None else None
         REGISTRY[name] = Query(name, fn, oracle, section)
         return fn
 

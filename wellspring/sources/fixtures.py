@@ -184,12 +184,13 @@ def fixture_sql_duckdb(name: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", FIXTURES[name]).strip()
 
 
-def with_fixtures(names: list[str], body: str, ctes: str = "") -> str:
+def with_fixtures(names: list[str], body: str, ctes: str = "", recursive: bool = False) -> str:
     """An oracle statement: the named fixture views as CTEs, optional extra CTEs, then ``body``."""
     parts = [f"{n} AS ({fixture_sql_duckdb(n)})" for n in names]
     if ctes.strip():
         parts.append(ctes.strip())
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(parts) + "\n" + body.strip()
 
 
 class Fixtures:
