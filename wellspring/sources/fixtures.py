@@ -130,10 +130,15 @@ SELECT event_id AS seq, ts, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id %
  ELSE concat(' User', CAST(user_id AS STRING), '@example.com') END AS email_raw,
  concat('rtok', CAST(event_id AS STRING)) AS token FROM {events} WHERE event_type = 'error'
 """,
-    # Password-reset redemptions: token names an issue (the request seq); some are bogus.
+    # Password-reset redemptions: a token named after a reset request (seq), redeemed
+    # 0-99 minutes later; some tokens are bogus, some are redeemed twice.
     "reset_redemptions": """
-SELECT event_id AS seq, ts, CASE WHEN event_id % 10 = 0 THEN 'bogus' ELSE concat('rst', CAST(event_id - (event_id % 20) AS STRING)) END AS token
- FROM {events} WHERE event_type = 'click'
+SELECT event_id * 2 AS seq, ts + (event_id % 100) * INTERVAL 1 MINUTE AS ts,
+ CASE WHEN event_id % 10 = 0 THEN 'bogus' ELSE concat('rst', CAST(event_id AS STRING)) END AS token
+ FROM {events} WHERE event_id % 3 = 0
+UNION ALL
+SELECT event_id * 2 + 1 AS seq, ts + (event_id % 100 + 5) * INTERVAL 1 MINUTE AS ts, concat('rst', CAST(event_id AS STRING)) AS token
+ FROM {events} WHERE event_id % 9 = 0
 """,
     # Journal delete requests.
     "journal_deletes": """
