@@ -1 +1,151 @@
-"""Registered queries."""
+"""Registered cascade queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wellspring.operators import cascade as C
+from wellspring.operators.journal import journal_merge
+from wellspring.operators.settings import settings_merge
+from wellspring.operators.tokens import token_ledger
+from wellspring.plans.registry import register
+
+RENAME_SQL = """
+judged AS (
+ SELECT r.user_id, r.old_name, r.new_name,
+  CASE WHEN EXISTS (SELECT 1 FROM sessions s WHERE s.user_id = r.user_id AND s.session_name = r.new_name) THEN 'name_exists'
+   WHEN count(*) OVER (PARTITION BY r.user_id, r.new_name) > 1 THEN 'duplicate_target'
+   WHEN count(*) OVER (PARTITION BY r.user_id, r.old_name) > 1 THEN 'duplicate_source' END AS reason
+ FROM rename_requests r),
+ok AS (SELECT user_id, old_name, new_name FROM judged WHERE reason IS NULL)"""
+
+
+def _rename(fx):
+    return C.rename_cascade(fx.sessions, fx.messages, fx.summaries, fx.rename_requests)
+
+
+@register("rename_cascade", "H6", ["sessions", "messages", "summaries", "rename_requests"], """
+SELECT m.id, m.user_id, coalesce(ok.new_name, m.session) AS session, m.role, m.timestamp, m.archive
+FROM messages m LEFT JOIN ok ON ok.user_id = m.user_id AND ok.old_name = m.session
+""", ctes=RENAME_SQL)
+def _rename_cascade(fx):
+    return _rename(fx)["messages"].select("id", "user_id", "session", "role", "timestamp", "archive")
+
+
+@register("rename_cascade_sessions", "H6", ["sessions", "rename_requests"], """
+SELECT s.user_id, coalesce(ok.new_name, s.session_name) AS session_name, s.persona, s.start_date, s.current
+FROM sessions s LEFT JOIN ok ON ok.user_id = s.user_id AND ok.old_name = s.session_name
+""", ctes=RENAME_SQL)
+def _rename_cascade_sessions(fx):
+    return C.rename_cascade(fx.sessions, fx.messages, fx.summaries, fx.rename_requests)["sessions"]
+
+
+@register("rename_cascade_summaries", "H6", ["sessions", "summaries", "rename_requests"], """
+SELECT s.user_id, coalesce(ok.new_name, s.session) AS session, s.summary, s.last_message_id
+FROM summaries s LEFT JOIN ok ON ok.user_id = s.user_id AND ok.old_name = s.session
+""", ctes=RENAME_SQL)
+def _rename_cascade_summaries(fx):
+    return C.rename_cascade(fx.sessions, fx.messages, fx.summaries, fx.rename_requests)["summaries"]
+
+
+@register("rename_rejects", "H6", ["sessions", "rename_requests"],
+          "SELECT user_id, old_name, new_name, reason FROM judged WHERE reason IS NOT NULL", ctes=RENAME_SQL)
+def _rename_rejects(fx):
+    return C.rename_cascade(fx.sessions, fx.messages, fx.summaries, fx.rename_requests)["rejects"]
+
+
+def _persona(fx):
+    return C.persona_merge(fx.sessions, fx.persona_requests, fx.sessions.select("persona"))
+
+
+@register("persona_merge", "H7/Q2", ["sessions", "persona_requests"], """
+SELECT s.user_id, s.session_name, coalesce(p.persona, s.persona) AS persona, s.start_date, s.current
+FROM sessions s LEFT JOIN (
+ SELECT user_id, session_name, max(persona) AS persona FROM persona_requests
+ WHERE persona IN (SELECT persona FROM sessions) GROUP BY user_id, session_name) p
+ON p.user_id = s.user_id AND p.session_name = s.session_name
+""")
+def _persona_merge(fx):
+    return _persona(fx)["sessions"]
+
+
+@register("persona_rejects", "H7/Q2", ["sessions", "persona_requests"], """
+SELECT * FROM persona_requests WHERE persona NOT IN (SELECT persona FROM sessions)
+""")
+def _persona_rejects(fx):
+    return _persona(fx)["rejects"]
+
+
+@register("archive_open", "H8/T16", ["messages", "archive_requests"], """
+SELECT m.id, m.user_id, m.message, m.role, m.timestamp,
+ CASE WHEN f.user_id IS NOT NULL AND NOT m.archive THEN true ELSE m.archive END AS archive,
+ CASE WHEN f.user_id IS NOT NULL AND NOT m.archive THEN coalesce(f.new_name, m.session) ELSE m.session END AS session
+FROM messages m LEFT JOIN (
+ SELECT user_id, arg_min(struct_pack(n := new_name), seq).n AS new_name FROM archive_requests GROUP BY user_id) f
+ON f.user_id = m.user_id
+""")
+def _archive_open(fx):
+    return C.archive_open(fx.messages, fx.archive_requests)
+
+
+@register("delete_open", "H9/T17", ["messages", "archive_requests"], """
+SELECT m.* FROM messages m
+WHERE m.archive OR m.user_id NOT IN (SELECT user_id FROM archive_requests)
+""")
+def _delete_open(fx):
+    return C.delete_open(fx.messages, fx.archive_requests)
+
+
+@register("delete_session_cascade", "H10", ["messages", "persona_requests"], """
+SELECT m.id, m.user_id, m.session FROM messages m
+WHERE NOT EXISTS (SELECT 1 FROM persona_requests d WHERE d.user_id = m.user_id AND d.session_name = m.session)
+""")
+def _delete_session_cascade(fx):
+    out = C.delete_session_cascade(fx.sessions, fx.messages, fx.summaries, fx.persona_requests)
+    return out["messages"].select("id", "user_id", "session")
+
+
+@register("delete_session_sessions", "H10", ["sessions", "persona_requests"], """
+SELECT s.* FROM sessions s
+WHERE NOT EXISTS (SELECT 1 FROM persona_requests d WHERE d.user_id = s.user_id AND d.session_name = s.session_name)
+""")
+def _delete_session_sessions(fx):
+    return C.delete_session_cascade(fx.sessions, fx.messages, fx.summaries, fx.persona_requests)["sessions"]
+
+
+@register("clear_history", "H11/T19", ["messages", "summaries", "erase_requests"], """
+SELECT 'messages' AS table_name, count(*) AS rows_left FROM messages WHERE user_id NOT IN (SELECT user_id FROM erase_requests)
+UNION ALL
+SELECT 'summaries', count(*) FROM summaries WHERE user_id NOT IN (SELECT user_id FROM erase_requests)
+""")
+def _clear_history(fx):
+    out = C.clear_history(fx.messages, fx.summaries, fx.erase_requests)
+    return (out["messages"].agg(F.count("*").alias("rows_left")).select(F.lit("messages").alias("table_name"), "rows_left")
+            .unionByName(out["summaries"].agg(F.count("*").alias("rows_left"))
+                         .select(F.lit("summaries").alias("table_name"), "rows_left")))
+
+
+@register("erase_users", "H12/T18", ["users", "messages", "summaries", "sessions", "settings_log", "journal_log",
+                                     "token_log", "subscription_log", "erase_requests"], """
+SELECT t AS "table", before AS rows_before, after AS rows_after, before - after AS removed FROM (
+ SELECT 'users' AS t, (SELECT count(*) FROM users) AS before, (SELECT count(*) FROM users WHERE id NOT IN (SELECT user_id FROM erase_requests)) AS after
+ UNION ALL SELECT 'conversations', (SELECT count(*) FROM messages), (SELECT count(*) FROM messages WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+ UNION ALL SELECT 'summaries', (SELECT count(*) FROM summaries), (SELECT count(*) FROM summaries WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+ UNION ALL SELECT 'sessions', (SELECT count(*) FROM sessions), (SELECT count(*) FROM sessions WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+ UNION ALL SELECT 'user_settings', (SELECT count(*) FROM st), (SELECT count(*) FROM st WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+ UNION ALL SELECT 'journals', (SELECT count(*) FROM jn), (SELECT count(*) FROM jn WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+ UNION ALL SELECT 'token_usage', (SELECT count(*) FROM tu), (SELECT count(*) FROM tu WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+ UNION ALL SELECT 'subscriptions', (SELECT count(*) FROM subscription_log), (SELECT count(*) FROM subscription_log WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+) x
+""", ctes="""
+st AS (SELECT DISTINCT user_id, setting_key FROM settings_log),
+jn AS (SELECT DISTINCT user_id, entry_date FROM journal_log),
+tu AS (SELECT DISTINCT user_id, strftime(ts, '%m%y') AS m FROM token_log)""")
+def _erase_users(fx):
+    tables = {
+        "users": fx.users, "conversations": fx.messages, "summaries": fx.summaries, "sessions": fx.sessions,
+        "user_settings": settings_merge(fx.settings_log), "journals": journal_merge(None, fx.journal_log),
+        "token_usage": token_ledger(fx.token_log),
+        "subscriptions": fx.subscription_log.withColumnRenamed("seq", "id"),
+    }
+    return C.erase_users(tables, fx.erase_requests)["report"]

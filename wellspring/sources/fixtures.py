@@ -87,7 +87,7 @@ SELECT conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS o
     # Persona changes, with unknown personas that must be rejected.
     "persona_requests": """
 SELECT conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS session_name,
- CASE conv_id % 4 WHEN 0 THEN 'DBT' WHEN 1 THEN 'InvalidType' WHEN 2 THEN 'Reflective' ELSE 'CBT' END AS persona
+ CASE conv_id % 8 WHEN 0 THEN 'DBT' WHEN 2 THEN 'InvalidType' WHEN 4 THEN 'Reflective' ELSE 'CBT' END AS persona
  FROM {conversations} WHERE turn = 0 AND conv_id % 2 = 0
 """,
     # Users to erase.
