@@ -194,6 +194,8 @@ def with_fixtures(names: list[str], body: str, ctes: str = "", recursive: bool =
     parts = [f"{n} AS ({fixture_sql_duckdb(n)})" for n in names]
     if ctes.strip():
         parts.append(ctes.strip())
+    if not parts:
+        return body.strip()
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(parts) + "\n" + body.strip()
 
