@@ -70,7 +70,7 @@ def truthy_or(x, default) -> Column:
 
 def last_item(arr) -> Column:
     """``a[-1]``."""
-    return F.element_at(_c(arr), -1)
+    return F.try_element_at(_c(arr), F.lit(-1))
 
 
 def all_but_last(arr) -> Column:

@@ -235,3 +235,12 @@ def reset_cleanup(state: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
                            .alias("reset_token_expires"))
     count = state.agg(F.count_if(expired).alias("affected"))
     return cleaned, count
+
+
+def lapsed_tokens(issues: DataFrame, redemptions: DataFrame, as_of: str) -> DataFrame:
+    """J6 (batch form): reset tokens that expired unused by ``as_of``: issues
+    with no successful redemption (anti join on the token) whose expiry is at
+    or before ``as_of``.  ``redemptions`` is :func:`reset_redeem` output."""
+    used = redemptions.filter("redeemed").select("token").distinct()
+    return (issues.join(used, "token", "left_anti")
+            .filter(F.col("expires") <= F.to_timestamp_ntz(F.lit(as_of))))

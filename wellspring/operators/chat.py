@@ -197,3 +197,8 @@ def current_flag_check(sessions: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("current").cast("int")).cast("bigint").alias("current_count"),
                  F.count("*").alias("session_count"))
             .filter(F.col("current_count") != 1))
+
+
+def dedup_messages(messages: DataFrame) -> DataFrame:
+    """J7 (batch form): one row per message id (re-delivered rows dropped)."""
+    return messages.dropDuplicates(["id"])

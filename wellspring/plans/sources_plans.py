@@ -1 +1,107 @@
-"""Registered queries."""
+"""Registered source/sink and small-function queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wellspring import schemas
+from wellspring.functions.text import capitalize, last_n, truthy_or
+from wellspring.operators import accounts as A
+from wellspring.operators.chat import chat_history, dedup_messages
+from wellspring.operators.journal import journal_merge
+from wellspring.plans.accounts_plans import ISSUES_SQL, _issues
+from wellspring.plans.journal_plans import JOURNALS_SQL
+from wellspring.plans.registry import register
+from wellspring.sources.requests import parse_chat_requests
+from wellspring.sources.sinks import json_rows
+from wellspring.sources.tables import conform
+
+LAPSE_AS_OF = "2024-01-31 00:00:00"
+
+
+@register("scan_users", "A1", ["users"], """
+SELECT id, username, email, CAST(NULL AS VARCHAR) AS password, CAST(NULL AS VARCHAR) AS email_token, verified,
+ CAST(NULL AS VARCHAR) AS reset_token, CAST(NULL AS TIMESTAMP) AS reset_token_expires, age, sex, occupation, bio FROM users
+""")
+def _scan_users(fx):
+    return conform(fx.users, schemas.USERS)
+
+
+@register("scan_conversations", "A1", ["messages"], """
+SELECT id, user_id, message, role, timestamp, archive, session FROM messages
+""")
+def _scan_conversations(fx):
+    return conform(fx.messages, schemas.CONVERSATIONS)
+
+
+@register("scan_journals", "A1", ["journal_log"], """
+SELECT CAST(NULL AS BIGINT) AS id, user_id, entry_date, entry, mood, created_at, updated_at FROM journals
+""", ctes=JOURNALS_SQL, dates=["entry_date"])
+def _scan_journals(fx):
+    return conform(journal_merge(None, fx.journal_log), schemas.JOURNALS)
+
+
+@register("history_json", "A6", ["sessions", "messages"], """
+SELECT user_id, to_json(struct_pack(session_name := session_name, type := type,
+  start_date := strftime(start_date, '%Y-%m-%dT%H:%M:%S'), last_message := strftime(last_message, '%Y-%m-%dT%H:%M:%S'),
+  message_count := message_count)) AS json
+FROM (SELECT s.user_id, s.session_name, s.persona AS type, s.start_date, MAX(c.timestamp) AS last_message, COUNT(c.id) AS message_count
+ FROM sessions s LEFT JOIN messages c ON s.user_id = c.user_id AND s.session_name = c.session
+ WHERE NOT s.current GROUP BY s.user_id, s.session_name, s.persona, s.start_date) h
+""")
+def _history_json(fx):
+    h = chat_history(fx.sessions, fx.messages)
+    return json_rows(h, ["session_name", "type", "start_date", "last_message", "message_count"], ["user_id"])
+
+
+@register("parse_chat_requests", "A7/I15", ["chat_bodies"], """
+SELECT request_id, user_id, body IS NOT NULL AS parsed,
+ coalesce(CAST(json_array_length(json_extract(body, '$.messages')) AS INTEGER), 0) AS n_messages,
+ json_extract_string(body, '$.session_name') AS session_name,
+ json_extract_string(body, '$.session_type') AS session_type,
+ CASE WHEN json_array_length(json_extract(body, '$.messages')) > 0 THEN
+  json_extract_string(body, '$.messages[' || CAST(json_array_length(json_extract(body, '$.messages')) - 1 AS VARCHAR) || '].content') END AS user_input
+FROM (SELECT request_id, user_id, CASE WHEN json_valid(body) THEN body END AS body FROM chat_bodies) b
+""")
+def _parse_chat_requests(fx):
+    p = parse_chat_requests(fx.chat_bodies)
+    return p.select("request_id", "user_id", "parsed", F.size("messages").alias("n_messages"),
+                    "session_name", "session_type", "user_input")
+
+
+@register("lapsed_tokens", "J6", ["reset_requests", "users", "reset_redemptions"], f"""
+SELECT i.* FROM issues i
+WHERE i.expires <= TIMESTAMP '{LAPSE_AS_OF}' AND i.token NOT IN (SELECT token FROM ok_tokens)
+""", ctes=ISSUES_SQL + """,
+known AS (SELECT r.seq, r.ts, r.token, i.user_id, i.expires FROM reset_redemptions r JOIN issues i ON i.token = r.token),
+cand AS (
+ SELECT k.seq, k.token,
+  (SELECT i.token FROM issues i WHERE i.user_id = k.user_id AND i.issued_at <= k.ts ORDER BY i.issued_at DESC, i.seq DESC LIMIT 1) = k.token
+  AND k.expires > k.ts AS cand
+ FROM known k),
+ok_tokens AS (SELECT DISTINCT token FROM cand WHERE cand)""", recursive=True)
+def _lapsed_tokens(fx):
+    issues = _issues(fx)
+    red = A.reset_redeem(issues, fx.reset_redemptions)
+    return A.lapsed_tokens(issues, red, LAPSE_AS_OF)
+
+
+@register("ingest_dedup", "J7", ["messages"], "SELECT * FROM messages")
+def _ingest_dedup(fx):
+    m = fx.messages
+    redelivered = m.filter(F.col("role") == "user")
+    return dedup_messages(m.unionByName(redelivered))
+
+
+@register("mood_labels", "I4/I13/I15", ["journal_log"], """
+SELECT user_id, entry_date, upper(mood[1]) || lower(mood[2:]) AS mood_label, upper(coalesce(mood, '')) AS mood_upper,
+ coalesce(nullif(entry, ''), '(no entry)') AS entry_or_default,
+ array_to_string((string_split(coalesce(entry, ''), chr(10)))[-2:], '|') AS last_lines
+FROM journals
+""", ctes=JOURNALS_SQL, dates=["entry_date"])
+def _mood_labels(fx):
+    j = journal_merge(None, fx.journal_log)
+    return j.select("user_id", "entry_date", capitalize("mood").alias("mood_label"),
+                    F.upper(F.coalesce("mood", F.lit(""))).alias("mood_upper"),
+                    truthy_or("entry", "(no entry)").alias("entry_or_default"),
+                    F.array_join(last_n(F.split(F.coalesce("entry", F.lit("")), "\n", -1), 2), "|").alias("last_lines"))
