@@ -1 +1,61 @@
-"""Registered queries."""
+"""Registered streaming queries: the live forms run with ``availableNow`` over
+the driver's parquet files and must equal the batch results, so they share
+the batch oracles (J1, J3, J5, J7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wellspring.plans import chat_plans  # noqa: F401  (ensures batch oracles are registered first)
+from wellspring.plans.limits_plans import MAX_REQ, WINDOW_MIN, fold_sql
+from wellspring.plans.registry import REGISTRY, register
+from wellspring.plans.safety_plans import CHAT_CRISIS, HOTLINE_EXPR, HOTLINES_SQL, PREFIX
+from wellspring.streaming import streams as S
+
+# Batch oracles reused verbatim (streaming must give the batch answer).
+_RATE_SQL = "SELECT seq, k AS ip, ok AS allowed, retry AS retry_after_s FROM r"
+_RATE_CTES = ("o AS (SELECT ip AS k, seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY ip ORDER BY ts, seq) AS n "
+              "FROM reset_requests)," + fold_sql("r", "o"))
+
+
+def _events(fx):
+    return S.file_stream(fx.spark, fx.tables.sf_dir, "events")
+
+
+@register("stream_rate_limit", "J1 live", ["reset_requests"], _RATE_SQL, ctes=_RATE_CTES, recursive=True)
+def _stream_rate_limit(fx):
+    requests = fx.view("reset_requests", events=_events(fx))
+    live = S.stream_rate_limit(requests, "ip", MAX_REQ, WINDOW_MIN)
+    return S.run_available_now(fx.spark, live).select("seq", "ip", "allowed", "retry_after_s")
+
+
+@register("stream_crisis_alerts", "J3 live", ["messages", "user_country"], rf"""
+SELECT m.id, m.user_id, 'hate' AS matched, {HOTLINE_EXPR} AS hotline, '{PREFIX}' || {HOTLINE_EXPR} AS response
+FROM messages m LEFT JOIN user_country c ON c.user_id = m.user_id
+WHERE m.role = 'user' AND contains(lower(m.message), 'hate')
+""", ctes=HOTLINES_SQL)
+def _stream_crisis_alerts(fx):
+    messages = fx.view("messages", events=_events(fx))
+    live = S.stream_crisis_alerts(messages, fx.user_country, CHAT_CRISIS)
+    return S.run_available_now(fx.spark, live.select("id", "user_id", "matched", "hotline", "response"))
+
+
+@register("stream_token_totals", "J5 live", ["token_log"], """
+SELECT user_id, strftime(ts, '%m%y') AS month_year, CAST(sum(total_tokens) AS BIGINT) AS tokens
+FROM token_log GROUP BY user_id, strftime(ts, '%m%y')
+""")
+def _stream_token_totals(fx):
+    orders = S.file_stream(fx.spark, fx.tables.sf_dir, "orders")
+    live = S.stream_token_totals(fx.view("token_log", orders=orders))
+    return S.run_available_now(fx.spark, live, mode="complete")
+
+
+@register("stream_dedup", "J7 live", ["messages"], "SELECT id, user_id, message, role, timestamp, archive, session FROM messages")
+def _stream_dedup(fx):
+    messages = fx.view("messages", events=_events(fx))
+    redelivered = messages.filter(F.col("role") == "user")
+    live = S.stream_dedup(messages.unionByName(redelivered))
+    return S.run_available_now(fx.spark, live)
+
+
+__all__ = ["REGISTRY"]

@@ -207,10 +207,11 @@ class Fixtures:
         self.spark = spark
         self.tables = DriverTables(spark, sf_dir)
 
-    def view(self, name: str) -> DataFrame:
+    def view(self, name: str, **overrides: DataFrame) -> DataFrame:
+        """The fixture view; ``overrides`` replace driver tables (e.g. a stream of ``events``)."""
         text = FIXTURES[name]
         needed = set(re.findall(r"\{(\w+)\}", text))
-        return self.spark.sql(text, **{t: self.tables.table(t) for t in needed})
+        return self.spark.sql(text, **{t: overrides[t] if t in overrides else self.tables.table(t) for t in needed})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in FIXTURES:
