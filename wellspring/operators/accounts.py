@@ -108,10 +108,9 @@ def signup_fanout(signups: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
                .when(bot, F.lit("bot"))
                .otherwise(F.lit("created")))
     outcomes = s.select("seq", "ts", "email_n", "plan", outcome.alias("outcome"))
-    # The id base is a one-row aggregate, attached by a broadcast equi-join on a constant key.
-    max_id = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base")).withColumn("_k", F.lit(1))
-    ok = (s.filter(outcome == "created").withColumn("_k", F.lit(1))
-          .join(F.broadcast(max_id), "_k", "inner").drop("_k"))
+    # The id base is a scalar subquery (one aggregate, evaluated once; no join).
+    base = users.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
+    ok = s.filter(outcome == "created").withColumn("_base", base)
     new_users = ok.select((F.col("_base") + F.col("seq")).alias("id"), "username", F.col("email_n").alias("email"),
                           F.col("email_token"), F.lit(False).alias("verified"), "ts")
     defaults = F.array(*[F.struct(F.lit(k).alias("setting_key"), F.lit(v).alias("setting_value"))

@@ -124,13 +124,16 @@ def erase_users(tables: dict[str, DataFrame], ids: DataFrame,
         alive = out["subscriptions"].select(F.col("id").alias("subscription_id"))
         out["payment_status"] = payment_status.join(alive, "subscription_id", "left_semi")
         tables = {**tables, "payment_status": payment_status}
+    # One-row counts per table and side, unioned and folded by table (no join).
     parts = []
     for name in tables:
-        before = tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.col("n").alias("rows_before"))
-        after = out[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.col("n").alias("rows_after"))
-        parts.append(before.join(after, "table"))
+        for side, df in (("rows_before", tables[name]), ("rows_after", out[name])):
+            parts.append(df.agg(F.count("*").alias("n")).select(
+                F.lit(name).alias("table"), F.when(F.lit(side == "rows_before"), F.col("n")).otherwise(0).alias("b"),
+                F.when(F.lit(side == "rows_after"), F.col("n")).otherwise(0).alias("a")))
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
-    out["report"] = report.withColumn("removed", F.col("rows_before") - F.col("rows_after"))
+    out["report"] = (report.groupBy("table").agg(F.sum("b").alias("rows_before"), F.sum("a").alias("rows_after"))
+                     .withColumn("removed", F.col("rows_before") - F.col("rows_after")))
     return out

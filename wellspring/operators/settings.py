@@ -125,10 +125,9 @@ def persona_list(session_types: DataFrame) -> DataFrame:
 def seed_personas(existing: DataFrame, seed: DataFrame) -> DataFrame:
     """A2: the seed rows only when ``existing`` is empty, else ``existing`` unchanged.
 
-    The emptiness test is a one-row flag joined to the seed (no count action).
+    The emptiness test is an EXISTS subquery (no count action, no join).
     """
-    flag = existing.select(F.lit(1).alias("_k")).limit(1)
-    seeded = (seed.withColumn("_k", F.lit(1)).join(F.broadcast(flag), "_k", "left_anti").drop("_k"))
+    seeded = seed.filter(~existing.exists())
     return existing.select(*seed.columns).unionByName(seeded)
 
 
