@@ -166,18 +166,26 @@ def journal_calendar(journals: DataFrame) -> DataFrame:
 def insights_report(tagged: DataFrame, keywords: list[str] = THEME_KEYWORDS,
                     k: int = REFLECTION_LAST_N) -> DataFrame:
     """K7: per (user, window) the ranked themes, the reflection text (or the
-    fixed no-entries text) and the mood-series size and mean.  One tagged scan
-    feeds three branches joined on (user_id, days)."""
-    keys = tagged.select("user_id", "days").distinct()
-    themes = (top_themes(theme_counts(tagged, keywords))
-              .groupBy("user_id", "days")
-              .agg(F.array_sort(F.collect_list(F.struct("rank", "theme"))).alias("t"))
-              .select("user_id", "days", F.array_join(F.transform("t", lambda x: x["theme"]), ", ").alias("themes")))
+    fixed no-entries text) and the mood-series size and mean.
+
+    Plan: one hash aggregate on (user_id, days) computes every keyword's entry
+    count (one conditional sum per keyword; the list is small and fixed) and
+    the mood statistics, with partial aggregation before the shuffle; the
+    reflection (top ``k`` per group) is the only other branch.
+    """
+    low = F.lower(F.coalesce(F.col("entry"), F.lit("")))
+    truthy_mood = F.col("mood").isNotNull() & (F.col("mood") != "")
+    aggs = [F.sum(F.contains(F.col("_low"), F.lit(kw)).cast("int")).alias(f"_k{i}") for i, kw in enumerate(keywords)]
+    aggs += [F.count_if(truthy_mood).alias("mood_points"),
+             F.round(F.avg(F.when(truthy_mood, mood_score("mood"))), 6).alias("mean_score")]
+    stats = tagged.withColumn("_low", low).groupBy("user_id", "days").agg(*aggs)
+    ranked = F.array_sort(F.filter(F.array(*[
+        F.struct((-F.col(f"_k{i}")).alias("neg"), F.lit(i).alias("pos"), F.lit(kw).alias("kw"))
+        for i, kw in enumerate(keywords)]), lambda x: x["neg"] < 0))
+    themes = F.array_join(F.transform(ranked, lambda x: capitalize(x["kw"])), ", ")
     refl = reflection_text(tagged, k).select("user_id", "days", "text")
-    moods = mood_trailing(tagged)
-    out = (keys.join(themes, ["user_id", "days"], "left")
-           .join(refl, ["user_id", "days"], "left")
-           .join(moods, ["user_id", "days"], "left"))
-    return out.select("user_id", "days", F.coalesce("themes", F.lit("")).alias("themes"),
+    out = stats.select("user_id", "days", themes.alias("themes"), "mood_points", "mean_score") \
+        .join(refl, ["user_id", "days"], "left")
+    return out.select("user_id", "days", "themes",
                       F.coalesce("text", F.lit(REFLECTION_EMPTY_TEXT)).alias("reflection"),
-                      F.coalesce("points", F.lit(0)).cast("bigint").alias("mood_points"), "mean_score")
+                      F.col("mood_points").cast("bigint").alias("mood_points"), "mean_score")

@@ -31,6 +31,7 @@ from wellspring.fixed_values import (CASUAL_PERSONA, CASUAL_SESSION, INTRO_AGE,
 from wellspring.functions.dates import month_key
 
 _ROW = ["request_id", "part", "pos", "role", "content"]
+_MSG_ARRAY = "array<struct<part:int,pos:bigint,role:string,content:string>>"
 
 
 def _fmt(template: str, **cols: Column) -> Column:
@@ -101,6 +102,12 @@ def summary_as_of(turns: DataFrame, summaries: DataFrame) -> DataFrame:
             .select("request_id", F.col("s.summary").alias("summary"), F.col("s.last_message_id").alias("checkpoint")))
 
 
+def _msg(part: int, pos: Column, role, content: Column) -> Column:
+    r = F.lit(role) if isinstance(role, str) else role
+    return F.struct(F.lit(part).alias("part"), pos.cast("bigint").alias("pos"), r.alias("role"),
+                    content.cast("string").alias("content"))
+
+
 def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, session_types: DataFrame,
                   users: DataFrame | None = None) -> DataFrame:
     """K3 (T4-T6): the message rows sent to the model for each chat turn.
@@ -112,24 +119,39 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
     [profile] + client history (empty for the web client, T6).  Then the new
     user message.  The persona prompt and profile are dropped on the summary
     path (T5).
+
+    Plan: each turn is enriched once (summary as-of, broadcast prompt, profile
+    intro) and all its fixed rows come out of one ``explode``; only the stored
+    history is a second branch (the range join on the session).
     """
     sm = summary_as_of(turns, summaries)
-    t = turns.join(sm, "request_id", "left")
-    with_sum = t.filter(F.col("summary").isNotNull())
-    no_sum = t.filter(F.col("summary").isNull()).drop("summary", "checkpoint")
-    head = with_sum.select("request_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("pos"),
-                           F.lit("system").alias("role"),
-                           _fmt(SUMMARY_SO_FAR_TEXT, summary=F.col("summary")).alias("content"))
+    t = prompt_join(turns.join(sm, "request_id", "left"), session_types)
+    if users is not None:
+        t = t.join(profile_intro(users), "user_id", "left")
+    else:
+        t = t.withColumn("intro", F.lit(None).cast("string"))
+    has = F.col("summary").isNotNull()
+    zero = F.lit(0)
+    fixed = F.array(
+        F.when(has, _msg(0, zero, "system", _fmt(SUMMARY_SO_FAR_TEXT, summary=F.col("summary")))),
+        F.when(~has, _msg(0, zero, "system", F.col("prompt"))),
+        F.when(~has & F.col("intro").isNotNull(), _msg(1, zero, "system", F.col("intro"))),
+        _msg(3, zero, "user", F.col("user_input")))
+    if "history" in turns.columns:
+        client = F.when(~has, F.transform(F.coalesce("history", F.array()), lambda x, i: _msg(2, i, x["role"],
+                                                                                             x["content"])))
+        items = F.concat(fixed, F.coalesce(client, F.array().cast(_MSG_ARRAY)))
+    else:
+        items = fixed
+    rows = (t.select("request_id", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("r"))
+            .select("request_id", "r.part", "r.pos", "r.role", "r.content"))
     m = messages.filter(F.col("role") != "system").select(
         "user_id", "session", F.col("id").alias("mid"), "role", F.col("message").alias("content"))
-    hist = (with_sum.select("request_id", "user_id", "session", "checkpoint")
-            .join(m, ["user_id", "session"], "inner")
-            .filter((F.col("mid") > F.col("checkpoint")) & (F.col("mid") < F.col("request_id")))
-            .select("request_id", F.lit(2).alias("part"), F.col("mid").alias("pos"), "role", "content"))
-    persona_rows = conv_history(no_sum, session_types, users)
-    last = turns.select("request_id", F.lit(3).alias("part"), F.lit(0).cast("bigint").alias("pos"),
-                        F.lit("user").alias("role"), F.col("user_input").alias("content"))
-    return head.unionByName(hist).unionByName(persona_rows).unionByName(last)
+    stored = (t.filter(has).select("request_id", "user_id", "session", "checkpoint")
+              .join(m, ["user_id", "session"], "inner")
+              .filter((F.col("mid") > F.col("checkpoint")) & (F.col("mid") < F.col("request_id")))
+              .select("request_id", F.lit(2).alias("part"), F.col("mid").alias("pos"), "role", "content"))
+    return rows.unionByName(stored)
 
 
 def _trigger_fold(threshold: int, mode: str):
