@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wellspring.fixed_values import NEW_USER_SETTINGS, PLANS, RESET_TOKEN_HOURS
 from wellspring.functions.text import is_valid_email, normalise_email
+from wellspring.functions.windows import chunked_next
 
 _PROFILE_COLS = ["username", "age", "sex", "occupation", "bio"]
 
@@ -47,11 +48,13 @@ def subscription_history(plan_log: DataFrame) -> DataFrame:
 
     Exactly one active row per user (the last in (ts, seq) order); a closed
     row's ``updated_at`` is the next row's start; ``end_date`` is never set,
-    as in the original.  One window per user.
+    as in the original.
     """
-    w = Window.partitionBy("user_id").orderBy("ts", "seq")
-    nxt = F.lead("ts").over(w)
-    return plan_log.select(
+    # lead(ts) per user in two levels (day chunks), so a hot user is not one task.
+    led = chunked_next(plan_log.select("seq", "user_id", "plan_type", "ts"), ["user_id"], "ts", "seq", "ts",
+                       unit="day", name="_next")
+    nxt = F.col("_next")
+    return led.select(
         "seq", "user_id", "plan_type", billing_cycle("plan_type").alias("billing_cycle"),
         F.col("ts").alias("start_date"), F.lit(None).cast("timestamp_ntz").alias("end_date"),
         nxt.isNull().alias("is_active"), F.col("ts").alias("created_at"),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.fixed_values import SESSION_NAME_PREFIX, SESSION_PAGE_SIZE
+from wellspring.functions.windows import chunked_row_number
 
 
 def _msg_order():
@@ -52,9 +53,11 @@ def chat_history(sessions: DataFrame, messages: DataFrame) -> DataFrame:
             .select("user_id", "session_name", F.col("persona").alias("type"), "start_date")
             .join(stats, ["user_id", "session_name"], "left")
             .withColumn("message_count", F.coalesce("message_count", F.lit(0)).cast("bigint")))
-    w = Window.partitionBy("user_id").orderBy(F.col("last_message").desc_nulls_last(),
-                                               F.col("session_name").asc())
-    return hist.withColumn("position", F.row_number().over(w))
+    # Rank per user in two levels (day chunks of last_message), so a user with
+    # a third of all sessions is not ordered by one task.
+    return chunked_row_number(hist, ["user_id"], [F.col("last_message").desc_nulls_last(),
+                                                  F.col("session_name").asc()],
+                              "last_message", unit="day", descending=True, nulls_last=True)
 
 
 def current_sessions(sessions: DataFrame) -> DataFrame:
@@ -74,9 +77,8 @@ def chat_threads(messages: DataFrame, keys: DataFrame | None = None) -> DataFram
     if keys is not None:
         m = m.join(keys.select("user_id", F.col("session_name").alias("session")),
                    ["user_id", "session"], "left_semi")
-    w = Window.partitionBy("user_id", "session").orderBy(*_msg_order())
-    return m.select("user_id", "session", "id", "role", F.col("message").alias("content"), "timestamp",
-                    F.row_number().over(w).alias("position"))
+    m = m.select("user_id", "session", "id", "role", F.col("message").alias("content"), "timestamp")
+    return chunked_row_number(m, ["user_id", "session"], _msg_order(), "timestamp", unit="hour")
 
 
 def first_messages(messages: DataFrame, n: int = SESSION_PAGE_SIZE) -> DataFrame:
@@ -167,10 +169,9 @@ def session_names(switch_log: DataFrame) -> DataFrame:
     """Default name ``session-N`` of each session creation, N counting the
     user's creations in (ts, seq) order from 1."""
     creates = switch_log.filter(F.col("action") == "create").select("seq", "user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy("ts", "seq")
-    n = F.row_number().over(w)
-    return creates.select("seq", "user_id", "ts", n.alias("counter"),
-                          F.concat(F.lit(SESSION_NAME_PREFIX), n.cast("string")).alias("default_name"))
+    n = chunked_row_number(creates, ["user_id"], [F.col("ts"), F.col("seq")], "ts", unit="day", name="counter")
+    return n.select("seq", "user_id", "ts", "counter",
+                    F.concat(F.lit(SESSION_NAME_PREFIX), F.col("counter").cast("string")).alias("default_name"))
 
 
 def global_stats(messages: DataFrame, users: DataFrame) -> DataFrame:
