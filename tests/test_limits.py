@@ -5,6 +5,7 @@ import random
 from collections import deque
 
 from conftest import ts
+from pyspark.sql import functions as F
 
 from wellspring.operators import limits as L
 
@@ -70,3 +71,20 @@ def test_funnel_order_bot_ip_email_pattern_user(spark):
     out = {r["seq"]: r["outcome"] for r in L.reset_funnel(reqs, users, 3, 15).collect()}
     assert out == {1: "bot", 2: "sent", 3: "sent", 4: "invalid_email", 5: "ip_limited",
                    6: "sent", 7: "unknown_user"}
+
+
+def test_segments_split_hot_key_at_idle_gaps(spark):
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    reqs, i = [], 0
+    for burst in range(12):                              # bursts separated by gaps longer than the window
+        start = t0 + dt.timedelta(hours=3 * burst)
+        for _ in range(25):
+            reqs.append((i, start + dt.timedelta(seconds=rnd.randint(0, 1200)), "hot"))
+            i += 1
+    df = spark.createDataFrame(reqs, REQ).withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    segs = L._with_segments(df, "ip", 60 * 60 * 1_000_000, None).select("_seg").distinct().count()
+    assert segs == 12
+    got = {r["seq"]: r["allowed"] for r in L.rate_limit(spark.createDataFrame(reqs, REQ), "ip", 3, 60).collect()}
+    want = _plain([(s, t.replace(tzinfo=dt.timezone.utc), k) for s, t, k in reqs], 3, 60 * 60 * 1_000_000)
+    assert got == want

@@ -5,10 +5,14 @@ the state of a key is the list of its last (at most ``max_requests``) allowed
 times.  The batch form hashes requests by key, sorts each partition by
 (key, ts, seq) and folds it with ``mapInPandas``: Arrow batches stream
 through, the state is carried across batch edges and reset on each key
-change, so memory is O(max_requests) whatever the key's size.  A hot key
-(one shared IP holding a third of all requests) cannot be split, because its
-result depends on every earlier request of that key; it costs one task time,
-not memory.
+change, so memory is O(max_requests) whatever the key's size.
+
+Hot keys (one shared IP holding a third of all requests): a key's decisions
+depend on its earlier allowed requests, but the state is provably empty after
+any gap longer than the window, so each key is cut at such gaps into
+independent segments that are folded in parallel (exact, see
+``_with_segments``).  Only a key with continuous traffic and no idle window
+stays one sequential segment; that costs one task time, never memory.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +38,8 @@ def _fold(key_col: str, max_requests: int, window_us: int, eligible_col: str | N
             if pdf.empty:
                 continue
             n = len(pdf)
-            keys = pdf[key_col].to_numpy()
+            # A new (key, segment) starts with empty state.
+            keys = list(zip(pdf[key_col].to_numpy(), pdf["_seg"].to_numpy()))
             ts = pdf["_t"].to_numpy(dtype=np.int64)
             elig = (pdf[eligible_col].fillna(False).to_numpy(dtype=bool) if eligible_col
                     else np.ones(n, dtype=bool))
@@ -55,7 +60,7 @@ def _fold(key_col: str, max_requests: int, window_us: int, eligible_col: str | N
                 else:
                     allowed[i] = True
                     times.append(t)
-            out = pdf.drop(columns=["_t"])
+            out = pdf.drop(columns=["_t", "_seg"])
             out["allowed"] = pd.array(allowed, dtype="boolean")
             out.loc[~elig, "allowed"] = pd.NA
             out["retry_after_s"] = pd.array(retry, dtype="Int64")
@@ -64,6 +69,28 @@ def _fold(key_col: str, max_requests: int, window_us: int, eligible_col: str | N
     return run
 
 
+def _with_segments(src: DataFrame, key: str, window_us: int, eligible: str | None) -> DataFrame:
+    """Split each key's requests into independent segments.
+
+    A key's state is empty after any gap longer than the window.  With time
+    cut into window-sized buckets, an empty bucket between two requests proves
+    such a gap, so a new segment starts at the first non-empty bucket after
+    it.  Segments come from the small per-(key, bucket) table (partial
+    aggregate, then a window over buckets), so a hot key with idle periods is
+    folded by many tasks instead of one, with identical results.
+    """
+    b = F.floor(F.col("_t") / F.lit(window_us)).cast("bigint")
+    active = src if eligible is None else src.filter(F.coalesce(F.col(eligible), F.lit(False)))
+    buckets = active.select(key, b.alias("_b")).distinct()
+    w = Window.partitionBy(key).orderBy("_b")
+    gap = (F.col("_b") - F.lag("_b").over(w)) >= 2
+    seg = buckets.withColumn("_seg", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    # Rows that skip the fold (not eligible) pass through in segment -1.
+    return (src.withColumn("_b", b).join(seg, [key, "_b"], "left")
+            .withColumn("_seg", F.coalesce("_seg", F.lit(-1)).cast("bigint")).drop("_b"))
+
+
 def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQUESTS,
                window_minutes: float = RESET_WINDOW_MINUTES, ts_col: str = "ts",
                seq_col: str = "seq", eligible: str | None = None,
@@ -79,11 +106,12 @@ def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQU
     """
     window_us = int(round(window_minutes * 60 * 1_000_000))
     src = requests.withColumn("_t", F.unix_micros(F.col(ts_col).cast("timestamp")))
-    ordered = (src.repartition(key)
-               .sortWithinPartitions(key, ts_col, seq_col))
+    src = _with_segments(src, key, window_us, eligible)
+    ordered = (src.repartition(key, "_seg")
+               .sortWithinPartitions(key, "_seg", ts_col, seq_col))
     fold = _fold(key, max_requests, window_us, eligible)
     out = ordered.mapInPandas(fold, T.StructType(
-        [f for f in src.schema.fields if f.name != "_t"]
+        [f for f in src.schema.fields if f.name not in ("_t", "_seg")]
         + [T.StructField("allowed", T.BooleanType()), T.StructField("retry_after_s", T.LongType())]))
     if (allowed_col, retry_col) != ("allowed", "retry_after_s"):
         out = out.withColumnRenamed("allowed", allowed_col).withColumnRenamed("retry_after_s", retry_col)
