@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wellspring.functions.windows import chunked_next, chunked_row_number
+from wellspring.functions.windows import chunked_last_value, chunked_next, chunked_row_number
 
 
 def _data(spark, with_nulls=False):
@@ -44,3 +44,12 @@ def test_chunked_next_equals_lead(spark):
     got = chunked_next(df, ["user_id"], "ts", "seq", "ts", unit="hour", name="c")
     bad = plain.join(got, ["seq"]).filter(~F.col("p").eqNullSafe(F.col("c")))
     assert bad.count() == 0 and got.count() == 800
+
+
+def test_chunked_last_value_equals_last_ignorenulls(spark):
+    df = _data(spark).withColumn("v", F.when(F.col("seq") % 7 == 0, F.col("seq").cast("string")))
+    w = Window.partitionBy("user_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.withColumn("p", F.last("v", ignorenulls=True).over(w))
+    got = chunked_last_value(df, ["user_id"], ["ts", "seq"], "ts", "v", unit="hour", name="c")
+    assert plain.join(got, ["seq"]).filter(~F.col("p").eqNullSafe(F.col("c"))).count() == 0
+    assert got.count() == 800

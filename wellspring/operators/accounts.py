@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wellspring.fixed_values import NEW_USER_SETTINGS, PLANS, RESET_TOKEN_HOURS
 from wellspring.functions.text import is_valid_email, normalise_email
-from wellspring.functions.windows import chunked_next
+from wellspring.functions.windows import chunked_last_value, chunked_next
 
 _PROFILE_COLS = ["username", "age", "sex", "occupation", "bio"]
 
@@ -217,8 +217,10 @@ def reset_redeem(issues: DataFrame, redemptions: DataFrame) -> DataFrame:
                             F.lit(None).cast("string").alias("token"), F.lit(None).cast("timestamp_ntz").alias("expires"))
               .unionByName(known.select("user_id", "ts", F.lit(1).alias("kind"), "seq",
                                         F.lit(None).cast("string").alias("issued_token"), "token", "expires")))
-    w = Window.partitionBy("user_id").orderBy("ts", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    cur = events.withColumn("current", F.last("issued_token", ignorenulls=True).over(w)).filter(F.col("kind") == 1)
+    # Current token = last issue up to the redemption, per user, in two levels
+    # (day chunks) so a user with a third of all events is not one task.
+    cur = chunked_last_value(events, ["user_id"], ["ts", "kind", "seq"], "ts", "issued_token",
+                             unit="day", name="current").filter(F.col("kind") == 1)
     cand = cur.withColumn("cand", (F.col("current") == F.col("token")) & (F.col("expires") > F.col("ts")))
     firsts = (cand.filter("cand").groupBy("token").agg(F.min("seq").alias("first_ok")))
     judged = cand.join(firsts, "token", "left").select(
