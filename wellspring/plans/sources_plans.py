@@ -8,9 +8,16 @@ from wellspring import schemas
 from wellspring.functions.text import capitalize, last_n, truthy_or
 from wellspring.operators import accounts as A
 from wellspring.operators.chat import chat_history, dedup_messages
-from wellspring.operators.journal import journal_merge
+from wellspring.operators.accounts import subscription_history
+from wellspring.operators.journal import insights_report, journal_merge, journals_by_days
+from wellspring.operators.settings import settings_merge
+from wellspring.operators.tokens import token_ledger
 from wellspring.plans.accounts_plans import ISSUES_SQL, _issues
-from wellspring.plans.journal_plans import JOURNALS_SQL
+from wellspring.plans.accounts_plans import SUBS_SQL
+from wellspring.plans.journal_plans import (JOURNALS_SQL, MOOD_SERIES_SQL, REFLECTION_SQL, TEST_THEMES,
+                                            THEME_COUNTS_SQL)
+from wellspring.plans.settings_plans import MERGED_SQL
+from wellspring.sources.fixtures import AS_OF
 from wellspring.plans.registry import register
 from wellspring.sources.requests import parse_chat_requests
 from wellspring.sources.sinks import json_rows
@@ -105,3 +112,54 @@ def _mood_labels(fx):
                     F.upper(F.coalesce("mood", F.lit(""))).alias("mood_upper"),
                     truthy_or("entry", "(no entry)").alias("entry_or_default"),
                     F.array_join(last_n(F.split(F.coalesce("entry", F.lit("")), "\n", -1), 2), "|").alias("last_lines"))
+
+
+@register("scan_sessions", "A1", ["sessions"], """
+SELECT CAST(NULL AS BIGINT) AS id, user_id, session_name, persona, start_date, current FROM sessions
+""")
+def _scan_sessions(fx):
+    return conform(fx.sessions, schemas.SESSIONS)
+
+
+@register("scan_summaries", "A1", ["summaries"], """
+SELECT CAST(NULL AS BIGINT) AS id, user_id, session, summary, last_message_id, CAST(NULL AS TIMESTAMP) AS created_at
+FROM summaries
+""")
+def _scan_summaries(fx):
+    return conform(fx.summaries, schemas.SUMMARIES)
+
+
+@register("scan_user_settings", "A1", ["settings_log"], "SELECT * FROM merged", ctes=MERGED_SQL)
+def _scan_user_settings(fx):
+    return conform(settings_merge(fx.settings_log), schemas.USER_SETTINGS)
+
+
+@register("scan_subscriptions", "A1", ["subscription_log"], """
+SELECT seq AS id, user_id, plan_type, billing_cycle, start_date, end_date, is_active, created_at, updated_at FROM subs
+""", ctes=SUBS_SQL)
+def _scan_subscriptions(fx):
+    return conform(subscription_history(fx.subscription_log).withColumnRenamed("seq", "id"), schemas.SUBSCRIPTIONS)
+
+
+@register("scan_token_usage", "A1/T1", ["token_log"], """
+SELECT CAST(NULL AS BIGINT) AS id, user_id, strftime(ts, '%m%y') AS month_year, CAST(sum(total_tokens) AS BIGINT) AS tokens,
+ min(ts) AS created_at, max(ts) AS updated_at FROM token_log GROUP BY user_id, strftime(ts, '%m%y')
+""")
+def _scan_token_usage(fx):
+    return conform(token_ledger(fx.token_log), schemas.TOKEN_USAGE)
+
+
+@register("insights_json", "A6/K7", ["journal_log"], """
+SELECT k.user_id, k.days, to_json(struct_pack(themes := coalesce(th.themes, ''),
+  reflection := coalesce(r.text, 'No journal entries found for this period.'),
+  mood_points := CAST(coalesce(m.points, 0) AS BIGINT), mean_score := m.mean_score)) AS json
+FROM (SELECT DISTINCT user_id, days FROM tagged) k
+LEFT JOIN (SELECT user_id, days, string_agg(theme, ', ' ORDER BY rank) AS themes FROM top_themes GROUP BY user_id, days) th
+ ON th.user_id = k.user_id AND th.days = k.days
+LEFT JOIN reflection r ON r.user_id = k.user_id AND r.days = k.days
+LEFT JOIN (SELECT user_id, days, count(*) AS points, round(avg(score), 6) AS mean_score FROM mood_series GROUP BY user_id, days) m
+ ON m.user_id = k.user_id AND m.days = k.days
+""", ctes=THEME_COUNTS_SQL + "," + REFLECTION_SQL + "," + MOOD_SERIES_SQL)
+def _insights_json(fx):
+    rep = insights_report(journals_by_days(journal_merge(None, fx.journal_log), AS_OF), TEST_THEMES)
+    return json_rows(rep, ["themes", "reflection", "mood_points", "mean_score"], ["user_id", "days"])

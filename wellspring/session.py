@@ -40,7 +40,6 @@ def get_spark(master: str | None = None, app_name: str = "wellspring",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
@@ -48,8 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder for lineage cuts.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset, as in local tests, a fresh scratch
-    folder is created and set.
+    folder there).  Only when it is unset *and* the master is local (tests) a
+    fresh scratch folder is created; on a cluster an unset setting is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -59,6 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        # A machine-local folder is not shared by executors and is lost with them.
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for checkpoints")
     local = tempfile.mkdtemp(prefix="wellspring-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
