@@ -82,17 +82,17 @@ SELECT event_id AS seq, user_id % 40 AS user_id, ts,
     "rename_requests": """
 SELECT conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS old_name,
  CASE WHEN conv_id % 11 = 0 THEN concat('session-', CAST(conv_id + 40 AS STRING)) ELSE concat('renamed-', CAST(conv_id AS STRING)) END AS new_name
- FROM {conversations} WHERE turn = 0 AND conv_id % 3 = 0
+ FROM {conversations} WHERE turn = 0
 """,
     # Persona changes, with unknown personas that must be rejected.
     "persona_requests": """
 SELECT conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS session_name,
  CASE conv_id % 8 WHEN 0 THEN 'DBT' WHEN 2 THEN 'InvalidType' WHEN 4 THEN 'Reflective' ELSE 'CBT' END AS persona
- FROM {conversations} WHERE turn = 0 AND conv_id % 2 = 0
+ FROM {conversations} WHERE turn = 0
 """,
     # Users to erase.
     "erase_requests": """
-SELECT c_custkey AS user_id FROM {customer} WHERE c_nationkey % 5 = 0
+SELECT c_custkey AS user_id FROM {customer} WHERE c_mktsegment = 'AUTOMOBILE'
 """,
     # Profile edits: every column is overwritten, nulls included; several edits per user.
     "profile_log": """
@@ -135,19 +135,19 @@ SELECT event_id AS seq, ts, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id %
     "reset_redemptions": """
 SELECT event_id * 2 AS seq, ts + (event_id % 100) * INTERVAL 1 MINUTE AS ts,
  CASE WHEN event_id % 10 = 0 THEN 'bogus' ELSE concat('rst', CAST(event_id AS STRING)) END AS token
- FROM {events} WHERE event_id % 3 = 0
+ FROM {events} WHERE event_type IN ('click', 'view', 'purchase')
 UNION ALL
 SELECT event_id * 2 + 1 AS seq, ts + (event_id % 100 + 5) * INTERVAL 1 MINUTE AS ts, concat('rst', CAST(event_id AS STRING)) AS token
- FROM {events} WHERE event_id % 9 = 0
+ FROM {events} WHERE event_type = 'click'
 """,
     # Journal delete requests.
     "journal_deletes": """
-SELECT event_id AS seq, user_id, CAST(ts AS DATE) AS entry_date, ts FROM {events} WHERE event_type = 'purchase' AND event_id % 4 = 0
+SELECT event_id AS seq, user_id, CAST(ts AS DATE) AS entry_date, ts FROM {events} WHERE event_type = 'purchase' AND value < 25
 """,
     # Archive requests (new-chat): a name re-labels every open message of the user.
     "archive_requests": """
 SELECT c_custkey AS seq, c_custkey % 40 AS user_id, CASE WHEN c_custkey % 2 = 0 THEN concat('archived-', CAST(c_custkey AS STRING)) END AS new_name
- FROM {customer} WHERE c_custkey % 3 = 0
+ FROM {customer} WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')
 """,
     # Request log for the access gate.
     "access_log": """
