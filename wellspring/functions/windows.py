@@ -67,14 +67,12 @@ def chunked_last_value(df: DataFrame, partition: list[str], order: list[str], ts
     ``ts``): the last non-null inside the row's chunk so far, else the last
     non-null of all earlier chunks (a window over the small chunk table)."""
     d = df.withColumn("_ck", _chunk_key(ts, unit, False, True))
-    per_chunk = (d.filter(F.col(value).isNotNull()).groupBy(*partition, "_ck")
-                 .agg(F.max_by(F.col(value), F.struct(*[F.col(c) for c in order])).alias("_v")))
+    # One aggregate per chunk: its last non-null value (null when it has none,
+    # so chunks without values still receive the carry from before them).
+    order_key = F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order]))
+    per_chunk = d.groupBy(*partition, "_ck").agg(F.max_by(F.col(value), order_key).alias("_v"))
     prev = Window.partitionBy(*partition).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    # Chunks without any non-null value still need the carry from before them.
-    chunks = d.select(*partition, "_ck").distinct()
-    all_chunks = (chunks.join(per_chunk, [*partition, "_ck"], "left")
-                  .select(*partition, "_ck", "_v"))
-    carry = all_chunks.select(*partition, "_ck", F.last("_v", ignorenulls=True).over(prev).alias("_carry"))
+    carry = per_chunk.select(*partition, "_ck", F.last("_v", ignorenulls=True).over(prev).alias("_carry"))
     inner = Window.partitionBy(*partition, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = d.withColumn("_in", F.last(F.col(value), ignorenulls=True).over(inner))
     return (within.join(carry, [*partition, "_ck"], "inner")

@@ -69,7 +69,8 @@ def _fold(key_col: str, max_requests: int, window_us: int, eligible_col: str | N
     return run
 
 
-def _with_segments(src: DataFrame, key: str, window_us: int, eligible: str | None) -> DataFrame:
+def _with_segments(src: DataFrame, key: str, window_us: int, eligible: str | None,
+                   out_col: str = "_seg") -> DataFrame:
     """Split each key's requests into independent segments.
 
     A key's state is empty after any gap longer than the window.  With time
@@ -77,7 +78,10 @@ def _with_segments(src: DataFrame, key: str, window_us: int, eligible: str | Non
     such a gap, so a new segment starts at the first non-empty bucket after
     it.  Segments come from the small per-(key, bucket) table (partial
     aggregate, then a window over buckets), so a hot key with idle periods is
-    folded by many tasks instead of one, with identical results.
+    folded by many tasks instead of one, with identical results.  Buckets may
+    be computed over a superset of the rows that are later folded (an empty
+    bucket of the superset is empty for the subset too), which lets a chained
+    limit take its segments from the first limit's input.
     """
     b = F.floor(F.col("_t") / F.lit(window_us)).cast("bigint")
     active = src if eligible is None else src.filter(F.coalesce(F.col(eligible), F.lit(False)))
@@ -87,14 +91,15 @@ def _with_segments(src: DataFrame, key: str, window_us: int, eligible: str | Non
     seg = buckets.withColumn("_seg", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(
         w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
     # Rows that skip the fold (not eligible) pass through in segment -1.
-    return (src.withColumn("_b", b).join(seg, [key, "_b"], "left")
-            .withColumn("_seg", F.coalesce("_seg", F.lit(-1)).cast("bigint")).drop("_b"))
+    return (src.withColumn("_b", b).join(seg.withColumnRenamed("_seg", out_col), [key, "_b"], "left")
+            .withColumn(out_col, F.coalesce(out_col, F.lit(-1)).cast("bigint")).drop("_b"))
 
 
 def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQUESTS,
                window_minutes: float = RESET_WINDOW_MINUTES, ts_col: str = "ts",
                seq_col: str = "seq", eligible: str | None = None,
-               allowed_col: str = "allowed", retry_col: str = "retry_after_s") -> DataFrame:
+               allowed_col: str = "allowed", retry_col: str = "retry_after_s",
+               segment_col: str | None = None) -> DataFrame:
     """Allow a request if fewer than ``max_requests`` *allowed* requests of the
     same key lie within ``window_minutes`` before it (eviction is strict, T22).
 
@@ -103,10 +108,15 @@ def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQU
     is (ts, seq).  With ``eligible`` (a boolean column), other rows pass
     through untouched with nulls and do not use quota, so chained limits run
     as one pass each without splitting and re-unioning the input.
+    ``segment_col`` names precomputed idle-gap segments (see
+    :func:`_with_segments`); otherwise they are computed here.
     """
     window_us = int(round(window_minutes * 60 * 1_000_000))
     src = requests.withColumn("_t", F.unix_micros(F.col(ts_col).cast("timestamp")))
-    src = _with_segments(src, key, window_us, eligible)
+    if segment_col is None:
+        src = _with_segments(src, key, window_us, eligible)
+    else:
+        src = src.withColumnRenamed(segment_col, "_seg")
     ordered = (src.repartition(key, "_seg")
                .sortWithinPartitions(key, "_seg", ts_col, seq_col))
     fold = _fold(key, max_requests, window_us, eligible)
@@ -132,10 +142,16 @@ def reset_funnel(requests: DataFrame, users: DataFrame, max_requests: int = RESE
     r = requests.select("seq", "ts", "ip", normalise_email("email_raw").alias("email"),
                         (F.col("nickname").isNotNull() & (F.col("nickname") != "")).alias("bot"))
     r = r.withColumn("_human", ~F.col("bot"))
+    # Both limits' segments come from the input (human rows), so the IP fold
+    # runs once: the email fold's candidates are a subset of them.
+    window_us = int(round(window_minutes * 60 * 1_000_000))
+    r = r.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    r = _with_segments(r, "ip", window_us, "_human", "_seg_ip")
+    r = _with_segments(r, "email", window_us, "_human", "_seg_email").drop("_t")
     by_ip = rate_limit(r, "ip", max_requests, window_minutes, eligible="_human",
-                       allowed_col="ip_ok", retry_col="ip_retry")
+                       allowed_col="ip_ok", retry_col="ip_retry", segment_col="_seg_ip")
     by_email = rate_limit(by_ip, "email", max_requests, window_minutes, eligible="ip_ok",
-                          allowed_col="email_ok", retry_col="email_retry")
+                          allowed_col="email_ok", retry_col="email_retry", segment_col="_seg_email")
     known = users.select("email", F.lit(True).alias("_known"))
     j = by_email.join(known, "email", "left")
     outcome = (F.when(F.col("bot"), F.lit("bot"))

@@ -255,19 +255,20 @@ def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFr
         t = t.withColumn("stored", F.lit(None).cast("string"))
     prev = F.when(F.col("prev_turn").isNotNull(), F.concat(F.lit("@summary:"), F.col("prev_turn").cast("string"))) \
         .otherwise(F.col("stored"))
-    head = t.select(F.col("turn_id").alias("request_id"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("pos"),
-                    F.lit("system").alias("role"),
-                    F.when(prev.isNull() | (prev == ""), F.lit(SUMMARY_FIRST_TEXT))
-                    .otherwise(_fmt(SUMMARY_UPDATE_TEXT, previous=prev)).alias("content"))
+    head = F.when(prev.isNull() | (prev == ""), F.lit(SUMMARY_FIRST_TEXT)).otherwise(
+        _fmt(SUMMARY_UPDATE_TEXT, previous=prev))
+    # Header and closing rows of each trigger come from one explode.
+    fixed = (t.select(F.col("turn_id").alias("request_id"),
+                      F.explode(F.array(_msg(0, F.lit(0), "system", head),
+                                        _msg(3, F.lit(0), "system", F.lit(SUMMARY_CLOSE_TEXT)))).alias("r"))
+             .select("request_id", "r.part", "r.pos", "r.role", "r.content"))
     m = messages.filter(F.col("role") != "system").select(
         "user_id", "session", F.col("id").alias("mid"), "role", F.col("message").alias("content"))
     body = (t.select("user_id", "session", "turn_id", "checkpoint_before").join(m, ["user_id", "session"], "inner")
             .filter((F.col("mid") > F.col("checkpoint_before")) & (F.col("mid") < F.col("turn_id")))
             .select(F.col("turn_id").alias("request_id"), F.lit(2).alias("part"), F.col("mid").alias("pos"),
                     "role", "content"))
-    close = t.select(F.col("turn_id").alias("request_id"), F.lit(3).alias("part"), F.lit(0).cast("bigint").alias("pos"),
-                     F.lit("system").alias("role"), F.lit(SUMMARY_CLOSE_TEXT).alias("content"))
-    return head.unionByName(body).unionByName(close)
+    return fixed.unionByName(body)
 
 
 def reflection_requests(reflections: DataFrame, keys: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.operators import accounts as A
 from wellspring.plans.limits_plans import FUNNEL_CTES, funnel
 from wellspring.plans.registry import register
+from wellspring.session import materialize
 
 CLEANUP_AS_OF = "2024-01-15 00:00:00"
 
@@ -49,6 +50,12 @@ def _issues(fx):
     return A.reset_issue(sent, fx.users)
 
 
+def _issues_table(fx):
+    # The issue log is the output of two folds and is read by several branches
+    # (token lookup, interleaving, anti join): written once to the checkpoint folder.
+    return materialize(_issues(fx))
+
+
 @register("users_by_id", "B1", ["users", "token_log"], """
 SELECT k.user_id, u.username, u.email FROM (SELECT DISTINCT user_id FROM token_log) k LEFT JOIN users u ON u.id = k.user_id
 """)
@@ -183,7 +190,7 @@ cand AS (
   AND k.expires > k.ts AS cand
  FROM known k)""", recursive=True)
 def _reset_redeem(fx):
-    return A.reset_redeem(_issues(fx), fx.reset_redemptions)
+    return A.reset_redeem(_issues_table(fx), fx.reset_redemptions)
 
 
 @register("reset_cleanup", "H18", ["reset_requests", "users"], f"""

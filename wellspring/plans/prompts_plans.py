@@ -15,6 +15,7 @@ from wellspring.operators.tokens import token_ledger
 from wellspring.plans.journal_plans import REFLECTION_SQL, TAGGED_SQL
 from wellspring.plans.registry import register
 from wellspring.plans.settings_plans import DEFAULTS_SQL, MERGED_SQL
+from wellspring.session import materialize
 from wellspring.sources.fixtures import AS_OF
 from wellspring.sources.requests import parse_chat_requests
 
@@ -137,7 +138,8 @@ tp AS (SELECT t.*, CASE WHEN lag(t.turn_id) OVER (PARTITION BY t.user_id, t.sess
   ELSE (SELECT arg_max(s.summary, s.last_message_id) FROM summaries s WHERE s.user_id = t.user_id AND s.session = t.session) END AS prev
  FROM triggers t WHERE t.triggered)""", recursive=True)
 def _summary_requests(fx):
-    return P.summary_requests(_triggers(fx), fx.messages, fx.summaries)
+    # The trigger table is a fold's output read by two branches: written once.
+    return P.summary_requests(materialize(_triggers(fx)), fx.messages, fx.summaries)
 
 
 @register("reflection_requests", "K5", ["journal_log"], f"""

@@ -12,7 +12,7 @@ from wellspring.operators.accounts import subscription_history
 from wellspring.operators.journal import insights_report, journal_merge, journals_by_days
 from wellspring.operators.settings import settings_merge
 from wellspring.operators.tokens import token_ledger
-from wellspring.plans.accounts_plans import ISSUES_SQL, _issues
+from wellspring.plans.accounts_plans import ISSUES_SQL, _issues_table
 from wellspring.plans.accounts_plans import SUBS_SQL
 from wellspring.plans.journal_plans import (JOURNALS_SQL, MOOD_SERIES_SQL, REFLECTION_SQL, TEST_THEMES,
                                             THEME_COUNTS_SQL)
@@ -88,7 +88,7 @@ cand AS (
  FROM known k),
 ok_tokens AS (SELECT DISTINCT token FROM cand WHERE cand)""", recursive=True)
 def _lapsed_tokens(fx):
-    issues = _issues(fx)
+    issues = _issues_table(fx)
     red = A.reset_redeem(issues, fx.reset_redemptions)
     return A.lapsed_tokens(issues, red, LAPSE_AS_OF)
 

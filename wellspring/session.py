@@ -64,3 +64,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="wellspring-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Cut lineage of an expensive intermediate that several branches reuse:
+    ``checkpoint()`` writes it once to the shared checkpoint folder (never
+    ``localCheckpoint``, whose blocks die with their executor)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
