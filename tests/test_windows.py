@@ -53,3 +53,32 @@ def test_chunked_last_value_equals_last_ignorenulls(spark):
     got = chunked_last_value(df, ["user_id"], ["ts", "seq"], "ts", "v", unit="hour", name="c")
     assert plain.join(got, ["seq"]).filter(~F.col("p").eqNullSafe(F.col("c"))).count() == 0
     assert got.count() == 800
+
+
+def test_asof_mark_equals_brute_force(spark):
+    from wellspring.functions.windows import asof_mark
+    rnd = random.Random(5)
+    rows = [(u, i) for i in range(1, 1500) for u in ([0] if i % 3 else [rnd.randint(1, 5)])]
+    marks = [(u, rnd.randint(1, 1500)) for u in range(6) for _ in range(25)]
+    r = spark.createDataFrame(rows, "user_id bigint, id bigint")
+    m = spark.createDataFrame(marks, "user_id bigint, mark bigint")
+    got = {(x["user_id"], x["id"]): x["last"] for x in
+           asof_mark(r, m, ["user_id"], "id", "mark", name="last", width=100).collect()}
+    want = {}
+    for u, i in rows:
+        cands = [v for uu, v in marks if uu == u and v <= i]
+        want[(u, i)] = max(cands) if cands else None
+    assert got == want
+
+
+def test_summary_requests_segments_equal_range_join(spark):
+    from wellspring.operators import prompts as P
+    msgs = spark.createDataFrame(
+        [(k, 1, "s", "user" if k % 2 else "assistant", f"m{k}") for k in range(1, 41)],
+        "id bigint, user_id bigint, session string, role string, message string")
+    trig = P.summary_triggers(msgs, threshold=4)
+    got = sorted(tuple(r) for r in P.summary_requests(trig, msgs).filter("part = 2")
+                 .select("request_id", "pos").collect())
+    t = [r for r in trig.collect() if r["triggered"]]
+    want = sorted((r["turn_id"], k) for r in t for k in range(1, 41) if r["checkpoint_before"] < k < r["turn_id"])
+    assert len(t) > 3 and got == want

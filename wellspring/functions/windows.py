@@ -17,9 +17,15 @@ from pyspark.sql import functions as F
 _LOW, _HIGH = -(2 ** 62), 2 ** 62
 
 
-def _chunk_key(ts: str, unit: str, descending: bool, nulls_last: bool) -> Column:
-    """Numeric chunk key that sorts (ascending) in the same order as ``ts``."""
-    k = F.unix_seconds(F.date_trunc(unit, F.col(ts).cast("timestamp")))
+def _chunk_key(ts: str, unit, descending: bool, nulls_last: bool) -> Column:
+    """Numeric chunk key that sorts (ascending) in the same order as ``ts``.
+
+    ``unit`` is a ``date_trunc`` unit for timestamps, or an integer width for
+    numeric order keys (ids)."""
+    if isinstance(unit, int):
+        k = F.floor(F.col(ts) / F.lit(unit)).cast("bigint")
+    else:
+        k = F.unix_seconds(F.date_trunc(unit, F.col(ts).cast("timestamp")))
     if descending:
         k = -k
     return F.coalesce(k, F.lit(_HIGH if nulls_last else _LOW))
@@ -77,3 +83,25 @@ def chunked_last_value(df: DataFrame, partition: list[str], order: list[str], ts
     within = d.withColumn("_in", F.last(F.col(value), ignorenulls=True).over(inner))
     return (within.join(carry, [*partition, "_ck"], "inner")
             .withColumn(name, F.coalesce("_in", "_carry")).drop("_ck", "_in", "_carry"))
+
+
+def asof_mark(rows: DataFrame, marks: DataFrame, partition: list[str], key: str, mark: str,
+              name: str = "mark", width: int = 10_000) -> DataFrame:
+    """For each row, the largest ``mark`` value <= the row's ``key`` within its
+    partition (null when none): an as-of lookup without pairing rows and marks.
+
+    Rows and marks are interleaved in one ordered stream (marks first on ties)
+    and the last mark seen is carried with :func:`chunked_last_value`, so the
+    work is linear and a hot partition is split into id-range chunks.
+    """
+    r = rows.withColumn("_k", F.col(key)).withColumn("_is_mark", F.lit(0)).withColumn("_m", F.lit(None).cast("bigint"))
+    m = (marks.select(*partition, F.col(mark).alias("_k")).distinct()
+         .withColumn("_is_mark", F.lit(1)).withColumn("_m", F.col("_k")))
+    for c in rows.columns:
+        if c not in partition:
+            m = m.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+    both = r.unionByName(m.select(*r.columns))
+    # Order: key ascending, marks before rows at the same key (so "<=" holds).
+    both = both.withColumn("_o", F.lit(1) - F.col("_is_mark"))
+    got = chunked_last_value(both, partition, ["_k", "_o"], "_k", "_m", unit=width, name=name)
+    return got.filter(F.col("_is_mark") == 0).drop("_k", "_is_mark", "_m", "_o")

@@ -29,6 +29,7 @@ from wellspring.fixed_values import (CASUAL_PERSONA, CASUAL_SESSION, INTRO_AGE,
                                      SUMMARY_CLOSE_TEXT, SUMMARY_FIRST_TEXT, SUMMARY_SO_FAR_TEXT,
                                      SUMMARY_TRIGGER_DEFAULT, SUMMARY_UPDATE_TEXT)
 from wellspring.functions.dates import month_key
+from wellspring.functions.windows import asof_mark
 
 _ROW = ["request_id", "part", "pos", "role", "content"]
 _MSG_ARRAY = "array<struct<part:int,pos:bigint,role:string,content:string>>"
@@ -145,11 +146,17 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
         items = fixed
     rows = (t.select("request_id", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("r"))
             .select("request_id", "r.part", "r.pos", "r.role", "r.content"))
+    # Stored history: each message is tagged with its checkpoint segment (the
+    # latest summary checkpoint below its id, an as-of lookup), and joined to
+    # the turns of that segment only, so a long session never pairs every
+    # turn with every message.
     m = messages.filter(F.col("role") != "system").select(
-        "user_id", "session", F.col("id").alias("mid"), "role", F.col("message").alias("content"))
+        "user_id", "session", F.col("id").alias("mid"), "role", F.col("message").alias("content"),
+        (F.col("id") - 1).alias("_below"))
+    m = asof_mark(m, summaries, ["user_id", "session"], "_below", "last_message_id", name="checkpoint")
     stored = (t.filter(has).select("request_id", "user_id", "session", "checkpoint")
-              .join(m, ["user_id", "session"], "inner")
-              .filter((F.col("mid") > F.col("checkpoint")) & (F.col("mid") < F.col("request_id")))
+              .join(m.drop("_below"), ["user_id", "session", "checkpoint"], "inner")
+              .filter(F.col("mid") < F.col("request_id"))
               .select("request_id", F.lit(2).alias("part"), F.col("mid").alias("pos"), "role", "content"))
     return rows.unionByName(stored)
 
@@ -237,7 +244,8 @@ def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
     return ordered.mapInPandas(_trigger_fold(threshold, mode), TRIGGER_SCHEMA)
 
 
-def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFrame | None = None,
+                     mode: str = "max_id") -> DataFrame:
     """K4: the summary request of each trigger: first or update wording, the
     summarised messages, the closing instruction.
 
@@ -264,8 +272,18 @@ def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFr
              .select("request_id", "r.part", "r.pos", "r.role", "r.content"))
     m = messages.filter(F.col("role") != "system").select(
         "user_id", "session", F.col("id").alias("mid"), "role", F.col("message").alias("content"))
-    body = (t.select("user_id", "session", "turn_id", "checkpoint_before").join(m, ["user_id", "session"], "inner")
-            .filter((F.col("mid") > F.col("checkpoint_before")) & (F.col("mid") < F.col("turn_id")))
+    tw = t.select("user_id", "session", "turn_id", "checkpoint_before", "prev_turn")
+    if mode == "max_id":
+        # Trigger windows are disjoint: a message belongs to the first trigger
+        # after the latest trigger at or below its id (as-of lookup), so each
+        # message meets exactly one trigger instead of all of its session's.
+        m = asof_mark(m, triggers.filter("triggered"), ["user_id", "session"], "mid", "turn_id", name="_pt")
+        j = (tw.withColumn("_pt", F.coalesce("prev_turn", F.lit(-1)))
+             .join(m.withColumn("_pt", F.coalesce("_pt", F.lit(-1))), ["user_id", "session", "_pt"], "inner"))
+    else:
+        # Count-mode checkpoints lag, so windows overlap: a range join per session.
+        j = tw.join(m, ["user_id", "session"], "inner")
+    body = (j.filter((F.col("mid") > F.col("checkpoint_before")) & (F.col("mid") < F.col("turn_id")))
             .select(F.col("turn_id").alias("request_id"), F.lit(2).alias("part"), F.col("mid").alias("pos"),
                     "role", "content"))
     return fixed.unionByName(body)
