@@ -8,7 +8,7 @@ from wellspring.operators import chat
 from wellspring.plans.registry import register
 
 
-@register("chat_history", "D1", ["sessions", "messages"], """
+@register("chat_history", "D1/F1", ["sessions", "messages"], """
 SELECT s.user_id, s.session_name, s.persona AS type, s.start_date, MAX(c.timestamp) AS last_message,
  COUNT(c.id) AS message_count,
  CAST(row_number() OVER (PARTITION BY s.user_id ORDER BY MAX(c.timestamp) DESC NULLS LAST, s.session_name) AS INTEGER) AS position
@@ -45,7 +45,7 @@ def _session_detail(fx):
     return chat.session_detail(fx.sessions, keys)
 
 
-@register("chat_threads", "B6", ["messages"], """
+@register("chat_threads", "B6/F2", ["messages"], """
 SELECT user_id, session, id, role, message AS content, timestamp,
  CAST(row_number() OVER (PARTITION BY user_id, session ORDER BY timestamp, id) AS INTEGER) AS position
 FROM messages
@@ -54,7 +54,7 @@ def _chat_threads(fx):
     return chat.chat_threads(fx.messages)
 
 
-@register("first_messages", "E1", ["messages"], """
+@register("first_messages", "E1/F2/F3", ["messages"], """
 SELECT * FROM (
  SELECT user_id, session, id, role, message, timestamp,
   CAST(row_number() OVER (PARTITION BY user_id, session ORDER BY timestamp, id) AS INTEGER) AS position
@@ -65,7 +65,7 @@ def _first_messages(fx):
     return chat.first_messages(fx.messages, n=4)
 
 
-@register("latest_summary", "D5", ["sessions", "summaries"], """
+@register("latest_summary", "D5/F3", ["sessions", "summaries"], """
 SELECT s.user_id, s.session_name AS session, l.summary, CAST(coalesce(l.last_message_id, 0) AS BIGINT) AS last_message_id
 FROM sessions s LEFT JOIN (
  SELECT user_id, session, arg_max(summary, last_message_id) AS summary, max(last_message_id) AS last_message_id

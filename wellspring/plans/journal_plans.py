@@ -130,7 +130,7 @@ def _top_themes(fx):
     return J.top_themes(J.theme_counts(_tagged(fx), TEST_THEMES))
 
 
-@register("reflection_text", "D6", ["journal_log"], "SELECT * FROM reflection", ctes=TAGGED_SQL + "," + REFLECTION_SQL)
+@register("reflection_text", "D6/E3", ["journal_log"], "SELECT * FROM reflection", ctes=TAGGED_SQL + "," + REFLECTION_SQL)
 def _reflection_text(fx):
     return J.reflection_text(_tagged(fx))
 

@@ -55,7 +55,7 @@ def _rate_limit(fx):
     return L.rate_limit(fx.reset_requests, "ip", MAX_REQ, WINDOW_MIN).select("seq", "ip", "allowed", "retry_after_s")
 
 
-@register("reset_funnel", "J2", ["reset_requests", "users"], "SELECT * FROM funnel", ctes=FUNNEL_CTES, recursive=True)
+@register("reset_funnel", "J2/I14", ["reset_requests", "users"], "SELECT * FROM funnel", ctes=FUNNEL_CTES, recursive=True)
 def _reset_funnel(fx):
     return funnel(fx)
 

@@ -67,7 +67,7 @@ def _prompt_join(fx):
     return P.prompt_join(fx.sessions.select("user_id", "session_name", "persona"), persona_table(fx.spark))
 
 
-@register("chat_requests", "K2/K3/T4-T6", ["chat_bodies", "summaries", "messages", "users"], f"""
+@register("chat_requests", "K2/K3/F5/T4-T6", ["chat_bodies", "summaries", "messages", "users"], f"""
 SELECT t.request_id, CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS pos, 'system' AS role,
  'Summary so far: ' || sm.summary AS content
 FROM turns t JOIN sm ON sm.request_id = t.request_id
