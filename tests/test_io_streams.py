@@ -76,3 +76,16 @@ def test_stream_token_totals_complete_mode(spark):
     live = S.stream_token_totals(spark.readStream.schema(log.schema).parquet(f"{base}/log"))
     out = S.run_available_now(spark, live, mode="complete")
     assert rows(out, "user_id", "month_year", "tokens") == [(7, "0524", 15), (8, "0624", 1)]
+
+
+def test_stream_token_totals_update_mode_snapshots_over_several_batches(spark):
+    base = tempfile.mkdtemp(prefix="ws-j5u-", dir="/tmp")
+    schema = "request_id bigint, user_id bigint, ts timestamp_ntz, total_tokens bigint"
+    for k, rows_ in enumerate([[(1, 7, ts("2024-05-01 00:00:00"), 10)],
+                               [(2, 7, ts("2024-05-02 00:00:00"), 5), (3, 8, ts("2024-06-01 00:00:00"), 1)],
+                               [(4, 8, ts("2024-06-03 00:00:00"), 2)]]):
+        spark.createDataFrame(rows_, schema).write.parquet(f"{base}/log/part{k}")
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(f"{base}/log"))
+    out = S.run_available_now(spark, S.stream_token_totals(src), mode="update", keys=["user_id", "month_year"])
+    assert rows(out, "user_id", "month_year", "tokens") == [(7, "0524", 15), (8, "0624", 3)]

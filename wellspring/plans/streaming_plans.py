@@ -47,7 +47,7 @@ FROM token_log GROUP BY user_id, strftime(ts, '%m%y')
 def _stream_token_totals(fx):
     orders = S.file_stream(fx.spark, fx.tables.sf_dir, "orders")
     live = S.stream_token_totals(fx.view("token_log", orders=orders))
-    return S.run_available_now(fx.spark, live, mode="complete")
+    return S.run_available_now(fx.spark, live, mode="update", keys=["user_id", "month_year"])
 
 
 @register("stream_dedup", "J7 live", ["messages"], "SELECT id, user_id, message, role, timestamp, archive, session FROM messages")

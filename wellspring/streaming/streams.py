@@ -102,7 +102,7 @@ def stream_crisis_alerts(messages: DataFrame, user_country: DataFrame,
 
 def stream_token_totals(log: DataFrame) -> DataFrame:
     """J5 live: running (user, MMyy) token totals; run in update mode and
-    snapshot with ``foreachBatch``, or complete mode for a small sink."""
+    merge each micro-batch into versioned snapshots (:func:`snapshot_merge`)."""
     return (token_increments(log).groupBy("user_id", "month_year")
             .agg(F.sum("tokens").cast("bigint").alias("tokens")))
 
@@ -133,7 +133,39 @@ def late_rows(batch: DataFrame, emitted: DataFrame, keys: list[str]) -> DataFram
     return batch.join(emitted.select(*keys), keys, "left_anti")
 
 
-def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
+def snapshot_merge(path: str, keys: list[str]):
+    """``foreachBatch`` writer for update-mode aggregates: keeps a keyed table
+    as versioned parquet snapshots (``path/v=<batch>``).
+
+    Each micro-batch's updated rows replace their keys in the previous
+    version (anti join + union) and the result is written as the batch's own
+    version, so a retried batch rewrites the same version from the same
+    input (exactly-once), and readers always see a complete version.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prev = latest_snapshot(spark, path, before=batch_id)
+        new = batch if prev is None else prev.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    return write
+
+
+def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete snapshot version (optionally older than ``before``)."""
+    try:
+        all_v = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - no version written yet
+        return None
+    if before is not None:
+        all_v = all_v.filter(F.col("v") < before)
+    newest = all_v.agg(F.max("v")).first()[0]     # one scalar from the partition column
+    if newest is None:
+        return None
+    return all_v.filter(F.col("v") == newest).drop("v")
+
+
+def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append",
+                      keys: list[str] | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available (``availableNow``)
     into parquet under the shared checkpoint folder and return it as a batch
     DataFrame.  Append mode uses the file sink (exactly-once via its commit
@@ -145,12 +177,17 @@ def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append")
     w = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", out).outputMode("append").start()
+    elif mode == "update" and keys:
+        q = w.outputMode("update").foreachBatch(snapshot_merge(out, keys)).start()
     else:
         q = (w.outputMode(mode)
              .foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(out)).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if mode == "update" and keys:
+        snap = latest_snapshot(spark, out)
+        return snap if snap is not None else spark.createDataFrame([], df.schema)
     try:
         return spark.read.schema(df.schema).parquet(out)
     except Exception:  # noqa: BLE001 - no micro-batch produced output
