@@ -75,3 +75,16 @@ def test_summary_trigger_modes(spark):
     cnt = [(r["turn_id"], r["triggered"]) for r in
            P.summary_triggers(msgs, threshold=4, mode="count").orderBy("turn_id").collect()]
     assert cnt == [(1, False), (3, False), (5, True), (7, False), (9, True)]
+
+
+def test_casual_chat_uses_casual_prompt_and_no_summary(spark):
+    from wellspring.operators.settings import persona_table
+    turns = spark.createDataFrame([(11, 1, "Casual", "CBT", "hi")],
+                                  "request_id bigint, user_id bigint, session string, persona string, user_input string")
+    msgs = spark.createDataFrame([(5, 1, "old", "user", "Casual")],
+                                 "id bigint, user_id bigint, message string, role string, session string")
+    sums = spark.createDataFrame([(1, "Casual", "sum", 5)],
+                                 "user_id bigint, session string, summary string, last_message_id bigint")
+    out = P.chat_requests(turns, msgs, sums, persona_table(spark), None, casual=True).orderBy("part").collect()
+    assert [(r["part"], r["role"]) for r in out] == [(0, "system"), (3, "user")]
+    assert out[0]["content"].startswith("You are a friendly, empathetic companion.")

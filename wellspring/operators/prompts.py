@@ -31,7 +31,6 @@ from wellspring.fixed_values import (CASUAL_PERSONA, CASUAL_SESSION, INTRO_AGE,
 from wellspring.functions.dates import month_key
 from wellspring.functions.windows import asof_mark
 
-_ROW = ["request_id", "part", "pos", "role", "content"]
 _MSG_ARRAY = "array<struct<part:int,pos:bigint,role:string,content:string>>"
 
 
@@ -110,7 +109,7 @@ def _msg(part: int, pos: Column, role, content: Column) -> Column:
 
 
 def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, session_types: DataFrame,
-                  users: DataFrame | None = None) -> DataFrame:
+                  users: DataFrame | None = None, casual: bool = False) -> DataFrame:
     """K3 (T4-T6): the message rows sent to the model for each chat turn.
 
     ``turns``: (request_id, user_id, session, persona, user_input[, history]);
@@ -124,9 +123,16 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
     Plan: each turn is enriched once (summary as-of, broadcast prompt, profile
     intro) and all its fixed rows come out of one ``explode``; only the stored
     history is a second branch (the range join on the session).
+
+    ``casual=True`` is the casual chat (T38): always the casual persona's
+    prompt, never a summary.
     """
-    sm = summary_as_of(turns, summaries)
-    t = prompt_join(turns.join(sm, "request_id", "left"), session_types)
+    if casual:
+        t = (turns.withColumn("persona", F.lit(CASUAL_PERSONA))
+             .withColumn("summary", F.lit(None).cast("string")).withColumn("checkpoint", F.lit(None).cast("bigint")))
+    else:
+        t = turns.join(summary_as_of(turns, summaries), "request_id", "left")
+    t = prompt_join(t, session_types)
     if users is not None:
         t = t.join(profile_intro(users), "user_id", "left")
     else:
@@ -153,6 +159,8 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
     m = messages.filter(F.col("role") != "system").select(
         "user_id", "session", F.col("id").alias("mid"), "role", F.col("message").alias("content"),
         (F.col("id") - 1).alias("_below"))
+    if casual:
+        return rows
     m = asof_mark(m, summaries, ["user_id", "session"], "_below", "last_message_id", name="checkpoint")
     stored = (t.filter(has).select("request_id", "user_id", "session", "checkpoint")
               .join(m.drop("_below"), ["user_id", "session", "checkpoint"], "inner")
@@ -323,5 +331,3 @@ def ingest_responses(responses: DataFrame, casual: bool = False) -> dict[str, Da
                               month_key("ts").alias("month_year"))
     return {"messages": messages, "tokens": tokens}
 
-
-CASUAL = {"session": CASUAL_SESSION, "persona": CASUAL_PERSONA}
