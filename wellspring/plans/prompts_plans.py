@@ -190,3 +190,25 @@ SELECT CASE WHEN hour(timestamp) >= 5 AND hour(timestamp) < 12 THEN 'morning'
 """)
 def _daypart(fx):
     return fx.messages.groupBy(daypart("timestamp").alias("daypart")).agg(F.count("*").alias("messages"))
+
+
+@register("casual_requests", "K3/T38", ["chat_bodies", "users"], f"""
+SELECT t.request_id, CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS pos, 'system' AS role, p.prompt AS content
+FROM turns t LEFT JOIN personas p ON p.persona = 'Casual Chat'
+UNION ALL
+SELECT t.request_id, 1, 0, 'system', {intro_sql('u.')} FROM turns t JOIN users u ON u.id = t.user_id
+UNION ALL
+SELECT request_id, 3, 0, 'user', user_input FROM turns
+""", ctes=PERSONAS_SQL + "," + TURNS_SQL)
+def _casual_requests(fx):
+    return P.chat_requests(_turns(fx), fx.messages, fx.summaries, persona_table(fx.spark), fx.users, casual=True)
+
+
+@register("ingest_casual", "K6/T38", ["responses"], """
+SELECT request_id, 0 AS turn_order, user_id, 'Casual' AS session, 'user' AS role, user_input AS message, ts AS timestamp,
+ false AS archive FROM responses
+UNION ALL
+SELECT request_id, 1, user_id, 'Casual', 'assistant', reply, ts, false FROM responses
+""")
+def _ingest_casual(fx):
+    return P.ingest_responses(fx.responses, casual=True)["messages"]
