@@ -41,7 +41,7 @@ def _fold(key_col: str, max_requests: int, window_us: int, eligible_col: str | N
             # A new (key, segment) starts with empty state.
             keys = list(zip(pdf[key_col].to_numpy(), pdf["_seg"].to_numpy()))
             ts = pdf["_t"].to_numpy(dtype=np.int64)
-            elig = (pdf[eligible_col].fillna(False).to_numpy(dtype=bool) if eligible_col
+            elig = (pdf[eligible_col].astype("boolean").fillna(False).to_numpy(dtype=bool) if eligible_col
                     else np.ones(n, dtype=bool))
             allowed = np.zeros(n, dtype=bool)
             retry = np.zeros(n, dtype=np.int64)
