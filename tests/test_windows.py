@@ -82,3 +82,12 @@ def test_summary_requests_segments_equal_range_join(spark):
     t = [r for r in trig.collect() if r["triggered"]]
     want = sorted((r["turn_id"], k) for r in t for k in range(1, 41) if r["checkpoint_before"] < k < r["turn_id"])
     assert len(t) > 3 and got == want
+
+
+def test_broadcast_only_behind_size_check(spark):
+    from wellspring.functions.joins import broadcast_if_small
+    small = spark.range(5)
+    big = spark.range(50)
+    assert "ResolvedHint" in small.transform(broadcast_if_small)._jdf.queryExecution().analyzed().toString() or \
+        "broadcast" in small.transform(broadcast_if_small)._jdf.queryExecution().logical().toString().lower()
+    assert broadcast_if_small(big, max_rows=10) is big

@@ -2,8 +2,9 @@
 
 Every operator is a function ``DataFrame(s) -> DataFrame`` that works for all
 users at once.  Nothing is collected to the driver; small fixed dimensions
-(personas, hotlines, keyword lists) are literals or broadcast joins, and all
-keyed work runs through Spark shuffles, aggregates and windows.
+(hotlines, mood scores, keyword lists) are literal maps inside expressions, a
+dimension table is broadcast only behind a row-count check, and all keyed work
+runs through Spark shuffles, aggregates and windows.
 """
 
 from wellspring.session import get_spark, checkpoint_dir  # noqa: F401

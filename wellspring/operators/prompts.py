@@ -29,6 +29,7 @@ from wellspring.fixed_values import (CASUAL_PERSONA, CASUAL_SESSION, INTRO_AGE,
                                      SUMMARY_CLOSE_TEXT, SUMMARY_FIRST_TEXT, SUMMARY_SO_FAR_TEXT,
                                      SUMMARY_TRIGGER_DEFAULT, SUMMARY_UPDATE_TEXT)
 from wellspring.functions.dates import month_key
+from wellspring.functions.joins import broadcast_if_small
 from wellspring.functions.windows import asof_mark
 
 _MSG_ARRAY = "array<struct<part:int,pos:bigint,role:string,content:string>>"
@@ -64,11 +65,11 @@ def profile_intro(users: DataFrame) -> DataFrame:
 def prompt_join(df: DataFrame, session_types: DataFrame, persona_col: str = "persona") -> DataFrame:
     """Attach the persona's system prompt; unknown personas get null.
 
-    The persona dimension has one row per persona (a small, fixed-size table),
-    so it is broadcast.
+    The persona dimension has one row per persona; it is broadcast only after
+    a row-count check (:func:`broadcast_if_small`), otherwise joined normally.
     """
     p = session_types.select(F.col("persona").alias(persona_col), "prompt")
-    return df.join(F.broadcast(p), persona_col, "left")
+    return df.join(broadcast_if_small(p), persona_col, "left")
 
 
 def conv_history(turns: DataFrame, session_types: DataFrame, users: DataFrame | None) -> DataFrame:
@@ -120,7 +121,7 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
     user message.  The persona prompt and profile are dropped on the summary
     path (T5).
 
-    Plan: each turn is enriched once (summary as-of, broadcast prompt, profile
+    Plan: each turn is enriched once (summary as-of, size-checked prompt join, profile
     intro) and all its fixed rows come out of one ``explode``; only the stored
     history is a second branch (the range join on the session).
 
