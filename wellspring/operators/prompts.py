@@ -94,13 +94,17 @@ def conv_history(turns: DataFrame, session_types: DataFrame, users: DataFrame |
 
 
 def summary_as_of(turns: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Latest summary of each turn's session stored before the turn (checkpoint < turn id)."""
-    s = summaries.select("user_id", "session", "summary", "last_message_id")
-    j = turns.select("request_id", "user_id", "session").join(s, ["user_id", "session"], "inner") \
-        .filter(F.col("last_message_id") < F.col("request_id"))
-    return (j.groupBy("request_id")
-            .agg(F.max_by(F.struct("summary", "last_message_id"), "last_message_id").alias("s"))
-            .select("request_id", F.col("s.summary").alias("summary"), F.col("s.last_message_id").alias("checkpoint")))
+    """Latest summary of each turn's session stored before the turn (checkpoint < turn id).
+
+    The checkpoint is an as-of lookup (no turn x summary pairs); its text is
+    then an equi-join on (user, session, checkpoint).
+    """
+    k = turns.select("request_id", "user_id", "session", (F.col("request_id") - 1).alias("_below"))
+    ck = asof_mark(k, summaries, ["user_id", "session"], "_below", "last_message_id", name="checkpoint") \
+        .filter(F.col("checkpoint").isNotNull()).drop("_below")
+    texts = (summaries.groupBy("user_id", "session", F.col("last_message_id").alias("checkpoint"))
+             .agg((F.max_by("summary", "id") if "id" in summaries.columns else F.max("summary")).alias("summary")))
+    return ck.join(texts, ["user_id", "session", "checkpoint"], "inner").select("request_id", "summary", "checkpoint")
 
 
 def _msg(part: int, pos: Column, role, content: Column) -> Column:
