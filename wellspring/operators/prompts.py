@@ -133,11 +133,13 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
     prompt, never a summary.
     """
     if casual:
-        t = (turns.withColumn("persona", F.lit(CASUAL_PERSONA))
+        # One fixed persona: its prompt is a scalar subquery, not a join.
+        prompt = (session_types.filter(F.col("persona") == CASUAL_PERSONA)
+                  .agg(F.max("prompt")).scalar())
+        t = (turns.withColumn("persona", F.lit(CASUAL_PERSONA)).withColumn("prompt", prompt)
              .withColumn("summary", F.lit(None).cast("string")).withColumn("checkpoint", F.lit(None).cast("bigint")))
     else:
-        t = turns.join(summary_as_of(turns, summaries), "request_id", "left")
-    t = prompt_join(t, session_types)
+        t = prompt_join(turns.join(summary_as_of(turns, summaries), "request_id", "left"), session_types)
     if users is not None:
         t = t.join(profile_intro(users), "user_id", "left")
     else:
