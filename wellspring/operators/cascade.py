@@ -124,16 +124,22 @@ def erase_users(tables: dict[str, DataFrame], ids: DataFrame,
         alive = out["subscriptions"].select(F.col("id").alias("subscription_id"))
         out["payment_status"] = payment_status.join(alive, "subscription_id", "left_semi")
         tables = {**tables, "payment_status": payment_status}
-    # One-row counts per table and side, unioned and folded by table (no join).
+    # Report: one pass per table (left join to the id flag, then count and
+    # count_if), unioned; each table is read once for it.
+    flag = u.withColumn("_gone", F.lit(True))
     parts = []
-    for name in tables:
-        for side, df in (("rows_before", tables[name]), ("rows_after", out[name])):
-            parts.append(df.agg(F.count("*").alias("n")).select(
-                F.lit(name).alias("table"), F.when(F.lit(side == "rows_before"), F.col("n")).otherwise(0).alias("b"),
-                F.when(F.lit(side == "rows_after"), F.col("n")).otherwise(0).alias("a")))
+    for name, df in tables.items():
+        key = "id" if name == "users" else ("subscription_id" if name == "payment_status" else "user_id")
+        if name == "payment_status":
+            alive = out["subscriptions"].select(F.col("id").alias("subscription_id"), F.lit(True).alias("_alive"))
+            j = df.join(alive, "subscription_id", "left").withColumn("_gone", F.col("_alive").isNull())
+        else:
+            j = df.join(flag.withColumnRenamed("user_id", key), key, "left")
+        parts.append(j.agg(F.count(F.lit(1)).alias("rows_before"),
+                           F.count_if(F.col("_gone").isNull() | ~F.col("_gone")).alias("rows_after"))
+                     .select(F.lit(name).alias("table"), "rows_before", "rows_after"))
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
-    out["report"] = (report.groupBy("table").agg(F.sum("b").alias("rows_before"), F.sum("a").alias("rows_after"))
-                     .withColumn("removed", F.col("rows_before") - F.col("rows_after")))
+    out["report"] = report.withColumn("removed", F.col("rows_before") - F.col("rows_after"))
     return out
