@@ -89,3 +89,19 @@ def test_stream_token_totals_update_mode_snapshots_over_several_batches(spark):
            .option("recursiveFileLookup", "true").parquet(f"{base}/log"))
     out = S.run_available_now(spark, S.stream_token_totals(src), mode="update", keys=["user_id", "month_year"])
     assert rows(out, "user_id", "month_year", "tokens") == [(7, "0524", 15), (8, "0624", 3)]
+
+
+def test_late_rows_are_found_not_lost(spark):
+    base = tempfile.mkdtemp(prefix="ws-late-", dir="/tmp")
+    t0 = dt.datetime(2024, 1, 2)
+    on_time = [(1, 1, "a", "user", t0, False, "s"), (2, 1, "b", "user", t0 + dt.timedelta(hours=3), False, "s")]
+    late = [(3, 1, "c", "user", t0 - dt.timedelta(days=1), False, "s")]       # far behind the watermark
+    spark.createDataFrame(on_time, MSG).write.parquet(f"{base}/in/f1")
+    spark.createDataFrame(late, MSG).write.parquet(f"{base}/in/f2")
+    src = (spark.readStream.schema(MSG).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(f"{base}/in"))
+    emitted = S.run_available_now(spark, S.stream_dedup(src, watermark="1 hour"))
+    batch = spark.read.schema(MSG).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    missing = S.late_rows(batch, emitted, ["id"])
+    assert rows(emitted, "id") == [(1,), (2,)]
+    assert rows(missing, "id") == [(3,)]
