@@ -88,3 +88,11 @@ def test_casual_chat_uses_casual_prompt_and_no_summary(spark):
     out = P.chat_requests(turns, msgs, sums, persona_table(spark), None, casual=True).orderBy("part").collect()
     assert [(r["part"], r["role"]) for r in out] == [(0, "system"), (3, "user")]
     assert out[0]["content"].startswith("You are a friendly, empathetic companion.")
+
+
+def test_unique_check_with_case_and_accent_insensitive_collation(spark):
+    from wellspring.operators.quality import unique_check
+    df = spark.createDataFrame([(1, "Élan@x.com"), (2, "elan@x.com"), (3, "other@x.com")], "seq bigint, email string")
+    assert unique_check(df, ["email"], "seq").count() == 0                      # binary: all distinct
+    dup = unique_check(df, ["email"], "seq", collation="UNICODE_CI_AI").collect()
+    assert len(dup) == 1 and dup[0]["rows"] == 2 and dup[0]["kept_seq"] == 1

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.fixed_values import PROTECTED_PATHS, PUBLIC_PATHS, PUBLIC_PREFIXES
 from wellspring.functions.dates import parse_strict_date
@@ -37,12 +38,22 @@ def required_check(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame,
     return (tagged.filter(F.size("failed") == 0).drop("failed"), tagged.filter(F.size("failed") > 0))
 
 
-def unique_check(df: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+def unique_check(df: DataFrame, key: list[str], order: str | None = None,
+                 collation: str | None = None) -> DataFrame:
     """Q4: keys that occur more than once, with their count (and the first
-    ``order`` value, the row an insert would keep)."""
+    ``order`` value, the row an insert would keep).
+
+    T33: the original database compares text ignoring case and accents; pass
+    ``collation="UNICODE_CI_AI"`` to group string keys the same way (binary
+    comparison after normalising is the default).
+    """
     aggs = [F.count("*").alias("rows")]
     if order:
         aggs.append(F.min(order).alias("kept_" + order))
+    if collation:
+        cols = [F.collate(F.col(k), collation).alias(k) if isinstance(df.schema[k].dataType, T.StringType)
+                else F.col(k) for k in key]
+        return df.groupBy(*cols).agg(*aggs).filter(F.col("rows") > 1)
     return df.groupBy(*key).agg(*aggs).filter(F.col("rows") > 1)
 
 
