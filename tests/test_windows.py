@@ -91,3 +91,35 @@ def test_broadcast_only_behind_size_check(spark):
     assert "ResolvedHint" in small.transform(broadcast_if_small)._jdf.queryExecution().analyzed().toString() or \
         "broadcast" in small.transform(broadcast_if_small)._jdf.queryExecution().logical().toString().lower()
     assert broadcast_if_small(big, max_rows=10) is big
+
+
+def test_parallel_summary_triggers_equal_fold(spark):
+    from wellspring.operators import prompts as P
+    rnd = random.Random(9)
+    rows_, sums = [], []
+    for sess in range(6):
+        n = rnd.randint(5, 60)
+        for k in range(1, n + 1):
+            role = rnd.choice(["user", "user", "assistant", "system"])
+            rows_.append((sess * 1000 + k, sess % 2, f"s{sess}", role, "m"))
+        if sess % 3 == 0:
+            sums.append((sess % 2, f"s{sess}", "x", sess * 1000 + rnd.randint(1, 10)))
+    msgs = spark.createDataFrame(rows_, "id bigint, user_id bigint, session string, role string, message string")
+    summ = spark.createDataFrame(sums, "user_id bigint, session string, summary string, last_message_id bigint")
+    for t in (3, 4, 7):
+        fold = P.summary_triggers(msgs, summ, threshold=t)
+        par = P.summary_triggers_parallel(msgs, summ, threshold=t)
+        cols = fold.columns
+        a = sorted(tuple(r) for r in fold.select(*cols).collect())
+        b = sorted(tuple(r) for r in par.select(*cols).collect())
+        assert a == b, t
+
+
+def test_hot_session_split_equals_fold(spark):
+    from wellspring.operators import prompts as P
+    rows_ = [(k, 1, "hot", "user" if k % 2 else "assistant", "m") for k in range(1, 120)] + \
+            [(1000 + k, 2, "cold", "user" if k % 3 else "assistant", "m") for k in range(1, 20)]
+    msgs = spark.createDataFrame(rows_, "id bigint, user_id bigint, session string, role string, message string")
+    a = sorted(tuple(r) for r in P.summary_triggers(msgs, threshold=5).collect())
+    b = sorted(tuple(r) for r in P.summary_triggers(msgs, threshold=5, hot_rows=50).collect())
+    assert a == b and len(a) > 60

@@ -30,7 +30,8 @@ from wellspring.fixed_values import (CASUAL_PERSONA, CASUAL_SESSION, INTRO_AGE,
                                      SUMMARY_TRIGGER_DEFAULT, SUMMARY_UPDATE_TEXT)
 from wellspring.functions.dates import month_key
 from wellspring.functions.joins import broadcast_if_small
-from wellspring.functions.windows import asof_mark
+from wellspring.session import materialize
+from wellspring.functions.windows import asof_mark, chunked_row_number
 
 _MSG_ARRAY = "array<struct<part:int,pos:bigint,role:string,content:string>>"
 
@@ -236,7 +237,8 @@ TRIGGER_SCHEMA = T.StructType([
 
 
 def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
-                     threshold: int = SUMMARY_TRIGGER_DEFAULT, mode: str = "max_id") -> DataFrame:
+                     threshold: int = SUMMARY_TRIGGER_DEFAULT, mode: str = "max_id",
+                     hot_rows: int | None = None) -> DataFrame:
     """For every user turn, whether at least ``threshold`` stored messages
     lie after the session's checkpoint (then a summary is made and the
     checkpoint moves).  System rows are not stored by the application and are
@@ -247,7 +249,19 @@ def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
     The initial checkpoint is the session's latest stored summary (0 if none).
     Sessions are hashed and each partition sorted by (user, session, id); the
     fold keeps O(1) state per session in ``max_id`` mode.
+
+    ``hot_rows`` (``max_id`` mode): sessions with more stored rows than this go
+    to :func:`summary_triggers_parallel`, which splits one session's work
+    across tasks; the rest keep the fold.  Results are identical.
     """
+    if hot_rows is not None and mode == "max_id":
+        key = ["user_id", "session"]
+        sizes = (messages.filter(F.col("role") != "system").groupBy(*key).agg(F.count(F.lit(1)).alias("_n")))
+        hot = sizes.filter(F.col("_n") > hot_rows).select(*key)
+        if hot.limit(1).count() > 0:          # one small action: any session over the bound?
+            cold = summary_triggers(messages.join(hot, key, "left_anti"), summaries, threshold, mode)
+            warm = summary_triggers_parallel(messages.join(hot, key, "left_semi"), summaries, threshold)
+            return cold.unionByName(warm.select(*cold.columns))
     m = messages.filter(F.col("role") != "system").select("user_id", "session", "id", "role")
     if summaries is not None:
         ck = summaries.groupBy("user_id", "session").agg(F.max("last_message_id").alias("init_checkpoint"))
@@ -338,3 +352,74 @@ def ingest_responses(responses: DataFrame, casual: bool = False) -> dict[str, Da
                               month_key("ts").alias("month_year"))
     return {"messages": messages, "tokens": tokens}
 
+
+
+def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None = None,
+                              threshold: int = SUMMARY_TRIGGER_DEFAULT, rounds: int | None = None) -> DataFrame:
+    """J4 in ``max_id`` mode without a per-session sequential pass (for hot sessions).
+
+    With p the position of a stored (non-system) row in its session and q0 the
+    first position after the initial checkpoint, the triggers form a chain:
+    r1 = U(q0 + T), r(k+1) = U(r(k) + T), where U(x) is the first user turn at
+    position >= x.  U is an as-of lookup; the chain is followed by pointer
+    doubling (each round joins the jump table with itself and extends the
+    reached set), so every step is an equi-join and work is O(n log n) with
+    no task holding a whole session.  Turn outputs then follow from the
+    nearest trigger below each turn.  Equal to :func:`summary_triggers`.
+    """
+    m = messages.filter(F.col("role") != "system").select("user_id", "session", "id", "role")
+    key = ["user_id", "session"]
+    if summaries is not None:
+        ck = summaries.groupBy(*key).agg(F.max("last_message_id").alias("c0"))
+        m = m.join(ck, key, "left")
+    else:
+        m = m.withColumn("c0", F.lit(None).cast("bigint"))
+    m = m.withColumn("c0", F.coalesce("c0", F.lit(0)).cast("bigint"))
+    m = chunked_row_number(m, key, [F.col("id")], "id", unit=1_000_000, name="pos").withColumn("pos", F.col("pos").cast("bigint"))
+    q0 = (m.groupBy(*key).agg((F.count_if(F.col("id") <= F.col("c0")) + 1).cast("bigint").alias("q0"),
+                              F.max("pos").alias("n")))
+    users = m.filter(F.col("role") == "user").select(*key, "pos")
+    # U(x): smallest user position >= x, as the largest of the negated positions <= -x.
+    marks = users.select(*key, (-F.col("pos")).alias("neg"))
+
+    def first_user_at_or_after(df: DataFrame, x: str, name: str) -> DataFrame:
+        got = asof_mark(df.withColumn("_negx", -F.col(x)), marks, key, "_negx", "neg", name="_u", width=1_000_000)
+        return got.withColumn(name, -F.col("_u")).drop("_negx", "_u")
+
+    jump = first_user_at_or_after(users.withColumn("_x", F.col("pos") + threshold), "_x", "to").drop("_x")
+    start = first_user_at_or_after(q0.withColumn("_x", F.col("q0") + threshold), "_x", "pos") \
+        .filter(F.col("pos").isNotNull()).select(*key, "pos")
+    if rounds is None:
+        longest = q0.agg(F.max("n")).first()[0] or 0        # one scalar: bounds the chain length
+        rounds = max(1, int(longest // max(threshold, 1)).bit_length() + 1)
+    reached = start
+    for _ in range(rounds):
+        step = (reached.join(jump, [*key, "pos"], "inner").filter(F.col("to").isNotNull())
+                .select(*key, F.col("to").alias("pos")))
+        reached = materialize(reached.unionByName(step).distinct())
+        jump = materialize(jump.alias("a").join(jump.alias("b"), [F.col("a.user_id") == F.col("b.user_id"),
+                                                                    F.col("a.session") == F.col("b.session"),
+                                                                    F.col("a.to") == F.col("b.pos")], "left")
+                           .select(F.col("a.user_id"), F.col("a.session"), F.col("a.pos"), F.col("b.to")))
+    trig = reached.withColumn("_t", F.lit(True))
+    # id at position p - 1 (the newest stored id before a turn): a shifted equi-join.
+    prev_id = m.select(*key, (F.col("pos") + 1).alias("pos"), F.col("id").alias("_prev_id"))
+    # Each trigger's checkpoint is the id just before it.
+    tp = (trig.join(prev_id, [*key, "pos"], "left")
+          .select(*key, F.col("pos").alias("last_t"), F.col("_prev_id").alias("tck")))
+    turns = (m.filter(F.col("role") == "user").select(*key, "pos", "id", "c0")
+             .join(q0.select(*key, "q0"), key, "inner")
+             .join(trig, [*key, "pos"], "left")
+             .join(prev_id, [*key, "pos"], "left"))
+    # The latest trigger strictly below each turn (as-of), then its checkpoint.
+    turns = asof_mark(turns.withColumn("_below", F.col("pos") - 1), tp.select(*key, "last_t"), key, "_below",
+                      "last_t", name="last_t", width=1_000_000)
+    turns = turns.join(tp, [*key, "last_t"], "left")
+    base = F.coalesce(F.col("last_t"), F.col("q0"))
+    recent = F.when(F.col("pos") > base, F.col("pos") - base).otherwise(F.lit(0))
+    before = F.coalesce(F.col("tck"), F.col("c0"))
+    fired = F.col("_t").isNotNull()
+    return turns.select(
+        "user_id", "session", F.col("id").alias("turn_id"), recent.cast("bigint").alias("recent"),
+        fired.alias("triggered"), before.cast("bigint").alias("checkpoint_before"),
+        F.when(fired, F.col("_prev_id")).otherwise(before).cast("bigint").alias("checkpoint_after"))
