@@ -396,6 +396,8 @@ def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None =
     for _ in range(rounds):
         step = (reached.join(jump, [*key, "pos"], "inner").filter(F.col("to").isNotNull())
                 .select(*key, F.col("to").alias("pos")))
+        # Both tables are read twice per round (their plans would double), so
+        # each round's result is checkpointed.
         reached = materialize(reached.unionByName(step).distinct())
         jump = materialize(jump.alias("a").join(jump.alias("b"), [F.col("a.user_id") == F.col("b.user_id"),
                                                                     F.col("a.session") == F.col("b.session"),

@@ -212,3 +212,11 @@ SELECT request_id, 1, user_id, 'Casual', 'assistant', reply, ts, false FROM resp
 """)
 def _ingest_casual(fx):
     return P.ingest_responses(fx.responses, casual=True)["messages"]
+
+
+@register("summary_triggers_split", "J4 hot sessions", ["messages", "summaries"], "SELECT * FROM triggers",
+          ctes=TRIGGER_SQL, recursive=True)
+def _summary_triggers_split(fx):
+    # hot_rows = 4: every session with more than four stored rows takes the
+    # parallel (pointer-doubling) path, so the check covers it on real data.
+    return P.summary_triggers(fx.messages, fx.summaries, threshold=THRESHOLD, hot_rows=4)
