@@ -16,7 +16,7 @@ QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 STREAMING = {n for n in QUERIES if n.startswith("stream_")}
 FOLDS = {"rate_limit", "reset_funnel", "reset_funnel_counts", "reset_issue", "reset_redeem", "reset_cleanup",
-         "expired_token_count", "lapsed_tokens", "summary_triggers", "summary_requests"}
+         "expired_token_count", "lapsed_tokens", "summary_triggers", "summary_requests", "summary_triggers_split"}
 
 
 @pytest.fixture(scope="module")
