@@ -88,3 +88,16 @@ def test_segments_split_hot_key_at_idle_gaps(spark):
     got = {r["seq"]: r["allowed"] for r in L.rate_limit(spark.createDataFrame(reqs, REQ), "ip", 3, 60).collect()}
     want = _plain([(s, t.replace(tzinfo=dt.timezone.utc), k) for s, t, k in reqs], 3, 60 * 60 * 1_000_000)
     assert got == want
+
+
+def test_limiter_is_independent_of_session_time_zone(spark):
+    # 01:30 and 03:10 on the US DST change day: 100 wall-clock minutes apart
+    # (what the data and the oracle say), only 40 real minutes in New York time.
+    reqs = spark.createDataFrame([(1, dt.datetime(2024, 3, 10, 1, 30), "k"), (2, dt.datetime(2024, 3, 10, 3, 10), "k")],
+                                 REQ)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r["seq"]: r["allowed"] for r in L.rate_limit(reqs, "ip", 1, 60).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {1: True, 2: True}

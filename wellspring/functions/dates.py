@@ -71,3 +71,13 @@ def parse_strict_date(x) -> Column:
     c = _c(x)
     ok = c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
     return F.when(ok, F.try_to_date(c, "yyyy-M-d"))
+
+
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock timestamp, independent of
+    the session time zone (TIMESTAMP_NTZ arithmetic, so no DST shifts)."""
+    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), c)

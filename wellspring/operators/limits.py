@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wellspring.fixed_values import RESET_MAX_REQUESTS, RESET_WINDOW_MINUTES
+from wellspring.functions.dates import epoch_micros
 from wellspring.functions.text import is_valid_email, normalise_email
 
 
@@ -112,7 +113,7 @@ def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQU
     :func:`_with_segments`); otherwise they are computed here.
     """
     window_us = int(round(window_minutes * 60 * 1_000_000))
-    src = requests.withColumn("_t", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    src = requests.withColumn("_t", epoch_micros(ts_col))
     if segment_col is None:
         src = _with_segments(src, key, window_us, eligible)
     else:
@@ -145,7 +146,7 @@ def reset_funnel(requests: DataFrame, users: DataFrame, max_requests: int = RESE
     # Both limits' segments come from the input (human rows), so the IP fold
     # runs once: the email fold's candidates are a subset of them.
     window_us = int(round(window_minutes * 60 * 1_000_000))
-    r = r.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    r = r.withColumn("_t", epoch_micros("ts"))
     r = _with_segments(r, "ip", window_us, "_human", "_seg_ip")
     r = _with_segments(r, "email", window_us, "_human", "_seg_email").drop("_t")
     by_ip = rate_limit(r, "ip", max_requests, window_minutes, eligible="_human",

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wellspring.fixed_values import CRISIS_KEYWORDS, RESET_MAX_REQUESTS, RESET_TOKEN_HOURS, RESET_WINDOW_MINUTES
+from wellspring.functions.dates import epoch_micros
 from wellspring.operators.safety import crisis_alerts
 from wellspring.operators.tokens import token_increments
 from wellspring.session import checkpoint_dir
@@ -81,7 +82,7 @@ def stream_rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_M
     window_us = int(round(window_minutes * 60 * 1_000_000))
     src = (requests.select("seq", key, "ts")
            .withColumn("_ts", F.col("ts").cast("timestamp"))
-           .withColumn("_t", F.unix_micros("_ts"))
+           .withColumn("_t", epoch_micros("ts"))
            .withWatermark("_ts", watermark))
     out_cols = ["seq", key, "ts"]
     out_schema = T.StructType([src.schema[c] for c in out_cols]
