@@ -123,3 +123,16 @@ def test_hot_session_split_equals_fold(spark):
     a = sorted(tuple(r) for r in P.summary_triggers(msgs, threshold=5).collect())
     b = sorted(tuple(r) for r in P.summary_triggers(msgs, threshold=5, hot_rows=50).collect())
     assert a == b and len(a) > 60
+
+
+def test_chunked_rank_in_dst_gap_with_local_session_zone(spark):
+    # 02:30 does not exist on 2024-03-10 in New York; wall-clock order must hold anyway.
+    df = spark.createDataFrame([(1, 0, dt.datetime(2024, 3, 10, 2, 30)), (2, 0, dt.datetime(2024, 3, 10, 3, 10)),
+                                (3, 0, dt.datetime(2024, 3, 10, 1, 50))], "seq bigint, user_id bigint, ts timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r["seq"]: r["c"] for r in chunked_row_number(df, ["user_id"], [F.col("ts")], "ts", unit="hour",
+                                                             name="c").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {3: 1, 1: 2, 2: 3}

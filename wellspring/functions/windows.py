@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wellspring.functions.dates import epoch_micros
+
 _LOW, _HIGH = -(2 ** 62), 2 ** 62
 
 
@@ -25,7 +27,8 @@ def _chunk_key(ts: str, unit, descending: bool, nulls_last: bool) -> Column:
     if isinstance(unit, int):
         k = F.floor(F.col(ts) / F.lit(unit)).cast("bigint")
     else:
-        k = F.unix_seconds(F.date_trunc(unit, F.col(ts).cast("timestamp")))
+        # Wall-clock (NTZ) arithmetic: order-preserving in every session time zone.
+        k = F.floor(epoch_micros(F.date_trunc(unit, F.col(ts).cast("timestamp_ntz"))) / F.lit(1_000_000)).cast("bigint")
     if descending:
         k = -k
     return F.coalesce(k, F.lit(_HIGH if nulls_last else _LOW))

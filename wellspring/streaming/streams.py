@@ -64,7 +64,7 @@ def _limit_state_fn(key_col: str, max_requests: int, window_us: int, out_cols: l
                 times.append(int(t))
         state.update((list(times),))
         # Idle keys expire one window after their newest request (event time).
-        state.setTimeoutTimestamp(int(ts.max() // 1000 + window_us // 1000 + 1))
+        state.setTimeoutTimestamp(int(pdf["_tw"].max() // 1000 + window_us // 1000 + 1))
         out = pdf[out_cols].copy()
         out["allowed"] = allowed
         out["retry_after_s"] = pd.array(retry, dtype="Int64")
@@ -83,6 +83,7 @@ def stream_rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_M
     src = (requests.select("seq", key, "ts")
            .withColumn("_ts", F.col("ts").cast("timestamp"))
            .withColumn("_t", epoch_micros("ts"))
+           .withColumn("_tw", F.unix_micros("_ts"))     # the watermark's clock, for the state timeout
            .withWatermark("_ts", watermark))
     out_cols = ["seq", key, "ts"]
     out_schema = T.StructType([src.schema[c] for c in out_cols]
