@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 
 from wellspring.session import checkpoint_dir
 
+#: Rows of whole texts that Spark hands to a Python worker at a time.
+ARROW_ROWS = 500
 #: Rows of an Arrow column turned into Python objects at a time.
 SLICE = 256
 #: Bytes of text after which a task hands its output batch on.
 OUT_BYTES = 8 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the texts that a Python worker and its JVM hold at once: Arrow batches
+    of ``ARROW_ROWS`` rows, unless the session already asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{checkpoint_dir(spark).rstrip('/')}/wellspring-{uuid.uuid4().hex}/{tag}"
@@ -36,7 +46,9 @@ def rekey(key: Column, kind: str = "long") -> Column:
     """The same key as a computed expression.  Joined on it, an aggregate gets an
     exchange of its own, so AQE can split the partition of a hot key on the
     other side (it leaves joins alone that reuse an aggregate's partitioning)."""
-    return key.bitwiseXOR(F.lit(0).cast("long")) if kind == "long" else F.concat(key, F.lit(b""))
+    if kind == "long":
+        return key.bitwiseXOR(F.lit(0).cast("long"))
+    return F.concat(key, F.lit(b"" if kind == "binary" else ""))
 
 
 def text_rows(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import OUT_BYTES, id_order, rekey, text_rows
+from wellspring.llm.common import OUT_BYTES, id_order, rekey, small_batches, text_rows
 
 #: Characters stripped at both ends of a line (fixed values): [\x20\x09-\x0D]
 STRIP = b" \t\n\x0b\x0c\r"
@@ -87,6 +87,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``doc_id`` makes each different text a document of its own.  An empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     row = F.struct(*[docs[f"`{c}`"] for c in rest]) if rest else F.struct(F.lit(None).cast("string").alias("none"))
     base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("binary").alias("text"),
