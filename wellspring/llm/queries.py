@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wellspring.llm.licenses import op4_licenses
 from wellspring.llm.line_dedup import OP1_SQL, op1_line_dedup
 from wellspring.llm.minhash import op6_minhash
 from wellspring.llm.mixing import OP7_SQL, op7_mixing
@@ -10,6 +11,7 @@ from wellspring.llm.warc import OP2_SQL, op2_warc
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op4_licenses": op4_licenses,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
 }
