@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from wellspring.llm.langid import op9_langid
 from wellspring.llm.licenses import op4_licenses
 from wellspring.llm.line_dedup import OP1_SQL, op1_line_dedup
 from wellspring.llm.minhash import op6_minhash
 from wellspring.llm.mixing import OP7_SQL, op7_mixing
+from wellspring.llm.toxicity import op8_toxicity
 from wellspring.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -14,6 +16,8 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL = {
