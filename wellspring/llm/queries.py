@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wellspring.llm.embedding_dedup import op5_embeddings
 from wellspring.llm.langid import op9_langid
 from wellspring.llm.licenses import op4_licenses
 from wellspring.llm.line_dedup import OP1_SQL, op1_line_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op4_licenses": op4_licenses,
+    "op5_embeddings": op5_embeddings,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
