@@ -8,6 +8,7 @@ from wellspring.llm.licenses import op4_licenses
 from wellspring.llm.line_dedup import OP1_SQL, op1_line_dedup
 from wellspring.llm.minhash import op6_minhash
 from wellspring.llm.mixing import OP7_SQL, op7_mixing
+from wellspring.llm.suffix_dedup import op10_suffix_dedup
 from wellspring.llm.toxicity import op8_toxicity
 from wellspring.llm.warc import OP2_SQL, op2_warc
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
