@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wellspring.llm.decontaminate import OP3_SQL, op3_decontaminate
 from wellspring.llm.embedding_dedup import op5_embeddings
 from wellspring.llm.langid import op9_langid
 from wellspring.llm.licenses import op4_licenses
@@ -15,6 +16,7 @@ from wellspring.llm.warc import OP2_SQL, op2_warc
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
+    "op3_decontaminate": op3_decontaminate,
     "op4_licenses": op4_licenses,
     "op5_embeddings": op5_embeddings,
     "op6_minhash": op6_minhash,
@@ -27,5 +29,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
+    "op3_decontaminate": OP3_SQL,
     "op7_mixing": OP7_SQL,
 }
