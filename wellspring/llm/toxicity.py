@@ -155,6 +155,29 @@ def crc_part(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            label_col: str = "toxic", folds: int = 5, held: int = 0, max_train: int = MAX_TRAIN):
+    """A column function from text to score, trained as ``score_toxicity`` says."""
+    small_batches(docs.sparkSession)
+    label = labels[f"`{label_col}`"].cast("int")
+    rows = labels.select(labels[f"`{id_col}`"].alias("id"), label.alias("y")).where("id is not null and y in (0, 1)")
+    rows = (rows.where(~crc_part(F.col("id"), folds, held)).distinct()
+            .orderBy(F.xxhash64(F.col("id").cast("string")), "id", "y").limit(max_train))
+    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("binary").alias("text"))
+    # At most max_train ids and labels, so the broadcast is bounded.
+    drawn = base.join(F.broadcast(rows), F.col("doc_id") == F.col("id"))
+    got = drawn.select("y", "text").mapInArrow(_training_rows, "y int, own array<bigint>, swapped array<bigint>").toArrow()
+    arrays = lambda name: [None if x is None else np.array(x, np.int64).view(np.uint64) for x in got.column(name).to_pylist()]
+    model = fit(got.column("y").to_numpy().astype(float), arrays("own"), arrays("swapped"))
+
+    def scored(texts: pa.Array) -> pa.Array:
+        scorer = Scorer(*model)
+        return pa.array([scorer(t or b"") for t in texts.to_pylist()], pa.float64())
+
+    scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scored, "double")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", folds: int = 5, held: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``.
@@ -165,28 +188,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     and empty texts get the score of no feature.  Without training rows every
     score is about 0.  Repeated rows are scored alike.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    label = labels[f"`{label_col}`"].cast("int")
-    rows = labels.select(labels[f"`{id_col}`"].alias("id"), label.alias("y")).where("id is not null and y in (0, 1)")
-    rows = (rows.where(~crc_part(F.col("id"), folds, held)).distinct()
-            .orderBy(F.xxhash64(F.col("id").cast("string")), "id", "y").limit(max_train))
-    base = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].cast("binary").alias("text"))
-    # At most max_train ids and labels, so the broadcast is bounded.
-    drawn = base.join(F.broadcast(rows), F.col("doc_id") == F.col("id"))
-    got = drawn.select("y", "text").mapInArrow(_training_rows, "y int, own array<bigint>, swapped array<bigint>").toArrow()
-    arrays = lambda name: [None if x is None else np.array(x, np.int64).view(np.uint64) for x in got.column(name).to_pylist()]
-    scorer_of = fit(got.column("y").to_numpy().astype(float), arrays("own"), arrays("swapped"))
-
-    def scan(batches):
-        scorer = Scorer(*scorer_of)
-        for part, texts in text_rows(batches):
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([scorer(t) for t in texts], pa.float64())], names=["doc_id", "score"])
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(scan, f"doc_id {kind}, score double").select(
-        "doc_id", crc_part(F.col("doc_id"), folds, held).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = learned(docs, labels, id_col, text_col, label_col, folds, held, max_train)
+    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), score(docs[f"`{text_col}`"].cast("binary")).alias("score"))
+    return rows.select("doc_id", crc_part(F.col("doc_id"), folds, held).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, columns as they are."""
+    score = learned(docs, labels, id_col, text_col, **options)
+    return docs.where(score(docs[f"`{text_col}`"].cast("binary")) < 0.5)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
