@@ -30,7 +30,7 @@ ROWS = PERMUTATIONS // BANDS
 #: Elements of a set and permutations handled at a time.
 _CHUNK, _AT_ONCE = 1 << 14, 16
 #: Members of a bucket in one block.
-BLOCK = 512
+BLOCK = 1024
 _RNG = np.random.Generator(np.random.PCG64(71))
 _MULTIPLY = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FOLD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,26 +130,47 @@ def _confirm(k: int, share: int):
     return scan
 
 
-def _across(least: int):
-    """Pairs of a bucket's block whose components differ and whose signatures agree enough."""
+def _across(k: int, share: int, least: int):
+    """Links between the components of a bucket's pair of blocks: pairs whose
+    signatures agree enough are compared on their full sets, in the first bucket
+    that they share, and one link is handed on for each two components that meet."""
     def scan(keys, table):
-        vid = table.column("vid").to_numpy()
-        comp = table.column("component").to_numpy()
-        blk = table.column("blk").to_numpy()
-        sig = np.array(table.column("sig").to_pylist(), np.int64).reshape(-1, 8).view(np.uint64)
+        vid, comp = table.column("vid").to_numpy(), table.column("component").to_numpy()
+        blk, texts = table.column("blk").to_numpy(), table.column("text")
+        matrix = lambda name, n: np.array(table.column(name).to_pylist(), np.int64).reshape(-1, n)
+        sig, bands = matrix("sig", 8).view(np.uint64), matrix("bands", BANDS)
         left, right = np.flatnonzero(blk == keys[1].as_py()), np.flatnonzero(blk == keys[2].as_py())
-        one = np.uint64(0x1111111111111111)
-        out_a, out_b = [], []
-        for i in left:
-            x = sig[right] ^ sig[i]
+        shingles, sets, one = Shingles(k), {}, np.uint64(0x1111111111111111)
+        roots, root = np.unique(comp, return_inverse=True)
+        out = []
+
+        def full(i):
+            if i not in sets:
+                sets[i] = shingles(texts[i].as_py() or b"")
+            return sets[i]
+
+        for at, i in enumerate(left):
+            others = left[at + 1:] if keys[1] == keys[2] else right
+            others = others[root[others] != root[i]]
+            x = sig[others] ^ sig[i]
             x = x | (x >> np.uint64(1))
             x = (x | (x >> np.uint64(2))) & one
-            near = (PERMUTATIONS - np.bitwise_count(x).sum(axis=1, dtype=np.int64) >= least) & (comp[right] != comp[i])
-            hit = vid[right[near]]
-            out_a.append(np.minimum(hit, vid[i]))
-            out_b.append(np.maximum(hit, vid[i]))
-        cat = lambda x: np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)[:, x] if out_a else np.zeros(0, np.int64)
-        return pa.table({"a": cat(0), "b": cat(1)})
+            others = others[PERMUTATIONS - np.bitwise_count(x).sum(axis=1, dtype=np.int64) >= least]
+            here = int((bands[i] == keys[0].as_py()).argmax())
+            others = others[(bands[others] == bands[i]).argmax(axis=1) == here]
+            if not len(others):
+                continue
+            own, rest = full(i), [full(j) for j in others]
+            size = np.array([len(r) for r in rest])
+            both = np.concatenate(rest)
+            hit = own[np.minimum(np.searchsorted(own, both), len(own) - 1)] == both
+            both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+            for j in others[100 * both >= share * (len(own) + size - both)]:
+                if root[j] != root[i]:
+                    out.append((vid[i], vid[j]))
+                    root[root == root[j]] = root[i]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
     return scan
 
 
@@ -187,7 +208,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("own").alias("v"), "text")
         .unionByName(_nameless(base, drawn, k, members)), "texts")
     sigs = stored(reps.join(members.select(rekey(F.col("vid")).alias("k")), F.col("vid") == F.col("k"), "left_semi")
-                  .select(F.col("vid").alias("v"), "sig").dropDuplicates(["v"]), "signatures")
+                  .select(F.col("vid").alias("v"), "sig", "bands").dropDuplicates(["v"]), "signatures")
 
     least = least_agreeing(share / 100)
     pairs = buckets.where("vid <> top").select(F.col("top").alias("a"), F.col("vid").alias("b")).distinct()
@@ -202,12 +223,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = (label.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"))
              .where("c0 < c1").select(rekey(F.col("band")).alias("k"), F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")))
     split = label.join(mixed, F.col("band") == F.col("k")).withColumn("blk", F.pmod(F.xxhash64("vid"), F.col("blocks")))
-    split = _with(split.select("band", "vid", "component", "blk", "blocks"), sigs, "vid", "sig", "sig")
+    split = split.select("band", "vid", "component", "blk", "blocks")
+    right = sigs.select(F.col("v").alias("key__"), "sig", "bands")
+    split = _with(split.join(right, F.col("vid") == F.col("key__")).drop("key__"), needed, "vid", "text", "text")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     split = split.withColumn("other", other).select(
-        "band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vid", "component", "sig")
-    rest = split.groupBy("band", "i", "j").applyInArrow(_across(least), "a bigint, b bigint").distinct()
-    more = stored(_confirmed(rest, needed, k, share), "links")
+        "band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vid", "component",
+        "sig", "bands", "text")
+    more = stored(split.groupBy("band", "i", "j").applyInArrow(_across(k, share, least), "a bigint, b bigint").distinct(), "links")
     if not more.isEmpty():
         found = stored(components(links.unionByName(more)), "components")
 
