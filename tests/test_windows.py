@@ -84,13 +84,30 @@ def test_summary_requests_segments_equal_range_join(spark):
     assert len(t) > 3 and got == want
 
 
-def test_broadcast_only_behind_size_check(spark):
-    from wellspring.functions.joins import broadcast_if_small
-    small = spark.range(5)
-    big = spark.range(50)
-    assert "ResolvedHint" in small.transform(broadcast_if_small)._jdf.queryExecution().analyzed().toString() or \
-        "broadcast" in small.transform(broadcast_if_small)._jdf.queryExecution().logical().toString().lower()
-    assert broadcast_if_small(big, max_rows=10) is big
+def test_chunked_windows_keep_null_keys(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wellspring.functions import windows as W
+    from wellspring.operators.tokens import token_running_total
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"s{i % 2}", t0 + dt.timedelta(hours=7 * i) if i % 5 else None,
+                                 i if i % 4 == 0 else None) for i in range(40)],
+                               "id bigint, session string, ts timestamp_ntz, v bigint")
+    w = Window.partitionBy("session").orderBy(F.col("ts").asc_nulls_last(), "id")
+    got = W.chunked_row_number(df, ["session"], [F.col("ts").asc_nulls_last(), F.col("id")], "ts")
+    assert {r.id: r.position for r in got.collect()} == {r.id: r.p for r in df.withColumn("p", F.row_number().over(w)).collect()}
+    timed = df.filter("ts is not null")
+    w = Window.partitionBy("session").orderBy("ts", "id")
+    got = W.chunked_next(timed, ["session"], "ts", "id", "id")
+    assert {r.id: r.next_value for r in got.collect()} == {r.id: r.n for r in timed.withColumn("n", F.lead("id").over(w)).collect()}
+    got = W.chunked_last_value(timed, ["session"], ["ts", "id"], "ts", "v")
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    assert {r.id: r.last_value for r in got.collect()} == {
+        r.id: r.x for r in timed.withColumn("x", F.last("v", ignorenulls=True).over(w)).collect()}
+    log = spark.createDataFrame([(1, 1, None, 5), (2, None, t0, 7), (3, 1, None, 2), (4, 1, t0, 1)],
+                                "request_id bigint, user_id bigint, ts timestamp_ntz, total_tokens bigint")
+    assert sorted((r.request_id, r.running_tokens) for r in token_running_total(log).collect()) == [(1, 5), (2, 7), (3, 7), (4, 1)]
 
 
 def test_parallel_summary_triggers_equal_fold(spark):
@@ -121,7 +138,7 @@ def test_hot_session_split_equals_fold(spark):
             [(1000 + k, 2, "cold", "user" if k % 3 else "assistant", "m") for k in range(1, 20)]
     msgs = spark.createDataFrame(rows_, "id bigint, user_id bigint, session string, role string, message string")
     a = sorted(tuple(r) for r in P.summary_triggers(msgs, threshold=5).collect())
-    b = sorted(tuple(r) for r in P.summary_triggers(msgs, threshold=5, hot_rows=50).collect())
+    b = sorted(tuple(r) for r in P.summary_triggers_parallel(msgs, threshold=5).collect())
     assert a == b and len(a) > 60
 
 

@@ -1,20 +1,17 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a dimension is broadcast (a few MB even for wide rows).
-BROADCAST_MAX_ROWS = 10_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
-    unchanged (a shuffle join, or AQE's own size-checked broadcast).
-
-    The check counts at most ``max_rows + 1`` rows (``limit`` first), so it is
-    cheap even when the side turns out to be large.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a null key meets a null key; the keys stand
+    once, as the left side has them.  It hashes and sorts like a plain equi-join."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])

@@ -6,7 +6,8 @@ does a third of the work.  Here the order key is coarsened into chunks (an
 order-preserving ``date_trunc``): rows are numbered only inside a
 (partition, chunk) window, and each chunk's offset is a running sum over the
 small per-chunk count table.  The result equals the plain window exactly,
-because chunks never reorder rows.
+because chunks never reorder rows; a null partition key is a partition of its
+own, as in a plain window.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.functions.dates import epoch_micros
+from wellspring.functions.joins import null_safe_join
 
 _LOW, _HIGH = -(2 ** 62), 2 ** 62
 
@@ -46,7 +48,7 @@ def chunked_row_number(df: DataFrame, partition: list[str], order: list[Column],
     offsets = counts.select(*partition, "_ck", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*partition, "_ck").orderBy(*order)
     ranked = d.withColumn("_rn", F.row_number().over(inner))
-    return (ranked.join(offsets, [*partition, "_ck"], "inner")
+    return (null_safe_join(ranked, offsets, [*partition, "_ck"])
             .withColumn(name, (F.col("_off") + F.col("_rn")).cast("int"))
             .drop("_ck", "_rn", "_off"))
 
@@ -64,7 +66,7 @@ def chunked_next(df: DataFrame, partition: list[str], ts: str, tie: str, value:
     inner = Window.partitionBy(*partition, "_ck").orderBy(ts, tie)
     led = d.withColumn("_lead", F.lead(F.col(value)).over(inner)) \
         .withColumn("_is_last", F.lead(F.lit(1)).over(inner).isNull())
-    return (led.join(nxt_chunk, [*partition, "_ck"], "inner")
+    return (null_safe_join(led, nxt_chunk, [*partition, "_ck"])
             .withColumn(name, F.when(F.col("_is_last"), F.col("_next_chunk")).otherwise(F.col("_lead")))
             .drop("_ck", "_lead", "_is_last", "_next_chunk"))
 
@@ -84,7 +86,7 @@ def chunked_last_value(df: DataFrame, partition: list[str], order: list[str], ts
     carry = per_chunk.select(*partition, "_ck", F.last("_v", ignorenulls=True).over(prev).alias("_carry"))
     inner = Window.partitionBy(*partition, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = d.withColumn("_in", F.last(F.col(value), ignorenulls=True).over(inner))
-    return (within.join(carry, [*partition, "_ck"], "inner")
+    return (null_safe_join(within, carry, [*partition, "_ck"])
             .withColumn(name, F.coalesce("_in", "_carry")).drop("_ck", "_in", "_carry"))
 
 

@@ -29,7 +29,6 @@ from wellspring.fixed_values import (CASUAL_PERSONA, CASUAL_SESSION, INTRO_AGE,
                                      SUMMARY_CLOSE_TEXT, SUMMARY_FIRST_TEXT, SUMMARY_SO_FAR_TEXT,
                                      SUMMARY_TRIGGER_DEFAULT, SUMMARY_UPDATE_TEXT)
 from wellspring.functions.dates import month_key
-from wellspring.functions.joins import broadcast_if_small
 from wellspring.session import materialize
 from wellspring.functions.windows import asof_mark, chunked_row_number
 
@@ -66,11 +65,11 @@ def profile_intro(users: DataFrame) -> DataFrame:
 def prompt_join(df: DataFrame, session_types: DataFrame, persona_col: str = "persona") -> DataFrame:
     """Attach the persona's system prompt; unknown personas get null.
 
-    The persona dimension has one row per persona; it is broadcast only after
-    a row-count check (:func:`broadcast_if_small`), otherwise joined normally.
+    The persona dimension has one row per persona; whether it is broadcast is
+    left to Spark's own size check.
     """
     p = session_types.select(F.col("persona").alias(persona_col), "prompt")
-    return df.join(broadcast_if_small(p), persona_col, "left")
+    return df.join(p, persona_col, "left")
 
 
 def conv_history(turns: DataFrame, session_types: DataFrame, users: DataFrame | None) -> DataFrame:
@@ -237,8 +236,7 @@ TRIGGER_SCHEMA = T.StructType([
 
 
 def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
-                     threshold: int = SUMMARY_TRIGGER_DEFAULT, mode: str = "max_id",
-                     hot_rows: int | None = None) -> DataFrame:
+                     threshold: int = SUMMARY_TRIGGER_DEFAULT, mode: str = "max_id") -> DataFrame:
     """For every user turn, whether at least ``threshold`` stored messages
     lie after the session's checkpoint (then a summary is made and the
     checkpoint moves).  System rows are not stored by the application and are
@@ -248,20 +246,10 @@ def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
 
     The initial checkpoint is the session's latest stored summary (0 if none).
     Sessions are hashed and each partition sorted by (user, session, id); the
-    fold keeps O(1) state per session in ``max_id`` mode.
-
-    ``hot_rows`` (``max_id`` mode): sessions with more stored rows than this go
-    to :func:`summary_triggers_parallel`, which splits one session's work
-    across tasks; the rest keep the fold.  Results are identical.
+    fold streams a session in O(1) state in ``max_id`` mode; where one session
+    holds a large share of all rows, :func:`summary_triggers_parallel` gives the
+    same rows with every session split over tasks.
     """
-    if hot_rows is not None and mode == "max_id":
-        key = ["user_id", "session"]
-        sizes = (messages.filter(F.col("role") != "system").groupBy(*key).agg(F.count(F.lit(1)).alias("_n")))
-        hot = sizes.filter(F.col("_n") > hot_rows).select(*key)
-        if hot.limit(1).count() > 0:          # one small action: any session over the bound?
-            cold = summary_triggers(messages.join(hot, key, "left_anti"), summaries, threshold, mode)
-            warm = summary_triggers_parallel(messages.join(hot, key, "left_semi"), summaries, threshold)
-            return cold.unionByName(warm.select(*cold.columns))
     m = messages.filter(F.col("role") != "system").select("user_id", "session", "id", "role")
     if summaries is not None:
         ck = summaries.groupBy("user_id", "session").agg(F.max("last_message_id").alias("init_checkpoint"))
@@ -355,7 +343,7 @@ def ingest_responses(responses: DataFrame, casual: bool = False) -> dict[str, Da
 
 
 def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None = None,
-                              threshold: int = SUMMARY_TRIGGER_DEFAULT, rounds: int | None = None) -> DataFrame:
+                              threshold: int = SUMMARY_TRIGGER_DEFAULT) -> DataFrame:
     """J4 in ``max_id`` mode without a per-session sequential pass (for hot sessions).
 
     With p the position of a stored (non-system) row in its session and q0 the
@@ -363,8 +351,8 @@ def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None =
     r1 = U(q0 + T), r(k+1) = U(r(k) + T), where U(x) is the first user turn at
     position >= x.  U is an as-of lookup; the chain is followed by pointer
     doubling (each round joins the jump table with itself and extends the
-    reached set), so every step is an equi-join and work is O(n log n) with
-    no task holding a whole session.  Turn outputs then follow from the
+    reached set, until no jump is left), so every step is an equi-join and work
+    is O(n log n) with no task holding a whole session.  Turn outputs then follow from the
     nearest trigger below each turn.  Equal to :func:`summary_triggers`.
     """
     m = messages.filter(F.col("role") != "system").select("user_id", "session", "id", "role")
@@ -376,6 +364,7 @@ def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None =
         m = m.withColumn("c0", F.lit(None).cast("bigint"))
     m = m.withColumn("c0", F.coalesce("c0", F.lit(0)).cast("bigint"))
     m = chunked_row_number(m, key, [F.col("id")], "id", unit=1_000_000, name="pos").withColumn("pos", F.col("pos").cast("bigint"))
+    m = materialize(m)  # read by five branches below
     q0 = (m.groupBy(*key).agg((F.count_if(F.col("id") <= F.col("c0")) + 1).cast("bigint").alias("q0"),
                               F.max("pos").alias("n")))
     users = m.filter(F.col("role") == "user").select(*key, "pos")
@@ -387,21 +376,18 @@ def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None =
         return got.withColumn(name, -F.col("_u")).drop("_negx", "_u")
 
     jump = first_user_at_or_after(users.withColumn("_x", F.col("pos") + threshold), "_x", "to").drop("_x")
+    jump = materialize(jump.filter(F.col("to").isNotNull()))
     start = first_user_at_or_after(q0.withColumn("_x", F.col("q0") + threshold), "_x", "pos") \
         .filter(F.col("pos").isNotNull()).select(*key, "pos")
-    if rounds is None:
-        longest = q0.agg(F.max("n")).first()[0] or 0        # one scalar: bounds the chain length
-        rounds = max(1, int(longest // max(threshold, 1)).bit_length() + 1)
     reached = start
-    for _ in range(rounds):
-        step = (reached.join(jump, [*key, "pos"], "inner").filter(F.col("to").isNotNull())
-                .select(*key, F.col("to").alias("pos")))
+    while not jump.isEmpty():
+        step = reached.join(jump, [*key, "pos"], "inner").select(*key, F.col("to").alias("pos"))
         # Both tables are read twice per round (their plans would double), so
         # each round's result is checkpointed.
         reached = materialize(reached.unionByName(step).distinct())
         jump = materialize(jump.alias("a").join(jump.alias("b"), [F.col("a.user_id") == F.col("b.user_id"),
                                                                     F.col("a.session") == F.col("b.session"),
-                                                                    F.col("a.to") == F.col("b.pos")], "left")
+                                                                    F.col("a.to") == F.col("b.pos")], "inner")
                            .select(F.col("a.user_id"), F.col("a.session"), F.col("a.pos"), F.col("b.to")))
     trig = reached.withColumn("_t", F.lit(True))
     # id at position p - 1 (the newest stored id before a turn): a shifted equi-join.

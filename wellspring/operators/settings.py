@@ -107,8 +107,9 @@ def read_properties(spark: SparkSession, paths: list[str] | str) -> tuple[DataFr
 
 def persona_table(spark: SparkSession) -> DataFrame:
     """A9/A2 seed rows: (id, persona, prompt) from the fixed list."""
-    return spark.createDataFrame([(i + 1, p, t) for i, (p, t) in enumerate(PERSONAS)],
-                                 "id bigint, persona string, prompt string")
+    rows = [F.struct(F.lit(i + 1).cast("long").alias("id"), F.lit(p).alias("persona"), F.lit(t).alias("prompt"))
+            for i, (p, t) in enumerate(PERSONAS)]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def persona_list(session_types: DataFrame) -> DataFrame:

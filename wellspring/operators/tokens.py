@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.functions.dates import month_key
+from wellspring.functions.joins import null_safe_join
 
 
 def token_increments(log: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def token_running_total(log: DataFrame, chunk: str = "hour") -> DataFrame:
     """Running token total per (user, month) in (ts, request_id) order.
 
     Two-level prefix sum: ``offset`` = sum of all earlier chunks of the
-    (user, month), then a window inside each chunk.
+    (user, month), then a window inside each chunk.  Rows without a time or
+    user stay: a null month is a month of its own.
     """
     inc = log.select("request_id", "user_id", month_key("ts").alias("month_year"),
                      F.col("total_tokens").cast("bigint").alias("tokens"), "ts",
@@ -56,7 +58,7 @@ def token_running_total(log: DataFrame, chunk: str = "hour") -> DataFrame:
     offsets = chunks.select(*key, "chunk", F.coalesce(F.sum("chunk_tokens").over(wc), F.lit(0)).alias("offset"))
     wr = Window.partitionBy(*key, "chunk").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
     within = inc.withColumn("within", F.sum("tokens").over(wr))
-    return (within.join(offsets, [*key, "chunk"], "inner")
+    return (null_safe_join(within, offsets, [*key, "chunk"])
             .select("request_id", *key, "ts", "tokens",
                     (F.col("offset") + F.col("within")).cast("bigint").alias("running_tokens")))
 

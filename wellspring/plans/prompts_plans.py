@@ -217,6 +217,5 @@ def _ingest_casual(fx):
 @register("summary_triggers_split", "J4 hot sessions", ["messages", "summaries"], "SELECT * FROM triggers",
           ctes=TRIGGER_SQL, recursive=True)
 def _summary_triggers_split(fx):
-    # hot_rows = 4: every session with more than four stored rows takes the
-    # parallel (pointer-doubling) path, so the check covers it on real data.
-    return P.summary_triggers(fx.messages, fx.summaries, threshold=THRESHOLD, hot_rows=4)
+    # The form for hot sessions (pointer doubling) on every session.
+    return P.summary_triggers_parallel(fx.messages, fx.summaries, threshold=THRESHOLD)

@@ -44,7 +44,8 @@ SELECT e.event_id AS seq, e.user_id, CAST(e.ts AS DATE) AS entry_date, e.ts,
  CASE WHEN e.event_type = 'view' THEN d.text END AS entry,
  CASE e.event_type WHEN 'click' THEN 'happy' WHEN 'purchase' THEN 'neutral' WHEN 'error' THEN 'angry'
    WHEN 'signup' THEN CASE WHEN e.event_id % 3 = 0 THEN 'sad' WHEN e.event_id % 3 = 1 THEN 'anxious' ELSE 'tired-5' END END AS mood
- FROM {events} e LEFT JOIN {documents} d ON d.doc_id = e.event_id % 200
+ FROM (SELECT *, event_id % (SELECT max(doc_id) + 1 FROM {documents}) AS text_id FROM {events}) e
+ LEFT JOIN {documents} d ON d.doc_id = e.text_id
 """,
     "token_log": """
 SELECT o_orderkey AS request_id, o_custkey AS user_id, o_orderdate AS ts, CAST(floor(o_totalprice) AS BIGINT) AS total_tokens FROM {orders}
@@ -62,8 +63,8 @@ SELECT event_id AS seq, ts, concat('10.0.0.', CAST(event_id % 40 AS STRING)) AS
  CASE WHEN regexp_extract(props, '[0-9]+', 0) = '7' THEN 'bot_value' END AS nickname FROM {events}
 """,
     "summaries": """
-WITH m AS (SELECT c.conv_id, c.turn, c.text FROM {conversations} c WHERE c.role = 'assistant')
- SELECT conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS session, substr(text, 1, 60) AS summary, conv_id * 100 + turn + 1 AS last_message_id FROM m WHERE turn < 4
+SELECT c.conv_id % 40 AS user_id, concat('session-', CAST(c.conv_id AS STRING)) AS session, c.text AS summary, c.conv_id * 100 + c.turn + 1 AS last_message_id
+ FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn WHERE c.role = 'assistant' AND e.event_type IN ('click', 'purchase')
 """,
     "user_country": """
 SELECT c_custkey AS user_id, CASE c_nationkey % 13 WHEN 0 THEN 'us' WHEN 1 THEN 'AU' WHEN 2 THEN 'CA' WHEN 3 THEN 'UK' WHEN 4 THEN 'FR' WHEN 5 THEN 'DE' WHEN 6 THEN 'JP' WHEN 7 THEN 'IN' WHEN 8 THEN 'NZ' WHEN 9 THEN 'SG' WHEN 10 THEN 'IE' WHEN 11 THEN 'ZZ' END AS country FROM {customer}

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,7 +143,8 @@ def snapshot_merge(path: str, keys: list[str]):
     Each micro-batch's updated rows replace their keys in the previous
     version (anti join + union) and the result is written as the batch's own
     version, so a retried batch rewrites the same version from the same
-    input (exactly-once), and readers always see a complete version.
+    input (exactly-once).  A version counts once its ``_SUCCESS`` file stands,
+    which the writer makes last.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -154,16 +156,16 @@ def snapshot_merge(path: str, keys: list[str]):
 
 def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The newest complete snapshot version (optionally older than ``before``)."""
-    try:
-        all_v = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no version written yet
-        return None
-    if before is not None:
-        all_v = all_v.filter(F.col("v") < before)
-    newest = all_v.agg(F.max("v")).first()[0]     # one scalar from the partition column
-    if newest is None:
-        return None
-    return all_v.filter(F.col("v") == newest).drop("v")
+    done = [v for v in _complete_versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/v={max(done)}") if done else None
+
+
+def _complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions whose write ended (one small file name each)."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [int(f.getPath().getParent().getName().removeprefix("v=")) for f in found or []]
 
 
 def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append",
@@ -192,5 +194,7 @@ def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append",
         return snap if snap is not None else spark.createDataFrame([], df.schema)
     try:
         return spark.read.schema(df.schema).parquet(out)
-    except Exception:  # noqa: BLE001 - no micro-batch produced output
-        return spark.createDataFrame([], df.schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # any other read error is the caller's to see
+            raise
+        return spark.createDataFrame([], df.schema)  # no micro-batch produced output
