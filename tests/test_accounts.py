@@ -34,6 +34,30 @@ def test_cleanup_keeps_token_expiring_exactly_now(spark):
     assert rows(cleaned.filter("reset_token IS NULL"), "user_id") == [(8,)]
 
 
+def test_redeemed_token_is_cleared_and_time_beats_number(spark):
+    red = spark.createDataFrame([
+        (21, ts("2024-01-01 10:40:00"), "t2"),   # later, although numbered first
+        (22, ts("2024-01-01 10:35:00"), "t2"),
+    ], "seq bigint, ts timestamp_ntz, token string")
+    done = A.reset_redeem(_issues(spark), red)
+    assert {r["seq"]: r["redeemed"] for r in done.collect()} == {21: False, 22: True}
+    state = A.reset_state(_issues(spark), done)
+    _, count = A.reset_cleanup(state, "2024-01-02 00:00:00")
+    assert count.collect()[0]["affected"] == 1   # t3; t2 was cleared on redemption
+
+
+def test_renames_run_in_order(spark):
+    from wellspring.operators import cascade as C
+    sessions = spark.createDataFrame([(1, n) for n in "abcde"], "user_id bigint, session_name string")
+    messages = spark.createDataFrame([(1, n) for n in ["a", "b", "c", "d", "e", "gone", None]], "user_id bigint, session string")
+    todo = [(1, "a", "x"), (2, "b", "x"), (3, "a", "y"), (4, "c", "c"), (5, "x", "z"), (6, "b", "x"), (7, "d", "e"), (8, "gone", "w")]
+    renames = spark.createDataFrame([(k, 1, o, n) for k, o, n in todo], "seq bigint, user_id bigint, old_name string, new_name string")
+    out = C.rename_cascade(sessions, messages, messages, renames)
+    assert sorted(r.session_name for r in out["sessions"].collect()) == ["c", "d", "e", "x", "z"]
+    assert sorted((r.session or "") for r in out["messages"].collect()) == ["", "c", "d", "e", "w", "x", "z"]
+    assert sorted(r.seq for r in out["rejects"].collect()) == [2, 7]
+
+
 def test_signup_makes_two_subscriptions_and_six_settings(spark):
     users = spark.createDataFrame([(1, "old@x.com")], "id bigint, email string")
     signups = spark.createDataFrame([

@@ -193,16 +193,30 @@ def reset_issue(sent: DataFrame, users: DataFrame) -> DataFrame:
                     (F.col("ts") + F.expr(f"INTERVAL {RESET_TOKEN_HOURS} HOURS")).alias("expires")))
 
 
-def reset_state(issues: DataFrame) -> DataFrame:
-    """Stored reset token per user after all issues: the last one wins."""
-    return (issues.groupBy("user_id")
-            .agg(F.max_by(F.struct("token", "expires"), "seq").alias("t"))
+def reset_state(issues: DataFrame, redemptions: DataFrame | None = None) -> DataFrame:
+    """Stored reset token per user after all issues and redemptions.
+
+    The last issue in (issued_at, seq) order wins; a successful redemption
+    (``redemptions`` is :func:`reset_redeem` output) clears token and expiry.
+    Only the newest token can be redeemed, so the stored one is cleared iff it
+    was redeemed itself.
+    """
+    last = (issues.groupBy("user_id")
+            .agg(F.max_by(F.struct("token", "expires"), F.struct("issued_at", "seq")).alias("t"))
             .select("user_id", F.col("t.token").alias("reset_token"), F.col("t.expires").alias("reset_token_expires")))
+    if redemptions is None:
+        return last
+    used = redemptions.filter("redeemed").select(F.col("token").alias("reset_token"), F.lit(True).alias("_used")).distinct()
+    keep = F.col("_used").isNull()
+    return last.join(used, "reset_token", "left").select(
+        "user_id", F.when(keep, F.col("reset_token")).alias("reset_token"),
+        F.when(keep, F.col("reset_token_expires")).alias("reset_token_expires"))
 
 
 def reset_redeem(issues: DataFrame, redemptions: DataFrame) -> DataFrame:
     """A redemption succeeds iff its token is the user's newest token
-    issued before it, not yet used, and ``expires > redemption time`` (strict).
+    issued before it, not yet used, and ``expires > redemption time`` (strict);
+    events are in (ts, seq) order, issues before redemptions of the same time.
 
     Issues and redemptions of a user are interleaved in time order; the
     current token at each redemption is ``last(token, ignorenulls)`` over the
@@ -222,7 +236,7 @@ def reset_redeem(issues: DataFrame, redemptions: DataFrame) -> DataFrame:
     cur = chunked_last_value(events, ["user_id"], ["ts", "kind", "seq"], "ts", "issued_token",
                              unit="day", name="current").filter(F.col("kind") == 1)
     cand = cur.withColumn("cand", (F.col("current") == F.col("token")) & (F.col("expires") > F.col("ts")))
-    firsts = (cand.filter("cand").groupBy("token").agg(F.min("seq").alias("first_ok")))
+    firsts = (cand.filter("cand").groupBy("token").agg(F.min_by("seq", F.struct("ts", "seq")).alias("first_ok")))
     judged = cand.join(firsts, "token", "left").select(
         "seq", (F.col("cand") & (F.col("seq") == F.col("first_ok"))).alias("ok"))
     return (redemptions.select("seq", "ts", "token").join(judged, "seq", "left")

@@ -9,6 +9,7 @@ small, so AQE picks broadcast or shuffle at runtime from actual sizes.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,49 +18,74 @@ def _flag(df: DataFrame, cols: list[str], name: str = "_hit") -> DataFrame:
     return df.select(*cols).distinct().withColumn(name, F.lit(True))
 
 
+_REPLAYED = "user_id bigint, old_name string, new_name string, seq bigint, reason string"
+
+
+def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+    """One user's renames in order.  ``seq`` is null on rows that name a session
+    which exists (``old_name``).  Gives a row per label that ends elsewhere and
+    one, with ``seq``, per rejected request."""
+    exists = set(rows.loc[rows["seq"].isna(), "old_name"])
+    todo = rows[rows["seq"].notna()].sort_values("seq")
+    now = {name: {name} for name in {*todo["old_name"], *todo["new_name"]}}  # where a label stands -> its first names
+    out = []
+    for seq, old, new in zip(todo["seq"], todo["old_name"], todo["new_name"]):
+        if old == new:
+            continue
+        if old in exists and new in exists:
+            out.append((old, new, seq, "name_exists"))
+            continue
+        if old in exists:
+            exists.remove(old)
+            exists.add(new)
+        now.setdefault(new, set()).update(now.pop(old, set()))
+    user = rows["user_id"].iloc[0]
+    out += [(first, name, None, None) for name, firsts in now.items() for first in firsts if first != name]
+    res = pd.DataFrame(out, columns=["old_name", "new_name", "seq", "reason"])
+    res.insert(0, "user_id", user)
+    return res.astype({"seq": "Int64"})
+
+
 def rename_cascade(sessions: DataFrame, messages: DataFrame, summaries: DataFrame,
                    renames: DataFrame) -> dict[str, DataFrame]:
     """H6: rename (user_id, old_name) -> new_name in sessions, messages and summaries.
 
-    A rename whose new name already exists for the user, or that shares its
-    target with another rename of the user, would break the unique key
-    (user_id, session_name); in the original that raises and rolls back, so
-    it changes nothing and goes to ``rejects``.
+    Requests of a user run one after another by ``seq``.  One whose source
+    exists and whose new name is another existing session's would break the
+    unique key (user_id, session_name); in the original that raises, so it
+    changes nothing and goes to ``rejects``.  A rename to its own name changes
+    nothing.  An unknown source renames no session but the labels of messages
+    and summaries that carry it.  Only names that requests mention enter the
+    replay, a task per user.
     """
-    r = renames.select("user_id", "old_name", "new_name")
-    taken = sessions.select("user_id", F.col("session_name").alias("new_name"), F.lit(True).alias("_taken")).distinct()
-    dup_t = r.groupBy("user_id", "new_name").agg(F.count("*").alias("_nt"))
-    dup_s = r.groupBy("user_id", "old_name").agg(F.count("*").alias("_ns"))
-    judged = (r.join(taken, ["user_id", "new_name"], "left").join(dup_t, ["user_id", "new_name"], "left")
-              .join(dup_s, ["user_id", "old_name"], "left"))
-    reason = (F.when(F.col("_taken").isNotNull(), F.lit("name_exists"))
-              .when(F.col("_nt") > 1, F.lit("duplicate_target"))
-              .when(F.col("_ns") > 1, F.lit("duplicate_source")))
-    judged = judged.withColumn("reason", reason)
-    ok = judged.filter(F.col("reason").isNull()).select("user_id", "old_name", "new_name")
-    rejects = judged.filter(F.col("reason").isNotNull()).select("user_id", "old_name", "new_name", "reason")
-
-    def apply(df: DataFrame, col: str) -> DataFrame:
-        m = ok.withColumnRenamed("old_name", col)
+    r = renames.select("seq", "user_id", "old_name", "new_name")
+    named = r.select("user_id", "old_name").unionByName(r.select("user_id", F.col("new_name").alias("old_name"))).distinct()
+    exists = (sessions.select("user_id", F.col("session_name").alias("old_name")).distinct()
+              .join(named, ["user_id", "old_name"], "left_semi")
+              .select(F.lit(None).cast("bigint").alias("seq"), "user_id", "old_name", F.lit(None).cast("string").alias("new_name")))
+    replayed = r.unionByName(exists).groupBy("user_id").applyInPandas(_replay, _REPLAYED)
+    moved = replayed.filter(F.col("reason").isNull()).select("user_id", "old_name", "new_name")
+    rejects = replayed.filter(F.col("reason").isNotNull()).select("seq", "user_id", "old_name", "new_name", "reason")
+
+    def apply(df: DataFrame, col: str, names: DataFrame) -> DataFrame:
+        m = names.withColumnRenamed("old_name", col)
         return (df.join(m, ["user_id", col], "left")
                 .withColumn(col, F.coalesce("new_name", col)).drop("new_name").select(*df.columns))
 
-    return {"sessions": apply(sessions, "session_name"), "messages": apply(messages, "session"),
-            "summaries": apply(summaries, "session"), "rejects": rejects}
+    return {"sessions": apply(sessions, "session_name", moved), "messages": apply(messages, "session", moved),
+            "summaries": apply(summaries, "session", moved), "rejects": rejects}
 
 
 def persona_merge(sessions: DataFrame, requests: DataFrame, session_types: DataFrame) -> dict[str, DataFrame]:
     """H7 + Q2: change the persona of (user_id, session_name); unknown personas are rejected.
 
-    Several valid requests for one session: the last (by ``seq`` if present) wins.
+    Of several valid requests for one session the last by ``seq`` wins.
     """
     known = _flag(session_types, ["persona"], "_known")
     judged = requests.join(known, "persona", "left")
     rejects = judged.filter(F.col("_known").isNull()).drop("_known")
     valid = judged.filter(F.col("_known").isNotNull())
-    order = "seq" if "seq" in requests.columns else None
-    last = (valid.groupBy("user_id", "session_name")
-            .agg((F.max_by("persona", order) if order else F.max("persona")).alias("_new")))
+    last = valid.groupBy("user_id", "session_name").agg(F.max_by("persona", "seq").alias("_new"))
     out = (sessions.join(last, ["user_id", "session_name"], "left")
            .withColumn("persona", F.coalesce("_new", "persona")).drop("_new").select(*sessions.columns))
     return {"sessions": out, "rejects": rejects}

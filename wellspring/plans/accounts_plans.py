@@ -41,7 +41,22 @@ issues AS (SELECT f.seq, u.id AS user_id, concat('rst', CAST(f.seq AS VARCHAR))
 
 STATE_SQL = ISSUES_SQL + """,
 state AS (SELECT user_id, p.token AS reset_token, p.expires AS reset_token_expires
-  FROM (SELECT user_id, arg_max(struct_pack(token := token, expires := expires), seq) AS p FROM issues GROUP BY user_id) t)"""
+  FROM (SELECT user_id, arg_max(struct_pack(token := token, expires := expires), struct_pack(t := issued_at, s := seq)) AS p FROM issues GROUP BY user_id) t)"""
+
+# Redemptions judged one by one in time order: the token must be the newest issued, unexpired and unused.
+REDEEM_SQL = """,
+known AS (SELECT r.seq, r.ts, r.token, i.user_id, i.expires FROM reset_redemptions r JOIN issues i ON i.token = r.token),
+cand AS (
+ SELECT k.seq, k.ts, k.token,
+  (SELECT i.token FROM issues i WHERE i.user_id = k.user_id AND i.issued_at <= k.ts ORDER BY i.issued_at DESC, i.seq DESC LIMIT 1) = k.token
+  AND k.expires > k.ts AS cand
+ FROM known k),
+used AS (SELECT token, seq FROM cand WHERE cand QUALIFY row_number() OVER (PARTITION BY token ORDER BY ts, seq) = 1)"""
+
+CLEARED_SQL = STATE_SQL + REDEEM_SQL + """,
+cleared AS (SELECT s.user_id, CASE WHEN u.token IS NULL THEN s.reset_token END AS reset_token,
+  CASE WHEN u.token IS NULL THEN s.reset_token_expires END AS reset_token_expires
+  FROM state s LEFT JOIN used u ON u.token = s.reset_token)"""
 
 
 def _issues(fx):
@@ -178,32 +193,28 @@ def _reset_issue(fx):
 
 
 @register("reset_redeem", "H17/T25", ["reset_requests", "users", "reset_redemptions"], """
-SELECT r.seq, r.ts, r.token, coalesce(j.ok, false) AS redeemed
-FROM reset_redemptions r LEFT JOIN (
- SELECT c.seq, c.cand AND c.seq = (SELECT min(c2.seq) FROM cand c2 WHERE c2.token = c.token AND c2.cand) AS ok FROM cand c) j
- ON j.seq = r.seq
-""", ctes=ISSUES_SQL + """,
-known AS (SELECT r.seq, r.ts, r.token, i.user_id, i.expires FROM reset_redemptions r JOIN issues i ON i.token = r.token),
-cand AS (
- SELECT k.seq, k.token,
-  (SELECT i.token FROM issues i WHERE i.user_id = k.user_id AND i.issued_at <= k.ts ORDER BY i.issued_at DESC, i.seq DESC LIMIT 1) = k.token
-  AND k.expires > k.ts AS cand
- FROM known k)""", recursive=True)
+SELECT r.seq, r.ts, r.token, u.seq IS NOT NULL AS redeemed FROM reset_redemptions r LEFT JOIN used u ON u.seq = r.seq
+""", ctes=ISSUES_SQL + REDEEM_SQL, recursive=True)
 def _reset_redeem(fx):
     return A.reset_redeem(_issues_table(fx), fx.reset_redemptions)
 
 
-@register("reset_cleanup", "H18", ["reset_requests", "users"], f"""
+def _state(fx):
+    issues = _issues_table(fx)
+    return A.reset_state(issues, A.reset_redeem(issues, fx.reset_redemptions))
+
+
+@register("reset_cleanup", "H18", ["reset_requests", "users", "reset_redemptions"], f"""
 SELECT user_id, CASE WHEN reset_token_expires < TIMESTAMP '{CLEANUP_AS_OF}' THEN NULL ELSE reset_token END AS reset_token,
  CASE WHEN reset_token_expires < TIMESTAMP '{CLEANUP_AS_OF}' THEN NULL ELSE reset_token_expires END AS reset_token_expires
-FROM state
-""", ctes=STATE_SQL, recursive=True)
+FROM cleared
+""", ctes=CLEARED_SQL, recursive=True)
 def _reset_cleanup(fx):
-    return A.reset_cleanup(A.reset_state(_issues(fx)), CLEANUP_AS_OF)[0]
+    return A.reset_cleanup(_state(fx), CLEANUP_AS_OF)[0]
 
 
-@register("expired_token_count", "D7", ["reset_requests", "users"], f"""
-SELECT count(*) FILTER (WHERE reset_token_expires < TIMESTAMP '{CLEANUP_AS_OF}') AS affected FROM state
-""", ctes=STATE_SQL, recursive=True)
+@register("expired_token_count", "D7", ["reset_requests", "users", "reset_redemptions"], f"""
+SELECT count(*) FILTER (WHERE reset_token_expires < TIMESTAMP '{CLEANUP_AS_OF}') AS affected FROM cleared
+""", ctes=CLEARED_SQL, recursive=True)
 def _expired_token_count(fx):
-    return A.reset_cleanup(A.reset_state(_issues(fx)), CLEANUP_AS_OF)[1]
+    return A.reset_cleanup(_state(fx), CLEANUP_AS_OF)[1]

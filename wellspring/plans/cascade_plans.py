@@ -10,14 +10,25 @@ from wellspring.operators.settings import settings_merge
 from wellspring.operators.tokens import token_ledger
 from wellspring.plans.registry import register
 
+# The requests of each user applied one by one to the list of session names and to every label named.
 RENAME_SQL = """
-judged AS (
- SELECT r.user_id, r.old_name, r.new_name,
-  CASE WHEN EXISTS (SELECT 1 FROM sessions s WHERE s.user_id = r.user_id AND s.session_name = r.new_name) THEN 'name_exists'
-   WHEN count(*) OVER (PARTITION BY r.user_id, r.new_name) > 1 THEN 'duplicate_target'
-   WHEN count(*) OVER (PARTITION BY r.user_id, r.old_name) > 1 THEN 'duplicate_source' END AS reason
- FROM rename_requests r),
-ok AS (SELECT user_id, old_name, new_name FROM judged WHERE reason IS NULL)"""
+todo AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM rename_requests),
+labels AS (SELECT user_id, list(DISTINCT l) AS orig FROM (
+  SELECT user_id, old_name AS l FROM rename_requests UNION ALL SELECT user_id, new_name FROM rename_requests) GROUP BY user_id),
+steps AS (
+ SELECT l.user_id, CAST(0 AS BIGINT) AS k, coalesce((SELECT list(session_name) FROM sessions s WHERE s.user_id = l.user_id), []) AS names,
+  orig, orig AS cur, CAST(NULL AS BIGINT) AS bad FROM labels l
+ UNION ALL
+ SELECT s.user_id, t.k,
+  CASE WHEN reject THEN names ELSE list_transform(names, lambda x: CASE WHEN x = t.old_name THEN t.new_name ELSE x END) END,
+  orig, CASE WHEN reject THEN cur ELSE list_transform(cur, lambda x: CASE WHEN x = t.old_name THEN t.new_name ELSE x END) END,
+  CASE WHEN reject THEN t.seq END
+ FROM (SELECT s.*, t.seq, t.old_name, t.new_name, t.old_name <> t.new_name AND list_contains(names, t.old_name) AND list_contains(names, t.new_name) AS reject
+       FROM steps s JOIN todo t ON t.user_id = s.user_id AND t.k = s.k + 1) s JOIN todo t ON t.user_id = s.user_id AND t.seq = s.seq),
+judged AS (SELECT t.seq, t.user_id, t.old_name, t.new_name, 'name_exists' AS reason FROM steps s JOIN todo t ON t.user_id = s.user_id AND t.seq = s.bad),
+ok AS (SELECT user_id, old_name, new_name FROM (
+  SELECT user_id, unnest(orig) AS old_name, unnest(cur) AS new_name FROM steps s
+  WHERE k = (SELECT max(k) FROM steps z WHERE z.user_id = s.user_id)) WHERE old_name <> new_name)"""
 
 
 def _rename(fx):
@@ -27,7 +38,7 @@ def _rename(fx):
 @register("rename_cascade", "H6", ["sessions", "messages", "summaries", "rename_requests"], """
 SELECT m.id, m.user_id, coalesce(ok.new_name, m.session) AS session, m.role, m.timestamp, m.archive
 FROM messages m LEFT JOIN ok ON ok.user_id = m.user_id AND ok.old_name = m.session
-""", ctes=RENAME_SQL)
+""", ctes=RENAME_SQL, recursive=True)
 def _rename_cascade(fx):
     return _rename(fx)["messages"].select("id", "user_id", "session", "role", "timestamp", "archive")
 
@@ -35,7 +46,7 @@ def _rename_cascade(fx):
 @register("rename_cascade_sessions", "H6", ["sessions", "rename_requests"], """
 SELECT s.user_id, coalesce(ok.new_name, s.session_name) AS session_name, s.persona, s.start_date, s.current
 FROM sessions s LEFT JOIN ok ON ok.user_id = s.user_id AND ok.old_name = s.session_name
-""", ctes=RENAME_SQL)
+""", ctes=RENAME_SQL, recursive=True)
 def _rename_cascade_sessions(fx):
     return C.rename_cascade(fx.sessions, fx.messages, fx.summaries, fx.rename_requests)["sessions"]
 
@@ -43,13 +54,13 @@ def _rename_cascade_sessions(fx):
 @register("rename_cascade_summaries", "H6", ["sessions", "summaries", "rename_requests"], """
 SELECT s.user_id, coalesce(ok.new_name, s.session) AS session, s.summary, s.last_message_id
 FROM summaries s LEFT JOIN ok ON ok.user_id = s.user_id AND ok.old_name = s.session
-""", ctes=RENAME_SQL)
+""", ctes=RENAME_SQL, recursive=True)
 def _rename_cascade_summaries(fx):
     return C.rename_cascade(fx.sessions, fx.messages, fx.summaries, fx.rename_requests)["summaries"]
 
 
 @register("rename_rejects", "H6", ["sessions", "rename_requests"],
-          "SELECT user_id, old_name, new_name, reason FROM judged WHERE reason IS NOT NULL", ctes=RENAME_SQL)
+          "SELECT seq, user_id, old_name, new_name, reason FROM judged", ctes=RENAME_SQL, recursive=True)
 def _rename_rejects(fx):
     return C.rename_cascade(fx.sessions, fx.messages, fx.summaries, fx.rename_requests)["rejects"]
 
@@ -61,7 +72,7 @@ def _persona(fx):
 @register("persona_merge", "H7/Q2", ["sessions", "persona_requests"], """
 SELECT s.user_id, s.session_name, coalesce(p.persona, s.persona) AS persona, s.start_date, s.current
 FROM sessions s LEFT JOIN (
- SELECT user_id, session_name, max(persona) AS persona FROM persona_requests
+ SELECT user_id, session_name, arg_max(persona, seq) AS persona FROM persona_requests
  WHERE persona IN (SELECT persona FROM sessions) GROUP BY user_id, session_name) p
 ON p.user_id = s.user_id AND p.session_name = s.session_name
 """)
@@ -96,21 +107,21 @@ def _delete_open(fx):
     return C.delete_open(fx.messages, fx.archive_requests)
 
 
-@register("delete_session_cascade", "H10", ["messages", "persona_requests"], """
+@register("delete_session_cascade", "H10", ["messages", "session_deletes"], """
 SELECT m.id, m.user_id, m.session FROM messages m
-WHERE NOT EXISTS (SELECT 1 FROM persona_requests d WHERE d.user_id = m.user_id AND d.session_name = m.session)
+WHERE NOT EXISTS (SELECT 1 FROM session_deletes d WHERE d.user_id = m.user_id AND d.session_name = m.session)
 """)
 def _delete_session_cascade(fx):
-    out = C.delete_session_cascade(fx.sessions, fx.messages, fx.summaries, fx.persona_requests)
+    out = C.delete_session_cascade(fx.sessions, fx.messages, fx.summaries, fx.session_deletes)
     return out["messages"].select("id", "user_id", "session")
 
 
-@register("delete_session_sessions", "H10", ["sessions", "persona_requests"], """
+@register("delete_session_sessions", "H10", ["sessions", "session_deletes"], """
 SELECT s.* FROM sessions s
-WHERE NOT EXISTS (SELECT 1 FROM persona_requests d WHERE d.user_id = s.user_id AND d.session_name = s.session_name)
+WHERE NOT EXISTS (SELECT 1 FROM session_deletes d WHERE d.user_id = s.user_id AND d.session_name = s.session_name)
 """)
 def _delete_session_sessions(fx):
-    return C.delete_session_cascade(fx.sessions, fx.messages, fx.summaries, fx.persona_requests)["sessions"]
+    return C.delete_session_cascade(fx.sessions, fx.messages, fx.summaries, fx.session_deletes)["sessions"]
 
 
 @register("clear_history", "H11/T19", ["messages", "summaries", "erase_requests"], """

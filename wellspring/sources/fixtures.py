@@ -79,17 +79,29 @@ SELECT event_id AS seq, user_id % 40 AS user_id, ts,
  CASE event_id % 3 WHEN 0 THEN 'CBT' WHEN 1 THEN 'DBT' ELSE 'Life Coach' END AS persona
  FROM {events} WHERE event_type <> 'error'
 """,
-    # Session renames: (user, old name) -> new name; some new names clash with existing ones.
+    # Session renames in request order: clashes with existing names, renames to the own name,
+    # a second rename of the same source, chains in either order, shared targets, unknown sources.
     "rename_requests": """
-SELECT conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS old_name,
- CASE WHEN conv_id % 11 = 0 THEN concat('session-', CAST(conv_id + 40 AS STRING)) ELSE concat('renamed-', CAST(conv_id AS STRING)) END AS new_name
+SELECT conv_id * 8 + 4 AS seq, conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS old_name,
+ CASE WHEN conv_id % 11 = 0 THEN concat('session-', CAST(conv_id + 40 AS STRING)) WHEN conv_id % 13 = 0 THEN concat('session-', CAST(conv_id AS STRING))
+  WHEN conv_id % 7 = 0 THEN 'shared' ELSE concat('renamed-', CAST(conv_id AS STRING)) END AS new_name
  FROM {conversations} WHERE turn = 0
-""",
-    # Persona changes, with unknown personas that must be rejected.
+UNION ALL
+SELECT event_id + CASE WHEN event_type = 'click' THEN 5 ELSE 3 END AS seq, (event_id / 8) % 40 AS user_id,
+ CASE WHEN event_type = 'view' THEN concat('session-', CAST(event_id / 8 AS STRING)) ELSE concat('renamed-', CAST(event_id / 8 AS STRING)) END AS old_name,
+ concat('again-', CAST(event_id / 8 AS STRING)) AS new_name
+ FROM (SELECT conv_id * 8 AS event_id FROM {conversations} WHERE turn = 0) c JOIN {events} USING (event_id) WHERE event_type <> 'purchase'
+""".replace("event_id / 8", "CAST(floor(event_id / 8) AS BIGINT)"),
+    # Persona changes in request order, several for a session, with unknown personas that must be rejected.
     "persona_requests": """
-SELECT conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS session_name,
- CASE conv_id % 8 WHEN 0 THEN 'DBT' WHEN 2 THEN 'InvalidType' WHEN 4 THEN 'Reflective' ELSE 'CBT' END AS persona
- FROM {conversations} WHERE turn = 0
+SELECT conv_id * 8 + turn AS seq, conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS session_name,
+ CASE (conv_id + turn * 3) % 8 WHEN 0 THEN 'DBT' WHEN 2 THEN 'InvalidType' WHEN 4 THEN 'Reflective' ELSE 'CBT' END AS persona
+ FROM {conversations}
+""",
+    # Sessions to delete; some names are unknown.
+    "session_deletes": """
+SELECT c.conv_id % 40 AS user_id, concat(CASE WHEN e.event_type = 'signup' THEN 'unknown-' ELSE 'session-' END, CAST(c.conv_id AS STRING)) AS session_name
+ FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn WHERE c.turn = 0 AND e.event_type <> 'view'
 """,
     # Users to erase.
     "erase_requests": """
@@ -132,13 +144,14 @@ SELECT event_id AS seq, ts, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id %
  concat('rtok', CAST(event_id AS STRING)) AS token FROM {events} WHERE event_type = 'error'
 """,
     # Password-reset redemptions: a token named after a reset request (seq), redeemed
-    # 0-99 minutes later; some tokens are bogus, some are redeemed twice.
+    # 0-99 minutes later; some tokens are bogus, some are redeemed twice, the later
+    # number five minutes before the earlier one.
     "reset_redemptions": """
 SELECT event_id * 2 AS seq, ts + (event_id % 100) * INTERVAL 1 MINUTE AS ts,
  CASE WHEN event_id % 10 = 0 THEN 'bogus' ELSE concat('rst', CAST(event_id AS STRING)) END AS token
  FROM {events} WHERE event_type IN ('click', 'view', 'purchase')
 UNION ALL
-SELECT event_id * 2 + 1 AS seq, ts + (event_id % 100 + 5) * INTERVAL 1 MINUTE AS ts, concat('rst', CAST(event_id AS STRING)) AS token
+SELECT event_id * 2 + 1 AS seq, ts + (event_id % 100 - 5) * INTERVAL 1 MINUTE AS ts, concat('rst', CAST(event_id AS STRING)) AS token
  FROM {events} WHERE event_type = 'click'
 """,
     # Journal delete requests.
