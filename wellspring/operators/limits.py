@@ -12,7 +12,8 @@ depend on its earlier allowed requests, but the state is provably empty after
 any gap longer than the window, so each key is cut at such gaps into
 independent segments that are folded in parallel (exact, see
 ``_with_segments``).  Only a key with continuous traffic and no idle window
-stays one sequential segment; that costs one task time, never memory.
+stays one sequential segment; that costs one task time, never memory.  Rows
+that use no quota (bots, requests an earlier limit denied) are dealt out evenly.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def _with_segments(src: DataFrame, key: str, window_us: int, eligible: str | Non
     gap = (F.col("_b") - F.lag("_b").over(w)) >= 2
     seg = buckets.withColumn("_seg", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(
         w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    # Rows that skip the fold (not eligible) pass through in segment -1.
+    # Rows that skip the fold (not eligible) have no segment.
     return (src.withColumn("_b", b).join(seg.withColumnRenamed("_seg", out_col), [key, "_b"], "left")
             .withColumn(out_col, F.coalesce(out_col, F.lit(-1)).cast("bigint")).drop("_b"))
 
@@ -118,6 +119,10 @@ def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQU
         src = _with_segments(src, key, window_us, eligible)
     else:
         src = src.withColumnRenamed(segment_col, "_seg")
+    if eligible is not None:
+        # Rows that skip the fold are dealt out evenly, not to their key's task.
+        src = src.withColumn("_seg", F.when(F.coalesce(F.col(eligible), F.lit(False)), F.col("_seg"))
+                             .otherwise(-1 - F.pmod(F.xxhash64(seq_col), F.lit(1024))))
     ordered = (src.repartition(key, "_seg")
                .sortWithinPartitions(key, "_seg", ts_col, seq_col))
     fold = _fold(key, max_requests, window_us, eligible)

@@ -27,16 +27,16 @@ SELECT c_custkey AS id, c_name AS username, concat('user', CAST(c_custkey AS STR
 """,
     # messages: the application's conversations table
     "messages": """
-SELECT c.conv_id * 100 + c.turn + 1 AS id, c.conv_id % 40 AS user_id, c.text AS message, c.role AS role, e.ts AS timestamp,
+SELECT c.conv_id * 100 + c.turn + 1 AS id, CAST(floor(c.conv_id / 6) AS BIGINT) AS user_id, c.text AS message, c.role AS role, e.ts AS timestamp,
  e.event_type = 'view' AS archive, concat('session-', CAST(c.conv_id AS STRING)) AS session
  FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn
 """,
     "sessions": """
 WITH k AS (SELECT conv_id, concat('session-', CAST(conv_id AS STRING)) AS session_name, conv_id * 8 AS eid FROM {conversations} WHERE turn = 0
  UNION ALL SELECT event_id AS conv_id, concat('empty-', CAST(event_id AS STRING)) AS session_name, event_id AS eid FROM {events} WHERE event_type = 'signup' AND event_id % 17 = 0)
- SELECT conv_id % 40 AS user_id, session_name, e.ts AS start_date,
+ SELECT CAST(floor(conv_id / 6) AS BIGINT) AS user_id, session_name, e.ts AS start_date,
  CASE conv_id % 6 WHEN 0 THEN 'CBT' WHEN 1 THEN 'DEMO' WHEN 2 THEN 'DBT' WHEN 3 THEN 'Reflective' WHEN 4 THEN 'Casual Chat' ELSE 'Life Coach' END AS persona,
- row_number() OVER (PARTITION BY conv_id % 40 ORDER BY e.ts DESC, session_name DESC) = 1 AS current
+ row_number() OVER (PARTITION BY CAST(floor(conv_id / 6) AS BIGINT) ORDER BY e.ts DESC, session_name DESC) = 1 AS current
  FROM k JOIN {events} e ON e.event_id = k.eid
 """,
     "journal_log": """
@@ -58,12 +58,12 @@ SELECT event_id AS seq, user_id, CASE event_id % 6 WHEN 0 THEN 'model' WHEN 1 TH
 SELECT event_id AS seq, user_id, CASE WHEN value < 20 THEN 'basic' WHEN value < 60 THEN 'professional' ELSE 'premium' END AS plan_type, ts FROM {events} WHERE event_type = 'purchase'
 """,
     "reset_requests": """
-SELECT event_id AS seq, ts, concat('10.0.0.', CAST(event_id % 40 AS STRING)) AS ip,
+SELECT event_id AS seq, ts, CASE WHEN event_type = 'click' THEN '10.0.0.1' ELSE concat('10.1.', CAST(user_id AS STRING)) END AS ip,
  CASE WHEN regexp_extract(props, '[0-9]+', 0) = '13' THEN 'invalid-email-format' WHEN regexp_extract(props, '[0-9]+', 0) = '14' THEN concat('ghost', CAST(user_id AS STRING), '@example.com') ELSE concat('  User', CAST(user_id AS STRING), '@Example.com ') END AS email_raw,
  CASE WHEN regexp_extract(props, '[0-9]+', 0) = '7' THEN 'bot_value' END AS nickname FROM {events}
 """,
     "summaries": """
-SELECT c.conv_id % 40 AS user_id, concat('session-', CAST(c.conv_id AS STRING)) AS session, c.text AS summary, c.conv_id * 100 + c.turn + 1 AS last_message_id
+SELECT CAST(floor(c.conv_id / 6) AS BIGINT) AS user_id, concat('session-', CAST(c.conv_id AS STRING)) AS session, c.text AS summary, c.conv_id * 100 + c.turn + 1 AS last_message_id
  FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn WHERE c.role = 'assistant' AND e.event_type IN ('click', 'purchase')
 """,
     "user_country": """
@@ -72,35 +72,36 @@ SELECT c_custkey AS user_id, CASE c_nationkey % 13 WHEN 0 THEN 'us' WHEN 1 THEN
     # --- further change logs and request tables (same rule: derived from the driver tables) ---
     # Session switches: creates add a new name, restores name a session that may or may not exist.
     "switch_log": """
-SELECT event_id AS seq, user_id % 40 AS user_id, ts,
+SELECT seq, CASE WHEN event_type = 'view' AND value > 90 THEN user_id ELSE CAST(floor(conv_id / 6) AS BIGINT) END AS user_id, ts,
  CASE WHEN event_type IN ('click', 'view') THEN 'restore' ELSE 'create' END AS action,
- CASE WHEN event_type IN ('click', 'view') THEN concat('session-', CAST(event_id % 100 AS STRING))
-      ELSE concat('new-', CAST(event_id AS STRING)) END AS session_name,
- CASE event_id % 3 WHEN 0 THEN 'CBT' WHEN 1 THEN 'DBT' ELSE 'Life Coach' END AS persona
- FROM {events} WHERE event_type <> 'error'
+ CASE WHEN event_type IN ('click', 'view') THEN concat('session-', CAST(conv_id AS STRING))
+      ELSE concat('new-', CAST(seq AS STRING)) END AS session_name,
+ CASE seq % 3 WHEN 0 THEN 'CBT' WHEN 1 THEN 'DBT' ELSE 'Life Coach' END AS persona
+ FROM (SELECT event_id AS seq, user_id, ts, event_type, value, event_id % (SELECT max(conv_id) + 1 FROM {conversations}) AS conv_id FROM {events}
+  WHERE event_type <> 'error') e
 """,
     # Session renames in request order: clashes with existing names, renames to the own name,
     # a second rename of the same source, chains in either order, shared targets, unknown sources.
     "rename_requests": """
-SELECT conv_id * 8 + 4 AS seq, conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS old_name,
- CASE WHEN conv_id % 11 = 0 THEN concat('session-', CAST(conv_id + 40 AS STRING)) WHEN conv_id % 13 = 0 THEN concat('session-', CAST(conv_id AS STRING))
+SELECT conv_id * 8 + 4 AS seq, CAST(floor(conv_id / 6) AS BIGINT) AS user_id, concat('session-', CAST(conv_id AS STRING)) AS old_name,
+ CASE WHEN conv_id % 11 = 0 THEN concat('session-', CAST(conv_id + 1 AS STRING)) WHEN conv_id % 13 = 0 THEN concat('session-', CAST(conv_id AS STRING))
   WHEN conv_id % 7 = 0 THEN 'shared' ELSE concat('renamed-', CAST(conv_id AS STRING)) END AS new_name
  FROM {conversations} WHERE turn = 0
 UNION ALL
-SELECT event_id + CASE WHEN event_type = 'click' THEN 5 ELSE 3 END AS seq, (event_id / 8) % 40 AS user_id,
+SELECT event_id + CASE WHEN event_type = 'click' THEN 5 ELSE 3 END AS seq, CAST(floor(floor(event_id / 8) / 6) AS BIGINT) AS user_id,
  CASE WHEN event_type = 'view' THEN concat('session-', CAST(event_id / 8 AS STRING)) ELSE concat('renamed-', CAST(event_id / 8 AS STRING)) END AS old_name,
  concat('again-', CAST(event_id / 8 AS STRING)) AS new_name
  FROM (SELECT conv_id * 8 AS event_id FROM {conversations} WHERE turn = 0) c JOIN {events} USING (event_id) WHERE event_type <> 'purchase'
 """.replace("event_id / 8", "CAST(floor(event_id / 8) AS BIGINT)"),
     # Persona changes in request order, several for a session, with unknown personas that must be rejected.
     "persona_requests": """
-SELECT conv_id * 8 + turn AS seq, conv_id % 40 AS user_id, concat('session-', CAST(conv_id AS STRING)) AS session_name,
+SELECT conv_id * 8 + turn AS seq, CAST(floor(conv_id / 6) AS BIGINT) AS user_id, concat('session-', CAST(conv_id AS STRING)) AS session_name,
  CASE (conv_id + turn * 3) % 8 WHEN 0 THEN 'DBT' WHEN 2 THEN 'InvalidType' WHEN 4 THEN 'Reflective' ELSE 'CBT' END AS persona
  FROM {conversations}
 """,
     # Sessions to delete; some names are unknown.
     "session_deletes": """
-SELECT c.conv_id % 40 AS user_id, concat(CASE WHEN e.event_type = 'signup' THEN 'unknown-' ELSE 'session-' END, CAST(c.conv_id AS STRING)) AS session_name
+SELECT CAST(floor(c.conv_id / 6) AS BIGINT) AS user_id, concat(CASE WHEN e.event_type = 'signup' THEN 'unknown-' ELSE 'session-' END, CAST(c.conv_id AS STRING)) AS session_name
  FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn WHERE c.turn = 0 AND e.event_type <> 'view'
 """,
     # Users to erase.
@@ -160,7 +161,7 @@ SELECT event_id AS seq, user_id, CAST(ts AS DATE) AS entry_date, ts FROM {events
 """,
     # Archive requests (new-chat): a name re-labels every open message of the user.
     "archive_requests": """
-SELECT c_custkey AS seq, c_custkey % 40 AS user_id, CASE WHEN c_custkey % 2 = 0 THEN concat('archived-', CAST(c_custkey AS STRING)) END AS new_name
+SELECT c_custkey AS seq, CAST(floor(c_custkey / 9) AS BIGINT) AS user_id, CASE WHEN c_custkey % 2 = 0 THEN concat('archived-', CAST(c_custkey AS STRING)) END AS new_name
  FROM {customer} WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')
 """,
     # Request log for the access gate.
@@ -172,7 +173,7 @@ SELECT event_id AS seq, ts, CASE event_id % 12 WHEN 0 THEN '/' WHEN 1 THEN '/pro
 """,
     # Chat request bodies as JSON text (client payload); some are malformed or miss fields.
     "chat_bodies": """
-SELECT c.conv_id * 100 + c.turn + 1 AS request_id, c.conv_id % 40 AS user_id, e.ts,
+SELECT c.conv_id * 100 + c.turn + 1 AS request_id, CAST(floor(c.conv_id / 6) AS BIGINT) AS user_id, e.ts,
  CASE WHEN c.turn = 7 THEN concat(chr(123), '"messages": [')
   WHEN c.turn = 5 THEN concat(chr(123), '"messages": [], "session_name": "session-', CAST(c.conv_id AS STRING), '"', chr(125))
   ELSE concat(chr(123), '"messages": [', chr(123), '"role": "user", "content": "turn ', CAST(c.turn AS STRING), '"', chr(125),
@@ -181,7 +182,7 @@ SELECT c.conv_id * 100 + c.turn + 1 AS request_id, c.conv_id % 40 AS user_id, e.
 """,
     # Model responses for chat turns (user message + reply + token counts).
     "responses": """
-SELECT c.conv_id * 100 + c.turn + 1 AS request_id, c.conv_id % 40 AS user_id, concat('session-', CAST(c.conv_id AS STRING)) AS session,
+SELECT c.conv_id * 100 + c.turn + 1 AS request_id, CAST(floor(c.conv_id / 6) AS BIGINT) AS user_id, concat('session-', CAST(c.conv_id AS STRING)) AS session,
  e.ts, c.text AS user_input, concat('Reply to turn ', CAST(c.turn AS STRING)) AS reply,
  CAST(10 + c.turn AS BIGINT) AS prompt_tokens, CAST(20 + length(c.text) % 50 AS BIGINT) AS completion_tokens
  FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn WHERE c.role = 'user'
