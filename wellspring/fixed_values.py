@@ -81,13 +81,11 @@ APP_DEFAULTS = [
 # Properties key renamed on load, and the fallback summary_count.
 PROPERTIES_RENAME = ("msg_retention", "summary_count")
 SUMMARY_COUNT_FALLBACK = "100"
-# Keys the settings form writes.
-SETTINGS_FORM_KEYS = ["typing_delay", "voice", "msg_retention", "model", "theme", "summary_count"]
 
 # Subscription plans and billing cycles.
 PLANS = ["basic", "professional", "premium"]
 BILLING_CYCLES = ["monthly", "yearly"]
-PAYMENT_STATUSES = ["active", "cancelled", "expired"]
+PAYMENT_STATUSES = ["pending", "paid", "failed"]
 ROLES = ["user", "assistant", "system"]
 
 # Mood score for the chart; any other mood scores 1.
@@ -119,7 +117,6 @@ REFLECTION_EMPTY_TEXT = "No journal entries found for this period."
 REFLECTION_SYSTEM_TEXT = "You are a gentle, empathetic mental health assistant who summarizes journals with care and insight."
 REFLECTION_USER_TEXT = "Summarize the following journal entries and offer a gentle reflection:\n\n{entries}"
 REFLECTION_LAST_N = 10
-REFLECTION_MODEL = "gpt-3.5-turbo"
 INSIGHT_WINDOWS = [7, 30, 90]
 
 # Profile intro sentence parts.
@@ -147,8 +144,4 @@ PUBLIC_PATHS = ["/", "/signin", "/signup_with_plan", "/subscribe", "/verify_emai
                 "/contact", "/debug"]
 PUBLIC_PREFIXES = ["/static/", "/api/public/"]
 
-# Delete order for erasing a user (children first).
-ERASE_ORDER = ["conversations", "summaries", "sessions", "user_settings", "journals",
-               "token_usage", "subscriptions", "users"]
-
 # --- end of fixed values ----------------------------------------------------

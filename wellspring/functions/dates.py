@@ -61,11 +61,6 @@ def daypart(ts) -> Column:
     return expr.otherwise(F.lit(DAYPART_OTHER))
 
 
-def whole_minutes(seconds) -> Column:
-    """``seconds // 60``."""
-    return F.floor(_c(seconds) / 60).cast("bigint")
-
-
 def parse_strict_date(x) -> Column:
     """Q6: ``%Y-%m-%d`` text (Python also takes one-digit month/day) -> DATE, else null."""
     c = _c(x)

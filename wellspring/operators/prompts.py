@@ -72,27 +72,6 @@ def prompt_join(df: DataFrame, session_types: DataFrame, persona_col: str = "per
     return df.join(p, persona_col, "left")
 
 
-def conv_history(turns: DataFrame, session_types: DataFrame, users: DataFrame | None) -> DataFrame:
-    """K2: [system prompt] + [profile intro, when the user has a profile] + client history.
-
-    ``turns``: (request_id, user_id, persona[, history array<struct<role,content>>]).
-    Returns message rows.
-    """
-    t = prompt_join(turns, session_types)
-    rows = t.select("request_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("pos"),
-                    F.lit("system").alias("role"), F.col("prompt").alias("content"))
-    if users is not None:
-        intro = profile_intro(users)
-        rows = rows.unionByName(t.join(intro, "user_id", "inner").select(
-            "request_id", F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("pos"),
-            F.lit("system").alias("role"), F.col("intro").alias("content")))
-    if "history" in turns.columns:
-        rows = rows.unionByName(turns.select("request_id", F.posexplode("history").alias("p", "m")).select(
-            "request_id", F.lit(2).alias("part"), F.col("p").cast("bigint").alias("pos"),
-            F.col("m.role").alias("role"), F.col("m.content").alias("content")))
-    return rows
-
-
 def summary_as_of(turns: DataFrame, summaries: DataFrame) -> DataFrame:
     """Latest summary of each turn's session stored before the turn (checkpoint < turn id).
 

@@ -63,7 +63,7 @@ def fk_orphans(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
     parts = []
     for child, ccols, parent, pcols in fks:
         if child not in tables or parent not in tables:
-            continue
+            raise ValueError(f"foreign key {child}.{ccols} -> {parent}: name both tables or leave the key out of fks")
         c = tables[child].select(*[F.col(x) for x in ccols]).filter(F.col(ccols[0]).isNotNull())
         p = tables[parent].select(*[F.col(pc).alias(cc) for pc, cc in zip(pcols, ccols)]).distinct()
         orphan = (c.join(p, ccols, "left_anti").groupBy(*ccols).agg(F.count("*").alias("rows"))

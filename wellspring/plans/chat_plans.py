@@ -8,14 +8,18 @@ from wellspring.operators import chat
 from wellspring.plans.registry import register
 
 
+# Messages summed up per session first, then put beside the sessions that are not current.
+HISTORY_SQL = """
+seen AS (SELECT user_id, session AS session_name, max(timestamp) AS newest, count(*) AS n FROM messages GROUP BY user_id, session),
+past AS (SELECT * FROM sessions WHERE NOT current)"""
+
+
 @register("chat_history", "D1/F1", ["sessions", "messages"], """
-SELECT s.user_id, s.session_name, s.persona AS type, s.start_date, MAX(c.timestamp) AS last_message,
- COUNT(c.id) AS message_count,
- CAST(row_number() OVER (PARTITION BY s.user_id ORDER BY MAX(c.timestamp) DESC NULLS LAST, s.session_name) AS INTEGER) AS position
-FROM sessions s LEFT JOIN messages c ON s.user_id = c.user_id AND s.session_name = c.session
-WHERE NOT s.current
-GROUP BY s.user_id, s.session_name, s.persona, s.start_date
-""")
+SELECT past.user_id, past.session_name, past.persona AS type, past.start_date, seen.newest AS last_message,
+ coalesce(seen.n, 0) AS message_count,
+ CAST(row_number() OVER (PARTITION BY past.user_id ORDER BY seen.newest DESC NULLS LAST, past.session_name) AS INTEGER) AS position
+FROM past LEFT JOIN seen USING (user_id, session_name)
+""", ctes=HISTORY_SQL)
 def _chat_history(fx):
     return chat.chat_history(fx.sessions, fx.messages)
 
@@ -139,9 +143,9 @@ def _thread_labels(fx):
     return chat.thread_labels(fx.messages)
 
 
-@register("current_flag_check", "D8", ["sessions"], """
+@register("current_flag_check", "D8", ["faulty_sessions"], """
 SELECT user_id, CAST(sum(CAST(current AS INTEGER)) AS BIGINT) AS current_count, count(*) AS session_count
-FROM sessions GROUP BY user_id HAVING sum(CAST(current AS INTEGER)) <> 1
+FROM faulty_sessions GROUP BY user_id HAVING sum(CAST(current AS INTEGER)) <> 1
 """)
 def _current_flag_check(fx):
-    return chat.current_flag_check(fx.sessions)
+    return chat.current_flag_check(fx.faulty_sessions)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import dates as D
 from wellspring.operators import journal as J
 from wellspring.plans.registry import register
-from wellspring.sources.fixtures import AS_OF
+from wellspring.sources.fixtures import AS_OF, halves
 
 # Keywords that occur in the test prose (the application's defaults do not).
 TEST_THEMES = ["work", "worthless", "idiot", "with", "that"]
@@ -69,6 +69,13 @@ def _journal_merge(fx):
     return _journals(fx)
 
 
+@register("journal_merge_base", "H1", ["journal_log"], "SELECT * FROM journals", ctes=JOURNALS_SQL, dates=["entry_date"])
+def _journal_merge_base(fx):
+    # The first half of the log makes a table, the second is merged into it.
+    first, second = halves(fx.journal_log)
+    return J.journal_merge(J.journal_merge(None, first), second)
+
+
 @register("journal_merge_deletes", "H2", ["journal_log", "journal_deletes"], """
 SELECT user_id, entry_date,
   arg_max(entry, seq) FILTER (WHERE entry IS NOT NULL) AS entry,

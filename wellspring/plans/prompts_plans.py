@@ -83,6 +83,10 @@ UNION ALL
 SELECT t.request_id, 1, 0, 'system', {intro_sql('u.')}
 FROM turns t JOIN users u ON u.id = t.user_id WHERE t.request_id NOT IN (SELECT request_id FROM sm)
 UNION ALL
+SELECT request_id, 2, i, json_extract_string(body, '$.messages[' || i || '].role'), json_extract_string(body, '$.messages[' || i || '].content')
+FROM (SELECT request_id, body, unnest(range(CAST(json_array_length(json_extract(body, '$.messages')) AS BIGINT) - 1)) AS i
+ FROM turns JOIN chat_bodies USING (request_id)) h WHERE request_id NOT IN (SELECT request_id FROM sm)
+UNION ALL
 SELECT request_id, 3, 0, 'user', user_input FROM turns
 """, ctes=PERSONAS_SQL + "," + TURNS_SQL + """,
 sm AS (SELECT t.request_id, arg_max(s.summary, s.last_message_id) AS summary, max(s.last_message_id) AS checkpoint
@@ -198,6 +202,10 @@ FROM turns t LEFT JOIN personas p ON p.persona = 'Casual Chat'
 UNION ALL
 SELECT t.request_id, 1, 0, 'system', {intro_sql('u.')} FROM turns t JOIN users u ON u.id = t.user_id
 UNION ALL
+SELECT request_id, 2, i, json_extract_string(body, '$.messages[' || i || '].role'), json_extract_string(body, '$.messages[' || i || '].content')
+FROM (SELECT request_id, body, unnest(range(CAST(json_array_length(json_extract(body, '$.messages')) AS BIGINT) - 1)) AS i
+ FROM turns JOIN chat_bodies USING (request_id)) h
+UNION ALL
 SELECT request_id, 3, 0, 'user', user_input FROM turns
 """, ctes=PERSONAS_SQL + "," + TURNS_SQL)
 def _casual_requests(fx):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wellspring.fixed_values import PERSONAS, PLANS
+from wellspring.fixed_values import BILLING_CYCLES, PAYMENT_STATUSES, PERSONAS, PLANS, ROLES
 from wellspring.operators import quality as Q
 from wellspring.operators.journal import journal_merge
 from wellspring.operators.settings import persona_table
@@ -29,6 +29,21 @@ def _domain_check(fx):
     return Q.domain_check(fx.signups.select("seq", "plan"), "plan", PLANS)
 
 
+@register("domain_check_payments", "Q2", ["payments"], """
+SELECT id, status, billing_cycle, status IN ('pending', 'paid', 'failed') AS status_ok, billing_cycle IN ('monthly', 'yearly') AS billing_cycle_ok FROM payments
+""")
+def _domain_check_payments(fx):
+    checked = Q.domain_check(fx.payments.select("id", "status", "billing_cycle"), "status", PAYMENT_STATUSES)
+    return Q.domain_check(checked, "billing_cycle", BILLING_CYCLES)
+
+
+@register("domain_check_roles", "Q2", ["messages"], """
+SELECT id, role, role IN ('user', 'assistant', 'system') AS role_ok FROM messages
+""")
+def _domain_check_roles(fx):
+    return Q.domain_check(fx.messages.select("id", "role"), "role", ROLES)
+
+
 @register("required_check", "Q3/A7", ["chat_bodies"], """
 SELECT request_id,
  concat_ws(',', CASE WHEN NOT coalesce(json_array_length(json_extract(body, '$.messages')) > 0, false) THEN 'messages' END,
@@ -54,7 +69,7 @@ def _unique_check(fx):
 
 
 @register("fk_orphans", "C9/Q5", ["users", "messages", "sessions", "journal_log", "token_log", "subscription_log",
-                                   "erase_requests"], f"""
+                                   "erase_requests", "payments"], f"""
 SELECT 'conversations' AS child, 'user_id' AS "column", CAST(user_id AS VARCHAR) AS value, count(*) AS rows
  FROM messages WHERE user_id NOT IN (SELECT id FROM kept) GROUP BY user_id
 UNION ALL SELECT 'journals', 'user_id', CAST(user_id AS VARCHAR), count(*)
@@ -65,6 +80,8 @@ UNION ALL SELECT 'sessions', 'persona', persona, count(*)
  FROM sessions WHERE persona NOT IN (SELECT p FROM (VALUES {_PERSONA_VALUES}) v(p)) GROUP BY persona
 UNION ALL SELECT 'subscriptions', 'user_id', CAST(user_id AS VARCHAR), count(*)
  FROM subscription_log WHERE user_id NOT IN (SELECT id FROM kept) GROUP BY user_id
+UNION ALL SELECT 'payment_status', 'subscription_id', CAST(subscription_id AS VARCHAR), count(*)
+ FROM payments WHERE subscription_id NOT IN (SELECT seq FROM subscription_log) GROUP BY subscription_id
 UNION ALL SELECT 'token_usage', 'user_id', CAST(user_id AS VARCHAR), count(*)
  FROM (SELECT DISTINCT user_id, strftime(ts, '%m%y') FROM token_log) t WHERE user_id NOT IN (SELECT id FROM kept) GROUP BY user_id
 """, ctes="kept AS (SELECT * FROM users WHERE id NOT IN (SELECT user_id FROM erase_requests))")
@@ -73,7 +90,7 @@ def _fk_orphans(fx):
     kept = fx.users.join(fx.erase_requests.withColumnRenamed("user_id", "id"), "id", "left_anti")
     tables = {
         "users": kept, "conversations": fx.messages, "sessions": fx.sessions,
-        "journals": journal_merge(None, fx.journal_log), "subscriptions": fx.subscription_log,
+        "journals": journal_merge(None, fx.journal_log), "subscriptions": fx.subscription_log.withColumnRenamed("seq", "id"), "payment_status": fx.payments,
         "token_usage": token_ledger(fx.token_log), "session_types": persona_table(fx.spark),
     }
     return Q.fk_orphans(tables)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from wellspring.fixed_values import HOTLINES
+from wellspring.fixed_values import CRISIS_RESPONSE_PREFIX, HOTLINES
 from wellspring.operators import safety as S
 from wellspring.plans.registry import register
 
 # Crisis phrases that occur in the test text (the application's defaults do not).
-CHAT_CRISIS = ["hate"]
+CHAT_CRISIS = ["worthless", "that the", "hate", "with"]
 DOC_CRISIS = ["worthless", "trash", "pathetic", "loser"]
 
 HOTLINES_SQL = "hotlines AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{h}')" for c, h in HOTLINES) + \
     ") h(country, hotline))"
 HOTLINE_EXPR = ("CASE WHEN c.country IS NULL THEN 'a local support number' "
                 "ELSE coalesce((SELECT h.hotline FROM hotlines h WHERE h.country = upper(c.country)), 'N/A') END")
-PREFIX = "I''m concerned about your safety. You are not alone. If you''re in crisis, please call your local support line: "
+PREFIX = CRISIS_RESPONSE_PREFIX.replace("'", "''")
+CHAT_LIST = "[" + ", ".join(f"'{k}'" for k in CHAT_CRISIS) + "]"
 
 
 @register("user_hotlines", "C6/A8", ["user_country"], f"""
@@ -29,10 +30,10 @@ SELECT id, user_id, matched, hotline, response, contains(lower(response), 'if yo
  CASE WHEN regexp_extract(response, '(\+?\d[\d\s\-().]{{7,}})', 1) = '' THEN NULL
   ELSE regexp_replace(regexp_extract(response, '(\+?\d[\d\s\-().]{{7,}})', 1), '\s+', '', 'g') END AS phone
 FROM (
- SELECT m.id, m.user_id, 'hate' AS matched, {HOTLINE_EXPR} AS hotline,
+ SELECT m.id, m.user_id, array_to_string(list_filter({CHAT_LIST}, lambda k: contains(lower(m.message), k)), '|') AS matched, {HOTLINE_EXPR} AS hotline,
   '{PREFIX}' || {HOTLINE_EXPR} AS response
  FROM messages m LEFT JOIN user_country c ON c.user_id = m.user_id
- WHERE m.role = 'user' AND contains(lower(m.message), 'hate')) x
+ WHERE m.role = 'user') x WHERE matched <> ''
 """, ctes=HOTLINES_SQL)
 def _crisis_alerts(fx):
     out = S.crisis_alerts(fx.messages, fx.user_country, CHAT_CRISIS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.fixed_values import APP_DEFAULTS
 from wellspring.operators import settings as ST
 from wellspring.plans.registry import register
+from wellspring.sources.fixtures import halves
 
 MERGED_SQL = """
 merged AS (
@@ -36,6 +37,12 @@ def _settings_merge(fx):
     return ST.settings_merge(fx.settings_log)
 
 
+@register("settings_merge_base", "H3", ["settings_log"], "SELECT * FROM merged", ctes=MERGED_SQL)
+def _settings_merge_base(fx):
+    first, second = halves(fx.settings_log)
+    return ST.settings_merge(second, ST.settings_merge(first))
+
+
 @register("effective_settings", "C5/I16", ["users", "settings_log"], """
 SELECT p.user_id, p.setting_key, coalesce(s.setting_value, d.v, CASE WHEN p.setting_key = 'summary_count' THEN '100' END) AS setting_value
 FROM pairs p LEFT JOIN merged s ON s.user_id = p.user_id AND s.setting_key = p.setting_key

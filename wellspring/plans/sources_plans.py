@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wellspring import schemas
@@ -14,6 +16,7 @@ from wellspring.operators.settings import settings_merge
 from wellspring.operators.tokens import token_ledger
 from wellspring.plans.accounts_plans import ISSUES_SQL, _issues_table
 from wellspring.plans.accounts_plans import SUBS_SQL
+from wellspring.plans.chat_plans import HISTORY_SQL
 from wellspring.plans.journal_plans import (JOURNALS_SQL, MOOD_SERIES_SQL, REFLECTION_SQL, TEST_THEMES,
                                             THEME_COUNTS_SQL)
 from wellspring.plans.settings_plans import MERGED_SQL
@@ -21,7 +24,8 @@ from wellspring.sources.fixtures import AS_OF
 from wellspring.plans.registry import register
 from wellspring.sources.requests import parse_chat_requests
 from wellspring.sources.sinks import json_rows
-from wellspring.sources.tables import conform
+from wellspring.session import checkpoint_dir
+from wellspring.sources.tables import conform, scan_table
 
 LAPSE_AS_OF = "2024-01-31 00:00:00"
 
@@ -52,10 +56,9 @@ def _scan_journals(fx):
 SELECT user_id, to_json(struct_pack(session_name := session_name, type := type,
   start_date := strftime(start_date, '%Y-%m-%dT%H:%M:%S'), last_message := strftime(last_message, '%Y-%m-%dT%H:%M:%S'),
   message_count := message_count)) AS json
-FROM (SELECT s.user_id, s.session_name, s.persona AS type, s.start_date, MAX(c.timestamp) AS last_message, COUNT(c.id) AS message_count
- FROM sessions s LEFT JOIN messages c ON s.user_id = c.user_id AND s.session_name = c.session
- WHERE NOT s.current GROUP BY s.user_id, s.session_name, s.persona, s.start_date) h
-""")
+FROM (SELECT past.user_id, past.session_name, past.persona AS type, past.start_date, seen.newest AS last_message, coalesce(seen.n, 0) AS message_count
+ FROM past LEFT JOIN seen USING (user_id, session_name)) h
+""", ctes=HISTORY_SQL)
 def _history_json(fx):
     h = chat_history(fx.sessions, fx.messages)
     return json_rows(h, ["session_name", "type", "start_date", "last_message", "message_count"], ["user_id"])
@@ -163,3 +166,33 @@ LEFT JOIN (SELECT user_id, days, count(*) AS points, round(avg(score), 6) AS mea
 def _insights_json(fx):
     rep = insights_report(journals_by_days(journal_merge(None, fx.journal_log), AS_OF), TEST_THEMES)
     return json_rows(rep, ["themes", "reflection", "mood_points", "mean_score"], ["user_id", "days"])
+
+
+@register("scan_user_tokens", "A1", ["token_log"], """
+SELECT CAST(NULL AS BIGINT) AS id, user_id, strftime(ts, '%m%y') AS token_month, CAST(sum(total_tokens) AS BIGINT) AS month_tokens
+FROM token_log GROUP BY user_id, strftime(ts, '%m%y')
+""")
+def _scan_user_tokens(fx):
+    ledger = token_ledger(fx.token_log).withColumnsRenamed({"month_year": "token_month", "tokens": "month_tokens"})
+    return _through_parquet(fx, conform(ledger, schemas.USER_TOKENS), "user_tokens")
+
+
+@register("scan_session_types", "A1", ["sessions"], """
+SELECT CAST(NULL AS BIGINT) AS id, persona, CAST(NULL AS VARCHAR) AS prompt FROM (SELECT DISTINCT persona FROM sessions) s
+""")
+def _scan_session_types(fx):
+    return _through_parquet(fx, conform(fx.sessions.select("persona").distinct(), schemas.SESSION_TYPES), "session_types")
+
+
+@register("scan_payment_status", "A1", ["payments"], """
+SELECT id, subscription_id, status, CAST(NULL AS VARCHAR) AS payment_method, last_payment_date, CAST(NULL AS DATE) AS next_billing_date FROM payments
+""", dates=["last_payment_date", "next_billing_date"])
+def _scan_payment_status(fx):
+    return _through_parquet(fx, conform(fx.payments, schemas.PAYMENT_STATUS), "payment_status")
+
+
+def _through_parquet(fx, df, name):
+    """The table written to the shared folder and read back by its declared schema."""
+    path = f"{checkpoint_dir(fx.spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return scan_table(fx.spark, path, name)

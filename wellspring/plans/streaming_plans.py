@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wellspring.plans.limits_plans import MAX_REQ, WINDOW_MIN, fold_sql
 from wellspring.plans.registry import register
-from wellspring.plans.safety_plans import CHAT_CRISIS, HOTLINE_EXPR, HOTLINES_SQL, PREFIX
+from wellspring.plans.safety_plans import CHAT_CRISIS, CHAT_LIST, HOTLINE_EXPR, HOTLINES_SQL, PREFIX
 from wellspring.streaming import streams as S
 
 # Batch oracles reused verbatim (streaming must give the batch answer).
@@ -29,9 +29,10 @@ def _stream_rate_limit(fx):
 
 
 @register("stream_crisis_alerts", "J3 live", ["messages", "user_country"], rf"""
-SELECT m.id, m.user_id, 'hate' AS matched, {HOTLINE_EXPR} AS hotline, '{PREFIX}' || {HOTLINE_EXPR} AS response
+SELECT * FROM (SELECT m.id, m.user_id, array_to_string(list_filter({CHAT_LIST}, lambda k: contains(lower(m.message), k)), '|') AS matched,
+ {HOTLINE_EXPR} AS hotline, '{PREFIX}' || {HOTLINE_EXPR} AS response
 FROM messages m LEFT JOIN user_country c ON c.user_id = m.user_id
-WHERE m.role = 'user' AND contains(lower(m.message), 'hate')
+WHERE m.role = 'user') x WHERE matched <> ''
 """, ctes=HOTLINES_SQL)
 def _stream_crisis_alerts(fx):
     messages = fx.view("messages", events=_events(fx))

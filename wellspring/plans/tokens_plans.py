@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wellspring.operators import tokens as TK
 from wellspring.plans.registry import register
+from wellspring.sources.fixtures import halves
 
 MONTH = "0396"
 
@@ -17,6 +18,16 @@ def _token_ledger(fx):
     return TK.token_ledger(fx.token_log)
 
 
+@register("token_ledger_base", "D3/H4", ["token_log"], """
+SELECT user_id, strftime(ts, '%m%y') AS month_year, CAST(sum(total_tokens) AS BIGINT) AS tokens,
+ min(ts) AS created_at, max(ts) AS updated_at
+FROM token_log GROUP BY user_id, strftime(ts, '%m%y')
+""")
+def _token_ledger_base(fx):
+    first, second = halves(fx.token_log, "request_id")
+    return TK.token_ledger(second, TK.token_ledger(first))
+
+
 @register("token_running_total", "E8", ["token_log"], """
 SELECT request_id, user_id, strftime(ts, '%m%y') AS month_year, ts, total_tokens AS tokens,
  CAST(sum(total_tokens) OVER (PARTITION BY user_id, strftime(ts, '%m%y') ORDER BY ts, request_id

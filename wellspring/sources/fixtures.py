@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wellspring.sources.tables import DriverTables
 
@@ -38,6 +39,20 @@ WITH k AS (SELECT conv_id, concat('session-', CAST(conv_id AS STRING)) AS sessio
  CASE conv_id % 6 WHEN 0 THEN 'CBT' WHEN 1 THEN 'DEMO' WHEN 2 THEN 'DBT' WHEN 3 THEN 'Reflective' WHEN 4 THEN 'Casual Chat' ELSE 'Life Coach' END AS persona,
  row_number() OVER (PARTITION BY CAST(floor(conv_id / 6) AS BIGINT) ORDER BY e.ts DESC, session_name DESC) = 1 AS current
  FROM k JOIN {events} e ON e.event_id = k.eid
+""",
+    # Sessions as a faulty writer leaves them: one current session per persona, not per user.
+    "faulty_sessions": """
+SELECT user_id, session_name, row_number() OVER (PARTITION BY user_id, persona ORDER BY start_date DESC, session_name DESC) = 1 AS current
+ FROM (SELECT CAST(floor(c.conv_id / 6) AS BIGINT) AS user_id, concat('session-', CAST(c.conv_id AS STRING)) AS session_name,
+  CASE c.conv_id % 6 WHEN 0 THEN 'DBT' ELSE 'CBT' END AS persona, e.ts AS start_date
+  FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 WHERE c.turn = 0) s
+""",
+    # Payments of the subscription log, some of subscriptions that were never made, some with a status outside its domain.
+    "payments": """
+SELECT event_id AS id, CASE WHEN event_type = 'error' THEN -event_id ELSE event_id END AS subscription_id,
+ CASE event_type WHEN 'purchase' THEN 'paid' WHEN 'signup' THEN 'failed' WHEN 'error' THEN 'refunded' ELSE 'pending' END AS status,
+ CASE WHEN event_type = 'view' THEN 'weekly' WHEN event_type = 'click' THEN 'yearly' ELSE 'monthly' END AS billing_cycle,
+ CAST(ts AS DATE) AS last_payment_date FROM {events}
 """,
     "journal_log": """
 SELECT e.event_id AS seq, e.user_id, CAST(e.ts AS DATE) AS entry_date, e.ts,
@@ -176,6 +191,9 @@ SELECT event_id AS seq, ts, CASE event_id % 12 WHEN 0 THEN '/' WHEN 1 THEN '/pro
 SELECT c.conv_id * 100 + c.turn + 1 AS request_id, CAST(floor(c.conv_id / 6) AS BIGINT) AS user_id, e.ts,
  CASE WHEN c.turn = 7 THEN concat(chr(123), '"messages": [')
   WHEN c.turn = 5 THEN concat(chr(123), '"messages": [], "session_name": "session-', CAST(c.conv_id AS STRING), '"', chr(125))
+  WHEN c.turn = 3 THEN concat(chr(123), '"messages": [', chr(123), '"role": "user", "content": "first ', CAST(c.conv_id AS STRING), '"', chr(125), ', ',
+   chr(123), '"role": "assistant", "content": "second"', chr(125), ', ', chr(123), '"role": "user", "content": "turn ', CAST(c.turn AS STRING), '"', chr(125),
+   '], "session_name": "session-', CAST(c.conv_id AS STRING), '", "session_type": "DBT"', chr(125))
   ELSE concat(chr(123), '"messages": [', chr(123), '"role": "user", "content": "turn ', CAST(c.turn AS STRING), '"', chr(125),
    '], "session_name": "session-', CAST(c.conv_id AS STRING), '", "session_type": "CBT"', chr(125)) END AS body
  FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn WHERE c.role = 'user'
@@ -215,6 +233,12 @@ def with_fixtures(names: list[str], body: str, ctes: str = "", recursive: bool =
     return head + ",\n".join(parts) + "\n" + body.strip()
 
 
+def halves(log: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """A change log cut in two at the middle of its order."""
+    middle = log.agg(F.expr(f"max({order}) / 2")).scalar()
+    return log.filter(F.col(order) <= middle), log.filter(F.col(order) > middle)
+
+
 class Fixtures:
     """Spark DataFrames for the fixture views over one scale-factor folder."""
 
