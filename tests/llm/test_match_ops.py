@@ -168,7 +168,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     bad = [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [None] + [1.0] * 15, 0), (1003, [float("nan")] + [1.0] * 15, 0),
            (1004, [float("inf")] + [1.0] * 15, 0), (1005, [1.0] * 16, None), (1006, [1.0] * 16, None), (1007, [1.0, 2.0], 0),
-           (1008, [2.0, 4.0], 0), (1009, [], 0)]
+           (1008, [2.0, 4.0], 0), (1009, [], 0), (1010, [0.0] * 8 + [3.0] * 8, 1), (1011, [-0.0] * 8 + [3.0] * 8, 1)]
     rows = vectors() + bad
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("n", F.lit("x")).withColumn("grp", F.lit(1))
     assert sorted(map(tuple, embedding_dedup.near_vectors(df).collect())) == brute_vectors(rows)

@@ -172,7 +172,10 @@ _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """``(vec_id, grp, vec)``: grp is null where a vector links with nothing."""
-    vec = F.transform(vectors[f"`{vec_col}`"], lambda x: x.cast("double"))
+    single = vectors.schema[vec_col].dataType.elementType.simpleString() == "float"
+    kind = "float" if single else "double"
+    # Adding 0 turns -0.0 into 0.0, so equal vectors hash alike.
+    vec = F.transform(vectors[f"`{vec_col}`"], lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     good = (vectors[f"`{label_col}`"].isNotNull() & vec.isNotNull()
             & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists(vec, lambda x: x != 0))
@@ -231,8 +234,8 @@ def _links(classes: DataFrame, threshold: float, max_train: int) -> DataFrame:
     index = Index(sample, lists=int(min(MAX_LISTS, max(1, len(sample) // 40), max(1, (total / 10) ** 0.5))))
     margin = PROBE_SIGMAS * np.sqrt(max(0.0, 2 - 2 * threshold)) / np.sqrt(sample.shape[1])
     indexed = stored(classes.select("grp", "vid", "n", "vec").mapInArrow(
-        _indexed(index, margin), "grp string, vid bigint, n bigint, vec array<double>, own int, codes binary, "
-        "rest double, probes array<int>"), "index")
+        _indexed(index, margin), f"grp string, vid bigint, n bigint, vec {classes.schema['vec'].dataType.simpleString()}, "
+        "own int, codes binary, rest double, probes array<int>"), "index")
     asked = indexed.select("grp", "vid", "vec", F.explode("probes").alias("own"))
     sizes = (indexed.groupBy("grp", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vb"))
              .join(asked.groupBy("grp", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb")), ["grp", "own"])
