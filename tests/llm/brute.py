@@ -89,7 +89,12 @@ def leaks(docs, items, share=75, k=5):
                 continue
             kk = min(k, len(x))
             own = Counter(tuple(x[i:i + kk]) for i in range(len(x) - kk + 1))
+            held = [tuple(w[i:i + kk]) in own for i in range(len(w) - kk + 1)]
+            if not any(held):
+                continue
             for start in range(-len(x) + 1, len(w)):
+                if not any(held[max(0, start):start + len(x)]):
+                    continue  # no shingle in common
                 win = w[max(0, start):start + len(x)]
                 if len(win) < kk or min(k, len(win)) != kk:
                     continue
