@@ -95,7 +95,7 @@ def first_messages(messages: DataFrame, n: int = SESSION_PAGE_SIZE) -> DataFrame
 def latest_summary(summaries: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Latest summary and checkpoint per (user, session) by last_message_id.
 
-    One hash aggregate with ``max_by`` replaces the two sorted ``LIMIT 1`` lookups.
+    One grouped ``max_by`` (sorted, as its value is text) replaces the two ``LIMIT 1`` lookups.
     With ``sessions`` given, every session is returned and missing ones get
     summary null and checkpoint 0.
     """
@@ -139,18 +139,18 @@ def current_from_log(sessions: DataFrame, switch_log: DataFrame) -> DataFrame:
     A create adds a session and makes it current; a restore makes an existing
     session current (unknown names change nothing, C7).  A name exists when it
     is in ``sessions`` or was created earlier in the log.  The winner per user
-    is ``max_by`` over (ts, seq) of the valid switches, one hash aggregate.
+    is ``max_by`` over (ts, seq) of the valid switches; "earlier" is by (ts, seq) too.
     """
     log = switch_log.select("seq", "user_id", "ts", "action", "session_name", "persona")
     creates = log.filter(F.col("action") == "create")
     restores = log.filter(F.col("action") == "restore")
-    known_before = (sessions.select("user_id", "session_name", F.lit(None).cast("bigint").alias("made_seq"))
-                    .unionByName(creates.select("user_id", "session_name", F.col("seq").alias("made_seq")))
+    made = F.struct(F.col("ts").alias("t"), F.col("seq").alias("s"))
+    known_before = (sessions.select("user_id", "session_name", F.lit(None).alias("made"))
+                    .unionByName(creates.select("user_id", "session_name", made.alias("made")))
                     .groupBy("user_id", "session_name")
-                    .agg(F.min("made_seq").alias("made_seq"),
-                         F.max(F.col("made_seq").isNull()).alias("in_base")))
+                    .agg(F.min("made").alias("made"), F.max(F.col("made").isNull()).alias("in_base")))
     valid_restores = (restores.join(known_before, ["user_id", "session_name"], "inner")
-                      .filter(F.col("in_base") | (F.col("made_seq") < F.col("seq")))
+                      .filter(F.col("in_base") | (F.col("made") < made))
                       .select("seq", "user_id", "ts", "session_name"))
     switches = creates.select("seq", "user_id", "ts", "session_name").unionByName(valid_restores)
     winner = (switches.groupBy("user_id")
@@ -165,11 +165,15 @@ def current_from_log(sessions: DataFrame, switch_log: DataFrame) -> DataFrame:
                       .otherwise(F.col("session_name") == F.col("winner")).alias("current"))
 
 
-def session_names(switch_log: DataFrame) -> DataFrame:
+def session_names(switch_log: DataFrame, counters: DataFrame | None = None) -> DataFrame:
     """Default name ``session-N`` of each session creation, N counting the
-    user's creations in (ts, seq) order from 1."""
+    user's creations in (ts, seq) order from the counter stored for the user
+    (``counters``: user_id, session_counter), from 0 where none is."""
     creates = switch_log.filter(F.col("action") == "create").select("seq", "user_id", "ts")
     n = chunked_row_number(creates, ["user_id"], [F.col("ts"), F.col("seq")], "ts", unit="day", name="counter")
+    if counters is not None:
+        stored = counters.select("user_id", F.col("session_counter").alias("_from"))
+        n = n.join(stored, "user_id", "left").withColumn("counter", (F.col("counter") + F.coalesce("_from", F.lit(0))).cast("int"))
     return n.select("seq", "user_id", "ts", "counter",
                     F.concat(F.lit(SESSION_NAME_PREFIX), F.col("counter").cast("string")).alias("default_name"))
 

@@ -6,7 +6,7 @@ Tables:
       ``None`` leaves a field alone, ``''`` overwrites it (T12).
   deletes(seq, user_id, entry_date)
 
-Scale notes: merges are one hash aggregate on (user_id, entry_date) with
+Scale notes: merges are one grouped aggregate on (user_id, entry_date), sorted as its values are text, with
 partial aggregation, so a user with a third of all changes is combined map-side.
 Windows are tagged once with ``explode`` over the (7, 30, 90) list instead of
 three scans.  Per-(user, window) lists are bounded by the keyword list or by

@@ -5,7 +5,7 @@ Tables:
   user_settings(user_id, setting_key, setting_value, updated_at)
   settings log(seq, user_id, setting_key, setting_value, ts)
 
-Scale: the upsert is one hash aggregate on (user, key).  Effective settings
+Scale: the upsert is one grouped aggregate on (user, key), sorted as its values are text.  Effective settings
 fold each user's overrides into one small map (bounded by the number of
 setting keys) and overlay it on the literal defaults map, so no table is
 crossed with the defaults.

@@ -109,7 +109,7 @@ creates AS (SELECT * FROM switch_log WHERE action = 'create'),
 valid_restores AS (
  SELECT r.* FROM switch_log r WHERE r.action = 'restore' AND (
   EXISTS (SELECT 1 FROM sessions s WHERE s.user_id = r.user_id AND s.session_name = r.session_name)
-  OR EXISTS (SELECT 1 FROM creates c WHERE c.user_id = r.user_id AND c.session_name = r.session_name AND c.seq < r.seq))),
+  OR EXISTS (SELECT 1 FROM creates c WHERE c.user_id = r.user_id AND c.session_name = r.session_name AND (c.ts < r.ts OR c.ts = r.ts AND c.seq < r.seq)))),
 switches AS (SELECT seq, user_id, ts, session_name FROM creates UNION ALL SELECT seq, user_id, ts, session_name FROM valid_restores),
 winners AS (SELECT user_id, session_name AS winner FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS rn FROM switches) t WHERE rn = 1),
@@ -129,6 +129,17 @@ def _session_names(fx):
     return chat.session_names(fx.switch_log)
 
 
+@register("session_names_base", "E7", ["switch_log", "sessions"], """
+SELECT l.seq, l.user_id, l.ts, CAST(coalesce(c.session_counter, 0) + row_number() OVER (PARTITION BY l.user_id ORDER BY l.ts, l.seq) AS INTEGER) AS counter,
+ concat('session-', CAST(coalesce(c.session_counter, 0) + row_number() OVER (PARTITION BY l.user_id ORDER BY l.ts, l.seq) AS VARCHAR)) AS default_name
+FROM switch_log l LEFT JOIN (SELECT user_id, count(*) AS session_counter FROM sessions GROUP BY user_id) c ON c.user_id = l.user_id
+WHERE l.action = 'create'
+""")
+def _session_names_base(fx):
+    stored = fx.sessions.groupBy("user_id").agg(F.count("*").alias("session_counter"))
+    return chat.session_names(fx.switch_log, stored)
+
+
 @register("global_stats", "D2", ["messages", "users"], """
 SELECT (SELECT count(*) FROM messages) AS conversations, (SELECT count(*) FROM users) AS users
 """)

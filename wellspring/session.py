@@ -27,7 +27,10 @@ _DEFAULTS = {
 def get_spark(master: str | None = None, app_name: str = "wellspring",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
-    """Return the active session, creating a local one for tests and tools."""
+    """Return the active session as it is, or create one for tests and tools."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
