@@ -98,37 +98,36 @@ def shares_prefix(symbols: np.ndarray, order: np.ndarray, begins: np.ndarray, ne
     """For each place of the suffix array, whether its suffix has ``length`` symbols in common with the one before.
 
     A border between suffixes at level v (they share v symbols) puts a border at
-    level v + 1 between the extensions by any symbol that the transform holds on
-    both sides of it: the next one at or after it and the last one before it,
-    taken to where backward extension leads.
+    level v + 1 between the backward extensions by any symbol that the transform
+    holds on both sides of it: its last place before the border and its next one
+    from there on.  The next one of those that aren't known yet stands before the
+    next border, so only the places up to there are looked at.
     """
     n = len(symbols)
-    before = symbols[order - 1].astype(np.int64)
+    before = symbols[order - 1].astype(np.int16)
     before[order == 0] = 256  # nothing stands before the first symbol
-    place = np.argsort(before, kind="stable")
-    key = before[place] * n + place
+    place = np.argsort(before, kind="stable").astype(np.int32)  # the transform's places by symbol
     present, count = np.unique(symbols, return_counts=True)
-    lead = np.zeros(257, np.int64)
-    lead[present] = np.cumsum(count) - count
-    lead[symbols[-1]] += 1  # the last symbol's own suffix comes first and follows nothing
-    opens = np.searchsorted(key, np.arange(257) * n)
-    closes = np.searchsorted(key, np.arange(1, 258) * n)
-    present = present.astype(np.int64)
+    # Places by symbol lead to the suffixes by first symbol in the same order; the last symbol's own
+    # suffix comes first in its bucket and follows no place, and the first symbol's place leads nowhere.
+    alone = int(count[:np.searchsorted(present, symbols[-1])].sum())
+    leads = np.empty(n, np.int32)
+    leads[place[:-1]] = np.delete(np.arange(n, dtype=np.int32), alone)
+    leads[place[-1]] = 0
+    last = np.full(n, n, np.int32)  # the symbol's place before; n: none
+    same = before[place[1:]] == before[place[:-1]]
+    last[place[1:][same]] = place[:-1][same]
     known = begins.copy()
     frontier = np.flatnonzero(nearly)
     for _ in range(_START, length):
         if not len(frontier):
             break
-        fresh = []
-        for at in range(0, len(frontier), 1 << 15):
-            part = frontier[at:at + (1 << 15)]
-            k = np.searchsorted(key, (present[:, None] * n + part[None]).ravel()).reshape(len(present), -1)
-            ok = (k > opens[present][:, None]) & (k < closes[present][:, None])
-            to = (k - opens[present][:, None] + lead[present][:, None])[ok]
-            to = to[~known[to]]
-            known[to] = True
-            fresh.append(np.unique(to))
-        frontier = np.unique(np.concatenate(fresh))
+        borders = np.append(np.flatnonzero(known), n)
+        size = borders[np.searchsorted(borders, frontier) + 1] - frontier
+        j = np.repeat(frontier - np.cumsum(size) + size, size) + np.arange(size.sum())
+        to = np.unique(leads[j[last[j] < np.repeat(frontier, size)]])
+        frontier = to[~known[to]]
+        known[frontier] = True
     return ~known
 
 
