@@ -18,7 +18,7 @@ QUERIES = {name: query for name, query in E.queries().items() if name in load_al
 ORACLES = {name: sql for name, sql in E.oracle_sql().items() if name in load_all()}
 STREAMING = {n for n in QUERIES if n.startswith("stream_")}
 FOLDS = {"rate_limit", "reset_funnel", "reset_funnel_counts", "reset_issue", "reset_redeem", "reset_cleanup",
-         "expired_token_count", "lapsed_tokens", "summary_triggers", "summary_requests", "summary_triggers_split"}
+         "expired_token_count", "lapsed_tokens", "summary_triggers", "summary_requests", "summary_triggers_split", "summary_triggers_count"}
 
 
 @pytest.fixture(scope="module")

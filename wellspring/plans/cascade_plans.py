@@ -160,3 +160,29 @@ def _erase_users(fx):
         "subscriptions": fx.subscription_log.withColumnRenamed("seq", "id"),
     }
     return C.erase_users(tables, fx.erase_requests)["report"]
+
+
+@register("delete_session_summaries", "H10", ["summaries", "session_deletes"], """
+SELECT s.* FROM summaries s
+WHERE NOT EXISTS (SELECT 1 FROM session_deletes d WHERE d.user_id = s.user_id AND d.session_name = s.session)
+""")
+def _delete_session_summaries(fx):
+    return C.delete_session_cascade(fx.sessions, fx.messages, fx.summaries, fx.session_deletes)["summaries"]
+
+
+@register("clear_history_messages", "H11/T19", ["messages", "erase_requests"], """
+SELECT id, user_id, session, role FROM messages WHERE user_id NOT IN (SELECT user_id FROM erase_requests)
+""")
+def _clear_history_messages(fx):
+    kept = C.clear_history(fx.messages, fx.summaries, fx.erase_requests)["messages"]
+    return kept.select("id", "user_id", "session", "role")
+
+
+@register("erase_payments", "H12/T18", ["subscription_log", "payments", "erase_requests"], """
+SELECT p.id, p.subscription_id, p.status FROM payments p
+WHERE p.subscription_id IN (SELECT seq FROM subscription_log WHERE user_id NOT IN (SELECT user_id FROM erase_requests))
+""")
+def _erase_payments(fx):
+    subs = fx.subscription_log.withColumnRenamed("seq", "id")
+    return C.erase_users({"subscriptions": subs}, fx.erase_requests, fx.payments)["payment_status"].select(
+        "id", "subscription_id", "status")

@@ -126,6 +126,24 @@ def _summary_triggers(fx):
     return _triggers(fx)
 
 
+# Count mode: a trigger moves the checkpoint by the number of messages, so it lags behind the ids.
+COUNT_SQL = TRIGGER_SQL.split("r AS (")[0] + f"""r AS (
+ SELECT user_id, session, n, id, role, ck0 AS ck_before, CAST(0 AS BIGINT) AS recent, false AS trig, ck0 AS ck, [id] AS ids FROM o WHERE n = 1
+ UNION ALL
+ SELECT o.user_id, o.session, o.n, o.id, o.role, p.ck, p.pending, o.role = 'user' AND p.pending >= {THRESHOLD},
+  CASE WHEN o.role = 'user' AND p.pending >= {THRESHOLD} THEN p.ck + p.pending ELSE p.ck END, list_append(p.ids, o.id)
+ FROM (SELECT *, CAST(len(list_filter(ids, lambda x: x > ck)) AS BIGINT) AS pending FROM r) p
+ JOIN o ON o.user_id = p.user_id AND o.session = p.session AND o.n = p.n + 1)"""
+
+
+@register("summary_triggers_count", "J4/T2", ["messages", "summaries"], """
+SELECT user_id, session, id AS turn_id, recent, trig AS triggered, CAST(ck_before AS BIGINT) AS checkpoint_before,
+ CAST(ck AS BIGINT) AS checkpoint_after FROM r WHERE role = 'user'
+""", ctes=COUNT_SQL, recursive=True)
+def _summary_triggers_count(fx):
+    return P.summary_triggers(fx.messages, fx.summaries, threshold=THRESHOLD, mode="count")
+
+
 @register("summary_requests", "K4", ["messages", "summaries"], """
 SELECT turn_id AS request_id, CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS pos, 'system' AS role,
  CASE WHEN prev IS NULL OR prev = '' THEN 'Summarise the following conversation in 1–2 sentences, focusing on the user''s emotional themes.'
