@@ -27,7 +27,7 @@ SWAPS = (("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male
          ("lesbian", "heterosexual"), ("transgender", "cisgender"), ("immigrants", "natives"), ("immigrant", "native"),
          ("asian", "european"), ("african", "american"), ("disabled", "abled"), ("elderly", "young"))
 #: At most so many labelled rows train the model.
-MAX_TRAIN = 10_000
+MAX_TRAIN = 5_000
 #: Bytes of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: A feature is used if it stands in so many training texts and its chi-square is at least this.
@@ -86,31 +86,46 @@ def _training_rows(batches):
             names=["y", "own", "swapped"])
 
 
-def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted feature hashes, their weights and the intercept."""
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each stands."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _places(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``x`` stands in the sorted ``values``, and whether it does."""
+    if not len(values):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    return at, values[at] == x
+
+
+def fit(y: np.ndarray, seen: np.ndarray, size: np.ndarray, other: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted feature hashes, their weights and the intercept, from labels, the rows'
+    features one after another, how many each row has, and those of swapped rows."""
     none = np.zeros(0, np.uint64), np.zeros(0), -50.0
     if not len(y):
         return none
-    seen, row = np.concatenate(own), np.repeat(np.arange(len(y)), [len(x) for x in own])
-    values, column = np.unique(seen, return_inverse=True)
-    n = np.bincount(column, minlength=len(values)).astype(float)
-    a = np.bincount(column, weights=y[row], minlength=len(values))
+    row, first = np.repeat(np.arange(len(y), dtype=np.int32), size), np.cumsum(size) - size
+    values, n = _counted(seen)
+    values, n = values[n >= MIN_DOCS], n[n >= MIN_DOCS].astype(float)
+    at, there = _places(values, seen[y[row] > 0])
+    a = np.bincount(at[there], minlength=len(values))
     total, pos = float(len(y)), float(y.sum())
     expected = n * pos / total
     spread = expected * (1 - pos / total) * (total - n) / max(total - 1, 1)
-    chosen = (n >= MIN_DOCS) & ((a - expected) ** 2 >= MIN_CHI2 * np.maximum(spread, 1e-9))
-    index = np.cumsum(chosen) - 1
-    values = values[chosen]
-    used = chosen[column]
-    r, c = row[used], index[column[used]]
+    values = values[(a - expected) ** 2 >= MIN_CHI2 * np.maximum(spread, 1e-9)]
+    at, there = _places(values, seen)
+    r, c = row[there], at[there]
+    del at, there, row
     # Counterfactuals: the columns in which a text and its swap differ, signed.
     cr, cc, cs = [], [], []
-    for i, x in enumerate(other):
-        if x is None or not len(values):
-            continue
-        for these, sign in ((np.setdiff1d(own[i], x), 1.0), (np.setdiff1d(x, own[i]), -1.0)):
-            at = np.searchsorted(values, these)
-            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == these)]
+    for i, x in other.items() if len(values) else ():
+        own = seen[first[i]:first[i] + size[i]]
+        for these, sign in ((np.setdiff1d(own, x), 1.0), (np.setdiff1d(x, own), -1.0)):
+            at, there = _places(values, these)
+            at = at[there]
             cr += [i] * len(at)
             cc += at.tolist()
             cs += [sign] * len(at)
@@ -167,8 +182,11 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     # At most max_train ids and labels, so the broadcast is bounded.
     drawn = base.join(F.broadcast(rows), F.col("doc_id") == F.col("id"))
     got = drawn.select("y", "text").mapInArrow(_training_rows, "y int, own array<bigint>, swapped array<bigint>").toArrow()
-    arrays = lambda name: [None if x is None else np.array(x, np.int64).view(np.uint64) for x in got.column(name).to_pylist()]
-    model = fit(got.column("y").to_numpy().astype(float), arrays("own"), arrays("swapped"))
+    flat = lambda lists: np.asarray(lists.flatten(), np.int64).view(np.uint64)
+    own, other = got.column("own").combine_chunks(), got.column("swapped").combine_chunks()
+    swaps = {i: flat(other.slice(i, 1)) for i in np.flatnonzero(np.asarray(other.is_valid()))}
+    size = np.asarray(own.value_lengths(), np.int64)
+    model = fit(got.column("y").to_numpy().astype(float), flat(own), size, swaps)
 
     def scored(texts: pa.Array) -> pa.Array:
         scorer = Scorer(*model)
