@@ -161,6 +161,15 @@ def test_toxicity_held_out_and_neutral_mentions(spark):
     assert by[9003].score < 0.2
 
 
+def test_toxicity_trains_on_ten_thousand_rows(spark, monkeypatch):
+    docs = spark.range(13_000).selectExpr("id as doc_id", "concat('word', id % 7) as text")
+    labels = spark.range(13_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    rows = []
+    monkeypatch.setattr(toxicity, "fit", lambda y, *a, f=toxicity.fit: rows.append(len(y)) or f(y, *a))
+    toxicity.score_toxicity(docs, labels)
+    assert rows == [10_000]  # about 10,400 are not held out
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity.score_toxicity(documents(spark, [(1, "a"), (2, None)]), none).collect()

@@ -27,7 +27,7 @@ SWAPS = (("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male
          ("lesbian", "heterosexual"), ("transgender", "cisgender"), ("immigrants", "natives"), ("immigrant", "native"),
          ("asian", "european"), ("african", "american"), ("disabled", "abled"), ("elderly", "young"))
 #: At most so many labelled rows train the model.
-MAX_TRAIN = 5_000
+MAX_TRAIN = 10_000
 #: Bytes of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: A feature is used if it stands in so many training texts and its chi-square is at least this.
