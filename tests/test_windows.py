@@ -142,6 +142,27 @@ def test_hot_session_split_equals_fold(spark):
     assert a == b and len(a) > 60
 
 
+def test_summary_triggers_and_requests_of_null_sessions(spark):
+    from wellspring.operators import prompts as P
+    rows_ = [(k, 1, None if k % 3 else "s", "user" if k % 2 else "assistant", f"m{k}") for k in range(1, 90)] + \
+            [(100 + k, 2, None, "user" if k % 4 else "assistant", "m") for k in range(1, 30)]
+    msgs = spark.createDataFrame(rows_, "id bigint, user_id bigint, session string, role string, message string")
+    summ = spark.createDataFrame([(1, None, "so far", 7), (1, "s", "x", 9)],
+                                 "user_id bigint, session string, summary string, last_message_id bigint")
+    named = lambda df: df.fillna("none", ["session"])
+    for sm in (None, summ):
+        fold = P.summary_triggers(msgs, sm, threshold=4)
+        want = sorted(tuple(r) for r in P.summary_triggers(named(msgs), sm and named(sm), threshold=4).collect())
+        for df in (fold, P.summary_triggers_parallel(msgs, sm, threshold=4)):
+            assert sorted(tuple(r) for r in named(df).collect()) == want
+        assert {r.session for r in fold.filter("triggered").collect()} == {None, "s"}
+        for mode in ("max_id", "count"):
+            trig = P.summary_triggers(msgs, sm, threshold=4, mode=mode)
+            got = P.summary_requests(trig, msgs, sm, mode=mode)
+            want_req = P.summary_requests(named(trig), named(msgs), sm and named(sm), mode=mode)
+            assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want_req.collect())
+
+
 def test_chunked_rank_in_dst_gap_with_local_session_zone(spark):
     # 02:30 does not exist on 2024-03-10 in New York; wall-clock order must hold anyway.
     df = spark.createDataFrame([(1, 0, dt.datetime(2024, 3, 10, 2, 30)), (2, 0, dt.datetime(2024, 3, 10, 3, 10)),

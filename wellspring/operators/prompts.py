@@ -29,6 +29,7 @@ from wellspring.fixed_values import (CASUAL_PERSONA, CASUAL_SESSION, INTRO_AGE,
                                      SUMMARY_CLOSE_TEXT, SUMMARY_FIRST_TEXT, SUMMARY_SO_FAR_TEXT,
                                      SUMMARY_TRIGGER_DEFAULT, SUMMARY_UPDATE_TEXT)
 from wellspring.functions.dates import month_key
+from wellspring.functions.joins import null_safe_join
 from wellspring.session import materialize
 from wellspring.functions.windows import asof_mark, chunked_row_number
 
@@ -232,7 +233,7 @@ def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
     m = messages.filter(F.col("role") != "system").select("user_id", "session", "id", "role")
     if summaries is not None:
         ck = summaries.groupBy("user_id", "session").agg(F.max("last_message_id").alias("init_checkpoint"))
-        m = m.join(ck, ["user_id", "session"], "left")
+        m = null_safe_join(m, ck, ["user_id", "session"], "left")
     else:
         m = m.withColumn("init_checkpoint", F.lit(None).cast("bigint"))
     m = m.withColumn("init_checkpoint", F.coalesce("init_checkpoint", F.lit(0)).cast("bigint"))
@@ -254,7 +255,7 @@ def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFr
     if summaries is not None:
         stored = (summaries.groupBy("user_id", "session")
                   .agg(F.max_by("summary", "last_message_id").alias("stored")))
-        t = t.join(stored, ["user_id", "session"], "left")
+        t = null_safe_join(t, stored, ["user_id", "session"], "left")
     else:
         t = t.withColumn("stored", F.lit(None).cast("string"))
     prev = F.when(F.col("prev_turn").isNotNull(), F.concat(F.lit("@summary:"), F.col("prev_turn").cast("string"))) \
@@ -274,11 +275,11 @@ def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFr
         # after the latest trigger at or below its id (as-of lookup), so each
         # message meets exactly one trigger instead of all of its session's.
         m = asof_mark(m, triggers.filter("triggered"), ["user_id", "session"], "mid", "turn_id", name="_pt")
-        j = (tw.withColumn("_pt", F.coalesce("prev_turn", F.lit(-1)))
-             .join(m.withColumn("_pt", F.coalesce("_pt", F.lit(-1))), ["user_id", "session", "_pt"], "inner"))
+        j = null_safe_join(tw.withColumn("_pt", F.coalesce("prev_turn", F.lit(-1))),
+                           m.withColumn("_pt", F.coalesce("_pt", F.lit(-1))), ["user_id", "session", "_pt"])
     else:
         # Count-mode checkpoints lag, so windows overlap: a range join per session.
-        j = tw.join(m, ["user_id", "session"], "inner")
+        j = null_safe_join(tw, m, ["user_id", "session"])
     body = (j.filter((F.col("mid") > F.col("checkpoint_before")) & (F.col("mid") < F.col("turn_id")))
             .select(F.col("turn_id").alias("request_id"), F.lit(2).alias("part"), F.col("mid").alias("pos"),
                     "role", "content"))
@@ -332,13 +333,14 @@ def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None =
     doubling (each round joins the jump table with itself and extends the
     reached set, until no jump is left), so every step is an equi-join and work
     is O(n log n) with no task holding a whole session.  Turn outputs then follow from the
-    nearest trigger below each turn.  Equal to :func:`summary_triggers`.
+    nearest trigger below each turn.  Equal to :func:`summary_triggers`; a null
+    session is a session of its own in both.
     """
     m = messages.filter(F.col("role") != "system").select("user_id", "session", "id", "role")
     key = ["user_id", "session"]
     if summaries is not None:
         ck = summaries.groupBy(*key).agg(F.max("last_message_id").alias("c0"))
-        m = m.join(ck, key, "left")
+        m = null_safe_join(m, ck, key, "left")
     else:
         m = m.withColumn("c0", F.lit(None).cast("bigint"))
     m = m.withColumn("c0", F.coalesce("c0", F.lit(0)).cast("bigint"))
@@ -360,28 +362,25 @@ def summary_triggers_parallel(messages: DataFrame, summaries: DataFrame | None =
         .filter(F.col("pos").isNotNull()).select(*key, "pos")
     reached = start
     while not jump.isEmpty():
-        step = reached.join(jump, [*key, "pos"], "inner").select(*key, F.col("to").alias("pos"))
+        step = null_safe_join(reached, jump, [*key, "pos"]).select(*key, F.col("to").alias("pos"))
         # Both tables are read twice per round (their plans would double), so
         # each round's result is checkpointed.
         reached = materialize(reached.unionByName(step).distinct())
-        jump = materialize(jump.alias("a").join(jump.alias("b"), [F.col("a.user_id") == F.col("b.user_id"),
-                                                                    F.col("a.session") == F.col("b.session"),
-                                                                    F.col("a.to") == F.col("b.pos")], "inner")
-                           .select(F.col("a.user_id"), F.col("a.session"), F.col("a.pos"), F.col("b.to")))
+        then = jump.select(*key, F.col("pos").alias("to"), F.col("to").alias("_then"))
+        jump = materialize(null_safe_join(jump, then, [*key, "to"]).select(*key, "pos", F.col("_then").alias("to")))
     trig = reached.withColumn("_t", F.lit(True))
     # id at position p - 1 (the newest stored id before a turn): a shifted equi-join.
     prev_id = m.select(*key, (F.col("pos") + 1).alias("pos"), F.col("id").alias("_prev_id"))
     # Each trigger's checkpoint is the id just before it.
-    tp = (trig.join(prev_id, [*key, "pos"], "left")
+    tp = (null_safe_join(trig, prev_id, [*key, "pos"], "left")
           .select(*key, F.col("pos").alias("last_t"), F.col("_prev_id").alias("tck")))
-    turns = (m.filter(F.col("role") == "user").select(*key, "pos", "id", "c0")
-             .join(q0.select(*key, "q0"), key, "inner")
-             .join(trig, [*key, "pos"], "left")
-             .join(prev_id, [*key, "pos"], "left"))
+    turns = null_safe_join(m.filter(F.col("role") == "user").select(*key, "pos", "id", "c0"), q0.select(*key, "q0"), key)
+    turns = null_safe_join(turns, trig, [*key, "pos"], "left")
+    turns = null_safe_join(turns, prev_id, [*key, "pos"], "left")
     # The latest trigger strictly below each turn (as-of), then its checkpoint.
     turns = asof_mark(turns.withColumn("_below", F.col("pos") - 1), tp.select(*key, "last_t"), key, "_below",
                       "last_t", name="last_t", width=1_000_000)
-    turns = turns.join(tp, [*key, "last_t"], "left")
+    turns = null_safe_join(turns, tp, [*key, "last_t"], "left")
     base = F.coalesce(F.col("last_t"), F.col("q0"))
     recent = F.when(F.col("pos") > base, F.col("pos") - base).otherwise(F.lit(0))
     before = F.coalesce(F.col("tck"), F.col("c0"))
