@@ -58,6 +58,50 @@ def test_renames_run_in_order(spark):
     assert sorted(r.seq for r in out["rejects"].collect()) == [2, 7]
 
 
+def test_renames_of_a_hot_user_equal_a_replay_and_spread_over_tasks(spark):
+    import random
+
+    from wellspring.operators import cascade as C
+    rnd = random.Random(4)
+    todo, have = [], []
+    for g in range(60):  # groups of names that share nothing; user 1 holds most
+        user, names = (1 if g < 50 else g), [f"g{g}-{k}" for k in range(5)]
+        have += [(user, n) for n in names if rnd.random() < 0.5]
+        todo += [(user, rnd.choice(names), rnd.choice(names)) for _ in range(rnd.randint(1, 12))]
+    rnd.shuffle(todo)
+    todo = [(k, *x) for k, x in enumerate(todo)]
+    exists, now, bad = set(have), {(u, n): {n} for _, u, *o in todo for n in o}, set()
+    for seq, u, old, new in todo:
+        if old == new:
+            continue
+        if (u, old) in exists and (u, new) in exists:
+            bad.add(seq)
+            continue
+        if (u, old) in exists:
+            exists ^= {(u, old), (u, new)}
+        moved = now.pop((u, old), set())
+        now.setdefault((u, new), set()).update(moved)
+    labels = sorted({(u, n) for _, u, *o in todo for n in o})
+    ends = {(u, first): n for (u, n), firsts in now.items() for first in firsts}
+    sessions = spark.createDataFrame(have, "user_id bigint, session_name string")
+    messages = spark.createDataFrame([(*x, x[1]) for x in labels], "user_id bigint, session string, first string")
+    renames = spark.createDataFrame(todo, "seq bigint, user_id bigint, old_name string, new_name string")
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        out = C.rename_cascade(sessions, messages, messages, renames)
+        assert {(r.user_id, r.first): r.session for r in out["messages"].collect()} == {x: ends[x] for x in labels}
+        assert sorted((r.user_id, r.session_name) for r in out["sessions"].collect()) == sorted(exists)
+        rejects = out["rejects"].selectExpr("seq", "user_id", "spark_partition_id() as task").collect()
+        assert sorted(r.seq for r in rejects) == sorted(bad) and len(bad) > 20
+        assert len({r.task for r in rejects if r.user_id == 1}) > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_signup_makes_two_subscriptions_and_six_settings(spark):
     users = spark.createDataFrame([(1, "old@x.com")], "id bigint, email string")
     signups = spark.createDataFrame([

@@ -9,41 +9,67 @@ small, so AQE picks broadcast or shuffle at runtime from actual sizes.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspring.functions.joins import null_safe_join
+from wellspring.llm.common import components
+from wellspring.session import materialize
+
 
 def _flag(df: DataFrame, cols: list[str], name: str = "_hit") -> DataFrame:
     return df.select(*cols).distinct().withColumn(name, F.lit(True))
 
 
 _REPLAYED = "user_id bigint, old_name string, new_name string, seq bigint, reason string"
-
-
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """One user's renames in order.  ``seq`` is null on rows that name a session
-    which exists (``old_name``).  Gives a row per label that ends elsewhere and
-    one, with ``seq``, per rejected request."""
-    exists = set(rows.loc[rows["seq"].isna(), "old_name"])
-    todo = rows[rows["seq"].notna()].sort_values("seq")
-    now = {name: {name} for name in {*todo["old_name"], *todo["new_name"]}}  # where a label stands -> its first names
-    out = []
-    for seq, old, new in zip(todo["seq"], todo["old_name"], todo["new_name"]):
-        if old == new:
-            continue
-        if old in exists and new in exists:
-            out.append((old, new, seq, "name_exists"))
-            continue
-        if old in exists:
-            exists.remove(old)
-            exists.add(new)
-        now.setdefault(new, set()).update(now.pop(old, set()))
-    user = rows["user_id"].iloc[0]
-    out += [(first, name, None, None) for name, firsts in now.items() for first in firsts if first != name]
-    res = pd.DataFrame(out, columns=["old_name", "new_name", "seq", "reason"])
-    res.insert(0, "user_id", user)
-    return res.astype({"seq": "Int64"})
+_OUT_ROWS = 10_000
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Renames in order, connected ones one after another.  Each names per side
+    whether a session has the name at first, and the last ``seq`` that mentions
+    it.  Gives a row per label that ends elsewhere and one, with ``seq``, per
+    rejected request."""
+    live: dict = {}  # (user, name) -> whether a session has it now, first names of the labels that stand there
+    ending: set = set()  # those whose last mention is at the present seq
+    out, at = [], None
+
+    def ended() -> list:
+        gone = [(key, live.pop(key)[1]) for key in ending]
+        ending.clear()
+        return [(user, first, name, None, None) for (user, name), firsts in gone for first in firsts if first != name]
+
+    def packed(rows: list) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        for k in range(0, len(rows), _OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + _OUT_ROWS]), kinds)],
+                                             names=["user_id", "old_name", "new_name", "seq", "reason"])
+
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("part", "seq", "user_id", "old_name", "new_name", "old_there",
+                                                      "new_there", "old_last", "new_last")]
+        for part, seq, user, old, new, old_there, new_there, old_last, new_last in zip(*cols):
+            if at != (part, seq):
+                out += ended()
+                at = part, seq
+                if len(out) >= _OUT_ROWS:
+                    yield from packed(out)
+                    out = []
+            source = live.setdefault((user, old), [old_there, [old]])
+            target = live.setdefault((user, new), [new_there, [new]])
+            if source[0] and target[0]:
+                out.append((user, old, new, seq, "name_exists"))
+            else:
+                if source[0]:
+                    source[0], target[0] = False, True
+                some, more = sorted((source[1], target[1]), key=len)
+                more += some
+                source[1], target[1] = [], more
+            ending.update((user, name) for name, last in ((old, old_last), (new, new_last)) if last == seq)
+    yield from packed(out + ended())
 
 
 def rename_cascade(sessions: DataFrame, messages: DataFrame, summaries: DataFrame,
@@ -55,15 +81,27 @@ def rename_cascade(sessions: DataFrame, messages: DataFrame, summaries: DataFram
     unique key (user_id, session_name); in the original that raises, so it
     changes nothing and goes to ``rejects``.  A rename to its own name changes
     nothing.  An unknown source renames no session but the labels of messages
-    and summaries that carry it.  Only names that requests mention enter the
-    replay, a task per user.
+    and summaries that carry it.
+
+    Requests affect each other only through names they share, so those of a user
+    are cut into connected components of names, which tasks replay in parallel.
+    They stream in batches; a task keeps the names between their first and last
+    mention, with the labels that stand there.
     """
-    r = renames.select("seq", "user_id", "old_name", "new_name")
-    named = r.select("user_id", "old_name").unionByName(r.select("user_id", F.col("new_name").alias("old_name"))).distinct()
-    exists = (sessions.select("user_id", F.col("session_name").alias("old_name")).distinct()
-              .join(named, ["user_id", "old_name"], "left_semi")
-              .select(F.lit(None).cast("bigint").alias("seq"), "user_id", "old_name", F.lit(None).cast("string").alias("new_name")))
-    replayed = r.unionByName(exists).groupBy("user_id").applyInPandas(_replay, _REPLAYED)
+    r = (renames.filter("user_id is not null and not old_name <=> new_name")
+         .select("seq", "user_id", "old_name", "new_name").withColumn("_a", F.xxhash64("user_id", "old_name")))
+    # Equal hashes of different names only put their requests into one task.
+    linked = components(r.select(F.col("_a").alias("a"), F.xxhash64("user_id", "new_name").alias("b")))
+    todo = r.join(linked, F.col("_a") == F.col("v"), "left").withColumn("part", F.coalesce("component", "_a")).drop("_a", "v", "component")
+    there = sessions.select("user_id", F.col("session_name").alias("name")).distinct().withColumn("there", F.lit(True))
+    named = (r.select("user_id", "seq", F.explode(F.array("old_name", "new_name")).alias("name"))
+             .groupBy("user_id", "name").agg(F.max("seq").alias("last"))
+             .join(there, ["user_id", "name"], "left").withColumn("there", F.coalesce("there", F.lit(False))))
+    for side in ("old", "new"):
+        todo = null_safe_join(todo, named.withColumnsRenamed({c: f"{side}_{c}" for c in ("name", "last", "there")}),
+                              ["user_id", f"{side}_name"])
+    todo = todo.repartition("part").sortWithinPartitions("part", "seq", "old_name", "new_name")
+    replayed = materialize(todo.mapInArrow(_replay, _REPLAYED))  # read by the four results
     moved = replayed.filter(F.col("reason").isNull()).select("user_id", "old_name", "new_name")
     rejects = replayed.filter(F.col("reason").isNotNull()).select("seq", "user_id", "old_name", "new_name", "reason")
 
