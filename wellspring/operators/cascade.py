@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspring.functions.graph import components
 from wellspring.functions.joins import null_safe_join
-from wellspring.llm.common import components
 from wellspring.session import materialize
 
 
