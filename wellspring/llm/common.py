@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.session import checkpoint_dir
+# General helpers of the library that the operators here use by these names.
+from wellspring.functions.graph import components  # noqa: F401
+from wellspring.functions.joins import rekey  # noqa: F401
+from wellspring.session import shared_path, stored  # noqa: F401
 
 #: Rows of whole texts that Spark hands to a Python worker at a time.
 ARROW_ROWS = 500
@@ -27,30 +29,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/wellspring-{uuid.uuid4().hex}/{tag}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again: its
-    lineage ends there, several readers share it, and a lost executor loses
-    nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def rekey(key: Column, kind: str = "long") -> Column:
-    """The same key as a computed expression.  Joined on it, an aggregate gets an
-    exchange of its own, so AQE can split the partition of a hot key on the
-    other side (it leaves joins alone that reuse an aggregate's partitioning)."""
-    if kind == "long":
-        return key.bitwiseXOR(F.lit(0).cast("long"))
-    return F.concat(key, F.lit(b"" if kind == "binary" else ""))
-
-
 def text_rows(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with their texts as bytes (null: empty)."""
     for batch in batches:
@@ -62,42 +40,3 @@ def text_rows(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator
 def id_order(doc_id: Column, text: Column) -> Column:
     """A row's identity where ids may be null or repeated: a digest of its text."""
     return F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected links ``(a, b)`` of longs: a row
-    ``(v, component)`` per linked vertex, component being its smallest vertex.
-
-    Large-star and small-star rounds: each hands a vertex's neighbours on to the
-    smallest of them until every vertex hangs on its component's smallest.  A
-    round is joins and grouped minima over the links; nothing is collected but
-    the two numbers that tell whether the links still change.  Links are
-    written to the shared folder after each round.
-    """
-    state = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = stored(state, "links")
-    seen = _fingerprint(state)
-    while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            rekey(F.col("u")).alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(rekey(F.col("u")).alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).select(
-            F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                              F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        state = stored(small.where("u <> v").distinct(), "links")
-        now = _fingerprint(state)
-        if now == seen:
-            break
-        seen = now
-    tops = state.select(F.col("v")).distinct().select("v", F.col("v").alias("component"))
-    return state.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(tops)
-
-
-def _fingerprint(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"),
-                    F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
