@@ -121,3 +121,30 @@ def targets(sizes, weights=(3, 1, 2), total=1.5, cap=2.0):
             open_.discard(s)
         left = total * sum(sizes.values()) - sum(out.values())
     return out
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(rows, min_docs=3, top=200):
+    """rows: (text, lang, source); every row of the audit, term by term."""
+    docs = [(TERM.findall((t or "").translate(LOWER)), lang or "", s or "") for t, lang, s in rows]
+    out = []
+    for lang in {d[1] for d in docs}:
+        own = [d for d in docs if d[1] == lang]
+        held = Counter(t for words, _, _ in own for t in set(words))
+        kept = [t for t in held if held[t] >= min_docs]
+        count = {s: Counter(t for words, _, x in own if x == s for t in words if held[t] >= min_docs) for s in {d[2] for d in own}}
+        whole = sum(count.values(), Counter())
+
+        def p(c, t):
+            return 1 + 10**9 * (c[t] + 1) // (c.total() + len(kept))
+
+        def f(a, b, t):
+            return (p(a, t) - p(b, t)) ** 2 // p(b, t)
+        for s, c in count.items():
+            pairs = [(-sum(f(c, count[o], t) for t in kept), o.encode(), o) for o in count if o != s]
+            terms = [(-f(c, whole, t), t.encode(), t) for t in kept if c[t] and p(c, t) > p(whole, t)]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out += [(lang, s, part, item, -v, r) for r, (v, _, item) in enumerate(found, 1)]
+    return sorted(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wellspring.llm.decontaminate import OP3_SQL, op3_decontaminate
+from wellspring.llm.divergence import OP13_SQL, op13_divergence
 from wellspring.llm.embedding_dedup import op5_embeddings
 from wellspring.llm.langid import op9_langid
 from wellspring.llm.licenses import op4_licenses
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op2_warc": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op13_divergence": OP13_SQL,
 }
