@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 import sys
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from wellspring.llm import divergence  # noqa: E402
+from wellspring.llm import divergence, whitening  # noqa: E402
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -87,3 +90,95 @@ def test_a_shard_is_merged_holding_few_chunks():
     for row in divergence.merged(feed(), 1):
         out.append(row)
     assert [r[1] for r in out] == sorted(r[1] for r in out) and most <= 2
+
+
+VEC = "vec_id bigint, embedding array<float>, label int"
+
+
+def vectors(spark, rows, extra=(), schema=VEC):
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], schema)
+    for c in extra:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+def check_whitening(found, rows, components=16):
+    """Every figure of the result against whole-matrix arithmetic."""
+    want = [(i, [math.floor(64 * float(c)) + 1000000 for c in np.float32(v).tolist()]) for i, v in rows
+            if v and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({tuple(x) for _, x in want})
+    n, s = len(fit), [sum(c) for c in zip(*fit)]
+    exact = np.array([[n * c - t for c, t in zip(x, s)] for x in fit], float) / n
+    cov = exact.T @ exact / n
+    values, axes = np.linalg.eigh(cov)
+    values, axes = values[::-1], axes[:, ::-1]
+    k = min(components, int((values > 1e-12 * values.sum()).sum()))
+    assert len(found) == len(want) * k
+    by_id = defaultdict(list)
+    for r in found:
+        by_id[r.vec_id].append(r)
+        assert r.n == n and 0 <= r.identity_error < 1e-9
+        assert r.explained == pytest.approx(values[r.component - 1] / values.sum(), rel=1e-9)
+    for i in {i for i, _ in want} if k else ():
+        mine = [x for j, x in want if j == i]
+        assert len(by_id[i]) == k * len(mine)
+        assert {r.deviation for r in by_id[i]} == {sum((n * c - t) ** 2 for c, t in zip(x, s)) for x in mine}
+    # Components along well separated eigenvalues are the same up to one sign for all rows.
+    single = {i: x for i, x in want if [j for j, _ in want].count(i) == 1}
+    for c in range(1, k + 1):
+        gap = min([abs(values[c - 1] - v) for j, v in enumerate(values) if j != c - 1], default=1)
+        if gap > 1e-6 * values[0]:
+            z = {i: (np.array(x, float) - np.array(s) / n) @ axes[:, c - 1] / values[c - 1] ** 0.5 for i, x in single.items()}
+            got = {i: next(r.whitened for r in by_id[i] if r.component == c) for i in z}
+            sign = np.sign(sum(got[i] * z[i] for i in z))
+            assert all(got[i] * sign == pytest.approx(z[i], abs=1e-6) for i in z)
+
+
+def test_whitening_equals_whole_matrix_arithmetic(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 20)) * np.geomspace(1, 0.05, 20) + rng.normal(size=20)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(900 + i, rows[i][1]) for i in range(40)]  # repeated vectors count once in the fit
+    rows += [(2000, rows[0][1]), (2000, rows[1][1]), (None, rows[2][1]), (2001, None), (2002, [None] + [0.0] * 19),
+             (2003, [float("nan")] * 20), (2004, [float("inf")] * 20), (2005, [0.0] * 20), (2006, [])]
+    got = whitening.whiten(vectors(spark, rows, ["x", "n", "component", "data", "small"]).repartition(6)).collect()
+    check_whitening(got, rows)
+
+
+@pytest.mark.parametrize("n,dims", [(2, 3), (1, 3), (40, 1), (30, 70)])
+def test_whitening_of_few_vectors_and_dimensions(spark, n, dims):
+    rng = np.random.default_rng(n)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, dims)))]
+    check_whitening(whitening.whiten(vectors(spark, rows)).collect(), rows)
+
+
+def test_whitening_of_nothing_and_of_one_point(spark):
+    assert whitening.whiten(vectors(spark, [])).collect() == []
+    assert whitening.whiten(vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect() == []
+
+
+def test_whitening_takes_the_most_frequent_width(spark):
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, [5.0, 5.5]), (4, [1.0]), (5, [1.0, 2.0, 3.0])]
+    check_whitening(whitening.whiten(vectors(spark, rows)).collect(), rows[:3])
+
+
+def test_whitening_of_entries_beyond_a_long(spark):
+    rows = [(1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [1e12, 3.0])]
+    got = whitening.whiten(vectors(spark, rows, schema="vec_id bigint, embedding array<double>, label int")).collect()
+    # Next to such entries the second dimension is rounding.
+    assert [r.deviation for r in got] == [None] * 3
+
+
+@pytest.mark.parametrize("shape", ["flat", "falling", "low rank", "repeated eigenvalues", "two clusters"])
+def test_jacobi_davidson_reaches_double_precision(shape):
+    rng = np.random.default_rng(2)
+    x = {"flat": lambda: rng.normal(size=(900, 64)), "falling": lambda: rng.normal(size=(500, 300)) * np.geomspace(1, 1e-3, 300),
+         "low rank": lambda: rng.normal(size=(400, 5)) @ rng.normal(size=(5, 90)), "repeated eigenvalues": lambda: np.vstack([np.eye(50), -np.eye(50)]),
+         "two clusters": lambda: rng.normal(size=(800, 150)) * np.repeat([3.0, 1.0], [20, 130])}[shape]()
+    x = x - x.mean(0)
+    cov = x.T @ x / len(x)
+    values, axes = whitening.jacobi_davidson(lambda u: cov @ u, len(cov), 16)
+    want = np.linalg.eigvalsh(cov)[::-1][:16]
+    assert np.abs(values - want).max() <= 1e-13 * want[0]
+    assert np.linalg.norm(cov @ axes - axes * values, axis=0).max() <= 1e-13 * want[0]
+    assert np.abs(axes.T @ axes - np.eye(16)).max() < 1e-12

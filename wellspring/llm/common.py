@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # General helpers of the library that the operators here use by these names.
@@ -40,3 +42,46 @@ def text_rows(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator
 def id_order(doc_id: Column, text: Column) -> Column:
     """A row's identity where ids may be null or repeated: a digest of its text."""
     return F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")
+
+
+#: Values of one row of a partial sum.
+SUM_VALUES = 8192
+
+
+def partial_sum(total: np.ndarray) -> pa.RecordBatch:
+    """A task's share of a sum of arrays, in rows ``(block, part, data)`` for :func:`summed`."""
+    flat = np.ascontiguousarray(total).reshape(-1)
+    cuts = range(0, len(flat), SUM_VALUES)
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(len(cuts)), pa.int32()), pa.array([part] * len(cuts), pa.int32()),
+         pa.array([flat[a:a + SUM_VALUES].tobytes() for a in cuts], pa.binary())], names=["block", "part", "data"])
+
+
+def summed(parts: DataFrame, dtype) -> np.ndarray:
+    """The sum over all tasks of what they gave to :func:`partial_sum`, flat, in double
+    precision and in the order of the tasks, so that reruns agree.  Rows stream
+    through; the driver gets the sum alone."""
+    def scan(batches):
+        block, total = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                                              names=["block", "data"])
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                values = np.frombuffer(data.as_buffer(), dtype)
+                if b != block:
+                    if block is not None:
+                        yield row()
+                    block, total = b, np.zeros(len(values))
+                total += values
+        if block is not None:
+            yield row()
+    got = (parts.repartition("block").sortWithinPartitions("block", "part")
+           .mapInArrow(scan, "block int, data binary").toArrow())
+    rows = sorted(zip(got.column("block").to_pylist(), got.column("data").to_pylist()))
+    return np.concatenate([np.frombuffer(data) for _, data in rows]) if rows else np.zeros(0)
+
+
+PARTIAL_DDL = "block int, part int, data binary"

@@ -13,6 +13,7 @@ from wellspring.llm.mixing import OP7_SQL, op7_mixing
 from wellspring.llm.suffix_dedup import op10_suffix_dedup
 from wellspring.llm.toxicity import op8_toxicity
 from wellspring.llm.warc import OP2_SQL, op2_warc
+from wellspring.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
     "op13_divergence": op13_divergence,
 }
 
