@@ -77,7 +77,7 @@ def test_audit_of_nothing(spark):
 def test_a_shard_is_merged_holding_few_chunks():
     block = divergence.Block(1)
     block.add("en", "s", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)).encode())
-    chunks = sorted(block.run(10), key=lambda r: r["first"])
+    chunks = sorted(divergence.chunks(block.run(10)), key=lambda c: c.terms[0])
     open_, most = [], 0
 
     def feed():

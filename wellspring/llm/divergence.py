@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,11 @@ CELL, PAIRS = 256, 1 << 20
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 _RUN = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
-                  ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("names", pa.list_(pa.string())),
-                  ("source", pa.list_(pa.int32())), ("count", pa.list_(pa.int64()))])
+                  ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("source", pa.list_(pa.string())),
+                  ("count", pa.list_(pa.int64()))])
 _RUN_DDL = ("shard int, lang string, first binary, terms array<binary>, docs array<bigint>, n array<int>, "
-            "names array<string>, source array<int>, count array<bigint>")
-_FREQ = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("total", pa.int64()),
-                   ("postings", pa.list_(pa.struct([("source", pa.string()), ("count", pa.int64())])))])
+            "source array<string>, count array<bigint>")
+_FREQ = ["lang", "term", "docs", "total", "postings"]
 _FREQ_DDL = "lang string, term string, docs bigint, total bigint, postings array<struct<source: string, count: bigint>>"
 
 
@@ -68,67 +68,83 @@ class Block:
             self.docs[lang].update(set(terms))
             self.held += len(count) - before
 
-    def run(self, chunk: int):
+    def run(self, chunk: int) -> pa.RecordBatch:
         """The block as chunks of a run sorted by (shard, language, term)."""
+        parts: dict[str, list] = {name: [] for name in _RUN.names}
         for lang, docs in self.docs.items():
-            keyed = sorted((zlib.crc32(t) % self.shards, t) for t in docs)
-            place = {t: i for i, (_, t) in enumerate(keyed)}
+            terms = sorted(docs)
+            shard = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % self.shards
+            order = np.argsort(shard, kind="stable")
+            shard, terms = shard[order], [terms[i] for i in order.tolist()]
+            place = dict(zip(terms, range(len(terms)))).__getitem__
             names = sorted(self.counts[lang])
-            sizes = [len(self.counts[lang][s]) for s in names]
-            row = np.concatenate([np.fromiter((place[t] for t in self.counts[lang][s]), np.int32, n) for s, n in zip(names, sizes)])
-            count = np.concatenate([np.fromiter(self.counts[lang][s].values(), np.int64, n) for s, n in zip(names, sizes)])
+            counters = [self.counts[lang][s] for s in names]
+            sizes = [len(c) for c in counters]
+            row = np.concatenate([np.fromiter(map(place, c), np.int64, n) for c, n in zip(counters, sizes)])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, n) for c, n in zip(counters, sizes)])
             order = np.argsort(row, kind="stable")
-            source, count = np.repeat(np.arange(len(names)), sizes)[order], count[order]
-            n = np.bincount(row, minlength=len(keyed))
+            n = np.bincount(row, minlength=len(terms))
             start = np.concatenate([[0], np.cumsum(n)])
-            shard = np.array([k for k, _ in keyed])
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keyed)]])
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                for a in range(int(lo), int(hi), chunk):
-                    b = min(int(hi), a + chunk)
-                    used, local = np.unique(source[start[a]:start[b]], return_inverse=True)
-                    terms = [t for _, t in keyed[a:b]]
-                    yield {"shard": int(shard[a]), "lang": lang, "first": terms[0], "terms": terms,
-                           "docs": [docs[t] for t in terms], "n": n[a:b], "names": [names[u] for u in used],
-                           "source": local, "count": count[start[a]:start[b]]}
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(terms)]])
+            cut = np.concatenate([np.arange(lo, hi, chunk) for lo, hi in zip(edge[:-1], edge[1:])] + [[len(terms)]])
+            whole = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+            k = len(cut) - 1
+            parts["shard"].append(pa.array(shard[cut[:-1]].astype(np.int32)))
+            parts["lang"].append(pa.array([lang] * k, pa.string()))
+            parts["first"].append(pa.array([terms[i] for i in cut[:-1].tolist()], pa.binary()))
+            parts["terms"].append(whole(cut, pa.array(terms, pa.binary())))
+            parts["docs"].append(whole(cut, pa.array(np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms)))))
+            parts["n"].append(whole(cut, pa.array(n.astype(np.int32))))
+            source = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(names)), sizes)[order].astype(np.int32)),
+                                                    pa.array(names, pa.string())).dictionary_decode()
+            parts["source"].append(whole(start[cut], source))
+            parts["count"].append(whole(start[cut], pa.array(count[order])))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(parts[name]) if parts[name] else pa.array([], _RUN.field(name).type)
+                                           for name in _RUN.names], schema=_RUN)
 
 
 def _index(block_entries: int, chunk: int, shards: int):
     def scan(batches):
         block = Block(shards)
-
-        def spill():
-            rows = []
-            for row in block.run(chunk):
-                rows.append(row)
-                if len(rows) == 256:
-                    yield pa.RecordBatch.from_pylist(rows, _RUN)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _RUN)
-
+        spill = lambda run: (run.slice(at, 256) for at in range(0, run.num_rows, 256))
         for part, texts in text_rows(batches):
             for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), texts):
                 block.add(lang, source, text)
                 if block.held >= block_entries:
-                    yield from spill()
+                    yield from spill(block.run(chunk))
                     block = Block(shards)
-        yield from spill()
+        yield from spill(block.run(chunk))
     return scan
 
 
-class _Open:
-    """A chunk being merged."""
+class Chunk:
+    """A chunk of a run: terms, their documents, and per term the postings from ``start`` on."""
 
-    def __init__(self, row: dict):
-        self.terms, self.docs = row["terms"], row["docs"]
-        self.start = np.concatenate([[0], np.cumsum(row["n"])]).tolist()
-        self.sources = [row["names"][s] for s in row["source"]]
-        self.count = row["count"]
+    def __init__(self, shard: int, lang: str, terms: list, docs: list, start: list, sources: list, count: list):
+        self.key, self.terms, self.docs, self.start = (shard, lang), terms, docs, start
+        self.sources, self.count = sources, count
         self.at = 0
 
 
-def merged(chunks, min_docs: int):
+def chunks(batch: pa.RecordBatch):
+    """The chunks that the rows of a batch are."""
+    lists = {}
+    for name in ("terms", "docs", "n", "source", "count"):
+        column = batch.column(name)
+        at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        values = column.flatten()
+        if name == "source":
+            values = values.dictionary_encode()
+            names = values.dictionary.to_pylist()
+            lists[name] = at, [names[i] for i in values.indices.to_numpy().tolist()]
+        else:
+            lists[name] = at, values.to_numpy().tolist() if pa.types.is_integer(values.type) else values.to_pylist()
+    for i, (shard, lang) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("lang").to_pylist())):
+        terms, docs, n, sources, count = (values[at[i]:at[i + 1]] for at, values in lists.values())
+        yield Chunk(shard, lang, terms, docs, [0, *accumulate(n)], sources, count)
+
+
+def merged(arriving, min_docs: int):
     """``(lang, term, documents, {source: count})`` of the terms in at least ``min_docs``
     documents, from chunks in the order of (shard, language, first term)."""
     heap: list = []
@@ -139,11 +155,12 @@ def merged(chunks, min_docs: int):
             term, docs, parts = heap[0][0], 0, []
             while heap and heap[0][0] == term:
                 _, no, c = heap[0]
-                docs += c.docs[c.at]
-                parts.append((c, c.at))
-                c.at += 1
-                if c.at < len(c.terms):
-                    heapq.heapreplace(heap, (c.terms[c.at], no, c))
+                i = c.at
+                docs += c.docs[i]
+                parts.append((c, i))
+                c.at = i + 1
+                if i + 1 < len(c.terms):
+                    heapq.heapreplace(heap, (c.terms[i + 1], no, c))
                 else:
                     heapq.heappop(heap)
             if docs >= min_docs:
@@ -154,29 +171,30 @@ def merged(chunks, min_docs: int):
                         counts[s] = counts.get(s, 0) + c.count[j]
                 yield key[1], term, docs, counts
 
-    for row in chunks:
-        if key != (row["shard"], row["lang"]):
+    for c in arriving:
+        if key != c.key:
             yield from drain(None)
-            key = row["shard"], row["lang"]
+            key = c.key
         else:
-            yield from drain(row["first"])
+            yield from drain(c.terms[0])
         number += 1
-        heapq.heappush(heap, (row["first"], number, _Open(row)))
+        heapq.heappush(heap, (c.terms[0], number, c))
     yield from drain(None)
 
 
 def _merge(min_docs: int):
     def scan(batches):
-        out = []
-        rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
-        for lang, term, docs, counts in merged(rows, min_docs):
-            out.append({"lang": lang, "term": term.decode("utf-8", "replace"), "docs": docs, "total": sum(counts.values()),
-                        "postings": [{"source": s, "count": c} for s, c in counts.items()]})
-            if len(out) == 4096:
-                yield pa.RecordBatch.from_pylist(out, _FREQ)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, _FREQ)
+        rows = merged((c for batch in batches for at in range(0, batch.num_rows, 64) for c in chunks(batch.slice(at, 64))), min_docs)
+        while out := list(islice(rows, 4096)):
+            lang, term, docs, counts = zip(*out)
+            at = pa.array([0, *accumulate(map(len, counts))], pa.int32())
+            total = [sum(c.values()) for c in counts]
+            postings = pa.StructArray.from_arrays(
+                [pa.array([s for c in counts for s in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())],
+                names=["source", "count"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()),
+                 pa.array(total, pa.int64()), pa.ListArray.from_arrays(at, postings)], names=_FREQ)
     return scan
 
 
