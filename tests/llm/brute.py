@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -148,3 +150,16 @@ def divergence(rows, min_docs=3, top=200):
             for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
                 out += [(lang, s, part, item, -v, r) for r, (v, _, item) in enumerate(found, 1)]
     return sorted(out)
+
+
+def token_counts(rows, folds=10, held=0):
+    """rows: (doc_id, text); each row's (held out, tokens, known, N, base score) and the training counts."""
+    def out(i):
+        return i is not None and zlib.crc32(str(i).encode()) % folds == held
+
+    def tokens(t):
+        return [*WORD.findall((t or "").translate(LOWER)), None]  # None: the end
+    count = Counter(w for i, t in rows if i is not None and not out(i) for w in tokens(t))
+    n, v = count.total(), len(count)
+    return [(i, out(i), len(w := tokens(t)), sum(count[x] > 0 for x in w), n,
+             sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, t in rows], count

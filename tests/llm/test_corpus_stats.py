@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from wellspring.llm import divergence, whitening  # noqa: E402
+from wellspring.llm import divergence, lm_score, whitening  # noqa: E402
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -182,3 +182,95 @@ def test_jacobi_davidson_reaches_double_precision(shape):
     assert np.abs(values - want).max() <= 1e-13 * want[0]
     assert np.linalg.norm(cov @ axes - axes * values, axis=0).max() <= 1e-13 * want[0]
     assert np.abs(axes.T @ axes - np.eye(16)).max() < 1e-12
+
+
+LONG = " ".join(f"word{i}" for i in range(30_000))
+TOKEN_TRAPS = [(1, "A b a B"), (2, None), (3, ""), (4, " \t\n"), (5, LONG), (6, "a \x0b b\x0cC"), (None, "a b"), (None, "zz"), (7, "É é naïve"),
+               (8, "a a a"), (8, "a a a"), (8, "b"), (10, "unseen words here")]
+
+
+def test_base_scores_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = TOKEN_TRAPS + [(100 + i, " ".join(rng.choices("a b c d e f g".split(), k=rng.randint(0, 50)))) for i in range(150)]
+    # Several shards and several copies of each.
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 9000)
+    monkeypatch.setattr(lm_score, "SALT_TOKENS", 4000)
+    docs = documents(spark, [(i, t, None, None) for i, t in rows], ["rid", "shard", "w", "n", "model", "salt", "key"]).repartition(5)
+    got = lm_score.score(docs)
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: (r[0] is None, *(v or 0 for v in r[:1]), *r[1:4], round(r[5], 6))
+    found = sorted((tuple(r)[:6] for r in got.collect()), key=key)
+    want = sorted(brute.token_counts(rows)[0], key=key)
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    assert [r[5] for r in found] == pytest.approx([r[5] for r in want], rel=1e-9)
+
+
+def test_scores_equal_the_models_probabilities_token_by_token(spark, monkeypatch):
+    """A plain replay: the rounds' steps in order, then each token's class, member and share."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["a b c", "b c d", "x y"], k=rng.randint(1, 20)))) for i in range(60)]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows]).coalesce(1)
+    models = []
+    fit = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a: models.append(fit(*a)) or models[-1])
+    got = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    model, tokens = models[0], lm_score.Tokens()
+    assert np.abs(model.classes).max() > 0
+    _, count = brute.token_counts(rows)
+    hashed = {w: int(tokens(b"" if w is None else w.encode())[0]) for w in {None, "a", "b", "c", "d", "x", "y"}}
+    cells = lm_score.CLASSES * lm_score.MEMBERS
+    inside = {b: (sum(c for w, c in count.items() if hashed[w] % cells == b), sum(hashed[w] % cells == b for w in count)) for b in range(cells)}
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for i, text in rows:
+        words = [*text.split(), None]
+        hashes = np.array([hashed[w] for w in words], np.uint64)
+        context, total = lm_score.contexts([hashes]), 0.0
+        for k, w in enumerate(words):
+            b = hashed[w] % cells
+            at = model.rows(context[k:k + 1], np.array([b]))
+            one = softmax(model.class_bias.astype(float) + sum(model.classes[r].astype(float) for r in at[0][0]))
+            two = softmax(model.member_bias[b // lm_score.MEMBERS].astype(float) + sum(model.members[r].astype(float) for r in at[1][0]))
+            n, v = inside[b]
+            total += math.log10(one[b // lm_score.MEMBERS] * two[b % lm_score.MEMBERS] * (count[w] + 0.1) / (n + 0.1 * (v + 1)))
+        assert got[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_the_models_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 9, lm_score.CLASSES * lm_score.MEMBERS).astype(float)
+    trainer = lm_score.Trainer(lm_score.Model.of_counts(counts))
+    tokens = rng.integers(0, 1 << 60, 20_000).astype(np.uint64)
+    for at in range(0, 20_000, 4000):
+        trainer.step(tokens[at:at + 4000], lm_score.contexts([tokens[at:at + 4000]]))
+    every = np.arange(lm_score.CLASSES * lm_score.MEMBERS, dtype=np.uint64)
+    context = np.repeat(lm_score.contexts([tokens[:9]])[8:9], len(every), axis=0)
+    assert np.exp(trainer.model.score(every, context)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_contexts_stay_in_their_text():
+    a, b = np.array([1, 2, 3], np.uint64), np.array([2, 3], np.uint64)
+    both = lm_score.contexts([a, b])
+    assert (both[:3] == lm_score.contexts([a])).all() and (both[3:] == lm_score.contexts([b])).all()
+    assert (both[0] == both[3]).all() and both[1, 0] != both[4, 0]
+
+
+def test_group_sums_equal_a_plain_sum():
+    rng = np.random.default_rng(4)
+    for hot in (0, 1, 500):
+        ids = np.sort(np.concatenate([rng.integers(0, 300, 900), np.zeros(hot, int)]))
+        rows = rng.normal(size=(len(ids), 4))
+        edge = np.flatnonzero(np.diff(ids, prepend=-1))
+        assert np.allclose(lm_score.group_sums(rows, edge), [rows[ids == i].sum(0) for i in ids[edge]])
+
+
+def test_model_scores_beat_the_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    once, again = ([tuple(r) for r in lm_score.score(docs).where("held_out").orderBy("doc_id").collect()] for _ in range(2))
+    assert sum(r[6] for r in once) > sum(r[5] for r in once)
+    assert [r[6] for r in once] == pytest.approx([r[6] for r in again], rel=1e-12)  # reruns agree
+
+
+def test_lm_score_of_nothing_and_of_nothing_to_learn_from(spark):
+    assert lm_score.score(documents(spark, [])).collect() == []
+    got = lm_score.score(documents(spark, [(None, "a b", None, None)])).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in got] == [(3, 0, 0, 0.0)]

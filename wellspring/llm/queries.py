@@ -9,6 +9,7 @@ from wellspring.llm.langid import op9_langid
 from wellspring.llm.licenses import op4_licenses
 from wellspring.llm.line_dedup import OP1_SQL, op1_line_dedup
 from wellspring.llm.minhash import op6_minhash
+from wellspring.llm.lm_score import op12_lm_score
 from wellspring.llm.mixing import OP7_SQL, op7_mixing
 from wellspring.llm.suffix_dedup import op10_suffix_dedup
 from wellspring.llm.toxicity import op8_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
+    "op12_lm_score": op12_lm_score,
     "op13_divergence": op13_divergence,
 }
 
