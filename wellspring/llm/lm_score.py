@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import PARTIAL_DDL, partial_sum, small_batches, stored, summed, text_rows
+from wellspring.llm.common import PARTIAL_DDL, SLICE, partial_sum, small_batches, stored, summed, text_rows
 from wellspring.llm.hashing import Ranges, mix64
 from wellspring.llm.toxicity import crc_part
 
@@ -41,8 +42,10 @@ FLAT = 60.0
 TASK_TOKENS = 1 << 21
 #: Distinct tokens that a task counts before it hands them on.
 COUNTED = 1 << 18
+#: Shards are the leading bits of a token's hash, at least so many.
+LEAST_BITS = 4
 #: Counts of a shard, at most on average; tokens of documents that meet one copy of them.
-SHARD_TOKENS, SALT_TOKENS = 1 << 18, 1 << 22
+SHARD_TOKENS, SALT_TOKENS = 1 << 19, 1 << 23
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
 #: The hash of the end of a text; other tokens' hashes come from their bytes.
@@ -240,76 +243,114 @@ def _count(batches):
         yield from out(*merged())
 
 
-def _score(model: Model, shards: int):
-    """Per text and shard its distinct tokens and how often they stand; the text's own figures come with its first shard."""
+#: What a batch of texts asks of a shard (distinct tokens, in how many texts each stands, which and how often)
+#: and, in the row of its first shard, the texts' own figures.
+def _asked_ddl(kind: str) -> str:
+    return f"bid bigint, shard bigint, w binary, k binary, at binary, n binary, ids array<{kind}>, n_tokens binary, model binary"
+
+
+def _score(model: Model, bits: int):
+    """Model scores of batches of texts and the tokens they hold, by shard."""
     def scan(batches):
-        tokens = Tokens()
+        tokens, bid = Tokens(), TaskContext.get().partitionId() << 33
         for part, texts in text_rows(batches):
-            ids = part.column("rid").to_pylist()
-            at = 0
+            first = 0
             for some in _batches(texts, tokens, 1 << 15):
-                flat = np.concatenate(some)
-                ends = np.cumsum([len(t) for t in some])
-                log = np.add.reduceat(model.score(flat, contexts(some)), np.concatenate([[0], ends[:-1]]))
-                out = []
-                for i, t in enumerate(some):
-                    w, n = np.unique(t, return_counts=True)
-                    shard = (w >> np.uint64(32)) % np.uint64(shards)
-                    order = np.argsort(shard, kind="stable")
-                    w, n, shard = w[order], n[order].astype("<i4"), shard[order]
-                    edge = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(w)]])
-                    for a, b in zip(edge[:-1], edge[1:]):
-                        first = a == 0
-                        out.append((at + i if first else None, ids[at + i], int(shard[a]), w[a:b].tobytes(), n[a:b].tobytes(),
-                                    len(t) if first else None, float(log[i]) if first else None))
-                at += len(some)
-                own, *rest = zip(*out)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.float64())
+                flat, sizes = np.concatenate(some), np.array([len(t) for t in some])
+                start = np.cumsum(sizes) - sizes
+                log = np.add.reduceat(model.score(flat, contexts(some)), start)
+                order = np.argsort(flat, kind="stable")
+                w, at = flat[order], np.repeat(np.arange(len(some), dtype="<u4"), sizes)[order]
+                other = np.concatenate([[True], w[1:] != w[:-1]])
+                edge = np.flatnonzero(other | np.concatenate([[True], at[1:] != at[:-1]]))
+                n = np.diff(edge, append=len(w)).astype("<u4")
+                w, at, other = w[edge], at[edge], other[edge]
+                unique = np.flatnonzero(other)
+                k, w = np.diff(unique, append=len(at)).astype("<u4"), w[unique]
+                shard = w >> np.uint64(64 - bits)
+                cut = np.append(np.flatnonzero(np.diff(shard, prepend=shard[:1] + np.uint64(1))), len(w))
+                to = np.append(unique, len(at))[cut]
+                rows = len(cut) - 1
+                piece = lambda x, e: pa.array([x[a:b].tobytes() for a, b in zip(e[:-1], e[1:])], pa.binary())  # noqa: B023, E731
+                own = lambda x: pa.array([x.tobytes()] + [None] * (rows - 1), pa.binary())  # noqa: B023, E731
+                ids = part.column("doc_id").slice(first, len(some))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(own, pa.int64())), *(pa.array(c, kind) for c, kind in zip(rest, kinds))],
-                    names=["doc_id", "rid", "shard", "w", "n", "n_tokens", "model"])
+                    [pa.array([bid] * rows, pa.int64()), pa.array(shard[cut[:-1]].astype(np.int64)), piece(w, cut), piece(k, cut),
+                     piece(at, to), piece(n, to), pa.ListArray.from_arrays(pa.array([0] + [len(some)] * rows, pa.int32()), ids),
+                     own(sizes), own(log)], names=["bid", "shard", "w", "k", "at", "n", "ids", "n_tokens", "model"])
+                first, bid = first + len(some), bid + 1
     return scan
 
 
-_SUMS = ["rid", "n_tokens", "n_known", "base", "inside", "model"]
+_SUMS = ["known", "base", "inside"]
 
 
 def _look_up(n: int, v: int, bucket_n: np.ndarray, bucket_v: np.ndarray):
-    """Sums over a text's tokens of a shard of the base's and the within-bucket log probabilities.
-    A shard's counts (rows without ``rid``) come before its texts' tokens."""
+    """A batch's sums per text over its tokens of a shard: known ones, the base's and the within-bucket
+    log probabilities.  A shard's counts (rows without ``bid``) come before the batches' tokens."""
     base_of, inside_of = n + ADD * (v + 1), bucket_n + ADD * (bucket_v + 1)
 
     def scan(batches):
         key, words, counts, table = None, [], [], None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("shard", "salt", "rid", "w", "n", "n_tokens", "model")]
-            out, own = [], []
-            for i, (shard, salt, rid, w, c, n_tokens, model) in enumerate(zip(*cols)):
+            out, rows = [], []
+            for i, (shard, salt, bid) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "bid")))):
                 if key != (shard, salt):
                     key, words, counts, table = (shard, salt), [], [], None
-                w = np.frombuffer(w, np.uint64)
-                if rid is None:
+                w, c = (np.frombuffer(batch.column(name)[i].as_buffer(), kind) for name, kind in (("w", np.uint64), ("n", np.uint8)))
+                if bid is None:
                     words.append(w)
-                    counts.append(np.frombuffer(c, np.int64))
+                    counts.append(c.view(np.int64))
                     continue
                 if table is None:
                     known, many = (np.concatenate(words), np.concatenate(counts)) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                     order = np.argsort(known)
                     table = np.append(known[order], 0), np.append(many[order], 0)
                     words, counts = [], []
+                k, at = (np.frombuffer(batch.column(name)[i].as_buffer(), "<u4") for name in ("k", "at"))
                 there = np.searchsorted(table[0][:-1], w)
                 found = np.where((there < len(table[0]) - 1) & (table[0][there] == w), table[1][there], 0)
-                times = np.frombuffer(c, "<i4")
-                own.append(i)
-                out.append((rid, n_tokens or 0, int(times[found > 0].sum()), float((times * np.log10((found + ADD) / base_of)).sum()),
-                            float((times * np.log10((found + ADD) / inside_of[bucket(w)])).sum()), model or 0.0))
+                times = c.view("<u4").astype(np.float64)
+                size = int(at.max()) + 1
+                out.append([np.bincount(at, weights=times * np.repeat(x, k), minlength=size).tobytes() for x in (
+                    found > 0, np.log10((found + ADD) / base_of), np.log10((found + ADD) / inside_of[bucket(w)]))])
+                rows.append(i)
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own, pa.int64())),
-                                                  *(pa.array(c, kind) for c, kind in zip(zip(*out), kinds))], names=["doc_id", *_SUMS])
+                own = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in _OWN), *(pa.array(c, pa.binary()) for c in zip(*out))],
+                                                 names=[*_OWN, *_SUMS])
     return scan
 
 
+_OWN = ["bid", "ids", "n_tokens", "model"]
+
+
+def _add_up(batches):
+    """The texts of a batch with their sums over all shards; a batch's rows stand together."""
+    bid, own, total = None, None, None
+
+    def out():
+        ids, sizes, log = own
+        known, base, inside = total[:, :len(sizes)]
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(sizes), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(inside + log / np.log(10))],
+            names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    for batch in batches:
+        for i, b in enumerate(batch.column("bid").to_pylist()):
+            if b != bid:
+                if own is not None:
+                    yield out()
+                bid, total = b, np.zeros((3, SLICE))
+            if batch.column("model")[i].is_valid:
+                own = (batch.column("ids")[i].values, *(np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                                                        for c, kind in (("n_tokens", np.int64), ("model", np.float64))))
+            for c, name in enumerate(_SUMS):
+                x = np.frombuffer(batch.column(name)[i].as_buffer())
+                total[c, :len(x)] += x
+    if own is not None:
+        yield out()
+
+
 def _pack(batches):
     """Counts of tokens in rows of up to one batch a shard."""
     for batch in batches:
@@ -363,24 +404,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     n, v = sum(int(r["n"]) for r in per), sum(int(r["v"]) for r in per)
     model = train(training, bucket_n, rounds)
 
-    shards = max(1, -(-v // SHARD_TOKENS))
-    salts = max(1, -(-n // (SALT_TOKENS * shards)))
+    bits = max(LEAST_BITS, (max(1, v) // SHARD_TOKENS).bit_length())
+    salts = max(1, -(-n // (SALT_TOKENS << bits)))
     kind = base.schema["doc_id"].dataType.simpleString()
-    null = lambda k: F.lit(None).cast(k)
-    asked = (base.withColumn("rid", F.monotonically_increasing_id())
-             .mapInArrow(_score(model, shards), f"doc_id {kind}, rid bigint, shard bigint, w binary, n binary, n_tokens bigint, model double")
-             .withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("long")))
-    known = (counts.select("w", "c", F.pmod(F.shiftrightunsigned("w", 32), F.lit(shards)).alias("shard"))
+    ddl = _asked_ddl(kind)
+    asked = (base.mapInArrow(_score(model, bits), ddl)
+             .withColumn("salt", F.pmod(F.xxhash64("bid"), F.lit(salts)).cast("long")))
+    known = (counts.select("w", "c", F.shiftrightunsigned("w", 64 - bits).alias("shard"))
              .mapInArrow(_pack, "shard bigint, w binary, n binary")
-             .select(null(kind).alias("doc_id"), null("long").alias("rid"), "shard", "w", "n", null("long").alias("n_tokens"),
-                     null("double").alias("model"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")))
-    met = (asked.unionByName(known).repartition("shard", "salt")
-           .sortWithinPartitions("shard", "salt", F.col("rid").isNotNull(), "rid"))
-    sums = met.mapInArrow(_look_up(n, v, bucket_n, bucket_v), f"doc_id {kind}, rid bigint, n_tokens bigint, n_known bigint, "
-                          "base double, inside double, model double")
-    found = sums.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in _SUMS[1:]])
-    return found.select("doc_id", crc_part(F.col("doc_id"), folds, held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-                        F.col("base").alias("base_score"), (F.col("inside") + F.col("model") / F.lit(float(np.log(10)))).alias("score"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    met = (asked.unionByName(known, allowMissingColumns=True).repartition("shard", "salt")
+           .sortWithinPartitions("shard", "salt", F.col("bid").isNotNull(), "bid"))
+    sums = met.mapInArrow(_look_up(n, v, bucket_n, bucket_v), f"bid bigint, ids array<{kind}>, n_tokens binary, model binary, "
+                          "known binary, base binary, inside binary")
+    found = (sums.withColumn("own", F.col("model").isNotNull()).repartition("bid").sortWithinPartitions("bid", F.desc("own"), "inside")
+             .mapInArrow(_add_up, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"))
+    return found.select("doc_id", crc_part(F.col("doc_id"), folds, held).alias("held_out"), "n_tokens", "n_known",
+                        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op12_lm_score(spark, sf_dir: str) -> DataFrame:
