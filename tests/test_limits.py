@@ -73,21 +73,45 @@ def test_funnel_order_bot_ip_email_pattern_user(spark):
                    6: "sent", 7: "unknown_user"}
 
 
-def test_segments_split_hot_key_at_idle_gaps(spark):
-    rnd = random.Random(11)
-    t0 = dt.datetime(2024, 1, 1)
-    reqs, i = [], 0
-    for burst in range(12):                              # bursts separated by gaps longer than the window
-        start = t0 + dt.timedelta(hours=3 * burst)
-        for _ in range(25):
-            reqs.append((i, start + dt.timedelta(seconds=rnd.randint(0, 1200)), "hot"))
-            i += 1
-    df = spark.createDataFrame(reqs, REQ).withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
-    segs = L._with_segments(df, "ip", 60 * 60 * 1_000_000, None).select("_seg").distinct().count()
-    assert segs == 12
-    got = {r["seq"]: r["allowed"] for r in L.rate_limit(spark.createDataFrame(reqs, REQ), "ip", 3, 60).collect()}
-    want = _plain([(s, t.replace(tzinfo=dt.timezone.utc), k) for s, t, k in reqs], 3, 60 * 60 * 1_000_000)
-    assert got == want
+def _requests(seed, n, seconds, start=dt.datetime(2024, 1, 1)):
+    rnd = random.Random(seed)
+    return [(i, start + dt.timedelta(seconds=rnd.choice([rnd.randint(0, seconds), rnd.randint(0, 60)])), "hot") for i in range(n)]
+
+
+def test_saturated_and_bursty_keys_equal_the_plain_replay(spark):
+    # Continuous traffic without an idle window, bursts with gaps, many requests at one time, few requests.
+    saturated = _requests(1, 1500, 6 * 3600)
+    bursts = [(2000 + 50 * b + i, dt.datetime(2024, 2, 1) + dt.timedelta(hours=3 * b, seconds=17 * i % 1200), "burst")
+              for b in range(12) for i in range(25)]
+    at_once = [(5000 + i, dt.datetime(2024, 3, 1, 0, 0, i // 40), "at once") for i in range(200)]
+    few = [(6000 + i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=20 * i), None) for i in range(9)]
+    reqs = saturated + bursts + at_once + few
+    df = spark.createDataFrame(reqs, REQ)
+    for limit, minutes in ((3, 60), (1, 15), (7, 5)):
+        got = {r["seq"]: r["allowed"] for r in L.rate_limit(df, "ip", limit, minutes).collect()}
+        assert got == _plain([(s, t.replace(tzinfo=dt.timezone.utc), k or "") for s, t, k in reqs], limit, minutes * 60 * 1_000_000)
+
+
+def test_retry_seconds_equal_the_plain_replay(spark):
+    reqs = _requests(5, 400, 4 * 3600)
+    got = {r["seq"]: r["retry_after_s"] for r in L.rate_limit(spark.createDataFrame(reqs, REQ), "ip", 3, 30).collect()}
+    log, want = L.SlidingLog(3, 30 * 60 * 1_000_000), {}
+    for seq, t, _ in sorted(reqs, key=lambda r: (r[1], r[0])):
+        want[seq] = log.offer(int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000))
+    assert got == want and any(want.values())
+
+
+def test_a_hot_keys_requests_are_judged_by_many_tasks(spark):
+    """Rows go by (key, chunk) only; no exchange of rows is by the key alone."""
+    df = L.rate_limit(spark.createDataFrame(_requests(2, 50, 3600), REQ), "ip", 3, 60)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    by_key = [line for line in plan.splitlines() if "hashpartitioning(ip#" in line and "_c#" not in line]
+    assert len(by_key) == 1 and "REPARTITION_BY_COL" in by_key[0]  # the packed chunks
+
+
+def test_requests_without_a_time_are_not_judged(spark):
+    got = L.rate_limit(spark.createDataFrame([(1, None, "a"), (2, dt.datetime(2024, 1, 1), "a")], REQ), "ip", 1, 1).collect()
+    assert {r["seq"]: (r["allowed"], r["retry_after_s"]) for r in got} == {1: (None, None), 2: (True, None)}
 
 
 def test_limiter_is_independent_of_session_time_zone(spark):

@@ -2,18 +2,19 @@
 
 The limiter is order dependent: a request counts only if it was allowed, so
 the state of a key is the list of its last (at most ``max_requests``) allowed
-times.  The batch form hashes requests by key, sorts each partition by
-(key, ts, seq) and folds it with ``mapInPandas``: Arrow batches stream
-through, the state is carried across batch edges and reset on each key
-change, so memory is O(max_requests) whatever the key's size.
-
-Hot keys (one shared IP holding a third of all requests): a key's decisions
-depend on its earlier allowed requests, but the state is provably empty after
-any gap longer than the window, so each key is cut at such gaps into
-independent segments that are folded in parallel (exact, see
-``_with_segments``).  Only a key with continuous traffic and no idle window
-stays one sequential segment; that costs one task time, never memory.  Rows
-that use no quota (bots, requests an earlier limit denied) are dealt out evenly.
+times.  Seen from outside, a chunk of a key's requests is a function from the
+state at its start to the state at its end, and its sorted times are all that
+the function needs: a full state skips to the first request after its oldest
+time leaves the window, found by binary search.
+
+So the work is cut in three.  Tasks pack each (key, time chunk)'s times, one
+row a chunk.  A key's chunks are then run through in order, a few searches
+each, which gives every chunk its entry state and the requests it allows.
+Last, requests meet their chunk's row in an equi-join and are judged where
+they are, in built-in expressions.  A hot key (one shared IP holding a third of
+all requests, with or without idle times) is thus read, packed and judged by
+many tasks; what one task does for it alone is to stream its packed times (16
+bytes a request) past a state of ``max_requests`` times.
 """
 
 from __future__ import annotations
@@ -22,86 +23,87 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wellspring.fixed_values import RESET_MAX_REQUESTS, RESET_WINDOW_MINUTES
 from wellspring.functions.dates import epoch_micros
+from wellspring.functions.joins import null_safe_join
 from wellspring.functions.text import is_valid_email, normalise_email
 
-
-def _fold(key_col: str, max_requests: int, window_us: int, eligible_col: str | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key = object()
-        times: deque = deque()
-        for pdf in batches:
-            if pdf.empty:
+#: Time chunks of one window, which bound the requests packed into one row.
+CHUNKS_PER_WINDOW = 16
+
+
+class SlidingLog:
+    """The last ``max_requests`` allowed times of one key."""
+
+    def __init__(self, max_requests: int, window_us: int, times=()):
+        self.max_requests, self.window_us = max_requests, window_us
+        self.times: deque = deque(times, maxlen=max(max_requests, 1))
+
+    def full_until(self) -> int | None:
+        """The last time at which a further request is denied (null: none is)."""
+        if len(self.times) < self.max_requests:
+            return None
+        # Strict: exactly one window later the oldest still counts.
+        return self.times[0] + self.window_us
+
+    def offer(self, t: int) -> int | None:
+        """Take a request (times don't fall): null if allowed, else the seconds to wait."""
+        until = self.full_until()
+        if until is None or t > until:
+            self.times.append(t)
+            return None
+        return (until - t) // 1_000_000
+
+    def take(self, times: np.ndarray) -> list[int]:
+        """Which of a chunk's sorted times are allowed."""
+        taken, i = [], 0
+        if self.max_requests < 1:
+            return taken
+        while i < len(times):
+            until = self.full_until()
+            if until is not None and times[i] <= until:  # denied requests are not recorded
+                i += int(np.searchsorted(times[i:], until, "right"))
                 continue
-            n = len(pdf)
-            # A new (key, segment) starts with empty state.
-            keys = list(zip(pdf[key_col].to_numpy(), pdf["_seg"].to_numpy()))
-            ts = pdf["_t"].to_numpy(dtype=np.int64)
-            elig = (pdf[eligible_col].astype("boolean").fillna(False).to_numpy(dtype=bool) if eligible_col
-                    else np.ones(n, dtype=bool))
-            allowed = np.zeros(n, dtype=bool)
-            retry = np.zeros(n, dtype=np.int64)
-            for i in range(n):
-                if not elig[i]:
-                    continue
-                k = keys[i]
-                if k != cur_key:
-                    cur_key, times = k, deque()
-                t = ts[i]
-                while times and t - times[0] > window_us:   # strict: exactly one window later still counts (T22)
-                    times.popleft()
-                if len(times) >= max_requests:               # denied requests are not recorded
-                    elapsed = t - times[0]
-                    retry[i] = 0 if elapsed >= window_us else (window_us - elapsed) // 1_000_000
-                else:
-                    allowed[i] = True
-                    times.append(t)
-            out = pdf.drop(columns=["_t", "_seg"])
-            out["allowed"] = pd.array(allowed, dtype="boolean")
-            out.loc[~elig, "allowed"] = pd.NA
-            out["retry_after_s"] = pd.array(retry, dtype="Int64")
-            out.loc[allowed | ~elig, "retry_after_s"] = pd.NA
-            yield out
-    return run
-
-
-def _with_segments(src: DataFrame, key: str, window_us: int, eligible: str | None,
-                   out_col: str = "_seg") -> DataFrame:
-    """Split each key's requests into independent segments.
-
-    A key's state is empty after any gap longer than the window.  With time
-    cut into window-sized buckets, an empty bucket between two requests proves
-    such a gap, so a new segment starts at the first non-empty bucket after
-    it.  Segments come from the small per-(key, bucket) table (partial
-    aggregate, then a window over buckets), so a hot key with idle periods is
-    folded by many tasks instead of one, with identical results.  Buckets may
-    be computed over a superset of the rows that are later folded (an empty
-    bucket of the superset is empty for the subset too), which lets a chained
-    limit take its segments from the first limit's input.
-    """
-    b = F.floor(F.col("_t") / F.lit(window_us)).cast("bigint")
-    active = src if eligible is None else src.filter(F.coalesce(F.col(eligible), F.lit(False)))
-    buckets = active.select(key, b.alias("_b")).distinct()
-    w = Window.partitionBy(key).orderBy("_b")
-    gap = (F.col("_b") - F.lag("_b").over(w)) >= 2
-    seg = buckets.withColumn("_seg", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    # Rows that skip the fold (not eligible) have no segment.
-    return (src.withColumn("_b", b).join(seg.withColumnRenamed("_seg", out_col), [key, "_b"], "left")
-            .withColumn(out_col, F.coalesce(out_col, F.lit(-1)).cast("bigint")).drop("_b"))
+            self.times.append(int(times[i]))
+            taken.append(i)
+            i += 1
+        return taken
+
+
+def _run(key: str, max_requests: int, window_us: int):
+    """A key's chunks in order: the state each begins with and the requests it allows."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, log = object(), None
+        for batch in batches:
+            sizes = batch.column("_reqs").value_lengths().to_numpy()
+            flat = batch.column("_reqs").flatten()
+            times, seqs = (flat.field(c).to_numpy() for c in ("t", "s"))
+            ends = np.cumsum(sizes)
+            entry, taken, counts = [], [], []
+            for k, a, b in zip(batch.column(key).to_pylist(), ends - sizes, ends):
+                if k != at:
+                    at, log = k, SlidingLog(max_requests, window_us)
+                entry.append(list(log.times))
+                found = log.take(times[a:b])
+                taken += [int(a) + i for i in found]
+                counts.append(len(found))
+            where = np.array(taken, np.int64)
+            allowed = pa.StructArray.from_arrays([pa.array(times[where]), pa.array(seqs[where])], names=["t", "s"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), batch.column("_c"), pa.array(entry, pa.list_(pa.int64())), pa.ListArray.from_arrays(offsets, allowed)],
+                names=[key, "_c", "_entry", "_taken"])
+    return scan
 
 
 def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQUESTS,
                window_minutes: float = RESET_WINDOW_MINUTES, ts_col: str = "ts",
                seq_col: str = "seq", eligible: str | None = None,
-               allowed_col: str = "allowed", retry_col: str = "retry_after_s",
-               segment_col: str | None = None) -> DataFrame:
+               allowed_col: str = "allowed", retry_col: str = "retry_after_s") -> DataFrame:
     """Allow a request if fewer than ``max_requests`` *allowed* requests of the
     same key lie within ``window_minutes`` before it (eviction is strict, T22).
 
@@ -109,29 +111,31 @@ def rate_limit(requests: DataFrame, key: str, max_requests: int = RESET_MAX_REQU
     whole seconds for denied requests, null when allowed).  Order within a key
     is (ts, seq).  With ``eligible`` (a boolean column), other rows pass
     through untouched with nulls and do not use quota, so chained limits run
-    as one pass each without splitting and re-unioning the input.
-    ``segment_col`` names precomputed idle-gap segments (see
-    :func:`_with_segments`); otherwise they are computed here.
+    as one pass each without splitting and re-unioning the input; so do
+    requests without a time.  A null key is a key.
     """
     window_us = int(round(window_minutes * 60 * 1_000_000))
+    chunk_us = max(1, window_us // CHUNKS_PER_WINDOW)
     src = requests.withColumn("_t", epoch_micros(ts_col))
-    if segment_col is None:
-        src = _with_segments(src, key, window_us, eligible)
-    else:
-        src = src.withColumnRenamed(segment_col, "_seg")
-    if eligible is not None:
-        # Rows that skip the fold are dealt out evenly, not to their key's task.
-        src = src.withColumn("_seg", F.when(F.coalesce(F.col(eligible), F.lit(False)), F.col("_seg"))
-                             .otherwise(-1 - F.pmod(F.xxhash64(seq_col), F.lit(1024))))
-    ordered = (src.repartition(key, "_seg")
-               .sortWithinPartitions(key, "_seg", ts_col, seq_col))
-    fold = _fold(key, max_requests, window_us, eligible)
-    out = ordered.mapInPandas(fold, T.StructType(
-        [f for f in src.schema.fields if f.name not in ("_t", "_seg")]
-        + [T.StructField("allowed", T.BooleanType()), T.StructField("retry_after_s", T.LongType())]))
-    if (allowed_col, retry_col) != ("allowed", "retry_after_s"):
-        out = out.withColumnRenamed("allowed", allowed_col).withColumnRenamed("retry_after_s", retry_col)
-    return out
+    counts = F.col("_t").isNotNull() if eligible is None else F.col("_t").isNotNull() & F.coalesce(F.col(eligible), F.lit(False))
+    src = src.withColumn("_c", F.when(counts, F.floor(F.col("_t") / F.lit(chunk_us)).cast("bigint")))
+    packed = (src.filter("_c is not null").groupBy(key, "_c")
+              .agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col(seq_col).cast("bigint").alias("s")))).alias("_reqs")))
+    kind = src.schema[key].dataType.simpleString()
+    chunks = (packed.repartition(key).sortWithinPartitions(key, "_c")
+              .mapInArrow(_run(key, max_requests, window_us),
+                          f"`{key}` {kind}, _c bigint, _entry array<bigint>, _taken array<struct<t: bigint, s: bigint>>"))
+    # Rows that count meet their chunk; the others' null chunk meets nothing.
+    keys = chunks.withColumnsRenamed({key: "_k", "_c": "_kc"})
+    joined = src.join(keys, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_kc")), "left").drop("_k", "_kc")
+    own = F.struct(F.col("_t").alias("t"), F.col(seq_col).cast("bigint").alias("s"))
+    allowed = F.when(F.col("_c").isNotNull(), F.array_contains("_taken", own))
+    before = F.concat("_entry", F.transform(F.filter("_taken", lambda x: x < own), lambda x: x["t"]))
+    oldest = F.try_element_at(before, F.lit(-max(max_requests, 1)))
+    retry = F.floor((F.lit(window_us) - F.col("_t") + oldest) / F.lit(1_000_000)).cast("bigint")
+    return (joined.withColumn(allowed_col, allowed)
+            .withColumn(retry_col, F.when(~F.col(allowed_col), retry))
+            .drop("_t", "_c", "_entry", "_taken"))
 
 
 def reset_funnel(requests: DataFrame, users: DataFrame, max_requests: int = RESET_MAX_REQUESTS,
@@ -143,21 +147,14 @@ def reset_funnel(requests: DataFrame, users: DataFrame, max_requests: int = RESE
     addresses still use quota (T24).  ``outcome`` is one of ``bot``,
     ``ip_limited``, ``email_limited``, ``invalid_email``, ``unknown_user``,
     ``sent``; ``retry_minutes`` is the wait shown for limited requests.
-    Plan: exchange by ip -> fold -> exchange by email -> fold -> join users.
+    Each limit packs its times by chunk, runs the chunks and joins them back.
     """
     r = requests.select("seq", "ts", "ip", normalise_email("email_raw").alias("email"),
                         (F.col("nickname").isNotNull() & (F.col("nickname") != "")).alias("bot"))
     r = r.withColumn("_human", ~F.col("bot"))
-    # Both limits' segments come from the input (human rows), so the IP fold
-    # runs once: the email fold's candidates are a subset of them.
-    window_us = int(round(window_minutes * 60 * 1_000_000))
-    r = r.withColumn("_t", epoch_micros("ts"))
-    r = _with_segments(r, "ip", window_us, "_human", "_seg_ip")
-    r = _with_segments(r, "email", window_us, "_human", "_seg_email").drop("_t")
-    by_ip = rate_limit(r, "ip", max_requests, window_minutes, eligible="_human",
-                       allowed_col="ip_ok", retry_col="ip_retry", segment_col="_seg_ip")
+    by_ip = rate_limit(r, "ip", max_requests, window_minutes, eligible="_human", allowed_col="ip_ok", retry_col="ip_retry")
     by_email = rate_limit(by_ip, "email", max_requests, window_minutes, eligible="ip_ok",
-                          allowed_col="email_ok", retry_col="email_retry", segment_col="_seg_email")
+                          allowed_col="email_ok", retry_col="email_retry")
     known = users.select("email", F.lit(True).alias("_known"))
     j = by_email.join(known, "email", "left")
     outcome = (F.when(F.col("bot"), F.lit("bot"))
