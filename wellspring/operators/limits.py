@@ -155,8 +155,13 @@ def reset_funnel(requests: DataFrame, users: DataFrame, max_requests: int = RESE
     by_ip = rate_limit(r, "ip", max_requests, window_minutes, eligible="_human", allowed_col="ip_ok", retry_col="ip_retry")
     by_email = rate_limit(by_ip, "email", max_requests, window_minutes, eligible="ip_ok",
                           allowed_col="email_ok", retry_col="email_retry")
+    return funnel_outcomes(by_email, users)
+
+
+def funnel_outcomes(judged: DataFrame, users: DataFrame) -> DataFrame:
+    """The funnel's answer to requests that both limits have judged (batch and live)."""
     known = users.select("email", F.lit(True).alias("_known"))
-    j = by_email.join(known, "email", "left")
+    j = judged.join(known, "email", "left")
     outcome = (F.when(F.col("bot"), F.lit("bot"))
                .when(~F.col("ip_ok"), F.lit("ip_limited"))
                .when(~F.col("email_ok"), F.lit("email_limited"))

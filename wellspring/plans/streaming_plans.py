@@ -1,14 +1,17 @@
 """Registered streaming queries: the live forms run with ``availableNow`` over
 the driver's parquet files and must equal the batch results, so they share
-the batch oracles (J1, J3, J5, J7)."""
+the batch oracles (J1, J2, J3, J5, J6, J7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wellspring.plans.limits_plans import MAX_REQ, WINDOW_MIN, fold_sql
+from wellspring.plans.accounts_plans import ISSUES_SQL, REDEEM_SQL, _issues
+from wellspring.plans.limits_plans import FUNNEL_CTES, MAX_REQ, WINDOW_MIN, fold_sql
 from wellspring.plans.registry import register
 from wellspring.plans.safety_plans import CHAT_CRISIS, CHAT_LIST, HOTLINE_EXPR, HOTLINES_SQL, PREFIX
+from wellspring.session import shared_path
+from wellspring.streaming import ordered as O
 from wellspring.streaming import streams as S
 
 # Batch oracles reused verbatim (streaming must give the batch answer).
@@ -28,6 +31,30 @@ def _stream_rate_limit(fx):
     return S.run_available_now(fx.spark, live).select("seq", "ip", "allowed", "retry_after_s")
 
 
+def _beaten(fx, stream):
+    """The stream with a heartbeat a day after the last event, so that it answers every row."""
+    return O.with_heartbeat(stream, fx.tables.table("events").agg(F.max("ts") + F.expr("INTERVAL 1 DAY")).scalar())
+
+
+@register("stream_reset_funnel", "J2 live", ["reset_requests", "users"], "SELECT * FROM funnel", ctes=FUNNEL_CTES, recursive=True)
+def _stream_reset_funnel(fx):
+    requests = _beaten(fx, fx.view("reset_requests", events=_events(fx)))
+    live = O.stream_reset_funnel(requests, fx.users, MAX_REQ, WINDOW_MIN)
+    return S.run_available_now(fx.spark, live, provider=S.ROCKSDB)
+
+
+@register("stream_lapsed_tokens", "J6 live", ["reset_requests", "users", "reset_redemptions"],
+          "SELECT i.seq, i.user_id, i.token, i.issued_at, i.expires FROM issues i WHERE i.token NOT IN (SELECT token FROM used)",
+          ctes=ISSUES_SQL + REDEEM_SQL, recursive=True)
+def _stream_lapsed_tokens(fx):
+    # The issue log as the batch job appends it; both logs are read as streams.
+    log = shared_path(fx.spark, "issues")
+    _issues(fx).write.parquet(log)
+    issues = fx.spark.readStream.schema(fx.spark.read.parquet(log).schema).parquet(log)
+    redemptions = _beaten(fx, fx.view("reset_redemptions", events=_events(fx)))
+    return S.run_available_now(fx.spark, O.stream_lapsed_tokens(issues, redemptions), provider=S.ROCKSDB)
+
+
 @register("stream_crisis_alerts", "J3 live", ["messages", "user_country"], rf"""
 SELECT * FROM (SELECT m.id, m.user_id, array_to_string(list_filter({CHAT_LIST}, lambda k: contains(lower(m.message), k)), '|') AS matched,
  {HOTLINE_EXPR} AS hotline, '{PREFIX}' || {HOTLINE_EXPR} AS response

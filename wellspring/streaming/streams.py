@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the live operators.
+"""Structured Streaming forms of the live operators (J1, J3, J5, J7; J2 and J6 in ``ordered``).
 
 Sources are file streams (parquet) read with a fixed schema; sinks are
 append/update/complete sinks chosen per operator.  Checkpoints go under the
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wellspring.fixed_values import CRISIS_KEYWORDS, RESET_MAX_REQUESTS, RESET_TOKEN_HOURS, RESET_WINDOW_MINUTES
+from wellspring.fixed_values import CRISIS_KEYWORDS, RESET_MAX_REQUESTS, RESET_WINDOW_MINUTES
 from wellspring.functions.dates import epoch_micros
 from wellspring.operators.safety import crisis_alerts
 from wellspring.operators.tokens import token_increments
@@ -110,19 +110,6 @@ def stream_token_totals(log: DataFrame) -> DataFrame:
             .agg(F.sum("tokens").cast("bigint").alias("tokens")))
 
 
-def stream_lapsed_tokens(issues: DataFrame, redemptions: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """J6 live: stream-stream left outer join of issues to redemptions within the
-    one-hour validity; issues with no redemption are emitted once the
-    watermark passes their expiry (watermarks on both sides)."""
-    i = (issues.select("token", "user_id", F.col("issued_at").cast("timestamp").alias("issued_at"))
-         .withWatermark("issued_at", watermark))
-    r = (redemptions.select(F.col("token").alias("r_token"), F.col("ts").cast("timestamp").alias("redeemed_at"))
-         .withWatermark("redeemed_at", watermark))
-    cond = ((F.col("token") == F.col("r_token")) & (F.col("redeemed_at") >= F.col("issued_at"))
-            & (F.col("redeemed_at") < F.col("issued_at") + F.expr(f"INTERVAL {RESET_TOKEN_HOURS} HOURS")))
-    return i.join(r, cond, "leftOuter").filter(F.col("r_token").isNull()).select("token", "user_id", "issued_at")
-
-
 def stream_dedup(messages: DataFrame, watermark: str = "1 hour", ts_col: str = "timestamp") -> DataFrame:
     """J7 live: drop re-delivered message ids within the watermark."""
     return (messages.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", watermark)
@@ -168,24 +155,35 @@ def _complete_versions(spark: SparkSession, path: str) -> list[int]:
     return [int(f.getPath().getParent().getName().removeprefix("v=")) for f in found or []]
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append",
-                      keys: list[str] | None = None) -> DataFrame:
+                      keys: list[str] | None = None, provider: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available (``availableNow``)
     into parquet under the shared checkpoint folder and return it as a batch
     DataFrame.  Append mode uses the file sink (exactly-once via its commit
     log); complete/update modes write each micro-batch's result with
-    ``foreachBatch`` (the last batch's complete result is the answer)."""
+    ``foreachBatch`` (the last batch's complete result is the answer).
+    ``provider`` names the query's state store (``ROCKSDB`` for the operators of
+    :mod:`wellspring.streaming.ordered`); the session's own stays as it is."""
     name = "ws_" + uuid.uuid4().hex[:12]
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     out = f"{base}/data"
     w = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        q = w.format("parquet").option("path", out).outputMode("append").start()
+        w = w.format("parquet").option("path", out).outputMode("append")
     elif mode == "update" and keys:
-        q = w.outputMode("update").foreachBatch(snapshot_merge(out, keys)).start()
+        w = w.outputMode("update").foreachBatch(snapshot_merge(out, keys))
     else:
-        q = (w.outputMode(mode)
-             .foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(out)).start())
+        w = w.outputMode(mode).foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(out))
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, provider or before)
+    try:
+        q = w.start()  # takes a copy of the session's settings
+    finally:
+        spark.conf.set(_PROVIDER, before)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
