@@ -18,7 +18,8 @@ QUERIES = {name: query for name, query in E.queries().items() if name in load_al
 ORACLES = {name: sql for name, sql in E.oracle_sql().items() if name in load_all()}
 STREAMING = {n for n in QUERIES if n.startswith("stream_")}
 FOLDS = {"rate_limit", "reset_funnel", "reset_funnel_counts", "reset_issue", "reset_redeem", "reset_cleanup",
-         "expired_token_count", "lapsed_tokens", "summary_triggers", "summary_requests", "summary_triggers_split", "summary_triggers_count"}
+         "expired_token_count", "lapsed_tokens", "summary_triggers", "summary_requests", "summary_triggers_split", "summary_triggers_count",
+         "summary_requests_count"}
 
 
 @pytest.fixture(scope="module")
@@ -64,4 +65,4 @@ def test_plan_has_no_cross_product_and_python_only_in_folds(spark, name):
             below = next((x for x in lines[i + 1:] if x.strip()), "")
             assert "Aggregate" in below and "partial_" in below, (name, line, below)
     if name not in FOLDS:
-        assert "MapInPandas" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+        assert "MapInPandas" not in plan and "MapInArrow" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wellspring.functions.windows import chunked_last_value, chunked_next, chunked_row_number
+from wellspring.operators import prompts as P
 
 
 def _data(spark, with_nulls=False):
@@ -174,3 +176,47 @@ def test_chunked_rank_in_dst_gap_with_local_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == {3: 1, 1: 2, 2: 3}
+
+
+def _plain_triggers(ids, roles, threshold, mode, checkpoint):
+    out, kept, last = [], [], 0
+    for i, role in zip(ids, roles):
+        if role == "user":
+            recent, before = len(kept), checkpoint
+            if recent >= threshold:
+                checkpoint = last if mode == "max_id" else checkpoint + recent
+                kept = [x for x in kept if x > checkpoint]
+            out.append((i, recent, recent >= threshold, before, checkpoint))
+        if i > checkpoint:
+            kept.append(i)
+        last = i
+    return out
+
+
+def test_trigger_run_equals_the_message_by_message_fold():
+    rnd = random.Random(12)
+    for trial in range(400):
+        mode, threshold = rnd.choice(["max_id", "count"]), rnd.randint(1, 6)
+        ids = sorted(rnd.sample(range(1, rnd.choice([60, 400])), rnd.randint(1, 50)))
+        roles = [rnd.choice(["user", "assistant"]) for _ in ids]
+        c0 = rnd.choice([0, 0, ids[len(ids) // 2], 10_000])
+        run, got, at = P.TriggerRun(threshold, mode, c0), [], 0
+        while at < len(ids):
+            n = rnd.randint(1, 9)
+            part, user = np.array(ids[at:at + n]), np.array([r == "user" for r in roles[at:at + n]])
+            recent, fired, before, after = run.turns(part, user)
+            got += list(zip(part[user].tolist(), recent.tolist(), fired.tolist(), before.tolist(), after.tolist()))
+            at += n
+        assert got == _plain_triggers(ids, roles, threshold, mode, c0), trial
+
+
+def test_count_mode_requests_hold_their_windows_only(spark):
+    """Overlapping windows over a long session: each body row lies in its trigger's window."""
+    rnd = random.Random(3)
+    data = [(i, 1, f"m{i}", rnd.choice(["user", "assistant", "system"]), None, False, rnd.choice(["s", "s", None])) for i in range(1, 400)]
+    msgs = spark.createDataFrame(data, "id bigint, user_id bigint, message string, role string, timestamp timestamp_ntz, archive boolean, session string")
+    trig = P.summary_triggers(msgs, threshold=5, mode="count")
+    got = sorted((r.request_id, r.pos) for r in P.summary_requests(trig, msgs, mode="count").filter("part = 2").collect())
+    want = sorted((t.turn_id, d[0]) for t in trig.filter("triggered").collect() for d in data
+                  if d[6] == t.session and d[3] != "system" and t.checkpoint_before < d[0] < t.turn_id)
+    assert got == want and len(want) > 500

@@ -9,17 +9,17 @@ orders rows inside a section (the message id for history).  The history of a
 turn is a range join on (user_id, session) with ``checkpoint < id < turn``:
 its size is exactly the prompt payload.
 
-The summary trigger (J4) is order dependent and uses the same sorted
-``mapInPandas`` fold as the rate limiter: state is (checkpoint, pending
-count, last id) per session, carried across Arrow batches.
+The summary trigger (J4) is order dependent: sessions are packed into chunks
+of sorted ids, and a session's chunks run past its checkpoint in order.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,55 +156,85 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
     return rows.unionByName(stored)
 
 
-def _trigger_fold(threshold: int, mode: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur = None
-        ckpt = pending = last_id = 0
-        kept: list = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            users = pdf["user_id"].to_numpy()
-            sess = pdf["session"].to_numpy()
-            ids = pdf["id"].to_numpy(dtype=np.int64)
-            roles = pdf["role"].to_numpy()
-            init = pdf["init_checkpoint"].to_numpy(dtype=np.int64)
-            out_recent = np.zeros(n, dtype=np.int64)
-            out_trig = np.zeros(n, dtype=bool)
-            out_before = np.zeros(n, dtype=np.int64)
-            out_after = np.zeros(n, dtype=np.int64)
-            is_turn = np.zeros(n, dtype=bool)
-            for i in range(n):
-                key = (users[i], sess[i])
-                if key != cur:
-                    cur, ckpt, pending, last_id, kept = key, int(init[i]), 0, 0, []
-                mid = int(ids[i])
-                if roles[i] == "user":
-                    is_turn[i] = True
-                    out_recent[i] = pending                  # T4: stored before this turn
-                    out_before[i] = ckpt
-                    if pending >= threshold:
-                        out_trig[i] = True
-                        if mode == "max_id":                 # C (T2): checkpoint = newest summarised id
-                            ckpt, pending, kept = last_id, 0, []
-                        else:                                # F: previous + number of messages
-                            ckpt = ckpt + pending
-                            kept = [x for x in kept if x > ckpt]
-                            pending = len(kept)
-                    out_after[i] = ckpt
-                if mid > ckpt:
-                    pending += 1
-                    if mode != "max_id":
-                        kept.append(mid)
-                last_id = mid
-            res = pdf.loc[is_turn, ["user_id", "session"]].copy()
-            res["turn_id"] = ids[is_turn]
-            res["recent"] = out_recent[is_turn]
-            res["triggered"] = out_trig[is_turn]
-            res["checkpoint_before"] = out_before[is_turn]
-            res["checkpoint_after"] = out_after[is_turn]
-            yield res
+class TriggerRun:
+    """The summary checkpoint of one session while its stored messages go by in chunks of sorted ids.
+
+    Of what went by, only the ids above the checkpoint are held, as arrays, and
+    only in ``count`` mode, where the checkpoint lags behind the ids; it never
+    falls, so they are dropped from the front.
+    """
+
+    def __init__(self, threshold: int, mode: str, checkpoint: int):
+        self.threshold, self.mode, self.checkpoint = threshold, mode, checkpoint
+        self.above = 0  # messages that went by above the checkpoint
+        self.last = 0
+        self.held: deque = deque()
+        self.held_n = 0
+
+    def _move(self, checkpoint: int, seen: np.ndarray) -> None:
+        self.checkpoint = checkpoint
+        if self.mode == "max_id":
+            self.above = 0
+            return
+        while self.held and self.held[0][-1] <= checkpoint:
+            self.held_n -= len(self.held.popleft())
+        if self.held:
+            gone = int(np.searchsorted(self.held[0], checkpoint, "right"))
+            self.held[0] = self.held[0][gone:]
+            self.held_n -= gone
+        self.above = self.held_n + len(seen) - int(np.searchsorted(seen, checkpoint, "right"))
+
+    def turns(self, ids: np.ndarray, user: np.ndarray) -> list[np.ndarray]:
+        """Per user turn of the chunk: pending messages, fired, checkpoint before and after."""
+        at = np.flatnonzero(user)  # places of the turns
+        recent, fired = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        before, after = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        k = start = 0  # the next turn; the chunk's messages before ``start`` are in ``above``
+        while True:
+            first = max(start, int(np.searchsorted(ids, self.checkpoint, "right")))
+            # The first turn with enough messages above the checkpoint before it.
+            need = first + max(0, self.threshold - self.above) if self.above < self.threshold else 0
+            hit = max(k, int(np.searchsorted(at, need)))
+            upto = min(hit + 1, len(at))
+            recent[k:upto] = self.above + np.maximum(0, at[k:upto] - first)
+            before[k:upto] = after[k:upto] = self.checkpoint
+            if hit >= len(at):
+                self.above += max(0, len(ids) - first)
+                break
+            place = int(at[hit])
+            fired[hit] = True
+            # Corrected: the newest summarised id.  As the original does: plus the number of messages.
+            newest = int(ids[place - 1]) if place else self.last
+            self._move(newest if self.mode == "max_id" else self.checkpoint + int(recent[hit]), ids[:place])
+            after[hit] = self.checkpoint
+            k, start = hit + 1, place
+        if self.mode != "max_id" and len(ids) and ids[-1] > self.checkpoint:
+            self.held.append(ids[np.searchsorted(ids, self.checkpoint, "right"):])
+            self.held_n += len(self.held[-1])
+        self.last = int(ids[-1]) if len(ids) else self.last
+        return [recent, fired, before, after]
+
+
+def _run_sessions(threshold: int, mode: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, session = object(), None
+        for batch in batches:
+            sizes = batch.column("_rows").value_lengths().to_numpy()
+            flat = batch.column("_rows").flatten()
+            ids, user = flat.field("id").to_numpy(), flat.field("user").to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            out = []
+            for key, c0, a, b in zip(zip(batch.column("user_id").to_pylist(), batch.column("session").to_pylist()),
+                                     batch.column("init_checkpoint").to_pylist(), ends - sizes, ends):
+                if key != at:
+                    at, session = key, TriggerRun(threshold, mode, c0)
+                out.append(session.turns(ids[a:b], user[a:b]))
+            turns = np.flatnonzero(user)
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes)[turns])
+            recent, fired, before, after = (pa.array(np.concatenate(c)) for c in zip(*out)) if out else [pa.array([])] * 4
+            if len(turns):
+                yield pa.RecordBatch.from_arrays([batch.column("user_id").take(row), batch.column("session").take(row), pa.array(ids[turns]),
+                                                  recent, fired, before, after], names=TRIGGER_SCHEMA.fieldNames())
     return run
 
 
@@ -213,6 +243,10 @@ TRIGGER_SCHEMA = T.StructType([
     T.StructField("turn_id", T.LongType()), T.StructField("recent", T.LongType()),
     T.StructField("triggered", T.BooleanType()), T.StructField("checkpoint_before", T.LongType()),
     T.StructField("checkpoint_after", T.LongType())])
+#: Positions of a session that meet a summary window in one join key.
+WINDOW_BUCKET = 64
+#: Width of the id ranges whose rows of a session are packed into one row.
+ID_CHUNK = 1 << 16
 
 
 def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
@@ -220,31 +254,36 @@ def summary_triggers(messages: DataFrame, summaries: DataFrame | None = None,
     """For every user turn, whether at least ``threshold`` stored messages
     lie after the session's checkpoint (then a summary is made and the
     checkpoint moves).  System rows are not stored by the application and are
-    excluded.  ``mode='max_id'`` moves the checkpoint to the newest summarised
+    excluded, rows without an id too.  ``mode='max_id'`` moves the checkpoint to the newest summarised
     id (corrected); ``mode='count'`` adds the message count to it (T2, as the
     original does, which lags behind the real ids).
 
     The initial checkpoint is the session's latest stored summary (0 if none).
-    Sessions are hashed and each partition sorted by (user, session, id); the
-    fold streams a session in O(1) state in ``max_id`` mode; where one session
-    holds a large share of all rows, :func:`summary_triggers_parallel` gives the
-    same rows with every session split over tasks.
+    Tasks pack a session's rows by id range; the packed ranges of a session run
+    past its checkpoint in order, with a few binary searches a trigger
+    (:class:`TriggerRun`).  Where one session holds a large share of all rows,
+    :func:`summary_triggers_parallel` gives the rows of ``max_id`` mode with
+    every session split over tasks.
     """
-    m = messages.filter(F.col("role") != "system").select("user_id", "session", "id", "role")
+    m = messages.filter("role <> 'system' and id is not null").select(
+        "user_id", "session", F.floor(F.col("id") / F.lit(ID_CHUNK)).cast("bigint").alias("_c"), F.col("id").cast("bigint").alias("id"),
+        (F.col("role") == "user").alias("user"))
+    packed = m.groupBy("user_id", "session", "_c").agg(F.array_sort(F.collect_list(F.struct("id", "user"))).alias("_rows"))
     if summaries is not None:
         ck = summaries.groupBy("user_id", "session").agg(F.max("last_message_id").alias("init_checkpoint"))
-        m = null_safe_join(m, ck, ["user_id", "session"], "left")
+        packed = null_safe_join(packed, ck, ["user_id", "session"], "left")
     else:
-        m = m.withColumn("init_checkpoint", F.lit(None).cast("bigint"))
-    m = m.withColumn("init_checkpoint", F.coalesce("init_checkpoint", F.lit(0)).cast("bigint"))
-    ordered = m.repartition("user_id", "session").sortWithinPartitions("user_id", "session", "id")
-    return ordered.mapInPandas(_trigger_fold(threshold, mode), TRIGGER_SCHEMA)
+        packed = packed.withColumn("init_checkpoint", F.lit(None).cast("bigint"))
+    packed = packed.withColumn("init_checkpoint", F.coalesce("init_checkpoint", F.lit(0)).cast("bigint"))
+    ordered = packed.repartition("user_id", "session").sortWithinPartitions("user_id", "session", "_c")
+    return ordered.mapInArrow(_run_sessions(threshold, mode), TRIGGER_SCHEMA)
 
 
 def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFrame | None = None,
                      mode: str = "max_id") -> DataFrame:
     """K4: the summary request of each trigger: first or update wording, the
-    summarised messages, the closing instruction.
+    summarised messages, the closing instruction.  ``triggers`` are those of
+    :func:`summary_triggers` over the same messages in the same ``mode``.
 
     The previous summary text is the stored one for a session's first trigger;
     after that it is the model's own output, so the update wording carries the
@@ -277,12 +316,21 @@ def summary_requests(triggers: DataFrame, messages: DataFrame, summaries: DataFr
         m = asof_mark(m, triggers.filter("triggered"), ["user_id", "session"], "mid", "turn_id", name="_pt")
         j = null_safe_join(tw.withColumn("_pt", F.coalesce("prev_turn", F.lit(-1))),
                            m.withColumn("_pt", F.coalesce("_pt", F.lit(-1))), ["user_id", "session", "_pt"])
+        j = j.filter((F.col("mid") > F.col("checkpoint_before")) & (F.col("mid") < F.col("turn_id")))
     else:
-        # Count-mode checkpoints lag, so windows overlap: a range join per session.
-        j = null_safe_join(tw, m, ["user_id", "session"])
-    body = (j.filter((F.col("mid") > F.col("checkpoint_before")) & (F.col("mid") < F.col("turn_id")))
-            .select(F.col("turn_id").alias("request_id"), F.lit(2).alias("part"), F.col("mid").alias("pos"),
-                    "role", "content"))
+        # Count-mode checkpoints lag, so windows overlap.  A trigger's window is the
+        # ``recent`` positions before its turn; windows and messages meet in buckets of positions.
+        m = chunked_row_number(m, ["user_id", "session"], [F.col("mid")], "mid", unit=ID_CHUNK, name="_pos")
+        place = m.select("user_id", "session", F.col("mid").alias("turn_id"), F.col("_pos").cast("bigint").alias("_end"))
+        w = null_safe_join(triggers.filter("triggered").select("user_id", "session", "turn_id", "recent"), place,
+                           ["user_id", "session", "turn_id"])
+        first, end = F.col("_end") - F.col("recent"), F.col("_end") - 1
+        bucket = lambda x: F.floor(x / F.lit(WINDOW_BUCKET)).cast("bigint")
+        w = w.filter("recent > 0").select("user_id", "session", "turn_id", first.alias("_first"), end.alias("_last"),
+                                          F.explode(F.sequence(bucket(first), bucket(end))).alias("_b"))
+        j = null_safe_join(w, m.withColumn("_b", bucket(F.col("_pos"))), ["user_id", "session", "_b"])
+        j = j.filter(F.col("_pos").between(F.col("_first"), F.col("_last")))
+    body = j.select(F.col("turn_id").alias("request_id"), F.lit(2).alias("part"), F.col("mid").alias("pos"), "role", "content")
     return fixed.unionByName(body)
 
 

@@ -144,7 +144,7 @@ def _summary_triggers_count(fx):
     return P.summary_triggers(fx.messages, fx.summaries, threshold=THRESHOLD, mode="count")
 
 
-@register("summary_requests", "K4", ["messages", "summaries"], """
+REQUESTS_SQL = """
 SELECT turn_id AS request_id, CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS pos, 'system' AS role,
  CASE WHEN prev IS NULL OR prev = '' THEN 'Summarise the following conversation in 1–2 sentences, focusing on the user''s emotional themes.'
   ELSE 'The previous summary was: "' || prev || '". Update or extend it based on the following new messages.' END AS content
@@ -154,16 +154,29 @@ SELECT t.turn_id, 2, m.id, m.role, m.message FROM tp t JOIN messages m
  ON m.user_id = t.user_id AND m.session = t.session AND m.role <> 'system' AND m.id > t.checkpoint_before AND m.id < t.turn_id
 UNION ALL
 SELECT turn_id, 3, 0, 'system', 'Provide a concise updated summary.' FROM tp
-""", ctes=TRIGGER_SQL + """,
+"""
+
+TP_SQL = """,
 tp AS (SELECT t.*, CASE WHEN lag(t.turn_id) OVER (PARTITION BY t.user_id, t.session ORDER BY t.turn_id) IS NOT NULL
   THEN '@summary:' || CAST(lag(t.turn_id) OVER (PARTITION BY t.user_id, t.session ORDER BY t.turn_id) AS VARCHAR)
   ELSE (SELECT arg_max(s.summary, s.last_message_id) FROM summaries s WHERE s.user_id = t.user_id AND s.session = t.session) END AS prev
- FROM triggers t WHERE t.triggered)""", recursive=True)
+ FROM triggers t WHERE t.triggered)"""
+
+
+@register("summary_requests", "K4", ["messages", "summaries"], REQUESTS_SQL, ctes=TRIGGER_SQL + TP_SQL, recursive=True)
 def _summary_requests(fx):
     # The trigger table is a fold's output read by two branches: written once.
     return P.summary_requests(materialize(_triggers(fx)), fx.messages, fx.summaries)
 
 
+@register("summary_requests_count", "K4/T2", ["messages", "summaries"], REQUESTS_SQL, ctes=COUNT_SQL + """,
+counted AS (SELECT user_id, session, id AS turn_id, trig AS triggered, CAST(ck_before AS BIGINT) AS checkpoint_before FROM r WHERE role = 'user')"""
+          + TP_SQL.replace("FROM triggers t", "FROM counted t"), recursive=True)
+def _summary_requests_count(fx):
+    triggers = P.summary_triggers(fx.messages, fx.summaries, threshold=THRESHOLD, mode="count")
+    return P.summary_requests(materialize(triggers), fx.messages, fx.summaries, mode="count")
+
+
 @register("reflection_requests", "K5", ["journal_log"], f"""
 SELECT k.user_id, k.days, CASE WHEN r.text IS NULL THEN 'empty' ELSE 'request' END AS kind,
  CASE WHEN r.text IS NULL THEN 'No journal entries found for this period.'
