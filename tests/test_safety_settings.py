@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from conftest import rows, ts
 
 from wellspring.functions.text import is_valid_email
+from wellspring.operators import chat
 from wellspring.operators import prompts as P
 from wellspring.operators import safety as S
 from wellspring.operators import settings as ST
+from wellspring.sources.sinks import append_summaries
 
 
 def test_typographic_apostrophe_missed_unless_normalised(spark):
@@ -96,3 +98,39 @@ def test_unique_check_with_case_and_accent_insensitive_collation(spark):
     assert unique_check(df, ["email"], "seq").count() == 0                      # binary: all distinct
     dup = unique_check(df, ["email"], "seq", collation="UNICODE_CI_AI").collect()
     assert len(dup) == 1 and dup[0]["rows"] == 2 and dup[0]["kept_seq"] == 1
+
+
+def test_properties_files_are_read_in_line_order_however_they_are_split(spark, tmp_path):
+    lines = [(t, n, f"key{n % 5}={t}-{n}") for t in (1, 2) for n in range(3000)]
+    lines += [(1, 3000, "no separator"), (1, 3001, "# comment"), (1, 3002, None), (2, 3000, "msg_retention=7"), (2, 3001, "a=b\nc=d")]
+    path = str(tmp_path / "props")
+    ST.write_properties(spark.createDataFrame(lines, "tenant bigint, line_no bigint, value string"), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+        props, rejects = ST.read_properties(spark, path, "/tenant=([0-9]+)/")
+        got = {(r["tenant"], r["key"]): r["value"] for r in props.collect()}
+        bad = [(r["tenant"], r["line"]) for r in rejects.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    last = {(str(t), f"key{k}"): f"{t}-{2995 + k}" for t in (1, 2) for k in range(5)}
+    assert got == last | {("2", "summary_count"): "7", ("2", "a"): "b c=d"}
+    assert bad == [("1", "no separator")]
+    by_file, _ = ST.read_properties(spark, path)
+    assert by_file.select("file").distinct().count() == 2
+
+
+def test_session_names_start_at_the_stored_counter(spark):
+    log = spark.createDataFrame([(i, u, ts("2024-01-01 00:00:00"), "create", None, None) for i, u in enumerate([1, 1, 2, 3, 4, 4, 4])],
+                                "seq bigint, user_id bigint, ts timestamp_ntz, action string, session_name string, persona string")
+    counters = spark.createDataFrame([(1, "5"), (3, None), (4, "x")], "user_id bigint, session_counter string")
+    got = [r["default_name"] for r in chat.session_names(log, counters).orderBy("seq").collect()]
+    assert got == ["session-5", "session-6", "session-1", "session-1", "session-1", "session-2", "session-3"]
+
+
+def test_summaries_without_a_time_get_the_appends(spark, tmp_path):
+    s = spark.createDataFrame([(1, "s", "x", 4)], "user_id bigint, session string, summary string, last_message_id bigint")
+    append_summaries(s, str(tmp_path / "s"), as_of="2024-01-05 10:00:00")
+    row = spark.read.parquet(str(tmp_path / "s")).first()
+    assert row["created_at"] == ts("2024-01-05 10:00:00") and str(row["created_date"]) == "2024-01-05"

@@ -27,6 +27,16 @@ def users_by_id(users: DataFrame, keys: DataFrame, key_col: str = "user_id") ->
     return keys.select(key_col).join(u, key_col, "left")
 
 
+#: Columns of a user's row that no lookup gives out.
+SECRETS = ("password", "email_token", "reset_token", "reset_token_expires")
+
+
+def user_rows(users: DataFrame, keys: DataFrame, key_col: str = "user_id") -> DataFrame:
+    """B1: the whole user row for each requested id, without passwords and tokens; unknown ids give nulls."""
+    u = users.drop(*SECRETS).withColumnRenamed("id", key_col)
+    return keys.select(key_col).join(u, key_col, "left")
+
+
 def users_by_email(users: DataFrame, requests: DataFrame, email_col: str = "email_raw",
                    strip: bool = True) -> DataFrame:
     """Profile and verification view by normalised email (I1), plus ``registered``."""

@@ -166,14 +166,16 @@ def current_from_log(sessions: DataFrame, switch_log: DataFrame) -> DataFrame:
 
 
 def session_names(switch_log: DataFrame, counters: DataFrame | None = None) -> DataFrame:
-    """Default name ``session-N`` of each session creation, N counting the
-    user's creations in (ts, seq) order from the counter stored for the user
-    (``counters``: user_id, session_counter), from 0 where none is."""
+    """Default name ``session-N`` of each session creation in (ts, seq) order.
+
+    The counter stored for a user (``counters``: user_id, session_counter as
+    number or text, one row a user) is itself the next name's number and rises
+    afterwards; it starts at 1 where none is stored, or none that is a number."""
     creates = switch_log.filter(F.col("action") == "create").select("seq", "user_id", "ts")
     n = chunked_row_number(creates, ["user_id"], [F.col("ts"), F.col("seq")], "ts", unit="day", name="counter")
     if counters is not None:
-        stored = counters.select("user_id", F.col("session_counter").alias("_from"))
-        n = n.join(stored, "user_id", "left").withColumn("counter", (F.col("counter") + F.coalesce("_from", F.lit(0))).cast("int"))
+        stored = counters.select("user_id", F.col("session_counter").try_cast("int").alias("_from"))
+        n = n.join(stored, "user_id", "left").withColumn("counter", F.col("counter") + F.coalesce("_from", F.lit(1)) - 1)
     return n.select("seq", "user_id", "ts", "counter",
                     F.concat(F.lit(SESSION_NAME_PREFIX), F.col("counter").cast("string")).alias("default_name"))
 

@@ -97,12 +97,28 @@ def parse_properties(lines: DataFrame, group_cols: list[str] | None = None,
     return props, rejects
 
 
-def read_properties(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
-    """A3 source: many properties files at once; the file path is the group key."""
-    df = (spark.read.text(paths)
-          .select(F.input_file_name().alias("file"), "value")
-          .withColumn("line_no", F.monotonically_increasing_id()))
-    return parse_properties(df, ["file"], "line_no")
+def write_properties(lines: DataFrame, path: str, group_col: str = "tenant", order_col: str = "line_no") -> None:
+    """A3: one properties file per group, ``path/<group_col>=<group>/part-*``, its lines in order.
+
+    A line holds no line feed; a null one is empty."""
+    text = F.coalesce(F.replace(F.col("value"), F.lit("\n"), F.lit(" ")), F.lit(""))
+    (lines.select(group_col, order_col, text.alias("value")).repartition(group_col)
+     .sortWithinPartitions(group_col, order_col).select(group_col, "value").write.partitionBy(group_col).text(path))
+
+
+def read_properties(spark: SparkSession, paths: list[str] | str, key_pattern: str | None = None,
+                    key_name: str = "tenant") -> tuple[DataFrame, DataFrame]:
+    """A3 source: many properties files at once -> (properties, lines that don't load).
+
+    The group is the file's path, or with ``key_pattern`` the pattern's first
+    group in it, as ``key_name``.  Lines go by their place in the file: the start of
+    the split that holds them, then their order in it, so a file may be split.
+    """
+    df = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    key = F.col("file") if key_pattern is None else F.regexp_extract("file", key_pattern, 1).alias(key_name)
+    df = df.select(key, "value", F.struct("start", F.monotonically_increasing_id().alias("line")).alias("place"))
+    return parse_properties(df, [df.columns[0]], "place")
 
 
 def persona_table(spark: SparkSession) -> DataFrame:

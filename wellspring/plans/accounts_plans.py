@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wellspring import schemas
 from wellspring.operators import accounts as A
 from wellspring.plans.limits_plans import FUNNEL_CTES, funnel
 from wellspring.plans.registry import register
 from wellspring.session import materialize
+from wellspring.sources.tables import conform
 
 CLEANUP_AS_OF = "2024-01-15 00:00:00"
 
@@ -78,6 +80,15 @@ def _users_by_id(fx):
     return A.users_by_id(fx.users, fx.token_log.select("user_id").distinct())
 
 
+@register("users_by_id_full", "B1", ["users", "token_log"], """
+SELECT k.user_id, u.username, u.email, u.verified, u.age, u.sex, u.occupation, u.bio
+FROM (SELECT DISTINCT user_id FROM token_log) k LEFT JOIN users u ON u.id = k.user_id
+""")
+def _users_by_id_full(fx):
+    stored = conform(fx.users.withColumn("password", F.lit("hash")), schemas.USERS)
+    return A.user_rows(stored, fx.token_log.select("user_id").distinct())
+
+
 @register("users_by_email", "B2/B3/I1", ["users", "reset_requests"], r"""
 SELECT r.seq, r.email, u.id AS user_id, u.username, u.age, u.sex, u.bio, u.verified, u.id IS NOT NULL AS registered
 FROM (SELECT seq, lower(regexp_replace(email_raw, '^\s+|\s+$', '', 'g')) AS email FROM reset_requests) r
@@ -122,6 +133,14 @@ def _signup_fanout(fx):
     return A.signup_fanout(fx.signups, fx.users)["outcomes"]
 
 
+@register("signup_users", "H13", ["users", "signups"], """
+SELECT (SELECT max(id) FROM users) + o.seq AS id, o.username, o.email_n AS email, o.email_token, false AS verified, o.ts
+FROM outcomes o WHERE o.outcome = 'created'
+""", ctes=SIGNUP_SQL)
+def _signup_users(fx):
+    return A.signup_fanout(fx.signups, fx.users)["users"]
+
+
 @register("signup_subscriptions", "H13/T14", ["users", "signups"], """
 SELECT (SELECT max(id) FROM users) + o.seq AS user_id, o.email_n AS email, k.n, k.plan_type, k.billing_cycle, k.is_active,
  o.ts AS created_at

@@ -129,15 +129,15 @@ def _session_names(fx):
     return chat.session_names(fx.switch_log)
 
 
-@register("session_names_base", "E7", ["switch_log", "sessions"], """
-SELECT l.seq, l.user_id, l.ts, CAST(coalesce(c.session_counter, 0) + row_number() OVER (PARTITION BY l.user_id ORDER BY l.ts, l.seq) AS INTEGER) AS counter,
- concat('session-', CAST(coalesce(c.session_counter, 0) + row_number() OVER (PARTITION BY l.user_id ORDER BY l.ts, l.seq) AS VARCHAR)) AS default_name
-FROM switch_log l LEFT JOIN (SELECT user_id, count(*) AS session_counter FROM sessions GROUP BY user_id) c ON c.user_id = l.user_id
-WHERE l.action = 'create'
+@register("session_names_base", "E7", ["switch_log", "counter_settings"], """
+SELECT seq, user_id, ts, counter, concat('session-', CAST(counter AS VARCHAR)) AS default_name FROM (
+ SELECT l.seq, l.user_id, l.ts, CAST(row_number() OVER (PARTITION BY l.user_id ORDER BY l.ts, l.seq) - 1
+  + coalesce((SELECT CAST(c.setting_value AS INTEGER) FROM counter_settings c WHERE c.user_id = l.user_id AND c.setting_key = 'session_counter'), 1) AS INTEGER) AS counter
+ FROM switch_log l WHERE l.action = 'create') n
 """)
 def _session_names_base(fx):
-    stored = fx.sessions.groupBy("user_id").agg(F.count("*").alias("session_counter"))
-    return chat.session_names(fx.switch_log, stored)
+    stored = fx.counter_settings.filter("setting_key = 'session_counter'")
+    return chat.session_names(fx.switch_log, stored.select("user_id", F.col("setting_value").alias("session_counter")))
 
 
 @register("global_stats", "D2", ["messages", "users"], """

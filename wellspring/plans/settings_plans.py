@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wellspring.fixed_values import APP_DEFAULTS
+from wellspring.fixed_values import APP_DEFAULTS, PERSONAS
 from wellspring.operators import settings as ST
 from wellspring.plans.registry import register
+from wellspring.session import shared_path
 from wellspring.sources.fixtures import halves
 
 MERGED_SQL = """
@@ -65,18 +66,36 @@ def _settings_none_audit(fx):
     return ST.settings_none_audit(ST.settings_merge(_form_log(fx), skip_nulls=False))
 
 
-@register("read_properties", "A3/T37", ["property_lines"], r"""
-SELECT tenant, key, arg_max(value, line_no) AS value FROM kv GROUP BY tenant, key
-""", ctes=r"""
+PROPERTIES_SQL = r"""
 l AS (SELECT tenant, line_no, regexp_replace(value, '^\s+|\s+$', '', 'g') AS line FROM property_lines),
 f AS (SELECT * FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND strpos(line, '=') > 0),
 kv AS (SELECT tenant, line_no,
   CASE WHEN substr(line, 1, strpos(line, '=') - 1) = 'msg_retention' THEN 'summary_count'
        ELSE regexp_replace(substr(line, 1, strpos(line, '=') - 1), '^\s+|\s+$', '', 'g') END AS key,
-  regexp_replace(substr(line, strpos(line, '=') + 1), '^\s+|\s+$', '', 'g') AS value FROM f)""")
+  regexp_replace(substr(line, strpos(line, '=') + 1), '^\s+|\s+$', '', 'g') AS value FROM f)"""
+
+
+def _property_files(fx):
+    """One file per tenant in the shared folder, read back by path."""
+    path = shared_path(fx.spark, "properties")
+    ST.write_properties(fx.property_lines, path)
+    return ST.read_properties(fx.spark, path, "/tenant=([^/]+)/")
+
+
+@register("read_properties", "A3/T37", ["property_lines"], """
+SELECT tenant, key, arg_max(value, line_no) AS value FROM kv GROUP BY tenant, key
+""", ctes=PROPERTIES_SQL)
 def _read_properties(fx):
-    props, _rejects = ST.parse_properties(fx.property_lines)
-    return props
+    props, _rejects = _property_files(fx)
+    return props.withColumn("tenant", F.col("tenant").cast("bigint"))
+
+
+@register("read_properties_rejects", "A3", ["property_lines"], """
+SELECT tenant, line FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND strpos(line, '=') = 0
+""", ctes=PROPERTIES_SQL)
+def _read_properties_rejects(fx):
+    _props, rejects = _property_files(fx)
+    return rejects.select(F.col("tenant").cast("bigint").alias("tenant"), "line")
 
 
 @register("persona_list", "B12", ["sessions"], """
@@ -94,9 +113,25 @@ def _persona_picker(fx):
     return ST.persona_picker(_session_types(fx))
 
 
-@register("seed_personas", "A2", ["sessions"], """
-SELECT persona FROM (SELECT DISTINCT persona FROM sessions) t
-""")
+STORED_TYPES_SQL = """
+stored AS (SELECT CAST(length(persona) AS BIGINT) AS id, persona, concat('You are ', persona) AS prompt FROM (SELECT DISTINCT persona FROM sessions) t)"""
+
+
+def _stored_types(fx):
+    types = _session_types(fx)
+    return types.select(F.length("persona").cast("bigint").alias("id"), "persona", F.concat(F.lit("You are "), F.col("persona")).alias("prompt"))
+
+
+@register("seed_personas", "A2", ["sessions"], "SELECT id, persona, prompt FROM stored", ctes=STORED_TYPES_SQL)
 def _seed_personas(fx):
-    seed = ST.persona_table(fx.spark).select("persona")
-    return ST.seed_personas(_session_types(fx), seed)
+    return ST.seed_personas(_stored_types(fx), ST.persona_table(fx.spark))
+
+
+@register("seed_personas_empty", "A2", ["sessions"], """
+SELECT id, persona, prompt FROM (VALUES """ + ", ".join(
+    "({}, '{}', '{}')".format(i, *(t.replace("'", "''") for t in row)) for i, row in enumerate(PERSONAS, 1)) + """) p(id, persona, prompt)
+WHERE NOT EXISTS (SELECT 1 FROM stored WHERE persona = 'none such')
+""", ctes=STORED_TYPES_SQL)
+def _seed_personas_empty(fx):
+    # No session has this persona, so the stored table is empty and is seeded.
+    return ST.seed_personas(_stored_types(fx).filter("persona = 'none such'"), ST.persona_table(fx.spark))

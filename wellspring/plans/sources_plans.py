@@ -1,4 +1,4 @@
-"""Registered source/sink and small-function queries."""
+"""Registered source/sink and small-function queries."""
 
 from __future__ import annotations
 
@@ -23,11 +23,12 @@ from wellspring.plans.settings_plans import MERGED_SQL
 from wellspring.sources.fixtures import AS_OF
 from wellspring.plans.registry import register
 from wellspring.sources.requests import parse_chat_requests
-from wellspring.sources.sinks import json_rows
-from wellspring.session import checkpoint_dir
+from wellspring.sources.sinks import append_messages, append_summaries, json_rows
+from wellspring.session import checkpoint_dir, shared_path
 from wellspring.sources.tables import conform, scan_table
 
 LAPSE_AS_OF = "2024-01-31 00:00:00"
+SUMMARY_AS_OF = "2024-01-31 12:00:00"
 
 
 @register("scan_users", "A1", ["users"], """
@@ -196,3 +197,26 @@ def _through_parquet(fx, df, name):
     path = f"{checkpoint_dir(fx.spark).rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return scan_table(fx.spark, path, name)
+
+
+@register("append_messages", "A4", ["messages"], """
+SELECT id, user_id, message, role, timestamp, archive, session, strftime(timestamp, '%Y-%m-%d') AS message_date FROM messages
+""")
+def _append_messages(fx):
+    # Two appends, as two ingest runs make them; then a typed scan of the whole table.
+    path = shared_path(fx.spark, "messages")
+    for part in (fx.messages.filter("role = 'user'"), fx.messages.filter("role <> 'user'")):
+        append_messages(part, path)
+    return scan_table(fx.spark, path, "conversations").withColumn("message_date", F.col("message_date").cast("string"))
+
+
+@register("append_summaries", "A5", ["summaries", "messages"], f"""
+SELECT s.user_id, s.session, s.summary, s.last_message_id, coalesce(m.timestamp, TIMESTAMP '{SUMMARY_AS_OF}') AS created_at,
+ strftime(coalesce(m.timestamp, TIMESTAMP '{SUMMARY_AS_OF}'), '%Y-%m-%d') AS created_date
+FROM summaries s LEFT JOIN messages m ON m.id = s.last_message_id AND m.archive
+""")
+def _append_summaries(fx):
+    path = shared_path(fx.spark, "summaries")
+    made = fx.messages.filter("archive").select(F.col("id").alias("last_message_id"), F.col("timestamp").alias("created_at"))
+    append_summaries(fx.summaries.join(made, "last_message_id", "left"), path, SUMMARY_AS_OF)
+    return scan_table(fx.spark, path, "summaries").drop("id").withColumn("created_date", F.col("created_date").cast("string"))

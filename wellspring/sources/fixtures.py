@@ -147,6 +147,12 @@ SELECT event_id AS seq, ts, concat('new', CAST(user_id + 100000 * (event_id % 2)
     "verify_clicks": """
 SELECT event_id AS seq, ts, CASE WHEN event_id % 9 = 0 THEN concat('bogus', CAST(event_id AS STRING))
  ELSE concat('etok-', CAST(user_id AS STRING)) END AS token FROM {events} WHERE event_type = 'view'
+""",
+    # Stored settings with the session counter: some users have a number, some a null, some no row.
+    "counter_settings": """
+SELECT c_custkey AS user_id, 'session_counter' AS setting_key, CASE WHEN c_custkey % 5 <> 0 THEN CAST(1 + c_custkey % 9 AS STRING) END AS setting_value
+ FROM {customer} WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey AS user_id, 'theme' AS setting_key, 'dark' AS setting_value FROM {customer} WHERE c_custkey % 2 = 0
 """,
     # Users table with open verification tokens (unverified users only).
     "users_tokens": """
@@ -205,13 +211,13 @@ SELECT c.conv_id * 100 + c.turn + 1 AS request_id, CAST(floor(c.conv_id / 6) AS
  CAST(10 + c.turn AS BIGINT) AS prompt_tokens, CAST(20 + length(c.text) % 50 AS BIGINT) AS completion_tokens
  FROM {conversations} c JOIN {events} e ON e.event_id = c.conv_id * 8 + c.turn WHERE c.role = 'user'
 """,
-    # Properties files as text lines (one file per tenant): comments, blanks, renamed key.
+    # Properties files as text lines (one file per tenant): comments, blanks, renamed key, lines that don't load.
     "property_lines": """
 SELECT CAST(event_id % 7 AS BIGINT) AS tenant, event_id AS line_no,
- CASE event_id % 9 WHEN 0 THEN '# comment' WHEN 1 THEN '' WHEN 2 THEN concat('model=gpt-', CAST(event_id % 5 AS STRING))
+ CASE WHEN event_id % 31 = 7 THEN concat('broken line ', CAST(event_id AS STRING)) ELSE CASE event_id % 9 WHEN 0 THEN '# comment' WHEN 1 THEN '' WHEN 2 THEN concat('model=gpt-', CAST(event_id % 5 AS STRING))
   WHEN 3 THEN concat(' msg_retention = ', CAST(event_id % 90 AS STRING)) WHEN 4 THEN concat('typing_delay=', CAST(event_id % 1000 AS STRING))
   WHEN 5 THEN concat('msg_retention =', CAST(event_id % 70 AS STRING)) WHEN 6 THEN 'voice=en=US'
-  WHEN 7 THEN concat('   theme = t', CAST(event_id % 4 AS STRING), '  ') ELSE concat('summary_count=', CAST(event_id % 200 AS STRING)) END AS value
+  WHEN 7 THEN concat('   theme = t', CAST(event_id % 4 AS STRING), '  ') ELSE concat('summary_count=', CAST(event_id % 200 AS STRING)) END END AS value
  FROM {events}
 """,
 }

@@ -18,10 +18,13 @@ def append_messages(messages: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("message_date").parquet(path))
 
 
-def append_summaries(summaries: DataFrame, path: str) -> None:
-    """A5: append summary rows, partitioned by creation date."""
-    ts = "created_at" if "created_at" in summaries.columns else None
-    df = summaries.withColumn("created_date", F.to_date(ts) if ts else F.current_date())
+def append_summaries(summaries: DataFrame, path: str, as_of: str | None = None) -> None:
+    """A5: append summary rows, partitioned by creation date.
+
+    Rows without ``created_at`` were made at ``as_of``, one time for the whole append (default: now)."""
+    now = F.localtimestamp() if as_of is None else F.to_timestamp_ntz(F.lit(as_of))
+    made = F.coalesce(F.col("created_at"), now) if "created_at" in summaries.columns else now
+    df = summaries.withColumn("created_at", made).withColumn("created_date", F.to_date("created_at"))
     df.write.mode("append").partitionBy("created_date").parquet(path)
 
 
