@@ -6,8 +6,10 @@ writer's line separator is the CRLF CRLF that ends a record, so the written
 files are valid ``.warc`` contents, gzip-compressed, on any file system that
 Spark writes to.
 
-Reading: each file is read as pieces that the magic ``WARC/1.1`` CRLF separates.
-A task streams the pieces of a file, keeps the running offset and emits, for
+Reading: each file is read as pieces that the magic ``WARC/1.`` separates; one
+that doesn't go on with a digit and CRLF begins no record.  A task streams the
+pieces of a file (a plain file that Spark reads in splits is put together
+again by an exchange of its pieces), keeps the running offset and emits, for
 each piece whose headers parse, a candidate ``(file, offset, successor offset)``;
 the successor follows from Content-Length alone.  A magic inside a payload makes
 a candidate too.  Pointer jumping over the light (file, offset, successor) rows
@@ -27,16 +29,21 @@ from wellspring.llm.common import rekey, shared_path, small_batches, stored, tex
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
+FAMILY = "WARC/1."
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Smaller payloads are always stored whole.
 MIN_PAYLOAD = 100
+#: Records of one archive, at most.
+ARCHIVE_RECORDS = 50_000
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", min_payload: int = MIN_PAYLOAD,
-                   date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write one record per row of ``pages`` to gzip archives under ``path``.
+                   date: str = "1970-01-01T00:00:00Z", compression: str = "gzip",
+                   records: int = ARCHIVE_RECORDS) -> None:
+    """Write one record per row of ``pages`` to archives under ``path``, at most
+    ``records`` in each, gzip-compressed or as ``compression`` says (``none``).
 
     Of the rows with equal payloads of at least ``min_payload`` bytes those with
     the smallest id are responses, the others revisits that refer to it; smaller
@@ -67,16 +74,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                                  F.lit("\r\nWARC-Profile: " + PROFILE))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length("block").cast("string"), F.lit(END), F.col("block"))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", compression).option(
+        "maxRecordsPerFile", records).text(path)
 
 
 def _headers(piece: bytes) -> tuple[dict[bytes, bytes], int] | None:
     """The header fields after a magic and where the block starts, if they are a record's."""
     end = piece.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or not piece[:1].isdigit() or piece[1:3] != b"\r\n":
         return None
     fields = {}
-    for line in piece[:end].split(b"\r\n"):
+    for line in piece[3:end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -92,7 +100,7 @@ class _Candidate:
     def __init__(self, off: int, fields: dict, start: int, keep: bool):
         self.off, self.fields = off, fields
         self.left = int(fields[b"content-length"])
-        self.next = off + len(MAGIC) + start + self.left + len(END)
+        self.next = off + len(FAMILY) + start + self.left + len(END)
         self.head: bytes | None = b"" if b"application/http" in fields.get(b"content-type", b"") else None
         self.declared = None
         self.sha, self.n, self.parts = sha256(), 0, [] if keep else None
@@ -141,7 +149,7 @@ _DDL = ("file string, off bigint, next bigint, record_type string, record_id str
 
 def _scan(keep: bool):
     schema = pa.schema(_FIELDS + ([("payload", pa.binary())] if keep else []))
-    magic = MAGIC.encode()
+    magic = FAMILY.encode()
 
     def scan(batches):
         file, at, open_, out, held = None, 0, [], [], 0
@@ -176,8 +184,14 @@ def _scan(keep: bool):
 def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """Every piece under ``path`` that parses as a record and is whole, with its successor's offset."""
     small_batches(spark)
-    pieces = (spark.read.option("lineSep", MAGIC).text(path)
-              .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file")))
+    pieces = spark.read.option("lineSep", FAMILY).text(path).select(
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"))
+    packed = F.col("file").endswith(".gz")
+    # Splits of a plain file hold its pieces in turn: together and in order they are the whole file.
+    plain = (pieces.where(~packed).withColumn("no", F.monotonically_increasing_id()).repartition("file")
+             .sortWithinPartitions("file", "start", "no"))
+    pieces = pieces.where(packed).select("value", "file").unionByName(plain.select("value", "file"))
     return pieces.mapInArrow(_scan(payload), _DDL + (", payload binary" if payload else ""))
 
 
@@ -198,7 +212,7 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The records of gzip archives under ``path``: file, off, next, record_type,
+    """The records of the archives (``WARC/1.``, gzip or plain) under ``path``: file, off, next, record_type,
     record_id, refers_to, target_uri, declared_digest, payload_bytes and
     payload_digest (both of what was read; a revisit's are those it declares),
     and ``payload`` if asked for.  Records after a broken link of the chain, cut
