@@ -4,12 +4,16 @@ Coarse centroids and the residuals' subspace codebooks are fitted on a bounded
 sample; every vector is indexed.  A vector's list is its nearest centroid within
 its label; it is stored with the codes of its residual and the exact length of
 what the codes leave out.  A query goes to every list whose border (the plane
-midway between the list's centroid and the query's own) is within
-``PROBE_SIGMAS`` standard deviations of what a link's distance amounts to along
-one direction.  In a list, table look-ups give the distance to each coded
-vector; since a vector lies no further from its code than the stored length,
-pairs beyond link distance plus that length can't be links and the rest is
-decided by the cosine in double precision.
+midway between the list's centroid and the query's own) is within the distance
+of a link, so it meets every vector that it may be linked with.  In a list, table
+look-ups give the distance to each coded vector; since a vector lies no further
+from its code than the stored length, pairs beyond link distance plus that length
+can't be links and the rest is decided by the cosine in double precision.
+
+The number of lists grows with the vectors of the largest label.  Many lists have
+their centroids in two levels: coarse ones plus offsets that all of them share.
+Vectors of each width have an index of their own; ``WIDTHS`` of them are fitted and
+searched in one job.
 
 Equal vectors of a label are one vertex with a count.  Lists and their queries
 are cut into blocks, and a pair of blocks gives counts per vector and a spanning
@@ -21,18 +25,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm.common import components, rekey, stored
 
 THRESHOLD = 0.93
-#: Vectors that fit the index, at most; lists per label, at most.
-MAX_TRAIN, MAX_LISTS = 20_000, 256
+#: Vectors that fit the indices of one job, at most; widths of one job.
+MAX_TRAIN, WIDTHS = 20_000, 64
+#: Vectors of a list, about; centroids fitted at one level, at most, and vectors that fit each.
+LIST, LEVEL, PER_CENTRE = 2048, 256, 20
 SUBSPACES, CODES = 8, 16
-PROBE_SIGMAS = 5.0
 #: Vectors of a list, and queries to it, in one block.
-BLOCK = 1024
+BLOCK = 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
@@ -51,8 +56,12 @@ class Index:
 
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES, seed: int = 5):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.centres = _kmeans(sample, lists, rng)
+        self.centres = _kmeans(sample, min(lists, LEVEL, max(1, len(sample) // PER_CENTRE)), rng)
         own = self.nearest(sample)
+        if lists > len(self.centres):
+            offsets = _kmeans(sample - self.centres[own], -(-lists // len(self.centres)), rng)
+            self.centres = (self.centres[:, None] + offsets[None]).reshape(-1, sample.shape[1])
+            own = self.nearest(sample)
         self.cuts = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
         rest = sample - self.centres[own]
         self.books = [_kmeans(rest[:, a:b], codes, rng) for a, b in self._spans()]
@@ -76,8 +85,10 @@ class Index:
     def probes(self, x: np.ndarray, own: np.ndarray, margin: float) -> np.ndarray:
         """For each vector and list, whether its border is within ``margin`` (its own list is)."""
         square = (x @ self.centres.T * -2 + (self.centres ** 2).sum(1))
-        apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 1e-12))
-        beyond = (square - square[np.arange(len(x)), own][:, None]) / (2 * apart[own])
+        home, at = np.unique(own, return_inverse=True)
+        norm = (self.centres ** 2).sum(1)
+        apart = np.sqrt(np.maximum(norm[home][:, None] + norm[None] - 2 * self.centres[home] @ self.centres.T, 1e-12))
+        beyond = (square - square[np.arange(len(x)), own][:, None]) / (2 * apart[at])
         near = beyond <= margin
         near[np.arange(len(x)), own] = True
         return near
@@ -103,12 +114,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x ** 2).sum(axis=1, keepdims=True))
 
 
-def _indexed(index: Index, margin: float):
+def _reach(threshold: float) -> float:
+    """The distance of unit vectors whose cosine is ``threshold``, and a little more for rounding."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-5
+
+
+def _indexed(indices: dict[int, Index], margin: float):
     def scan(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in by_width(whole)):
             x = _unit(_matrix(batch.column("vec")))
+            index = indices[x.shape[1]]
             own = index.nearest(x)
             codes, left = index.encode(x, own)
             near = index.probes(x, own, margin)
@@ -120,6 +135,13 @@ def _indexed(index: Index, margin: float):
     return scan
 
 
+def by_width(batch: pa.RecordBatch):
+    """The batch's rows by the width of their vectors."""
+    width = batch.column("vec").value_lengths().to_numpy()
+    for w in np.unique(width):
+        yield batch.filter(pa.array(width == w))
+
+
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a bipartite relation given as a Boolean matrix."""
     edges, free_q, free_v = [], near.any(1), near.any(0)
@@ -141,8 +163,8 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _compare(index: Index, threshold: float):
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-5  # of unit vectors; the look-ups are in single precision
+def _compare(indices: dict[int, Index], threshold: float):
+    reach = _reach(threshold)
 
     def scan(key, queries, members):
         if not queries.num_rows or not members.num_rows:
@@ -151,7 +173,7 @@ def _compare(index: Index, threshold: float):
         q_id, v_id = queries.column("qid").to_numpy(), members.column("mid").to_numpy()
         v_n, left = members.column("mn").to_numpy(), members.column("mrest").to_numpy()
         codes = np.frombuffer(b"".join(members.column("mcodes").to_pylist()), np.uint8).reshape(len(v), -1)
-        near = index.distances(q, key[1].as_py(), codes) <= reach + left[None]
+        near = indices[q.shape[1]].distances(q, key[1].as_py(), codes) <= reach + left[None]
         rows, columns = np.nonzero(near)
         near[:] = False
         for at in range(0, len(rows), 1 << 16):
@@ -193,6 +215,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Null and zero vectors, vectors with null or non-finite components and null
     labels link with nothing; vectors of different lengths never link.
     ``n_links`` counts the other rows linked directly, equal vectors included.
+    Ids are integers.
     Rows without an id link and count but don't name a component: one of such
     rows alone has a null ``component_id``.  Repeated ids are one vertex.  An
     empty table gives an empty result.  Ids lie under 2**62.
@@ -203,9 +226,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = stored(good.groupBy("grp", "vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
                      .withColumn("vid", F.coalesce("low", stand_in)), "classes")
     parts = []
-    widths = [r["w"] for r in classes.select(F.size("vec").alias("w")).distinct().limit(1000).collect()]
-    for width in sorted(widths):
-        parts.append(_links(classes.where(F.size("vec") == width), threshold, max_train))
+    groups = classes.groupBy("grp", F.size("vec").alias("w")).count()
+    widths = [(r["w"], r["m"]) for r in groups.groupBy("w").agg(F.max("count").alias("m")).orderBy("w").collect()]
+    for at in range(0, len(widths), WIDTHS):
+        parts.append(_links(classes, dict(widths[at:at + WIDTHS]), threshold, max_train))
     if parts:
         found = parts[0]
         for more in parts[1:]:
@@ -226,15 +250,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                          top.alias("component_id"), F.col("vec_id").eqNullSafe(top).alias("kept"))
 
 
-def _links(classes: DataFrame, threshold: float, max_train: int) -> DataFrame:
-    """Rows (a, null, links) and forest links (a, b, null) of classes of one width."""
-    total = classes.count()
-    drawn = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(max_train).toArrow()
-    sample = _unit(_matrix(drawn.column("vec")))
-    index = Index(sample, lists=int(min(MAX_LISTS, max(1, len(sample) // 40), max(1, (total / 10) ** 0.5))))
-    margin = PROBE_SIGMAS * np.sqrt(max(0.0, 2 - 2 * threshold)) / np.sqrt(sample.shape[1])
+def _links(classes: DataFrame, largest: dict[int, int], threshold: float, max_train: int) -> DataFrame:
+    """Rows (a, null, links) and forest links (a, b, null) of the classes whose width is a key of
+    ``largest``, which gives the size of the width's largest label."""
+    classes = classes.where(F.size("vec").isin(*largest))
+    first = Window.partitionBy("w").orderBy("hash", "vec")
+    drawn = (classes.select(F.size("vec").alias("w"), F.xxhash64("vec").alias("hash"), "vec")
+             .withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, max_train // len(largest))).orderBy("w", "r")
+             .select("vec").toArrow())
+    indices = {}
+    for part in (p for batch in drawn.combine_chunks().to_batches() for p in by_width(batch)):
+        sample = _unit(_matrix(part.column("vec")))
+        lists = min(-(-largest[sample.shape[1]] // LIST), max(1, len(sample) // PER_CENTRE) ** 2, LEVEL ** 2)
+        indices[sample.shape[1]] = Index(sample, lists)
     indexed = stored(classes.select("grp", "vid", "n", "vec").mapInArrow(
-        _indexed(index, margin), f"grp string, vid bigint, n bigint, vec {classes.schema['vec'].dataType.simpleString()}, "
+        _indexed(indices, _reach(threshold)), f"grp string, vid bigint, n bigint, vec {classes.schema['vec'].dataType.simpleString()}, "
         "own int, codes binary, rest double, probes array<int>"), "index")
     asked = indexed.select("grp", "vid", "vec", F.explode("probes").alias("own"))
     sizes = (indexed.groupBy("grp", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vb"))
@@ -252,7 +282,7 @@ def _links(classes: DataFrame, threshold: float, max_train: int) -> DataFrame:
         F.col("vid").alias("mid"), F.col("n").alias("mn"), F.col("vec").alias("mvec"), F.col("codes").alias("mcodes"),
         F.col("rest").alias("mrest"))
     return queries.groupBy("qg", "qo", "qv", "qq").cogroup(members.groupBy("mg", "mo", "mv", "mq")).applyInArrow(
-        _compare(index, threshold), "a bigint, b bigint, n bigint")
+        _compare(indices, threshold), "a bigint, b bigint, n bigint")
 
 
 def op5_embeddings(spark, sf_dir: str) -> DataFrame:
