@@ -288,8 +288,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batches = max(1, -(-int(size) // BATCH_BYTES))
     part_of = F.pmod(F.xxhash64("h"), F.lit(batches))
     runs = "array<struct<a: int, b: int>>"
-    marks = (cut.where(F.col("c") <= max_classes).groupBy(part_of.alias("batch"))
-             .applyInArrow(_search(length), f"h bigint, d bigint, runs {runs}"))
+    # A number of partitions that is given keeps AQE from merging them by bytes: what a batch costs is time.
+    batched = cut.where(F.col("c") <= max_classes).withColumn("batch", part_of).repartition(batches, "batch")
+    marks = (batched.groupBy("batch").applyInArrow(_search(length), f"h bigint, d bigint, runs {runs}"))
     windows = cut.where(F.col("c") > max_classes).mapInArrow(_window_hashes(length), "h bigint, d bigint, w bigint, off int")
     twice = (windows.groupBy("h", "w").agg(F.count("*").alias("m")).where("m > 1")
              .select(rekey(F.col("h")).alias("h2"), F.col("w").alias("w2")))
