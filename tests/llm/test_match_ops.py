@@ -17,7 +17,8 @@ from wellspring.llm import decontaminate, embedding_dedup, hashing, minhash, suf
 from wellspring.llm.common import components, shared_path  # noqa: E402
 
 DOC = "doc_id bigint, text string"
-CLASH = ["row", "th", "h", "d", "k", "vid", "cls", "band", "component", "a", "b", "w", "item_id", "leak__x"]
+CLASH = ["row", "th", "h", "d", "k", "vid", "cls", "band", "component", "a", "b", "w", "item_id", "leak__x", "leak_id", "leak_id_", "LEAK_DIGEST",
+         "kept_id", "kept__", "copy_no", "copy_no_"]
 
 
 def table(spark, rows, extra=CLASH):
@@ -71,6 +72,29 @@ def test_warc_round_trip(spark):
     assert warc.candidates(spark, path).count() > len(rows)  # the magic inside payloads makes candidates
 
 
+@pytest.mark.parametrize("split", ["3000", "65536", "1g"])
+def test_plain_archives_are_read_whole_however_they_are_split(spark, split):
+    pages = spark.createDataFrame([(i, "u", FAKE * (i % 3) + f"p{i}" * 100 + (MAGIC if i % 7 == 0 else "")) for i in range(400)],
+                                  "page_id bigint, url string, html string")
+    path, key = shared_path(spark, "archives"), "spark.sql.files.maxPartitionBytes"
+    warc.write_archives(pages.coalesce(1), path, compression="none", records=150)
+    before = spark.conf.get(key)
+    spark.conf.set(key, split)
+    try:
+        got = warc.read_archives(spark, path, payload=True).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 400 and len({r.file for r in got}) == 3
+    assert all(brute.sha(r.payload) == r.payload_digest == r.declared_digest for r in got)
+
+
+def test_older_versions_are_read(spark, tmp_path):
+    record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r{}>\r\nContent-Type: text/plain\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes("".join(record.format(i, len(t), t) for i, t in enumerate(["abc", "", "WARC/1.x", "WARC/1.1\r\nq"])).encode())
+    got = sorted((r.record_id, r.payload_bytes) for r in warc.read_archives(spark, str(tmp_path)).collect())
+    assert got == [("<r0>", 3), ("<r1>", 0), ("<r2>", 8), ("<r3>", 11)]
+
+
 def test_warc_of_nothing(spark):
     path = shared_path(spark, "archives")
     warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
@@ -174,6 +198,46 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, embedding_dedup.near_vectors(df).collect())) == brute_vectors(rows)
 
 
+def clustered(dims, rank, n, seed):
+    """Vectors of low rank in many dimensions, in groups of near copies."""
+    rng = np.random.default_rng(seed)
+    frame = np.linalg.qr(rng.normal(size=(dims, rank)))[0].T
+    x = rng.normal(size=(n, rank))
+    for i in range(0, n - 4, 5):
+        x[i + 1:i + 4] = x[i] + rng.normal(size=(3, rank)) * rng.choice([0.1, 0.2, 0.3])
+    return (x @ frame).astype(np.float32)
+
+
+@pytest.mark.parametrize("dims,rank", [(64, 64), (64, 8), (384, 16), (768, 32), (768, 8)])
+def test_probes_reach_every_list_that_holds_a_link(dims, rank):
+    x = embedding_dedup._unit(clustered(dims, rank, 3000, rank).astype(np.float64))
+    index = embedding_dedup.Index(x[::2], 60)
+    own = index.nearest(x)
+    near = index.probes(x, own, embedding_dedup._reach(0.93))
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert len(a) > 4000 and near[a, own[b]].all()
+
+
+def test_embeddings_of_low_rank_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LIST", 20)
+    monkeypatch.setattr(embedding_dedup, "LEVEL", 4)  # so that centroids are of two levels
+    x = clustered(768, 8, 400, 1)
+    rows = [(i, [float(v) for v in row], i // 200) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    assert sorted(map(tuple, embedding_dedup.near_vectors(df).collect())) == brute_vectors(rows)
+
+
+def test_embeddings_of_many_widths_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for w in range(1, 131):  # more widths than one job takes
+        v = rng.normal(size=w)
+        rows += [(len(rows) + j, [float(np.float32(c)) for c in v * s + (0.02 * rng.normal(size=w))], w % 2) for j, s in enumerate((1, 3, -1))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = sorted(map(tuple, embedding_dedup.near_vectors(df).collect()))
+    assert got == brute_vectors(rows) and sum(r[1] for r in got) >= 250
+
+
 def test_embeddings_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert embedding_dedup.near_vectors(none).collect() == []

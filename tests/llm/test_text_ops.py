@@ -17,7 +17,7 @@ from wellspring.llm import langid, licenses, line_dedup, mixing, toxicity  # noq
 LONG = " ".join(f"word{i}" for i in range(30_000))
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns that operators use inside.
-CLASH = ["row", "th", "h", "k", "size", "kept", "score", "copies", "component", "vid", "doc_id__"]
+CLASH = ["row", "th", "h", "k", "size", "kept", "score", "copies", "component", "vid", "doc_id__", "copy_no", "mix_copy_no", "Copy_No_"]
 
 
 def documents(spark, rows, extra=()):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import id_order, stored
+from wellspring.llm.common import free_name, id_order, stored
 
 K, SHARE = 5, 75
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
@@ -135,9 +135,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a leak, columns as they are."""
-    bad = leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("leak__id"), F.col("th").alias("leak__th")).distinct()
+    own, th = free_name(docs, "leak_id"), free_name(docs, "leak_digest")
+    bad = leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias(own), F.col("th").alias(th)).distinct()
     digest = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
-    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(F.col("leak__id")) & (digest == F.col("leak__th")), "left_anti")
+    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(F.col(own)) & (digest == F.col(th)), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import components, rekey, small_batches, stored, text_rows
+from wellspring.llm.common import components, free_name, rekey, small_batches, stored, text_rows
 from wellspring.llm.hashing import Shingles, mix64
 
 PERMUTATIONS, BANDS, BITS = 128, 32, 4
 ROWS = PERMUTATIONS // BANDS
 #: Elements of a set and permutations handled at a time.
 _CHUNK, _AT_ONCE = 1 << 14, 16
-#: Members of a bucket in one block.
-BLOCK = 1024
+#: Members of a bucket in one block, and shingles of their sets, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(71))
 _MULTIPLY = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FOLD = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,12 +195,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      "classes")
     # The row that stands for its class.
     reps = drawn.where("cls is not null").withColumn("own", F.coalesce("doc_id", stand_in)).join(
-        classes, (F.col("cls") == F.col("k")) & (F.col("own") == F.col("vid"))).select("vid", "cls", "bands", "sig")
+        classes, (F.col("cls") == F.col("k")) & (F.col("own") == F.col("vid"))).select("vid", "cls", "bands", "sig", F.col("n_shingles").alias("size"))
 
-    banded = reps.select("vid", F.explode("bands").alias("band"))
+    banded = reps.select("vid", "size", F.explode("bands").alias("band"))
     tops = (banded.groupBy("band").agg(F.min("vid").alias("top"), F.max("vid").alias("end")).where("top < end")
             .select(rekey(F.col("band")).alias("k"), "top"))
-    buckets = stored(banded.join(tops, F.col("band") == F.col("k")).select("band", "vid", "top").distinct(), "buckets")
+    buckets = stored(banded.join(tops, F.col("band") == F.col("k")).select("band", "vid", "top", "size").distinct(), "buckets")
     members = buckets.select("vid").distinct()
     # Texts and signatures of everything that shares a bucket: all that is compared below.
     needed = stored(
@@ -217,11 +217,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = stored(_confirmed(pairs, needed, k, share), "links")
     found = stored(components(links), "components")
 
-    label = buckets.select("band", "vid").join(found.select(rekey(F.col("v")).alias("v"), "component"),
+    label = buckets.select("band", "vid", "size").join(found.select(rekey(F.col("v")).alias("v"), "component"),
                                                F.col("vid") == F.col("v"), "left").select(
-        "band", "vid", F.coalesce("component", "vid").alias("component"))
-    mixed = (label.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"))
-             .where("c0 < c1").select(rekey(F.col("band")).alias("k"), F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")))
+        "band", "vid", "size", F.coalesce("component", "vid").alias("component"))
+    mixed = (label.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
+                                       F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES).alias("m"))
+             .where("c0 < c1").select(rekey(F.col("band")).alias("k"), F.ceil("m").cast("long").alias("blocks")))
     split = label.join(mixed, F.col("band") == F.col("k")).withColumn("blk", F.pmod(F.xxhash64("vid"), F.col("blocks")))
     split = split.select("band", "vid", "component", "blk", "blocks")
     right = sigs.select(F.col("v").alias("key__"), "sig", "bands")
@@ -267,8 +268,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFr
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 75) -> DataFrame:
     """The rows of ``docs`` that stand for their group (``kept`` above), columns as they are."""
-    kept = near_groups(docs, id_col, text_col, k, share).where("kept").select(F.col("doc_id").alias("kept__")).distinct()
-    return docs.join(kept, docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("kept__")), "left_semi")
+    own = free_name(docs, "kept_id")
+    kept = near_groups(docs, id_col, text_col, k, share).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import stored
+from wellspring.llm.common import free_name, stored
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -90,12 +90,12 @@ def _copies(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it,
-    with ``copy_no`` from 1 (its name gives way to a column that exists)."""
+    with ``copy_no`` from 1 (where a column is called so, its name gives way to a free one)."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{source_col}`"].alias("source"), row.alias("row"))
     sizes = docs.select(docs[f"`{source_col}`"].alias("source"), word_count(docs[f"`{text_col}`"]).alias("size"))
     mixed = _copies(rows, stored(source_targets(sizes, weights, total, cap), "targets"), seed).where("copies > 0")
-    no = "copy_no" if "copy_no" not in docs.columns else "mix_copy_no"
+    no = "copy_no" if free_name(docs, "copy_no") == "copy_no" else free_name(docs, "mix_copy_no")
     return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(no)).select("row.*", no)
 
 
