@@ -54,7 +54,7 @@ def test_stages_equal_brute_force(spark):
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -70,13 +70,19 @@ def test_query_equals_sql(spark, name):
     assert norm(QUERIES[name](spark, SMALL).select(*columns).collect()) == norm(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op4_licenses", "op5_embeddings", "op8_toxicity", "op9_langid"])
+@pytest.mark.parametrize("name", ["op4_licenses", "op5_embeddings", "op8_toxicity", "op9_langid", "op12_lm_score"])
 def test_query_rows(spark, name):
     key, source = ("vec_id", "embeddings") if name.startswith("op5") else ("doc_id", "documents")
     got = [r[0] for r in QUERIES[name](spark, SMALL).select(key).collect()]
     assert sorted(got) == sorted(r[0] for r in read(spark, source).select(key).collect())
 
 
+def test_whitening_query_rows(spark):
+    got = QUERIES["op11_whitening"](spark, SMALL).groupBy("vec_id").agg(F.count("*").alias("n"), F.max("component").alias("k")).collect()
+    assert {(r.n, r.k) for r in got} == {(16, 16)}
+    assert sorted(r.vec_id for r in got) == sorted(r.vec_id for r in read(spark, "embeddings").select("vec_id").collect())
+
+
 def test_minhash_and_suffix_queries_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, "documents").collect()]
     got = QUERIES["op6_minhash"](spark, SMALL).select("doc_id", "n_shingles", "component_id", "kept").collect()

@@ -55,6 +55,29 @@ def test_line_dedup_counts_code_points(spark):
     assert {r.kept for r in got} == {"é"}
 
 
+def test_long_training_texts_keep_their_smallest_features(spark, monkeypatch):
+    """Bounded features learn the same rule; a text and its swap are cut alike."""
+    import pyarrow as pa
+    letters = "abcdefghijklmnop"
+    text = " ".join(a + b + c for a in letters for b in letters for c in letters) + " the women said"
+    part = pa.RecordBatch.from_pylist([{"y": 1, "text": text.encode()}, {"y": 0, "text": b"the men said"}])
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 200)
+    got = next(toxicity._training_rows(iter([part]))).to_pylist()
+    assert 150 <= len(got[0]["own"]) <= 200 and len(got[1]["own"]) < 20
+    whole = toxicity.Features()(text.encode()).view("int64").tolist()
+    assert got[0]["own"] == whole[:len(got[0]["own"])]
+    assert len(set(got[0]["own"]) ^ set(got[0]["swapped"])) <= len(set(whole) ^ set(toxicity.Features()(toxicity.swapped(text.encode())).view("int64").tolist()))
+
+
+def test_documents_without_evidence_stay(spark):
+    docs = documents(spark, [(i, f"only{i}") for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    balanced = labels.where("crc32(cast(doc_id as string)) % 5 <> 0")
+    both = balanced.groupBy("toxic").count().agg(F.min("count")).first()[0]
+    picked = balanced.where("toxic = 0").limit(both).union(balanced.where("toxic = 1").limit(both))
+    assert toxicity.drop_toxic(docs, picked).count() == 20
+
+
 def test_license_base_places_equal_a_plain_search():
     rng = random.Random(4)
     vocabulary = "a b c d".split()

@@ -26,8 +26,8 @@ SWAPS = (("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male
          ("muslim", "christian"), ("jewish", "catholic"), ("jews", "catholics"), ("black", "white"), ("gay", "straight"),
          ("lesbian", "heterosexual"), ("transgender", "cisgender"), ("immigrants", "natives"), ("immigrant", "native"),
          ("asian", "european"), ("african", "american"), ("disabled", "abled"), ("elderly", "young"))
-#: At most so many labelled rows train the model.
-MAX_TRAIN = 10_000
+#: At most so many labelled rows train the model, and of a row's features those with the smallest hashes.
+MAX_TRAIN, MAX_FEATURES = 10_000, 4096
 #: Bytes of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: A feature is used if it stands in so many training texts and its chi-square is at least this.
@@ -78,9 +78,13 @@ def _training_rows(batches):
     for part, texts in text_rows(batches):
         own, other = [], []
         for t in texts:
-            own.append(features(t).view(np.int64))
             s = swapped(t)
-            other.append(features(s).view(np.int64) if s != t.lower() else None)
+            both = [features(t)] + ([features(s)] if s != t.lower() else [])
+            # One bound for a text and its swap, so that they differ only where the words do.
+            last = min((x[MAX_FEATURES - 1] for x in both if len(x) > MAX_FEATURES), default=None)
+            both = [x if last is None else x[x <= last] for x in both]
+            own.append(both[0].view(np.int64))
+            other.append(both[1].view(np.int64) if len(both) > 1 else None)
         yield pa.RecordBatch.from_arrays(
             [part.column("y"), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))],
             names=["y", "own", "swapped"])
@@ -201,7 +205,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``.
 
     Trains on labelled rows (0 or 1) whose crc32(id as text) modulo ``folds`` is
-    not ``held``, at most ``max_train`` of them, the smallest by hash of the id.
+    not ``held``, at most ``max_train`` of them, the smallest by hash of the id, and
+    ``MAX_FEATURES`` features of each, the smallest by hash; scoring takes all.
     Null ids and labels never train; ids with two labels train with each.  Null
     and empty texts get the score of no feature.  Without training rows every
     score is about 0.  Repeated rows are scored alike.
@@ -213,9 +218,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, columns as they are."""
+    """The rows of ``docs`` that score at most 0.5, columns as they are; a score of
+    exactly 0.5 says nothing either way (no feature, balanced labels), so the row stays."""
     score = learned(docs, labels, id_col, text_col, **options)
-    return docs.where(score(docs[f"`{text_col}`"].cast("binary")) < 0.5)
+    return docs.where(score(docs[f"`{text_col}`"].cast("binary")) <= 0.5)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
