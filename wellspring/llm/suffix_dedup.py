@@ -26,8 +26,9 @@ from wellspring.llm.common import OUT_BYTES, id_order, rekey, small_batches, sto
 from wellspring.llm.hashing import Ranges
 
 LENGTH, GRAM = 400, 100
-#: Classes of one anchor searched in one batch; bytes of a batch aimed at.
-MAX_CLASSES, BATCH_BYTES = 4096, 1 << 20
+#: Classes of one anchor searched in one batch; bytes of a batch aimed at (its arrays fit
+#: a core's cache); batches of a task.
+MAX_CLASSES, BATCH_BYTES, TASK_BATCHES = 4096, 1 << 17, 8
 #: Window starts of a text handled at a time.
 _PIECE = 1 << 20
 #: Prefix length at which the breadth-first extension starts.
@@ -289,7 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part_of = F.pmod(F.xxhash64("h"), F.lit(batches))
     runs = "array<struct<a: int, b: int>>"
     # A number of partitions that is given keeps AQE from merging them by bytes: what a batch costs is time.
-    batched = cut.where(F.col("c") <= max_classes).withColumn("batch", part_of).repartition(batches, "batch")
+    batched = cut.where(F.col("c") <= max_classes).withColumn("batch", part_of).repartition(-(-batches // TASK_BATCHES), "batch")
     marks = (batched.groupBy("batch").applyInArrow(_search(length), f"h bigint, d bigint, runs {runs}"))
     windows = cut.where(F.col("c") > max_classes).mapInArrow(_window_hashes(length), "h bigint, d bigint, w bigint, off int")
     twice = (windows.groupBy("h", "w").agg(F.count("*").alias("m")).where("m > 1")
