@@ -87,3 +87,26 @@ def test_late_rows_are_found_not_lost(spark):
     missing = S.late_rows(batch, emitted, ["id"])
     assert rows(emitted, "id") == [(1,), (2,)]
     assert rows(missing, "id") == [(3,)]
+
+
+def test_snapshots_rewrite_only_the_touched_partitions(spark, tmp_path):
+    """Per batch: the months it touches, whole; a retried batch changes nothing; what is no longer live goes."""
+    schema = "user_id bigint, month_year string, tokens bigint"
+    path = str(tmp_path / "snap")
+    merge = S.snapshot_merge(path, ["user_id", "month_year"])
+    frame = lambda rows_: spark.createDataFrame(rows_, schema)
+    merge(frame([(u, m, 1) for u in range(50) for m in ("0124", "0224", "0324", None)]), 0)
+    merge(frame([(1, "0124", 7), (99, "0124", 3)]), 1)
+    assert sorted(os.listdir(f"{path}/data/v=1"))[-1:] == ["month_year=0124"] and len([d for d in os.listdir(f"{path}/data/v=1") if "=" in d]) == 1
+    merge(frame([(1, "0124", 7), (99, "0124", 3)]), 1)  # the same batch again
+    merge(frame([(2, "0224", 5), (None, "0424", 4), (3, None, 8)]), 2)
+    merge(frame([]), 3)
+    merge(frame([(None, "0424", 6)]), 4)
+    got = S.latest_snapshot(spark, path, frame([]).schema, "month_year")
+    want = {(u, m): 1 for u in range(50) for m in ("0124", "0224", "0324", None)}
+    want |= {(1, "0124"): 7, (99, "0124"): 3, (2, "0224"): 5, (None, "0424"): 6, (3, None): 8}
+    assert {(r.user_id, r.month_year): r.tokens for r in got.collect()} == want and got.count() == len(want)
+    assert got.schema == frame([]).schema
+    left = {v: sorted(d for d in os.listdir(f"{path}/data/{v}") if "=" in d) for v in sorted(os.listdir(f"{path}/data"))}
+    assert left["v=0"] == ["month_year=0324"] and left["v=1"] == ["month_year=0124"]
+    assert sorted(os.listdir(f"{path}/manifest")) == ["v=2", "v=4"]
