@@ -73,3 +73,23 @@ def test_reflection_keeps_last_ten_in_date_order(spark):
         J.journals_by_days(spark.createDataFrame(entries, "user_id bigint, entry_date date, entry string, mood string"),
                            "2024-01-30", [30]))).filter("days = 30").collect()[0]
     assert r["text"].split("\n") == [f"e{d}" for d in range(20, 30)]
+
+
+def test_one_pass_over_all_windows_equals_a_pass_per_window(spark):
+    import random
+    rnd = random.Random(4)
+    words = ["anxiety", "work", "sleep", "family", "x"]
+    entries = [(u, dt.date(2024, 1, 30) - dt.timedelta(days=d), rnd.choice([None, "", " ".join(rnd.choices(words, k=3))]), rnd.choice(["happy", None, "", "odd"]))
+               for u in (1, 2, 3) for d in rnd.sample(range(-3, 120), 60)]
+    j = spark.createDataFrame(entries, "user_id bigint, entry_date date, entry string, mood string")
+    days = [30, 7, 90]
+    tagged = J.journals_by_days(j, "2024-01-30", days)
+    assert rows(J.themes_by_days(j, "2024-01-30", words, days), "user_id", "days", "keyword", "entries", "keyword_pos") == rows(
+        J.theme_counts(tagged, words), "user_id", "days", "keyword", "entries", "keyword_pos")
+    for k in (1, 4, 50):
+        assert rows(J.reflections_by_days(j, "2024-01-30", days, k), "user_id", "days", "n_entries", "text") == rows(
+            J.reflection_text(tagged, k), "user_id", "days", "n_entries", "text")
+    got = J.insights_report(j, "2024-01-30", words, days)
+    mood = J.mood_trailing(tagged).selectExpr("user_id", "days", "points as mood_points", "mean_score")
+    assert rows(got.filter("mood_points > 0"), "user_id", "days", "mood_points", "mean_score") == rows(mood, "user_id", "days", "mood_points", "mean_score")
+    assert J.insights_report(j.filter("false"), "2024-01-30", words, days).count() == 0

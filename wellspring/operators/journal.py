@@ -163,29 +163,82 @@ def journal_calendar(journals: DataFrame) -> DataFrame:
             .withColumn("has_entry", F.coalesce("has_entry", F.lit(False))))
 
 
-def insights_report(tagged: DataFrame, keywords: list[str] = THEME_KEYWORDS,
-                    k: int = REFLECTION_LAST_N) -> DataFrame:
+def _smallest_window(journals: DataFrame, as_of: str, days: list[int]) -> DataFrame:
+    """Entries within the widest window, with ``_w``, the smallest that holds them.
+
+    All windows end alike (B10 has no upper bound), so an entry lies in ``_w`` and in
+    every wider one: work is done once per entry and handed on to those at the end."""
+    windows = F.array(*[F.lit(d) for d in sorted(days)])
+    asof = F.to_date(F.lit(as_of))
+    near = journals.select("user_id", "entry_date", "entry", "mood").filter(F.col("entry_date") >= F.date_sub(asof, max(days)))
+    return near.withColumn("_w", F.element_at(F.filter(windows, lambda d: F.col("entry_date") >= F.date_sub(asof, d)), 1))
+
+
+def _wider(days: list[int]) -> Column:
+    return F.explode(F.filter(F.array(*[F.lit(d) for d in sorted(days)]), lambda d: d >= F.col("_w"))).alias("days")
+
+
+def themes_by_days(journals: DataFrame, as_of: str, keywords: list[str] = THEME_KEYWORDS,
+                   days: list[int] = INSIGHT_WINDOWS) -> DataFrame:
+    """D4 over all windows in one pass: :func:`theme_counts` of :func:`journals_by_days`.
+
+    Each text is searched once; counts per smallest window are summed up into the wider ones."""
+    pos = F.create_map(*[v for i, k in enumerate(keywords) for v in (F.lit(k), F.lit(i))])
+    hits = _smallest_window(journals, as_of, days).select("user_id", "_w", F.explode(matching_keywords("entry", keywords)).alias("keyword"))
+    counts = hits.groupBy("user_id", "_w", "keyword").agg(F.count("*").alias("n")).select("user_id", "keyword", "n", _wider(days))
+    return (counts.groupBy("user_id", "days", "keyword").agg(F.sum("n").alias("entries"))
+            .withColumn("keyword_pos", pos[F.col("keyword")]))
+
+
+def _last_entries(journals: DataFrame, as_of: str, days: list[int], k: int) -> DataFrame:
+    """Per user the last ``k`` non-empty entries in date order (``_e``) and the smallest window that holds one.
+
+    A window's last ``k`` entries are those of the user's last ``k`` that lie in it, so
+    ``k`` texts a user are exchanged, whatever the number of windows."""
+    w = Window.partitionBy("user_id").orderBy(F.col("entry_date").desc())
+    last = (_smallest_window(journals, as_of, days).filter(F.col("entry").isNotNull() & (F.col("entry") != ""))
+            .select("user_id", "entry_date", "entry", "_w", F.row_number().over(w).alias("rn")).filter(F.col("rn") <= k))
+    return last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("entry_date", "entry", "_w"))).alias("_e"), F.min("_w").alias("_w"))
+
+
+def _of_window(column: str = "_e") -> Column:
+    return F.filter(column, lambda x: x["_w"] <= F.col("days"))
+
+
+def reflections_by_days(journals: DataFrame, as_of: str, days: list[int] = INSIGHT_WINDOWS, k: int = REFLECTION_LAST_N) -> DataFrame:
+    """D6 over all windows in one pass: :func:`reflection_text` of :func:`journals_by_days`."""
+    cut = _last_entries(journals, as_of, days, k).select("user_id", "_e", _wider(days)).withColumn("_e", _of_window())
+    return cut.select("user_id", "days", F.size("_e").alias("n_entries"),
+                      F.array_join(F.transform("_e", lambda x: x["entry"]), "\n").alias("text"))
+
+
+def insights_report(journals: DataFrame, as_of: str, keywords: list[str] = THEME_KEYWORDS,
+                    days: list[int] = INSIGHT_WINDOWS, k: int = REFLECTION_LAST_N) -> DataFrame:
     """K7: per (user, window) the ranked themes, the reflection text (or the
     fixed no-entries text) and the mood-series size and mean.
 
-    Plan: one hash aggregate on (user_id, days) computes every keyword's entry
-    count (one conditional sum per keyword; the list is small and fixed) and
-    the mood statistics, with partial aggregation before the shuffle; the
-    reflection (top ``k`` per group) is the only other branch.
+    One hash aggregate on (user, smallest window) computes every keyword's entry
+    count (one conditional sum per keyword; the list is small and fixed) and the
+    mood statistics, summed up into the wider windows; the last ``k`` entries a
+    user are the only other branch.
     """
     low = F.lower(F.coalesce(F.col("entry"), F.lit("")))
-    truthy_mood = F.col("mood").isNotNull() & (F.col("mood") != "")
-    aggs = [F.sum(F.contains(F.col("_low"), F.lit(kw)).cast("int")).alias(f"_k{i}") for i, kw in enumerate(keywords)]
-    aggs += [F.count_if(truthy_mood).alias("mood_points"),
-             F.round(F.avg(F.when(truthy_mood, mood_score("mood"))), 6).alias("mean_score")]
-    stats = tagged.withColumn("_low", low).groupBy("user_id", "days").agg(*aggs)
+    score = F.when(F.col("mood").isNotNull() & (F.col("mood") != ""), mood_score("mood"))
+    names = [f"_k{i}" for i in range(len(keywords))]
+    sums = [F.sum(F.contains(F.col("_low"), F.lit(kw)).cast("int")).alias(name) for name, kw in zip(names, keywords)]
+    sums += [F.count_if(F.col("mood").isNotNull() & (F.col("mood") != "")).alias("mood_points"), F.count(score).alias("_n"), F.sum(score).alias("_s")]
+    stats = _smallest_window(journals, as_of, days).withColumn("_low", low).groupBy("user_id", "_w").agg(*sums)
+    stats = stats.select("user_id", _wider(days), *names, "mood_points", "_n", "_s").groupBy("user_id", "days").agg(
+        *[F.sum(c).alias(c) for c in (*names, "mood_points", "_n", "_s")])
     ranked = F.array_sort(F.filter(F.array(*[
-        F.struct((-F.col(f"_k{i}")).alias("neg"), F.lit(i).alias("pos"), F.lit(kw).alias("kw"))
-        for i, kw in enumerate(keywords)]), lambda x: x["neg"] < 0))
+        F.struct((-F.col(name)).alias("neg"), F.lit(i).alias("pos"), F.lit(kw).alias("kw"))
+        for i, (name, kw) in enumerate(zip(names, keywords))]), lambda x: x["neg"] < 0))
     themes = F.array_join(F.transform(ranked, lambda x: capitalize(x["kw"])), ", ")
-    refl = reflection_text(tagged, k).select("user_id", "days", "text")
-    out = stats.select("user_id", "days", themes.alias("themes"), "mood_points", "mean_score") \
-        .join(refl, ["user_id", "days"], "left")
+    mean = F.round(F.col("_s") / F.when(F.col("_n") > 0, F.col("_n")), 6)
+    # Joined by user, where the texts lie already; a window's are cut from them afterwards.
+    out = stats.select("user_id", "days", themes.alias("themes"), "mood_points", mean.alias("mean_score")).join(
+        _last_entries(journals, as_of, days, k).select("user_id", "_e"), "user_id", "left")
+    text = F.array_join(F.transform(_of_window(), lambda x: x["entry"]), "\n")
     return out.select("user_id", "days", "themes",
-                      F.coalesce("text", F.lit(REFLECTION_EMPTY_TEXT)).alias("reflection"),
+                      F.when(F.size(_of_window()) > 0, text).otherwise(F.lit(REFLECTION_EMPTY_TEXT)).alias("reflection"),
                       F.col("mood_points").cast("bigint").alias("mood_points"), "mean_score")

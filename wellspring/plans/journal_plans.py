@@ -129,17 +129,17 @@ def _mood_trailing(fx):
 
 @register("theme_counts", "D4", ["journal_log"], "SELECT * FROM theme_counts", ctes=THEME_COUNTS_SQL)
 def _theme_counts(fx):
-    return J.theme_counts(_tagged(fx), TEST_THEMES)
+    return J.themes_by_days(_journals(fx), AS_OF, TEST_THEMES)
 
 
 @register("top_themes", "E2", ["journal_log"], "SELECT * FROM top_themes", ctes=THEME_COUNTS_SQL)
 def _top_themes(fx):
-    return J.top_themes(J.theme_counts(_tagged(fx), TEST_THEMES))
+    return J.top_themes(J.themes_by_days(_journals(fx), AS_OF, TEST_THEMES))
 
 
 @register("reflection_text", "D6/E3", ["journal_log"], "SELECT * FROM reflection", ctes=TAGGED_SQL + "," + REFLECTION_SQL)
 def _reflection_text(fx):
-    return J.reflection_text(_tagged(fx))
+    return J.reflections_by_days(_journals(fx), AS_OF)
 
 
 @register("journal_calendar", "C8/I8", ["journal_log"], """
@@ -165,7 +165,7 @@ LEFT JOIN (SELECT user_id, days, count(*) AS points, round(avg(score), 6) AS mea
  ON m.user_id = k.user_id AND m.days = k.days
 """, ctes=THEME_COUNTS_SQL + "," + REFLECTION_SQL + "," + MOOD_SERIES_SQL)
 def _insights_report(fx):
-    return J.insights_report(_tagged(fx), TEST_THEMES)
+    return J.insights_report(_journals(fx), AS_OF, TEST_THEMES)
 
 
 @register("journal_neighbours", "I6/I7", ["journal_log"], """

@@ -9,7 +9,7 @@ from wellspring.functions.dates import daypart
 from wellspring.functions.routing import model_route
 from wellspring.functions.text import all_but_last
 from wellspring.operators import prompts as P
-from wellspring.operators.journal import journal_merge, journals_by_days, reflection_text
+from wellspring.operators.journal import journal_merge, journals_by_days, reflections_by_days
 from wellspring.operators.settings import effective_settings, persona_table, settings_merge
 from wellspring.operators.tokens import token_ledger
 from wellspring.plans.journal_plans import REFLECTION_SQL, TAGGED_SQL
@@ -185,8 +185,8 @@ SELECT k.user_id, k.days, CASE WHEN r.text IS NULL THEN 'empty' ELSE 'request' E
 FROM (SELECT DISTINCT user_id, days FROM tagged) k LEFT JOIN reflection r ON r.user_id = k.user_id AND r.days = k.days
 """, ctes=TAGGED_SQL + "," + REFLECTION_SQL)
 def _reflection_requests(fx):
-    tagged = journals_by_days(journal_merge(None, fx.journal_log), AS_OF)
-    return P.reflection_requests(reflection_text(tagged), tagged)
+    journals = journal_merge(None, fx.journal_log)
+    return P.reflection_requests(reflections_by_days(journals, AS_OF), journals_by_days(journals, AS_OF).select("user_id", "days"))
 
 
 @register("ingest_responses", "K6", ["responses"], """

@@ -11,7 +11,7 @@ from wellspring.functions.text import capitalize, last_n, truthy_or
 from wellspring.operators import accounts as A
 from wellspring.operators.chat import chat_history, dedup_messages
 from wellspring.operators.accounts import subscription_history
-from wellspring.operators.journal import insights_report, journal_merge, journals_by_days
+from wellspring.operators.journal import insights_report, journal_merge
 from wellspring.operators.settings import settings_merge
 from wellspring.operators.tokens import token_ledger
 from wellspring.plans.accounts_plans import ISSUES_SQL, _issues_table
@@ -165,7 +165,7 @@ LEFT JOIN (SELECT user_id, days, count(*) AS points, round(avg(score), 6) AS mea
  ON m.user_id = k.user_id AND m.days = k.days
 """, ctes=THEME_COUNTS_SQL + "," + REFLECTION_SQL + "," + MOOD_SERIES_SQL)
 def _insights_json(fx):
-    rep = insights_report(journals_by_days(journal_merge(None, fx.journal_log), AS_OF), TEST_THEMES)
+    rep = insights_report(journal_merge(None, fx.journal_log), AS_OF, TEST_THEMES)
     return json_rows(rep, ["themes", "reflection", "mood_points", "mean_score"], ["user_id", "days"])
 
 
