@@ -11,6 +11,7 @@ from conftest import rows, ts
 from wellspring import schemas
 from wellspring.sources.sinks import append_messages, append_summaries
 from wellspring.sources.tables import conform, scan_table
+from wellspring.sources.versioned import latest_snapshot
 from wellspring.streaming import streams as S
 
 MSG = "id bigint, user_id bigint, message string, role string, timestamp timestamp_ntz, archive boolean, session string"
@@ -102,7 +103,7 @@ def test_snapshots_rewrite_only_the_touched_partitions(spark, tmp_path):
     merge(frame([(2, "0224", 5), (None, "0424", 4), (3, None, 8)]), 2)
     merge(frame([]), 3)
     merge(frame([(None, "0424", 6)]), 4)
-    got = S.latest_snapshot(spark, path, frame([]).schema, "month_year")
+    got = latest_snapshot(spark, path, frame([]).schema, "month_year")
     want = {(u, m): 1 for u in range(50) for m in ("0124", "0224", "0324", None)}
     want |= {(1, "0124"): 7, (99, "0124"): 3, (2, "0224"): 5, (None, "0424"): 6, (3, None): 8}
     assert {(r.user_id, r.month_year): r.tokens for r in got.collect()} == want and got.count() == len(want)

@@ -93,3 +93,23 @@ def test_one_pass_over_all_windows_equals_a_pass_per_window(spark):
     mood = J.mood_trailing(tagged).selectExpr("user_id", "days", "points as mood_points", "mean_score")
     assert rows(got.filter("mood_points > 0"), "user_id", "days", "mood_points", "mean_score") == rows(mood, "user_id", "days", "mood_points", "mean_score")
     assert J.insights_report(j.filter("false"), "2024-01-30", words, days).count() == 0
+
+
+def test_applying_a_log_rewrites_only_its_months(spark, tmp_path):
+    import os
+    path = str(tmp_path / "journals")
+    save = lambda seq, user, month, entry, mood=None: (seq, user, dt.date(2024, month, 5), ts(f"2024-{month:02}-05 08:00:00"), entry, mood)
+    logs = [[save(1, 1, 1, "a"), save(2, 2, 1, "b"), save(3, 1, 2, "c"), save(4, 3, 3, "d")], [save(5, 1, 2, None, "sad"), save(6, 9, 4, "e")], [save(7, 1, 4, "f")]]
+    dels = [None, None, [(8, 3, dt.date(2024, 3, 5)), (9, 8, dt.date(2024, 1, 5))]]
+    every, gone = [], []
+    for log, d in zip(logs, dels):
+        every += log
+        gone += d or []
+        J.journal_apply(path, spark.createDataFrame(log, LOG), spark.createDataFrame(d, "seq bigint, user_id bigint, entry_date date") if d else None)
+        want = J.journal_merge(None, spark.createDataFrame(every, LOG),
+                               spark.createDataFrame(gone, "seq bigint, user_id bigint, entry_date date"))
+        cols = ["user_id", "entry_date", "entry", "mood", "created_at", "updated_at"]
+        assert rows(J.journal_table(spark, path), *cols) == rows(want, *cols)
+    folders = {v: sorted(x for x in os.listdir(f"{path}/data/{v}") if "=" in x) for v in os.listdir(f"{path}/data")}
+    assert folders["v=1"] == ["month=2024-02", "month=2024-04"] and folders["v=2"] == ["month=2024-01", "month=2024-04"]
+    assert J.journal_table(spark, path).filter("month = '2024-03'").count() == 0

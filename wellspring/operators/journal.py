@@ -15,15 +15,22 @@ three scans.  Per-(user, window) lists are bounded by the keyword list or by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.fixed_values import INSIGHT_WINDOWS, REFLECTION_EMPTY_TEXT, REFLECTION_LAST_N, THEME_KEYWORDS
 from wellspring.functions.dates import days_in_month, leading_blanks
 from wellspring.functions.mood import mood_icon, mood_score
 from wellspring.functions.text import capitalize, matching_keywords
+from wellspring.sources.versioned import latest_snapshot, next_version, rewrite_partitions
 
 _KEY = ["user_id", "entry_date"]
+#: Columns of the stored journal table, with its partition.
+JOURNAL_TABLE = T.StructType([
+    T.StructField("user_id", T.LongType()), T.StructField("entry_date", T.DateType()), T.StructField("entry", T.StringType()),
+    T.StructField("mood", T.StringType()), T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("updated_at", T.TimestampNTZType()), T.StructField("month", T.StringType())])
 
 
 def _last_set(col: str) -> Column:
@@ -68,6 +75,24 @@ def journal_merge(base: DataFrame | None, log: DataFrame, deletes: DataFrame | N
                       .otherwise(F.col("first_u")).alias("updated_at"))
 
 
+def journal_apply(path: str, log: DataFrame, deletes: DataFrame | None = None) -> None:
+    """H1/H2 on a stored table: apply a log (and deletes) to the journals under ``path``,
+    partitioned by month; months that no change names are neither read nor rewritten."""
+    spark = log.sparkSession
+    month = F.date_format("entry_date", "yyyy-MM").alias("month")
+    change = log.select(month) if deletes is None else log.select(month).unionByName(deletes.select(month))
+
+    def merge(old: DataFrame) -> DataFrame:
+        merged = journal_merge(old, log, deletes)
+        return merged.withColumn("month", month)
+    rewrite_partitions(path, "month", next_version(spark, path), change, merge, JOURNAL_TABLE)
+
+
+def journal_table(spark: SparkSession, path: str) -> DataFrame:
+    """The live rows of a table that :func:`journal_apply` keeps."""
+    return latest_snapshot(spark, path, JOURNAL_TABLE, "month")
+
+
 def journal_lookup(journals: DataFrame, keys: DataFrame) -> DataFrame:
     """Entry and mood for each requested (user, date); a missing row gives
     text ``''`` and mood null, a stored null text stays null."""

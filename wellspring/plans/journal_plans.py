@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import dates as D
 from wellspring.operators import journal as J
 from wellspring.plans.registry import register
+from wellspring.session import shared_path
 from wellspring.sources.fixtures import AS_OF, halves
 
 # Keywords that occur in the test prose (the application's defaults do not).
@@ -76,6 +77,15 @@ def _journal_merge_base(fx):
     return J.journal_merge(J.journal_merge(None, first), second)
 
 
+@register("journal_apply", "H1", ["journal_log"], "SELECT * FROM journals", ctes=JOURNALS_SQL, dates=["entry_date"])
+def _journal_apply(fx):
+    # Two logs applied one after the other to a stored table.
+    path = shared_path(fx.spark, "journals")
+    for log in halves(fx.journal_log):
+        J.journal_apply(path, log)
+    return J.journal_table(fx.spark, path).drop("month")
+
+
 @register("journal_merge_deletes", "H2", ["journal_log", "journal_deletes"], """
 SELECT user_id, entry_date,
   arg_max(entry, seq) FILTER (WHERE entry IS NOT NULL) AS entry,

@@ -31,6 +31,7 @@ from wellspring.functions.joins import null_safe_join
 from wellspring.operators.safety import crisis_alerts
 from wellspring.operators.tokens import token_increments
 from wellspring.session import checkpoint_dir
+from wellspring.sources.versioned import complete_versions, latest_snapshot, rewrite_partitions
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None,
@@ -124,97 +125,26 @@ def late_rows(batch: DataFrame, emitted: DataFrame, keys: list[str]) -> DataFram
     return batch.join(emitted.select(*keys), keys, "left_anti")
 
 
-def snapshot_merge(path: str, keys: list[str], partition: str | None = None, keep: int = 2):
+def snapshot_merge(path: str, keys: list[str], partition: str | None = None):
     """``foreachBatch`` writer for update-mode aggregates: a keyed table under ``path``,
     partitioned by ``partition`` (one of the keys; default: the last).
 
-    A micro-batch rewrites only the partitions that it touches: their live rows
-    less the batch's keys, plus the batch, go to ``data/v=<batch>``, and the manifest
-    ``manifest/v=<batch>`` names, per partition, the version that is live.  A manifest
-    counts once its ``_SUCCESS`` file stands, which the writer makes last, so a
-    retried batch rewrites the same version from the same input (exactly once).
-    What neither of the last ``keep`` manifests names is deleted.
+    A micro-batch rewrites only the partitions that it touches (see
+    :mod:`wellspring.sources.versioned`): their live rows less the batch's keys,
+    plus the batch.  A retried batch rewrites the same version from the same input
+    (exactly once).
     """
-    part = partition or keys[-1]
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         try:
-            touched = [r[0] for r in batch.select(part).distinct().collect()]  # one value a partition
-            if not touched:
-                return
-            live = _manifest(spark, path, before=batch_id)
-            old = _live_rows(spark, path, live, batch.schema, part)
-            old = old.filter(F.col(part).isin([v for v in touched if v is not None]) | (F.col(part).isNull() if None in touched else F.lit(False)))
-            new = null_safe_join(old, batch.select(*keys), keys, "left_anti").unionByName(batch)
-            new.write.mode("overwrite").partitionBy(part).parquet(f"{path}/data/v={batch_id}")
+            rewrite_partitions(
+                path, partition or keys[-1], batch_id, batch,
+                lambda old: null_safe_join(old, batch.select(*keys), keys, "left_anti").unionByName(batch), batch.schema)
         finally:
             batch.unpersist()
-        live |= {name: batch_id for name in _names(spark, f"{path}/data/v={batch_id}/{part}=*")}
-        rows = spark.createDataFrame(sorted(live.items()), "partition string, version bigint")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={batch_id}")
-        _prune(spark, path, keep)
     return write
 
 
-def latest_snapshot(spark: SparkSession, path: str, schema: T.StructType, partition: str) -> DataFrame:
-    """The live rows of a table that :func:`snapshot_merge` keeps."""
-    return _live_rows(spark, path, _manifest(spark, path), schema, partition)
-
-
-def _manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
-    """The live version of each partition's folder (by the newest manifest, or the newest older than ``before``)."""
-    done = [v for v in _complete_versions(spark, f"{path}/manifest") if before is None or v < before]
-    return _read_manifest(spark, path, max(done)) if done else {}
-
-
-def _read_manifest(spark: SparkSession, path: str, version: int) -> dict[str, int]:
-    return {r["partition"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/v={version}").collect()}
-
-
-def _live_rows(spark: SparkSession, path: str, live: dict[str, int], schema: T.StructType, part: str) -> DataFrame:
-    rows = None
-    for version in sorted(set(live.values())):
-        base = f"{path}/data/v={version}"
-        folders = [f"{base}/{name}" for name, v in sorted(live.items()) if v == version]
-        # The schema is given, so that a partition's name isn't taken for a number.
-        more = spark.read.schema(schema).option("basePath", base).parquet(*folders).select(*schema.fieldNames())
-        rows = more if rows is None else rows.unionByName(more)
-    return spark.createDataFrame([], schema) if rows is None else rows
-
-
-def _prune(spark: SparkSession, path: str, keep: int) -> None:
-    """Delete manifests older than the last ``keep`` and the folders that no manifest left names."""
-    versions = sorted(_complete_versions(spark, f"{path}/manifest"))
-    named = {(v, name) for m in versions[-keep:] for name, v in _read_manifest(spark, path, m).items()}
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def delete(folder: str) -> None:
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(conf).delete(target, True)
-    for m in versions[:-keep]:
-        delete(f"{path}/manifest/v={m}")
-    for version in _names(spark, f"{path}/data/v=*"):
-        v = int(version.removeprefix("v="))
-        for name in _names(spark, f"{path}/data/{version}/*=*"):
-            if v <= versions[-1] and (v, name) not in named:
-                delete(f"{path}/data/{version}/{name}")
-
-
-def _names(spark: SparkSession, pattern: str) -> list[str]:
-    """Names of the files and folders that a pattern finds."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    status = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
-    return [f.getPath().getName() for f in status or []]
-
-
-def _complete_versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions whose write ended (one small file name each)."""
-    done = [v for v in _names(spark, f"{path}/v=*") if _names(spark, f"{path}/{v}/_SUCCESS")]
-    return [int(v.removeprefix("v=")) for v in done]
-
-
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -250,7 +180,7 @@ def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append",
     if mode == "update" and keys:
         return latest_snapshot(spark, out, df.schema, keys[-1])
     if mode != "append":
-        done = _complete_versions(spark, out)
+        done = complete_versions(spark, out)
         return spark.read.schema(df.schema).parquet(f"{out}/v={max(done)}") if done else spark.createDataFrame([], df.schema)
     try:
         return spark.read.schema(df.schema).parquet(out)
