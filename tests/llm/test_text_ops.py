@@ -228,3 +228,63 @@ def test_langid_of_nothing(spark):
     assert langid.identify(documents(spark, [])).collect() == []
     none = documents(spark, [(1, "abc")]).withColumn("lang", F.lit(None).cast("string"))
     assert [r.lang_pred for r in langid.identify(none).collect()] == ["und"]
+
+
+# ---- plain replays from fitted weights
+
+def plain_hash(piece: bytes) -> int:
+    """The range hash of some bytes in whole numbers."""
+    from wellspring.llm import hashing
+    m = (1 << 64) - 1
+    x = sum(int(hashing._BYTE[b]) * pow(int(hashing._BASE), i, 1 << 64) for i, b in enumerate(piece)) & m
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * times & m
+    return x ^ (x >> 31)
+
+
+def letters(text: str) -> list[bytes]:
+    kept = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+    return kept.split()
+
+
+def test_toxicity_scores_equal_a_plain_sum_of_weights(spark, monkeypatch):
+    import math
+    rng = random.Random(6)
+    common = ["plain", "words", "about", "women", "and", "men", "cafés", "x"]
+    docs = [(i, " ".join(rng.choices(common + (["horrible", "idiots"] if i % 2 else ["kindly"]), k=rng.randint(3, 40)))) for i in range(400)]
+    docs += [(900, None), (901, ""), (902, "…!"), (903, "HORRIBLE horribly Idiot")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    models, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score_toxicity(documents(spark, docs), labels).collect()}
+    values, weights, bias = models[0]
+    weight = dict(zip((int(v) for v in values), weights))
+    assert len(weight) >= 3
+    for i, text in docs:
+        found = {plain_hash(w) ^ int(toxicity._WHOLE) for w in letters(text)}
+        found |= {plain_hash(w[:k]) for w in letters(text) for k in toxicity.PREFIXES if len(w) >= k}
+        z = bias + sum(weight.get(h, 0.0) for h in found)
+        assert got[i][0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9) and got[i][1] == (got[i][0] >= 0.5)
+
+
+def test_language_scores_equal_a_plain_softmax(spark, monkeypatch):
+    import math
+    rng = random.Random(7)
+    words = {"en": ["the", "and", "thing", "other"], "fr": ["le", "été", "chose", "autre"], "de": ["der", "für", "sache", "andere"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(2, 30))), lang, "s", 1) for i, lang in enumerate(rng.choices(list(words), k=300))]
+    rows += [(900, "The AUTRE sache 12", "en", "s", 1), (901, "1234 -", "en", "s", 1), (902, None, "en", "s", 1), (903, "éééé", None, "s", 1)]
+    models, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOC)).collect()}
+    model = models[0]
+    for i, text, *_ in rows:
+        line = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()) + b" "
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        at = [((line[k] << 16 | line[k + 1] << 8 | line[k + 2]) * 2654435761 & 0xFFFFFFFF) >> 20 for k in range(len(line) - 2) if line[k + 1] != 32]
+        z = [(sum(model.logits[b][j] for b in at) / len(at) + model.bias[j]) / model.temperature for j in range(len(model.langs))]
+        p = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(p)), key=lambda j: p[j])
+        assert got[i].lang_pred == model.langs[best] and got[i].score == pytest.approx(p[best] / sum(p), rel=1e-9)
+        assert got[i].rejected == (got[i].score < model.least)
