@@ -220,3 +220,21 @@ def test_count_mode_requests_hold_their_windows_only(spark):
     want = sorted((t.turn_id, d[0]) for t in trig.filter("triggered").collect() for d in data
                   if d[6] == t.session and d[3] != "system" and t.checkpoint_before < d[0] < t.turn_id)
     assert got == want and len(want) > 500
+
+
+def test_chat_requests_of_null_sessions(spark):
+    """A null session has its summary and history like any other."""
+    turns = [(10 * k, 1, "s", "CBT", f"t{k}") for k in range(1, 6)]
+    msgs = [(i, 1, f"m{i}", "user" if i % 2 else "assistant", None, False, "s") for i in range(1, 60)]
+    sums = [(1, "s", "first", 5), (1, "s", "second", 25)]
+    T = "request_id bigint, user_id bigint, session string, persona string, user_input string"
+    M = "id bigint, user_id bigint, message string, role string, timestamp timestamp_ntz, archive boolean, session string"
+    S = "user_id bigint, session string, summary string, last_message_id bigint"
+    types = spark.createDataFrame([("CBT", "be kind")], "persona string, prompt string")
+    got = []
+    for name in ("s", None):
+        named = lambda rows_, at: [tuple(name if k == at else v for k, v in enumerate(r)) for r in rows_]  # noqa: B023, E731
+        df = P.chat_requests(spark.createDataFrame(named(turns, 2), T), spark.createDataFrame(named(msgs, 6), M),
+                             spark.createDataFrame(named(sums, 1), S), types)
+        got.append(sorted(tuple(r) for r in df.collect()))
+    assert got[0] == got[1] and len(got[0]) > 30

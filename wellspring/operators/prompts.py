@@ -77,14 +77,14 @@ def summary_as_of(turns: DataFrame, summaries: DataFrame) -> DataFrame:
     """Latest summary of each turn's session stored before the turn (checkpoint < turn id).
 
     The checkpoint is an as-of lookup (no turn x summary pairs); its text is
-    then an equi-join on (user, session, checkpoint).
+    then an equi-join on (user, session, checkpoint), in which a null session is one.
     """
     k = turns.select("request_id", "user_id", "session", (F.col("request_id") - 1).alias("_below"))
     ck = asof_mark(k, summaries, ["user_id", "session"], "_below", "last_message_id", name="checkpoint") \
         .filter(F.col("checkpoint").isNotNull()).drop("_below")
     texts = (summaries.groupBy("user_id", "session", F.col("last_message_id").alias("checkpoint"))
              .agg((F.max_by("summary", "id") if "id" in summaries.columns else F.max("summary")).alias("summary")))
-    return ck.join(texts, ["user_id", "session", "checkpoint"], "inner").select("request_id", "summary", "checkpoint")
+    return null_safe_join(ck, texts, ["user_id", "session", "checkpoint"]).select("request_id", "summary", "checkpoint")
 
 
 def _msg(part: int, pos: Column, role, content: Column) -> Column:
@@ -149,8 +149,8 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
     if casual:
         return rows
     m = asof_mark(m, summaries, ["user_id", "session"], "_below", "last_message_id", name="checkpoint")
-    stored = (t.filter(has).select("request_id", "user_id", "session", "checkpoint")
-              .join(m.drop("_below"), ["user_id", "session", "checkpoint"], "inner")
+    stored = (null_safe_join(t.filter(has).select("request_id", "user_id", "session", "checkpoint"),
+                             m.drop("_below").filter("checkpoint is not null"), ["user_id", "session", "checkpoint"])
               .filter(F.col("mid") < F.col("request_id"))
               .select("request_id", F.lit(2).alias("part"), F.col("mid").alias("pos"), "role", "content"))
     return rows.unionByName(stored)
