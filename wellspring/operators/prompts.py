@@ -124,6 +124,8 @@ def chat_requests(turns: DataFrame, messages: DataFrame, summaries: DataFrame, s
         t = t.join(profile_intro(users), "user_id", "left")
     else:
         t = t.withColumn("intro", F.lit(None).cast("string"))
+    if not casual:
+        t = materialize(t)  # parsed, looked up and joined once for its two branches
     has = F.col("summary").isNotNull()
     zero = F.lit(0)
     fixed = F.array(
