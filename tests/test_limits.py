@@ -5,7 +5,6 @@ import random
 from collections import deque
 
 from conftest import ts
-from pyspark.sql import functions as F
 
 from wellspring.operators import limits as L
 

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from wellspring.fixed_values import RESET_MAX_REQUESTS, RESET_WINDOW_MINUTES
 from wellspring.functions.dates import epoch_micros
-from wellspring.functions.joins import null_safe_join
 from wellspring.functions.text import is_valid_email, normalise_email
 
 #: Time chunks of one window, which bound the requests packed into one row.
