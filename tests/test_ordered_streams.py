@@ -5,6 +5,7 @@ import os
 import random
 import tempfile
 
+import pandas as pd
 import pytest
 from conftest import rows, ts
 from pyspark.sql import functions as F
@@ -157,3 +158,118 @@ def test_state_store_of_the_session_stays(spark):
     stream = spark.readStream.schema(RED).parquet(tempfile.mkdtemp(prefix="ws-ordered-", dir="/tmp"))
     assert S.run_available_now(spark, stream.filter(F.col("seq") > 0), provider=S.ROCKSDB).count() == 0
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+class Handle:
+    """State of one bucket in plain objects; ``ops`` counts the writes and timers."""
+
+    def __init__(self):
+        self.ops, self.timers, self.kept = 0, [], {}
+
+    def registerTimer(self, ms):  # noqa: N802 - Spark's name
+        self.ops += 1
+        self.timers.append(ms)
+
+    def state(self, name, empty):
+        handle, kept = self, self.kept
+
+        class State:
+            def exists(self):
+                return bool(kept.get(name))
+
+            def get(self):
+                return iter(kept[name]) if empty is list else kept[name]
+
+            def clear(self):
+                kept.pop(name, None)
+
+            def update(self, value):
+                handle.ops += 1
+                kept[name] = value
+
+            def put(self, values):
+                handle.ops += len(values)
+                kept[name] = list(values)
+
+            def appendList(self, values):  # noqa: N802
+                handle.ops += len(values)
+                kept.setdefault(name, []).extend(values)
+
+            def appendValue(self, value):  # noqa: N802
+                self.appendList([value])
+
+            def keys(self):
+                return iter(list(kept.get(name, {})))
+
+            def getValue(self, key):  # noqa: N802
+                return kept[name][key]
+
+            def updateValue(self, key, value):  # noqa: N802
+                handle.ops += 1
+                kept.setdefault(name, {})[key] = value
+
+            def removeKey(self, key):  # noqa: N802
+                del kept[name][key]
+        return State()
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self.state(name, dict)
+
+    def getListState(self, name, value):  # noqa: N802
+        return self.state(name, list)
+
+    def getValueState(self, name, value):  # noqa: N802
+        return self.state(name, tuple)
+
+
+class Timers:
+    def __init__(self, now_us):
+        self.now_us = now_us
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now_us // 1000
+
+
+def test_state_operations_do_not_grow_with_the_keys():
+    """A call takes up a bucket's many IPs, addresses or users: a few packed values, not one or more a key."""
+    handle, n = Handle(), 3000
+    first = O.IpLimit(1, 60_000_000)
+    first.init(handle)
+    asked = pd.DataFrame({"seq": range(n), "t": [(n - i) * 1000 for i in range(n)], "ip": [f"ip{i % 1000}" for i in range(n)],
+                          "email": [f"user{i}@x.com" for i in range(n)], "bot": False})
+    assert list(first.handleInputRows((0,), iter([asked[:1000], asked[1000:]]), Timers(0))) == []
+    out = pd.concat(first.handleExpiredTimer((0,), Timers(10_000_000_000), None))
+    assert handle.ops <= 6 and sorted(out["seq"]) == list(range(n))
+    assert set(out[out["ip_ok"].astype(bool)]["seq"]) == set(range(2000, 3000))  # the earliest of each IP
+
+    handle = Handle()
+    second = O.EmailLimit(1, 60_000_000)
+    second.init(handle)
+    assert pd.concat(second.handleInputRows((0,), iter([out]), Timers(0)))["email_ok"].sum() == 1000
+    assert handle.ops <= 2
+
+    handle = Handle()
+    lapse = O.TokenLapse()
+    lapse.init(handle)
+    issues = pd.DataFrame({"kind": 0, "seq": range(n), "t": range(n), "token": [f"t{i}" for i in range(n)], "user_id": range(n), "expires": 5_000_000})
+    used = issues[:10].assign(kind=1, t=4_000_000)
+    list(lapse.handleInputRows((0,), iter([issues, used]), Timers(0)))
+    assert list(lapse.handleExpiredTimer((0,), Timers(4_500_000), None)) == []
+    gone = pd.concat(lapse.handleExpiredTimer((0,), Timers(5_000_000), None))
+    assert sorted(gone["seq"]) == list(range(10, n)) and handle.ops <= 8 and "open" not in handle.kept
+
+
+def test_waiting_rows_come_in_order_and_in_parts(monkeypatch):
+    """Pieces that overlap in time are merged; a bucket's rows are never held all at once."""
+    monkeypatch.setattr(O, "SORT_ROWS", 50)
+    monkeypatch.setattr(O, "PIECE_ROWS", 10)
+    rnd, handle = random.Random(5), Handle()
+    waiting = O.IpLimit(3, 1)
+    waiting.init(handle)
+    data = [(rnd.randint(0, 500), i) for i in range(1000)]
+    frames = [pd.DataFrame([(t, s, "a", None) for t, s in data[a:a + 40]], columns=["t", "seq", "ip", "email"]) for a in range(0, 1000, 40)]
+    waiting.wait(O._gathered(frames))
+    parts = [list(zip(p.column("t").to_pylist(), p.column("seq").to_pylist())) for p in waiting.due(300)]
+    later = [list(zip(p.column("t").to_pylist(), p.column("seq").to_pylist())) for p in waiting.due(1000)]
+    assert sum(parts, []) == sorted(r for r in data if r[0] <= 300) and sum(later, []) == sorted(r for r in data if r[0] > 300)
+    assert len(parts) > 1 and max(map(len, parts + later)) < 500 and not handle.kept.get("pending")
