@@ -134,3 +134,14 @@ def test_summaries_without_a_time_get_the_appends(spark, tmp_path):
     append_summaries(s, str(tmp_path / "s"), as_of="2024-01-05 10:00:00")
     row = spark.read.parquet(str(tmp_path / "s")).first()
     assert row["created_at"] == ts("2024-01-05 10:00:00") and str(row["created_date"]) == "2024-01-05"
+
+
+def test_orphan_keys_are_dealt_to_a_given_number_of_tasks(spark):
+    """AQE would merge the shuffles of keys, which compress well, into a few tasks."""
+    from wellspring.operators import quality as Q
+    users = spark.range(0, 1000)
+    messages = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(5000)).when(F.col("id") % 3 == 1, F.col("id")).alias("user_id"))
+    got = Q.fk_orphans({"users": users, "conversations": messages}, [("conversations", ["user_id"], "users", ["id"])])
+    assert got.rdd.getNumPartitions() >= 64
+    want = [("conversations", "user_id", "5000", 1000)] + [("conversations", "user_id", str(i), 1) for i in range(1000, 3000) if i % 3 == 1]
+    assert rows(got, "child", "column", "value", "rows") == sorted(want, key=repr)

@@ -57,16 +57,30 @@ def unique_check(df: DataFrame, key: list[str], order: str | None = None,
     return df.groupBy(*key).agg(*aggs).filter(F.col("rows") > 1)
 
 
+#: Tasks that the keys of one foreign key are dealt to, at least.
+FK_TASKS = 64
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key to a given number of tasks.  AQE merges the tasks of a shuffle by its
+    compressed bytes, and keys compress so well that a few tasks would sort and hash them all; it
+    leaves a number that is given as it is."""
+    tasks = max(FK_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
 def fk_orphans(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
     """Rows whose foreign key has no parent, per declared FK, as one table
-    (child, column, value, rows).  Null keys are not orphans."""
+    (child, column, value, rows).  Null keys are not orphans.  A child's keys are
+    counted before they meet their parents, so a frequent key is one row of the join."""
     parts = []
     for child, ccols, parent, pcols in fks:
         if child not in tables or parent not in tables:
             raise ValueError(f"foreign key {child}.{ccols} -> {parent}: name both tables or leave the key out of fks")
         c = tables[child].select(*[F.col(x) for x in ccols]).filter(F.col(ccols[0]).isNotNull())
-        p = tables[parent].select(*[F.col(pc).alias(cc) for pc, cc in zip(pcols, ccols)]).distinct()
-        orphan = (c.join(p, ccols, "left_anti").groupBy(*ccols).agg(F.count("*").alias("rows"))
+        p = tables[parent].select(*[F.col(pc).alias(cc) for pc, cc in zip(pcols, ccols)])
+        counts = by_key(c, *ccols).groupBy(*ccols).agg(F.count("*").alias("rows"))
+        orphan = (counts.join(by_key(p, *ccols).distinct(), ccols, "left_anti")
                   .select(F.lit(child).alias("child"), F.lit(",".join(ccols)).alias("column"),
                           F.concat_ws(",", *[F.col(x).cast("string") for x in ccols]).alias("value"), "rows"))
         parts.append(orphan)

@@ -88,10 +88,11 @@ UNION ALL SELECT 'token_usage', 'user_id', CAST(user_id AS VARCHAR), count(*)
 def _fk_orphans(fx):
     # Orphans left when only the users table is cut by the erase requests (no cascade).
     kept = fx.users.join(fx.erase_requests.withColumnRenamed("user_id", "id"), "id", "left_anti")
+    # Both merges are by user and more, so logs dealt out by user need no further shuffle there.
     tables = {
         "users": kept, "conversations": fx.messages, "sessions": fx.sessions,
-        "journals": journal_merge(None, fx.journal_log), "subscriptions": fx.subscription_log.withColumnRenamed("seq", "id"), "payment_status": fx.payments,
-        "token_usage": token_ledger(fx.token_log), "session_types": persona_table(fx.spark),
+        "journals": journal_merge(None, Q.by_key(fx.journal_log, "user_id")), "subscriptions": fx.subscription_log.withColumnRenamed("seq", "id"), "payment_status": fx.payments,
+        "token_usage": token_ledger(Q.by_key(fx.token_log, "user_id")), "session_types": persona_table(fx.spark),
     }
     return Q.fk_orphans(tables)
 
