@@ -345,3 +345,22 @@ def test_simhash_search_finds_all_within_its_radius():
         flips = sorted(random.Random(bits).sample(range(64), bits))
         per = [sum(b // decontaminate.BLOCK_BITS == k for b in flips) for k in range(decontaminate.BLOCKS)]
         assert min(per) <= decontaminate.BLOCK_RADIUS
+
+
+def test_texts_are_scanned_once_for_anchors(spark, monkeypatch):
+    scanned, scan_of = spark.sparkContext.accumulator(0), suffix_dedup._occurrences
+
+    def counting(length, gram):
+        scan = scan_of(length, gram)
+
+        def counted(batches):
+            def seen():
+                for b in batches:
+                    scanned.add(b.num_rows)
+                    yield b
+            return scan(seen())
+        return counted
+    monkeypatch.setattr(suffix_dedup, "_occurrences", counting)
+    shared = "".join(chr(97 + i * i % 23) for i in range(700))
+    got = suffix_dedup.remove_repeats(table(spark, [(i, f"{i} {shared} {i * 7}") for i in range(20)])).collect()
+    assert all(r["n_removed"] > 600 for r in got) and scanned.value == 20
